@@ -3,14 +3,78 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import simhash_dedup
+from . import (
+    byte_cnn,
+    collision_search,
+    hypergeometric_sharding,
+    risk_thresholds,
+    separator_scan,
+    simhash_dedup,
+    slack_packing,
+    systematic_mixing,
+    temporal_list_join,
+)
 from ._shared import read_table
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separator_scan.token_counts(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_bktree,)}
-ORACLE_SQL: dict[str, str] = {}
+def op4_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages", "page_id", "url")
+    listed = temporal_list_join.listed_captures(temporal_list_join.captures_of(pages), temporal_list_join.entries_of(pages))
+    return listed.withColumn("since", F.coalesce("since", F.lit(-1)))
+
+
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_search.nearest_neighbours(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hypergeometric_sharding.shard_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return risk_thresholds.quality_verdicts(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op8_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return systematic_mixing.mixture(read_table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+
+
+def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return slack_packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
+    return byte_cnn.quality_scores(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_separator_scan,
+        op2_simhash_bktree,
+        op4_temporal_list_join,
+        op5_collision_counting,
+        op6_hypergeometric_sharding,
+        op7_risk_controlled_rules,
+        op8_systematic_mixing,
+        op9_minimum_bin_slack,
+        op10_byte_cnn,
+    )
+}
+ORACLE_SQL = {
+    "op4_temporal_list_join": temporal_list_join.ORACLE_SQL,
+    "op7_risk_controlled_rules": risk_thresholds.ORACLE_SQL,
+    "op8_systematic_mixing": systematic_mixing.ORACLE_SQL,
+}
