@@ -13,6 +13,7 @@ from . import (
     separator_scan,
     simhash_dedup,
     slack_packing,
+    substring_dedup,
     systematic_mixing,
     temporal_list_join,
 )
@@ -27,6 +28,10 @@ def op2_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicate_classes(read_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digest(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
     listed = temporal_list_join.listed_captures(temporal_list_join.captures_of(pages), temporal_list_join.entries_of(pages))
@@ -64,6 +69,7 @@ QUERIES = {
     for f in (
         op1_separator_scan,
         op2_simhash_bktree,
+        op3_fingerprint_index,
         op4_temporal_list_join,
         op5_collision_counting,
         op6_hypergeometric_sharding,
@@ -74,6 +80,7 @@ QUERIES = {
     )
 }
 ORACLE_SQL = {
+    "op3_fingerprint_index": substring_dedup.ORACLE_SQL,
     "op4_temporal_list_join": temporal_list_join.ORACLE_SQL,
     "op7_risk_controlled_rules": risk_thresholds.ORACLE_SQL,
     "op8_systematic_mixing": systematic_mixing.ORACLE_SQL,
