@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import stage
-from .tokenizing import WordTokenizer, encode_group, texts_in_turn
+from .tokenizing import WordTokenizer
 
 SEPARATOR = 49407  # <|endoftext|> of the vocabulary
 BLOCK_IDS = 1 << 18
@@ -42,7 +42,7 @@ def flat_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None =
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, file = WordTokenizer(path), f"part-{TaskContext.get().partitionId():06d}"
+        tokenizer, file = WordTokenizer.of_worker(path), f"part-{TaskContext.get().partitionId():06d}"
         held, ended, block = bytearray(), [], 0  # ended: (place of the separator, doc_id)
 
         def full(data: bytes, at: int, names: list) -> pa.RecordBatch:
@@ -50,16 +50,14 @@ def flat_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None =
             return pa.record_batch(columns, names=["file", "block", "data", "doc_ids"])
 
         for batch in batches:
-            names = iter(batch.column(0).to_pylist())
-            for texts in texts_in_turn(batch.column(1)):
-                for ids in encode_group(tokenizer, texts):
-                    held += np.frombuffer(ids, "<u4").astype("<u2").tobytes() + end
-                    ended.append((len(held), next(names)))
-                    while len(held) >= size:
-                        yield full(held[:size], block, [x for at, x in ended if at <= size])
-                        ended = [(at - size, x) for at, x in ended if at > size]
-                        del held[:size]
-                        block += 1
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                held += np.frombuffer(tokenizer.encode(text.as_py()), "<u4").astype("<u2").tobytes() + end
+                ended.append((len(held), name))
+                while len(held) >= size:
+                    yield full(held[:size], block, [x for at, x in ended if at <= size])
+                    ended = [(at - size, x) for at, x in ended if at > size]
+                    del held[:size]
+                    block += 1
         if held:
             yield full(held, block, [x for _, x in ended])
 

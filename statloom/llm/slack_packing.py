@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import stage
-from .tokenizing import WordTokenizer, encode_group, texts_in_turn
+from .tokenizing import WordTokenizer
 
 CAPACITY = 2048
 END_ID = 0
@@ -96,21 +96,18 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = WordTokenizer.of_worker(path)
         for batch in batches:
             which, piece, start, length, crc = [], [], [], [], []
-            row = 0
-            for texts in texts_in_turn(batch.column(1)):
-                for ids in encode_group(tokenizer, texts):
-                    ids += end
-                    for at in range(0, len(ids) // 4, capacity):
-                        part = ids[4 * at : 4 * (at + capacity)]
-                        which.append(row)
-                        piece.append(at // capacity)
-                        start.append(at)
-                        length.append(len(part) // 4)
-                        crc.append(zlib.crc32(part))
-                    row += 1
+            for row, text in enumerate(batch.column(1)):
+                ids = tokenizer.encode(text.as_py()) + end
+                for at in range(0, len(ids) // 4, capacity):
+                    part = ids[4 * at : 4 * (at + capacity)]
+                    which.append(row)
+                    piece.append(at // capacity)
+                    start.append(at)
+                    length.append(len(part) // 4)
+                    crc.append(zlib.crc32(part))
             yield pa.record_batch(
                 [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],

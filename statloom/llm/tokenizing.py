@@ -1,19 +1,39 @@
 """Token ids by a public byte-pair vocabulary whose words stand alone.
 
-The vocabulary drops white space and merges within words only, so the ids of a text are
-those of its space-separated words, one after another.  Each task keeps the ids of words it
-has met; only new words are encoded.
+The vocabulary drops white space, lowers letters and merges within runs of letters, single
+digits and runs of other signs only, so the ids of a text are those of its space-separated
+words, one after another.  A Python worker keeps the tokenizer and the ids of words it has
+met from task to task; only new words are encoded, and of plain words (letters, then signs)
+only new stems.
 """
 
 from __future__ import annotations
 
 import os
-
-import numpy as np
+import re
+import struct
+import sys
+import types
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a task; beyond that the memory starts anew.
-REMEMBERED = 300_000
+#: Words, and stems, that a worker remembers at most twice over: beyond that the memory turns
+#: old and a new one begins, which takes over from the old one what is met again.
+REMEMBERED = 150_000
+
+#: Letters whose lower form is one letter and that no combining changes, then signs without apostrophe.
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def worker_memory() -> dict:
+    """A dict that lives as long as the Python worker, whichever task runs in it."""
+    return sys.modules.setdefault("statloom_worker_memory", types.ModuleType("statloom_worker_memory")).__dict__
+
+
+def _letters_of_bytes() -> dict[int, int]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
 class WordTokenizer:
@@ -29,46 +49,53 @@ class WordTokenizer:
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.merge = self.tokenizer.model.tokenize
+        self.letters = _letters_of_bytes()
         self.known: dict[bytes, bytes] = {}
+        self.known_before: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.stems_before: dict[str, bytes] = {}
+
+    @classmethod
+    def of_worker(cls, path: str | None = None) -> WordTokenizer:
+        """The worker's own tokenizer."""
+        memory = worker_memory()
+        if (key := f"tokenizer {path}") not in memory:
+            memory[key] = cls(path)
+        return memory[key]
+
+    def _stem(self, run: str) -> bytes:
+        ids = self.stems.get(run)
+        if ids is None:
+            ids = self.stems_before.get(run)
+            if ids is None:
+                letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+                found = [t.id for t in self.merge(letters)] if run else []
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self.stems[run] = ids
+        return ids
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if plain := _PLAIN.match(text):
+            stem, signs = plain.groups()
+            return self._stem(stem.lower()) + self._stem(signs) if signs else self._stem(stem.lower())
+        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
-    def learn(self, words: list[bytes]) -> None:
-        new = list(set(words).difference(self.known))
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = list(set(words))
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, found, strict=True))
+    def encode_words(self, words: list[bytes]) -> bytes:
+        if len(self.known) > REMEMBERED:
+            self.known_before, self.known = self.known, {}
+        if len(self.stems) > REMEMBERED:
+            self.stems_before, self.stems = self.stems, {}
+        known, before = self.known, self.known_before
+        for word in words:
+            if word not in known:
+                ids = before.get(word)
+                known[word] = self._word(word) if ids is None else ids
+        return b"".join(map(known.__getitem__, words))
 
     def encode(self, text: bytes | None) -> bytes:
         words = (text or b"").split()
-        if len(words) > REMEMBERED:  # piece by piece, to bound what is remembered
-            return b"".join(self.encode(b" ".join(words[i : i + REMEMBERED])) for i in range(0, len(words), REMEMBERED))
-        return self.encode_words(words)
-
-    def encode_words(self, words: list[bytes]) -> bytes:
-        self.learn(words)
-        return b"".join(map(self.known.__getitem__, words))
-
-
-def texts_in_turn(column, size: int = 256 << 10):
-    """The texts of an Arrow column in groups of about so many bytes, each group one list."""
-    group, held = [], 0
-    for x in column:
-        text = x.as_py() or b""
-        group.append(text)
-        held += len(text)
-        if held >= size:
-            yield group
-            group, held = [], 0
-    if group:
-        yield group
-
-
-def encode_group(tokenizer: WordTokenizer, texts: list[bytes]) -> list[bytes]:
-    """The ids of each text; new words of the whole group are encoded in one go."""
-    words = [t.split() for t in texts]
-    if sum(map(len, words)) > REMEMBERED:
-        return [tokenizer.encode(t) for t in texts]
-    tokenizer.learn([w for ws in words for w in ws])
-    known = tokenizer.known
-    return [b"".join(map(known.__getitem__, ws)) for ws in words]
+        step = REMEMBERED // 4  # a long text piece by piece, to bound what is remembered
+        return b"".join([self.encode_words(words[i : i + step]) for i in range(0, len(words), step)])
