@@ -13,6 +13,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..constants import CITY, CORE_MODULES, DISTRICT_NAMES, GROWTH_HINTS, REPUBLIC, REPUBLIC_NAMES, SEARCH_LETTERS, UNIT_HINTS
 
@@ -21,7 +22,7 @@ _DROPPED = [k for k, v in SEARCH_LETTERS.items() if not v]
 _FROM_LETTERS, _TO_LETTERS = "".join([*_TO, *_DROPPED]), "".join(_TO.values())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def without_marks(text: pd.Series) -> pd.Series:
     """Decomposed, combining marks dropped."""
     plain = lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c))
@@ -50,7 +51,7 @@ def district_of(form: Column) -> Column:
     return F.when(form == "", None).when(republic, REPUBLIC).when(city, CITY).otherwise(F.coalesce(F.try_element_at(names, form), F.try_element_at(names, first)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def slug(text: pd.Series) -> pd.Series:
     """Readable key: letters and digits with dashes, at most 100, and a digest of the whole."""
 
