@@ -29,7 +29,7 @@ from ._shared import shared_dir, stage
 
 PROJECTIONS = 64
 SHARD_ROWS = 8192
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 2048
 #: Half a window, in projected lengths, for a radius of 1, and the share of collisions asked for.
 WIDTH = 1.1
 SHARE = 0.62
@@ -50,26 +50,34 @@ class Shard:
         self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32) if order is None else order
         self.sorted = np.take_along_axis(projected.T, self.order.astype(np.int64), 1)
 
-    def nearest(self, query_id: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def windows(self, queries: np.ndarray) -> np.ndarray:
+        """For each query, radius and projection the stretch of the sorted array within the window: [low, high)."""
+        norms = np.sqrt((queries * queries).sum(axis=1))
+        at = (queries / norms[:, None]) @ directions(queries.shape[1]).T
+        half = WIDTH * np.array([0.0, *RADII])
+        out = np.empty((len(queries), len(RADII) + 2, PROJECTIONS, 2), np.int32)
+        for i, line in enumerate(self.sorted):
+            out[:, :-1, i, 0] = np.searchsorted(line, at[:, i, None] - half)
+            out[:, :-1, i, 1] = np.searchsorted(line, at[:, i, None] + half)
+        out[:, -1, :, 0], out[:, -1, :, 1] = 0, len(self.ids)  # the last radius has no end
+        return out
+
+    def nearest(self, query_id: int, query: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(positions, cosines) of the k nearest found, without the query's own row."""
-        query = query.astype(np.float64)
         norm = np.sqrt((query * query).sum())
-        at = directions_of(len(query)) @ (query / norm)
-        n = len(self.ids)
-        hits = np.zeros(n, np.int16)
-        left = np.array([np.searchsorted(line, x) for line, x in zip(self.sorted, at, strict=True)])
-        right = left.copy()
+        n, order = len(self.ids), self.order
+        hits = np.zeros(n, np.int64)
         cosine = np.full(n, np.nan)
         threshold = int(np.ceil(SHARE * PROJECTIONS))
-        for radius in (*RADII, np.inf):
-            half = WIDTH * radius
-            for i, line in enumerate(self.sorted):
-                a, b = np.searchsorted(line[: left[i]], at[i] - half), right[i] + np.searchsorted(line[right[i] :], at[i] + half, "right")
-                hits[self.order[i, a : left[i]]] += 1
-                hits[self.order[i, right[i] : b]] += 1
-                left[i], right[i] = a, b
-            new = np.flatnonzero((hits >= threshold) & np.isnan(cosine))
-            cosine[new] = (self.vectors[new] * query).sum(axis=1) / (self.norms[new] * norm)
+        before = windows[0].tolist()
+        for radius, stretches in zip((*RADII, np.inf), windows[1:].tolist(), strict=True):
+            new = []
+            for i, ((low, high), (a, b)) in enumerate(zip(before, stretches, strict=True)):
+                new += [order[i, a:low], order[i, high:b]]
+            before = stretches
+            hits += np.bincount(np.concatenate(new), minlength=n)
+            met = np.flatnonzero((hits >= threshold) & np.isnan(cosine))
+            cosine[met] = (self.vectors[met] * query).sum(axis=1) / (self.norms[met] * norm)
             found = np.flatnonzero(~np.isnan(cosine) & (self.ids != query_id))
             best = found[np.lexsort((self.ids[found], -cosine[found]))[:k]]
             if len(best) == k and 2 - 2 * cosine[best[-1]] <= radius * radius:
@@ -77,15 +85,6 @@ class Shard:
         return best, cosine[best]
 
 
-_DIRECTIONS: dict[int, np.ndarray] = {}
-
-
-def directions_of(length: int) -> np.ndarray:
-    if length not in _DIRECTIONS:
-        _DIRECTIONS[length] = directions(length)
-    return _DIRECTIONS[length]
-
-
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and embedding of the rows that take part."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -127,9 +126,12 @@ def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, shard_ro
                 for row in batch.to_pylist():
                     own = np.frombuffer(row["ids"], np.int64)
                     shard = Shard(own, np.frombuffer(row["vectors"], np.float64).reshape(len(own), -1), np.frombuffer(row["orders"], np.int32).reshape(PROJECTIONS, -1))
-                    for query_id, query in zip(ids, values, strict=True):
-                        best, cosine = shard.nearest(query_id, query, k)
-                        yield pa.record_batch([pa.array([query_id] * len(best), pa.int64()), pa.array(shard.ids[best]), pa.array(cosine)], names=["query_id", "vec_id", "score"])
+                    found = []
+                    for query_id, query, windows in zip(ids, values, shard.windows(values), strict=True):
+                        best, cosine = shard.nearest(query_id, query, windows, k)
+                        found.append((np.full(len(best), query_id), shard.ids[best], cosine))
+                    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+                    yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
 
         index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(search, schema).write.mode("append").parquet(out)
     found = spark.read.schema(schema).parquet(out) if blocks else spark.createDataFrame([], schema)
