@@ -105,8 +105,9 @@ def base_failed(counts: Column) -> Column:
 def _log_factorial(n: Column) -> Column:
     """log n!: looked up for small n, by Stirling's series above."""
     small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(32)])
+    index, n = F.least(n, F.lit(31)).cast("int"), n.cast("double")
     series = n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n)
-    return F.when(n < 32, F.get(small, n.cast("int"))).otherwise(series)
+    return F.when(n < 32, F.get(small, index)).otherwise(series)
 
 
 def log_binomial_tail(k: Column, n: Column, p: float) -> Column:

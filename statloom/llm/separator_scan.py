@@ -106,7 +106,7 @@ def stitched(found: DataFrame) -> DataFrame:
     summary = found.select(
         "file", "block", "ids", F.floor(F.col("block") / SEGMENT).alias("segment"),
         F.size("found").cast("long").alias("closes"),
-        (F.element_at("found", -1) + 1).cast("long").alias("after"),  # where the last separator leaves off
+        (F.try_element_at("found", F.lit(-1)) + 1).cast("long").alias("after"),  # where the last separator leaves off
     )
     inside = Window.partitionBy("file", "segment").orderBy("block")
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -156,7 +156,7 @@ def documents_in(found: DataFrame, manifest: DataFrame | None = None) -> DataFra
     )
     closed = placed.select("file", F.inline(each))
     last = placed.select("file", "ids", "begins", (F.col("closed") + F.size("found")).alias("ordinal"),
-                         F.greatest("opened", F.coalesce(F.col("begins") + F.element_at("found", -1) + 1, F.lit(0))).alias("start"))
+                         F.greatest("opened", F.coalesce(F.col("begins") + F.try_element_at("found", F.lit(-1)) + 1, F.lit(0))).alias("start"))
     rest = last.groupBy("file").agg(F.max("ordinal").alias("ordinal"), F.max("start").alias("start"), F.max(F.col("begins") + F.col("ids")).alias("upto"))
     rest = rest.where("upto > start").select("file", "ordinal", "start", (F.col("upto") - F.col("start")).alias("n_tokens"), F.lit(False).alias("terminated"))
     return closed.unionByName(rest, allowMissingColumns=True)
