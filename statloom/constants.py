@@ -138,3 +138,56 @@ INTENT_KEYWORDS = {
     "compare": ["salistir", "solishtir", "taqqosla", "reyting", "en jaqsi", "eng yaxshi", "qaysi rayon", "qaysi tuman"],
     "annual": ["jilliq", "yillik", "dinamika", "juwmaq", "hisobot", "tariyx", "osiw pati"],
 }
+
+#: Part of a macro label, and its short name; the first found counts.
+MACRO_LABELS = {
+    "Jalpı aymaqlıq ónim": "JAO",
+    "Sanaat ónimi": "Sanaat",
+    "Awıl, toğay hám balıqshilıq": "AwılXojalıǵı",
+    "Tiykarǵı kapitalǵa investitsiyalar": "Investitsiya",
+    "Qurılıs jumısları": "Qurılıs",
+    "Eksport": "Eksport",
+    "Import": "Import",
+    "Xızmetler, jámi": "Xızmetler",
+    "Usaqlap satıw sawda tovar": "SawdaAylanbası",
+    "Saldo": "Saldo",
+}
+#: Part of a district's name in labour tables, and its name; the first found counts.
+LABOUR_DISTRICTS = {
+    "Qoraqalpog'iston Respublikasi": "QR jámi",
+    "Nukus sh.": "Nukus qalası",
+    "Amudaryo": "Amudarya",
+    "Beruniy": "Beruniy",
+    "Bo'zatov": "Bózataw",
+    "Qorao'zak": "Qaraózek",
+    "Kegeyli": "Kegeyli",
+    "Qo'ng'irot": "Qońırat",
+    "Qanliko'l": "Qanlikól",
+    "Mo'ynoq": "Mójnak",
+    "Nukus": "Nukus tumani",
+    "Taxiatosh": "Taxiatash",
+    "Taxtako'pir": "Taxtakópir",
+    "To'rtko'l": "Tórtk¸l",
+    "Xo'jayli": "Xojayli",
+    "Chimboy": "Shımbay",
+    "Shumanay": "Shumanay",
+    "Ellikqal'a": "Ellikqala",
+}
+#: Parts of a question, and the topics they stand for, in order.
+TOPIC_KEYWORDS = {
+    "jao": "JAO", "jalpı aymaqlıq": "JAO", "yalpi": "JAO", "gdp": "JAO", "umumiy mahsulot": "JAO", "regional": "JAO", "iqtisodiy o'sish": "JAO",
+    "sanaat": "Sanaat", "sanoat": "Sanaat", "industry": "Sanaat", "ximiya": "Sanaat", "toqımashılıq": "Sanaat", "azıq": "Sanaat",
+    "awıl": "AwılXojalıǵı", "awil": "AwılXojalıǵı", "qishloq": "AwılXojalıǵı", "dıyqan": "AwılXojalıǵı", "sharwa": "AwılXojalıǵı", "balıq": "AwılXojalıǵı", "egin": "AwılXojalıǵı", "fermer": "AwılXojalıǵı",
+    "investitsiya": "Investitsiya", "kapital": "Investitsiya", "qurılıs": "Qurılıs", "qurilish": "Qurılıs",
+    "eksport": "Eksport", "import": "Import", "sawda": "Sawda", "saldo": "Saldo", "tashqi": "Eksport",
+    "xızmet": "Xızmetler", "xizmat": "Xızmetler", "servis": "Xızmetler", "transport": "Xızmetler", "finanslıq": "Xızmetler",
+    "jumıssız": "Jumıssızlıq", "ishsiz": "Jumıssızlıq", "bandlik": "Jumıssızlıq", "bántler": "Jumıssızlıq", "aktiv xalıq": "Jumıssızlıq",
+    "is haqı": "IsHaqı", "maosh": "IsHaqı", "ish haqi": "IsHaqı", "aylıq": "IsHaqı",
+}
+
+#: Place on the scale and colour.
+PERFORMANCE_COLOURS = [
+    (0.7, (240, 113, 120)), (0.82, (208, 59, 59)), (0.9, (143, 48, 64)), (0.97, (60, 67, 99)), (1.02, (42, 95, 158)), (1.06, (42, 120, 214)), (1.15, (109, 167, 236)),
+]
+VOLUME_COLOURS = [(0.0, (30, 41, 74)), (0.25, (30, 78, 132)), (0.5, (26, 122, 178)), (0.75, (45, 170, 205)), (1.0, (125, 226, 231))]
+NO_VOLUME, NO_GROWTH = "#1b2338", "#5a6588"

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import numbers, period, text
-from ..operators import catalog, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, series, shapes, tasks
+from ..functions import colour, numbers, period, text
+from ..operators import catalog, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, reference, retrieval, series, shapes, tasks
 from . import tables
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
 
@@ -444,7 +444,7 @@ RAMP = [(0.0, (0, 0, 0)), (50.0, (200, 100, 50)), (100.0, (255, 255, 255))]
   CAST(CASE WHEN x < 50 THEN floor(x / 50 * 100 + 0.5) ELSE floor(100 + (x - 50) / 50 * 155 + 0.5) END AS INT) AS g,
   CAST(CASE WHEN x < 50 THEN floor(x / 50 * 50 + 0.5) ELSE floor(50 + (x - 50) / 50 * 205 + 0.5) END AS INT) AS b FROM (SELECT p_partkey, CAST(p_size * 2 AS DOUBLE) AS x FROM part))""")
 def colour_ramp(spark, sf_dir):
-    return tables.read(spark, sf_dir, "part").select("p_partkey", panel.colour_ramp(F.col("p_size") * 2.0, RAMP).alias("colour"))
+    return tables.read(spark, sf_dir, "part").select("p_partkey", colour.ramp(F.col("p_size") * 2.0, RAMP).alias("colour"))
 
 
 # --- loading ---------------------------------------------------------------------------------
@@ -665,3 +665,88 @@ def trend_forecasts(spark, sf_dir):
 def question_intents(spark, sf_dir):
     asked = tables.read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("prompt"))
     return questions.parsed(asked, tables.districts(spark, sf_dir))
+
+
+# --- colours, retrieval, reference ----------------------------------------------------------
+
+
+def _ramp_sql(x: str, stops) -> str:
+    """The colour of x between stops, in SQL."""
+    cases = [f"WHEN {x} <= {stops[0][0]} THEN '#%02x%02x%02x'" % stops[0][1]]
+    for (p, low), (q, high) in zip(stops, stops[1:], strict=False):
+        parts = ", ".join(f"CAST(floor({i} + ({x} - {p}) / ({q - p!r}::DOUBLE) * {j - i} + 0.5) AS INT)" for i, j in zip(low, high, strict=True))
+        cases.append(f"WHEN {x} < {q} THEN printf('#%02x%02x%02x', {parts})")
+    return "CASE " + " ".join(cases) + " ELSE '#%02x%02x%02x' END" % stops[-1][1]
+
+
+@query(OBSERVATIONS, layer_sql(YEAR), sql=f" SELECT indicator_id, district_id, CASE WHEN intensity IS NULL THEN '#1b2338' ELSE {_ramp_sql('s', colour.VOLUME_COLOURS)} END AS fill, CASE WHEN yoy IS NULL THEN '#5a6588' ELSE {_ramp_sql('g', colour.PERFORMANCE_COLOURS)} END AS edge FROM (SELECT *, sqrt(greatest(0.0, least(1.0, intensity))) AS s, 1 + greatest(-20.0, least(20.0, yoy)) / 20 * 0.18 AS g FROM layer)")
+def map_colours(spark, sf_dir):
+    return _layer(spark, sf_dir).select("indicator_id", "district_id", colour.volume(F.col("intensity")).alias("fill"), colour.growth(F.col("yoy")).alias("edge"))
+
+
+def _macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.when(F.col("indicator_id") == "BUILDING", "JAO").when(F.col("indicator_id") == "MACHINERY", "Eksport").otherwise("Sanaat")
+    rows = series.national_series(tables.observations(spark, sf_dir)).where("indicator_id in ('BUILDING', 'MACHINERY', 'FURNITURE')")
+    return rows.select(names.alias("indicator"), "year", "value")
+
+
+MACRO = "macro AS (SELECT CASE indicator_id WHEN 'BUILDING' THEN 'JAO' WHEN 'MACHINERY' THEN 'Eksport' ELSE 'Sanaat' END AS indicator, year, value FROM points WHERE indicator_id IN ('BUILDING', 'MACHINERY', 'FURNITURE'))"
+
+
+@query(OBSERVATIONS, series_sql(False), MACRO, sql=""" , asked AS (SELECT 1 AS id, 'JAO' AS indicator, CAST(NULL AS INT) AS y UNION ALL SELECT 2, 'Sanaat', NULL UNION ALL SELECT 2, 'Eksport', NULL UNION ALL SELECT 3, 'JAO', NULL)
+SELECT id, indicator, year, value FROM asked JOIN (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY year DESC) AS back FROM macro) USING (indicator) WHERE CASE WHEN y IS NOT NULL THEN year = y ELSE back <= 4 END""")
+def retrieved_figures(spark, sf_dir):
+    asked = spark.createDataFrame([(1, "gdp 1999, 2000?"), (2, "sanoat va eksport"), (3, "salem")], "id int, prompt string")
+    return retrieval.figures(asked, _macro(spark, sf_dir))
+
+
+@query(OBSERVATIONS, series_sql(False), MACRO, sql=""" , x AS (SELECT m.*, b.value AS base, w.value AS whole FROM macro m LEFT JOIN macro b ON b.indicator = m.indicator AND b.year = m.year - 1 LEFT JOIN macro w ON w.indicator = 'JAO' AND w.year = m.year)
+SELECT indicator, year, count(*) + count(base) + count(CASE WHEN indicator <> 'JAO' THEN whole END) AS n FROM x GROUP BY 1, 2""")
+def training_pairs(spark, sf_dir):
+    return retrieval.training_pairs(_macro(spark, sf_dir)).groupBy("indicator", "year").agg(F.count("*").alias("n"))
+
+
+@query(INDICATORS, sql=" SELECT id FROM inds WHERE module NOT IN ('m1', 'm3')")
+def without_legacy(spark, sf_dir):
+    legacy = spark.createDataFrame([("m1",), ("m3",)], "id string")
+    return reference.without_legacy(tables.indicators(spark, sf_dir), legacy, "module").select("id")
+
+
+@query(sql=" SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN 'new ' || n_name ELSE n_name END AS name FROM nation UNION ALL SELECT 1000, 'added'")
+def seeded_dimension(spark, sf_dir):
+    old = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    fixed = old.where("id % 2 = 0").withColumn("name", F.concat(F.lit("new "), "name")).unionByName(spark.createDataFrame([(1000, "added")], "id int, name string"))
+    return reference.seeded(old, fixed, "id")
+
+
+@query(sql=" SELECT c_custkey, CASE WHEN abs(v) >= 1000000 THEN 'mln' WHEN abs(v) >= 1000 THEN 'ming' ELSE '' END AS size, greatest(0, least(100, v)) AS clamped FROM (SELECT c_custkey, c_acctbal AS v FROM customer)")
+def compact_numbers(spark, sf_dir):
+    v = F.col("c_acctbal")
+    rows = tables.read(spark, sf_dir, "customer").select("c_custkey", numbers.compact(v).alias("t"), numbers.clamp(v, 0.0, 100.0).alias("clamped"))
+    return rows.select("c_custkey", F.regexp_extract("t", r"(ming|mln)?$", 1).alias("size"), "clamped")
+
+
+@query(PANEL, sql=" SELECT district_id, min_by(year, -abs(active) * 100000 + year) AS peak FROM panel GROUP BY 1")
+def peak_year(spark, sf_dir):
+    return panel.peak(tables.panel(spark, sf_dir), "district_id", "year", "active")
+
+
+@query(PANEL, sql=" SELECT district_id, year, active FROM panel WHERE active > 80 AND active < 200 AND district_id IN (SELECT district_id FROM panel WHERE active > 80 AND active < 200 GROUP BY 1 HAVING count(*) >= 3)")
+def enough_values(spark, sf_dir):
+    return panel.enough(tables.panel(spark, sf_dir).select("district_id", "year", "active"), "district_id", "active", 3, 80, 200)
+
+
+@query(PANEL, FORECASTS, sql=" SELECT district_id, arg_min(model, m * 10 + ascii(model)) AS configuration, min(m) AS mape FROM (SELECT district_id, model, any_value(ascii(model) - 96) * count(*) AS m FROM forecasts GROUP BY district_id, model) GROUP BY 1")
+def best_configuration(spark, sf_dir):
+    scores = _forecasts(spark, sf_dir).groupBy("district_id", F.col("model").alias("configuration")).agg((F.count("*") * (F.ascii(F.first("model")) - 96)).alias("mape"))
+    return models.best_configuration(scores, "district_id")
+
+
+@query(PLANS, sql=" SELECT id FROM plans WHERE module = 'BUILDING' AND status = 'critical'")
+def plan_rows(spark, sf_dir):
+    return tables.plans(spark, sf_dir).where("module = 'BUILDING' and status = 'critical'").select("id")
+
+
+@query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, count(*) AS lines FROM layer WHERE value IS NOT NULL GROUP BY 1")
+def answer_context(spark, sf_dir):
+    return questions.context(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), YEAR).groupBy("indicator_id").agg(F.count("*").alias("lines"))
