@@ -13,15 +13,16 @@ def _towards_least(edges: DataFrame, larger_only: bool) -> DataFrame:
 
     Every vertex learns the least vertex next to it.  With ``larger_only`` its larger
     neighbours are linked to that least one; otherwise it and its smaller neighbours are.
-    The least neighbour is a pre-aggregated minimum, so a hub costs one row for each task,
-    and the join back to the edges is one that adaptive execution can split at a hub.
+    The least neighbour is a pre-aggregated minimum, so a hub costs one row for each task.  It
+    is written before it is joined back to the edges: adaptive execution can split a join of
+    two plain tables at a hub, but not one whose other side is still grouped by the key.
     """
     if larger_only:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     else:
         both = edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst"))
     least = both.groupBy("src").agg(F.min("dst").alias("least"))
-    least = least.select("src", F.least("src", "least").alias("least"))
+    least = stage(least.select("src", F.least("src", "least").alias("least")), "least")
     linked = both.join(least, "src")
     if larger_only:
         out = linked.where("dst > src").select(F.col("dst").alias("src"), F.col("least").alias("dst"))

@@ -190,7 +190,8 @@ def near_duplicate_classes(docs: DataFrame, radius: int = 2) -> DataFrame:
     marked = stage(fingerprints(docs), "fingerprints")
     rooted = stage(classes(marked, radius), "classes")
     least = marked.groupBy("fingerprint").agg(F.min("doc_id").alias("least")).join(rooted, "fingerprint")
-    named = rooted.join(least.groupBy("root").agg(F.min("least").alias("component_id")), "root")
+    components = stage(least.groupBy("root").agg(F.min("least").alias("component_id")), "components")  # see components.py
+    named = rooted.join(components, "root")
     return marked.join(named.select("fingerprint", "component_id"), "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
