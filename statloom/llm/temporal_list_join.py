@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._shared import stage
+
 
 def host_of(url: Column) -> Column:
     """The lower-case host of a url, null without one: no user, port or final dot."""
@@ -49,7 +51,7 @@ def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
         .groupBy("host")
         .agg(F.sort_array(F.collect_set(span), asc=False).alias("spans"))
     )
-    joined = rows.join(lines, "host", "left")
+    joined = rows.join(stage(lines, "lines"), "host", "left")  # a plain table, so that a hot host can be split
     now = F.col("fetched_at")
     active = F.filter("spans", lambda s: (s["since"] <= now) & (s["until"].isNull() | (now < s["until"])))
     hit = F.get(active, F.lit(0))
