@@ -16,7 +16,7 @@ windows mostly share theirs.  Only windows whose anchor occurs at least twice in
 can repeat, and only these reach the index.  Exact copies of a whole document need no windows:
 all their words repeat if they have as many as a window.
 
-Windows are compared by 96 bits of a 128-bit hash of their words, and every repeat is
+Windows are compared by 95 bits of a 128-bit hash of their words, and every repeat is
 verified once more against the words of the document it is removed from.  A hash met often
 in one task leaves it once: later occurrences are known there to be repeats and travel under
 hashes of their own, so a passage in a third of all documents is no hot key.
@@ -42,7 +42,7 @@ from ._shared import shared_dir, shuffles_freed, stage, whole_text
 
 WINDOW = 20
 ANCHOR = 10
-BATCHES = 2
+BATCHES = 3
 FAN_OUT = 2
 #: Texts hashed at once, in bytes; a longer text is a group of its own.
 GROUP = 1 << 20
@@ -103,13 +103,13 @@ class Words:
         return words, words + at[words], least[words]
 
     def digests(self, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits and another 32 bits of the hash of the windows starting at these words."""
+        """64 bits and another 31 bits of the hash of the windows starting at these words."""
         from xxhash import xxh3_128_digest
 
         joined = self.joined
         spans = zip(self.starts[words].tolist(), self.ends[words + window - 1].tolist(), strict=True)
         both = np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in spans]), ">u8").astype(np.uint64).reshape(-1, 2)
-        return both[:, 0].view(np.int64), (both[:, 1] >> np.uint64(33)).astype(np.int64)  # 31 bits, to stay positive
+        return both[:, 0].view(np.int64), (both[:, 1] >> np.uint64(33)).astype(np.int64)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -135,7 +135,7 @@ def exact_copies(rows: DataFrame) -> DataFrame:
     """(key, copies): the digests of texts of this key that a smaller key has too."""
     digests = rows.select("key", F.md5("text").alias("digest"))
     first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    later = digests.join(first, "digest").where("key > first")
+    later = digests.join(stage(first, "first"), "digest").where("key > first")  # a plain table, so that a hot digest can be split
     return later.groupBy("key").agg(F.collect_set("digest").alias("copies"))
 
 
