@@ -46,6 +46,8 @@ BATCHES = 3
 FAN_OUT = 2
 #: Texts hashed at once, in bytes; a longer text is a group of its own.
 GROUP = 1 << 20
+#: Windows that a task brings together before it passes them on.
+TOGETHER = 1 << 19
 LAST = (1 << 63) - 1
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -176,14 +178,26 @@ def candidate_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
     """Windows that may repeat, of rows (key, text as bytes, anchors).
 
     Columns route (the window's hash), key, packed (31 more bits of the hash, and the first
-    word) and later: the window is known to repeat an earlier one of the same batch of rows,
-    and its route is a number of its own.
+    word) and later: the window is known to repeat an earlier one that the task has brought
+    together with it, and its route is a number of its own.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def told(parts: list) -> pa.RecordBatch:
+            h, check, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((start, key, check, h))
+            h, check, key, start = h[order], check[order], key[order], start[order]
+            new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
+            head = np.flatnonzero(new)[np.cumsum(new) - 1]
+            later = (key != key[head]) | (start != start[head])
+            kept = new | later  # equal rows count once
+            route = np.where(later, _mixed(key.astype(np.uint64) * _MULTIPLIER + start.astype(np.uint64)).view(np.int64), h)
+            columns = (route, key, check << 32 | start, later)
+            return pa.record_batch([pa.array(x[kept]) for x in columns], names=["route", "key", "packed", "later"])
+
         for batch in batches:
             row_keys, anchors = batch.column(0).to_numpy(), batch.column(2)
-            parts = []
+            parts, held = [], 0
             for first, texts in _groups(batch.column(1)):
                 words = Words(texts)
                 starts, _, found = words.anchors(window, anchor)
@@ -197,18 +211,12 @@ def candidate_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
                     h, check = words.digests(starts, window)
                     text = words.text[starts]
                     parts.append((h, check, row_keys[first + text], starts - words.first[text]))
-            if not parts:
-                continue
-            h, check, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, key, check, h))
-            h, check, key, start = h[order], check[order], key[order], start[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (key != key[head]) | (start != start[head])
-            kept = new | later  # equal rows count once
-            route = np.where(later, _mixed(key.astype(np.uint64) * _MULTIPLIER + start.astype(np.uint64)).view(np.int64), h)
-            columns = (route, key, check << 32 | start, later)
-            yield pa.record_batch([pa.array(x[kept]) for x in columns], names=["route", "key", "packed", "later"])
+                    held += len(starts)
+                if held >= TOGETHER:
+                    yield told(parts)
+                    parts, held = [], 0
+            if parts:
+                yield told(parts)
 
     return marked.select("key", F.col("text").cast("binary").alias("text"), "anchors").mapInArrow(
         emit, "route long, key long, packed long, later boolean"
