@@ -15,7 +15,7 @@ def _in_years(year: Column) -> Column:
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit("")).cast("int")
+    return F.regexp_extract(text, pattern, group).try_cast("int")  # null where nothing is found
 
 
 def parsed_period(text: Column) -> Column:

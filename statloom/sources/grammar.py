@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import DUPLICATES_FOLDER, REPUBLIC
 from ..functions.cells import is_breakdown, month_span, parsed_period, unit_alone, unit_in_brackets, year_heading
 from ..functions.text import district_form, district_of, looks_like_unit, number_of
+from ..lineage import cut
 from .workbook import NotAWorkbook, sheets
 
 CELLS = "sheet string, category string, source string, row int, col int, text string"
@@ -139,7 +140,7 @@ def _blocks(districts: Column) -> Column:
 
 def wide_records(cells: DataFrame) -> DataFrame:
     """Records of sheets with periods in columns."""
-    heads = _heads(cells).withColumn("low", F.min("col").over(Window.partitionBy("sheet")))
+    heads = cut(_heads(cells)).withColumn("low", F.min("col").over(Window.partitionBy("sheet")))
     head = heads.select("sheet", "head", "low").distinct()
     below = cells.join(head, "sheet").where(F.col("row") > F.col("head"))
     labelled = below.where(F.col("col") < F.col("low")).groupBy("sheet", "col").count().where("count >= 3")
@@ -166,7 +167,7 @@ def wide_records(cells: DataFrame) -> DataFrame:
     part = F.col("open").isNotNull() & (F.col("next").isNull() | (F.col("row") < F.coalesce(F.col("next.from_row"), F.col("next.marked"))))
     lines = lines.withColumn("part_of", F.when(part, F.col("open.name")))
     lines = lines.where("not marker").withColumn("label", F.last("own", ignorenulls=True).over(down)).where("label is not null")
-    lines = lines.withColumn("district", _district(F.col("label"))).select("sheet", "row", "label", "beside", "part_of", "district")
+    lines = cut(lines.withColumn("district", _district(F.col("label"))).select("sheet", "row", "label", "beside", "part_of", "district"))
 
     # Lists of districts that begin anew are blocks, captioned by the last other label before.
     listed = lines.where("district is not null").groupBy("sheet").agg(F.sort_array(F.collect_list(F.struct("row", "district"))).alias("d"))
@@ -175,7 +176,7 @@ def wide_records(cells: DataFrame) -> DataFrame:
     lines = lines.withColumn("caption", caption).join(listed.toDF("sheet", "row", "block"), ["sheet", "row"], "left")
     starts = Window.partitionBy("sheet", "block").orderBy("row")
     lines = lines.withColumn("caption", F.when(F.col("block") > 0, F.first("caption").over(starts)))
-    lines = lines.withColumn("block", F.coalesce("block", F.max("block").over(down.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    lines = cut(lines).withColumn("block", F.coalesce("block", F.max("block").over(down.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
 
     values = cells.join(heads, ["sheet", "col"]).where(F.col("row") > F.col("head")).withColumn("value", number_of(F.col("text"))).where("value is not null")
     rows = values.select("sheet", "category", "source", "row", "col", "p", "value").join(lines, ["sheet", "row"])
@@ -232,10 +233,31 @@ def district_column_records(cells: DataFrame) -> DataFrame:
 
 
 def records(cells: DataFrame) -> DataFrame:
-    """The records of all sheets, each in the first shape that gives any, with ``ord`` in reading order."""
-    out = wide_records(cells)
+    """The records of all sheets, each in the first shape that gives any, with ``ord`` in reading order.
+
+    Cells and each shape's records are written before they are used again: workbooks are
+    unpacked once, and plans stay small.
+    """
+    cells = cut(cells)
+    out = cut(wide_records(cells))
     for shape in (vertical_records, district_column_records):
-        found = shape(cells)
-        out = out.unionByName(found.join(out.select("sheet").distinct(), "sheet", "left_anti"))
-    order = Window.orderBy("sheet", "row", "col")
-    return out.withColumn("ord", F.row_number().over(order).cast("long")).drop("sheet", "col")
+        rest = cut(cells.join(out.select("sheet").distinct(), "sheet", "left_anti"))
+        out = out.unionByName(cut(shape(rest)))
+    # Sheets are numbered, not records: one short row each goes through one task.
+    number = out.select("sheet").distinct().withColumn("no", F.row_number().over(Window.orderBy("sheet")).cast("long"))
+    place = F.col("no") * (1 << 36) + F.col("row") * (1 << 14) + F.col("col")
+    return out.join(number, "sheet").withColumn("ord", place).drop("sheet", "col", "no")
+
+
+def upload(spark: SparkSession, data: bytes, category: str, filename: str, known: list[str]) -> DataFrame:
+    """The records of one workbook sent as bytes; refuses unknown categories, other files, and workbooks without records."""
+    if category not in known:
+        raise ValueError(f"unknown category: {category}")
+    if not filename.lower().endswith((".xlsx", ".xls")):
+        raise ValueError(f"no workbook: {filename}")
+    frame = pd.DataFrame({"path": [f"{category}/{filename}"], "content": [data]})
+    rows = [tuple(r) for part in _cells(iter([frame])) for r in part.itertuples(index=False)]
+    found = records(spark.createDataFrame(rows, CELLS))
+    if found.isEmpty():
+        raise ValueError(f"no records in {filename}")
+    return found
