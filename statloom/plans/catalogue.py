@@ -750,3 +750,59 @@ def plan_rows(spark, sf_dir):
 @query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, count(*) AS lines FROM layer WHERE value IS NOT NULL GROUP BY 1")
 def answer_context(spark, sf_dir):
     return questions.context(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), YEAR).groupBy("indicator_id").agg(F.count("*").alias("lines"))
+
+
+# --- small things --------------------------------------------------------------------------------
+
+
+@query(PANEL, sql=" SELECT district_id, round(quantile_cont(active, 0.05), 9) AS low, round(quantile_cont(active, 0.95), 9) AS high, round(avg(ln(1 + active)), 9) AS mean_log FROM panel GROUP BY 1")
+def percentile_bounds(spark, sf_dir):
+    rows = tables.panel(spark, sf_dir)
+    return rows.groupBy("district_id").agg(
+        F.round(F.percentile("active", 0.05), 9).alias("low"), F.round(F.percentile("active", 0.95), 9).alias("high"), F.round(F.avg(F.log1p("active")), 9).alias("mean_log")
+    )
+
+
+@query(PANEL, sql=" SELECT district_id, year, year IN (1999, 2000) AS test FROM panel")
+def train_test_split(spark, sf_dir):
+    train, test = panel.split_by_years(tables.panel(spark, sf_dir), [1999, 2000])
+    return train.select("district_id", "year", F.lit(False).alias("test")).unionByName(test.select("district_id", "year", F.lit(True).alias("test")))
+
+
+@query(PANEL, sql=" SELECT district_id, 1995 AS year, max(active) FILTER (WHERE year = 1995) AS a, max(employed) FILTER (WHERE year = 1995) AS b FROM panel GROUP BY 1 HAVING a IS NOT NULL UNION ALL SELECT district_id, 1998, max(active) FILTER (WHERE year = 1998), max(employed) FILTER (WHERE year = 1998) AS b FROM panel GROUP BY 1 HAVING max(active) FILTER (WHERE year = 1998) IS NOT NULL")
+def year_chunks(spark, sf_dir):
+    years = (1995, 1998)
+    rows = tables.panel(spark, sf_dir).groupBy("district_id").agg(*[F.max(F.when(F.col("year") == y, F.col(c))).alias(f"{c}{y}") for y in years for c in ("active", "employed")])
+    return panel.chunks_to_rows(rows, "district_id", {y: [f"active{y}", f"employed{y}"] for y in years}, ["a", "b"])
+
+
+@query(sql=r" SELECT conv_id, turn, trim(regexp_replace(regexp_replace('**' || text || '** `x` [a](b)', '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[*_`#>|]+', ' ', 'g')) AS raw FROM conversations")
+def speakable_raw(spark, sf_dir):
+    said = F.concat(F.lit("**"), "text", F.lit("** `x` [a](b)"))
+    plain = F.regexp_replace(F.regexp_replace(said, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"[*_`#>|]+", " ")
+    return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(plain).alias("raw"))
+
+
+@query(sql=" SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders")
+def short_dates(spark, sf_dir):
+    return tables.read(spark, sf_dir, "orders").select("o_orderkey", numbers.short_date(F.col("o_orderdate")).alias("day"))
+
+
+@query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, string_agg(name, ',' ORDER BY rank) AS highlights FROM layer WHERE rank <= 5 GROUP BY 1")
+def highlights(spark, sf_dir):
+    rows = _layer(spark, sf_dir).where("rank is not null").groupBy("indicator_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("r"))
+    named = F.slice(F.array_distinct(F.transform("r", lambda x: x["name"])), 1, 5)
+    return rows.select("indicator_id", F.array_join(named, ",").alias("highlights"))
+
+
+@query(INDICATORS, sql=" SELECT category_id, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM inds GROUP BY 1")
+def page_counts(spark, sf_dir):
+    return tables.indicators(spark, sf_dir).groupBy("category_id").agg(F.ceil(F.count("*") / 50).alias("pages"))
+
+
+@query(sql=" SELECT event_type, date_trunc('hour', ts)::VARCHAR AS began, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, sf_dir):
+    from ..streaming.uploads import event_counts
+
+    rows = event_counts(tables.read(spark, sf_dir, "events"))
+    return rows.select("event_type", F.col("window.start").cast("string").alias("began"), "n")
