@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._shared import BROADCAST_ROWS, SPACE, WORD_CHAR, let, stage, whole_text, words_of
 
-RISK = 0.02
+RISK = 0.01
 LEVEL = 0.05
 LEAST_WORDS = 20
 WINDOW = 8

@@ -26,7 +26,7 @@ from ._shared import stage
 from .tokenizing import WordTokenizer
 
 SEPARATOR = 49407  # <|endoftext|> of the vocabulary
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 SEGMENT = 1024
 
 
