@@ -361,7 +361,7 @@ def test_binomial_tail_is_exact(spark):
 
 
 def test_cutoffs_reject_junk_and_spare_good(spark):
-    good = [(i, " ".join(f"word{i}x{j}" for j in range(30)), "en") for i in range(600)]
+    good = [(i, " ".join(f"word{i}x{j}" for j in range(30)), "en") for i in range(900)]  # enough for a bound of one percent
     junk = [(1000 + i, " ".join(f"w{i}x{j}###" for j in range(30)), "en") for i in range(50)]
     docs = spark.createDataFrame(good + junk + [(5000, junk[0][1], "xx")], "doc_id long, text string, lang string").withColumn("source", F.lit("s"))
     labels = spark.createDataFrame([(d[0], 1) for d in good] + [(d[0], 0) for d in junk], "doc_id long, quality int")
