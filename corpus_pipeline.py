@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statloom.llm import risk_thresholds, simhash_dedup, slack_packing, substring_dedup, systematic_mixing
+from statloom.llm import risk_thresholds, similar_documents, slack_packing, substring_dedup, systematic_mixing
 from statloom.llm._shared import read_table, shared_dir
 
 
@@ -20,8 +20,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
-    return simhash_dedup.keep_one_of_each(docs)
+    """One document of each class of near copies (similarity of 5-word shingles 0.8 or more) stays."""
+    return similar_documents.keep_one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
