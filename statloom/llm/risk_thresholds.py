@@ -6,7 +6,9 @@ stratum (language).  A cutoff qualifies when the exact binomial test rules out a
 rejection rate of ``RISK`` or more, at a level shared among all rules, cutoffs and strata
 (Bonferroni); the strictest cutoff that qualifies is used, and a rule without one is off in
 that stratum.  So with probability 1 - ``LEVEL`` no rule in use falsely rejects more than
-``RISK`` of the good documents of its stratum.
+``RISK`` of the good documents of its stratum.  ``kept_documents`` tests the cutoffs in a fixed
+order and pools small strata instead (see ``pooled_cutoffs``), as the correction for all of them
+leaves every rule off in a stratum of few labels.
 
 All of it is column expressions.  Shares are compared in whole thousandths.  The counts for
 choosing cutoffs need only cheap counts of characters; repeated windows are found by sorting
@@ -134,24 +136,71 @@ def _exceeds(counts: Column, rule: str, cutoff: Column | int) -> Column:
     return 1000 * counts[part] > cutoff * counts[whole]
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum and the cutoff of each rule, null where it is off; strata with labels only."""
+TESTS = [(rule, cut) for rule, (_, _, cuts) in RULES.items() for cut in cuts]
+
+
+def _false_rejections(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum, n (good documents) and how many of them each cutoff would reject."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = good.where("quality = 1").select("doc_id")
     counted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), cheap_counts(whole_text()).alias("c"))
-    tests = [(rule, cut) for rule, (_, _, cuts) in RULES.items() for cut in cuts]
     counted = counted.join(good, "doc_id")
-    sums = [F.sum(_exceeds(F.col("c"), rule, cut).cast("long")).alias(f"{rule}_{cut}") for rule, cut in tests]
-    per_stratum = counted.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
+    sums = [F.sum(_exceeds(F.col("c"), rule, cut).cast("long")).alias(f"{rule}_{cut}") for rule, cut in TESTS]
+    return counted.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
+
+
+def _passes(n: Column, k: Column, tests: Column) -> Column:
+    """Whether k of n rule out a rate of ``RISK``, at the level shared among so many tests."""
+    tail = log_binomial_tail(k, n, RISK)
+    return F.when(k < RISK * n, tail <= F.log(F.lit(LEVEL) / tests)).otherwise(F.lit(False))
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum and the cutoff of each rule, null where it is off; strata with labels only."""
+    per_stratum = _false_rejections(docs, labels)
     per_stratum = per_stratum.withColumn("strata", F.count("*").over(Window.partitionBy()))
-    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{cut}").alias("k")) for rule, cut in tests]))
+    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{cut}").alias("k")) for rule, cut in TESTS]))
     rows = per_stratum.select("stratum", "n", "strata", each.alias("t")).select("stratum", "n", "strata", "t.*")
-    allowed = F.log(F.lit(LEVEL) / (F.col("strata") * len(tests)))
-    tail = log_binomial_tail(F.col("k"), F.col("n"), RISK)
-    passed = F.when(F.col("k") < RISK * F.col("n"), tail <= allowed).otherwise(F.lit(False))
+    passed = _passes(F.col("n"), F.col("k"), F.col("strata") * len(TESTS))
     return rows.groupBy("stratum").agg(*[F.min(F.when(passed & (F.col("rule") == r), F.col("cut"))).alias(r) for r in RULES])
 
 
+def labels_needed(groups: Column) -> Column:
+    """Good labels from which a group that rejects none of them has rules, among so many groups."""
+    return F.ceil(F.log(groups * len(RULES) / LEVEL) / -math.log1p(-RISK))
+
+
+def pooled_cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Like ``cutoffs``, with fewer labels needed.
+
+    A rule's cutoffs are tested from the laxest to the strictest and no further than the first
+    that fails, so that only rules and groups share the level.  Strata too small to have rules
+    alone are one group: its bound holds for their good documents taken together, not for each.
+    Which strata are pooled depends on how many good labels they have, not on what is rejected.
+    """
+    per_stratum = stage(_false_rejections(docs, labels), "rejections")
+    most = Window.orderBy(F.desc("n"), "stratum")  # one row for each stratum
+    ranked = per_stratum.select("*", F.row_number().over(most).alias("rank"))
+    last = F.coalesce(F.max(F.when(F.col("n") >= labels_needed(F.col("rank") + 1), F.col("rank"))).over(Window.partitionBy()), F.lit(0))
+    ranked = ranked.withColumn("last", last).withColumn("group", F.when(F.col("rank") <= F.col("last"), F.col("rank")).otherwise(0))
+    whole = Window.partitionBy()
+    ranked = ranked.withColumn("groups", F.col("last") + F.max((F.col("group") == 0).cast("int")).over(whole))
+    ranked = stage(ranked, "ranked")
+    names = ["n", *[f"{rule}_{cut}" for rule, cut in TESTS]]
+    sums = ranked.groupBy("group", "groups").agg(*[F.sum(c).alias(c) for c in names])
+
+    def strictest(rule: str) -> Column:
+        chosen, going = F.lit(None).cast("int"), F.lit(True)
+        for cut in reversed(RULES[rule][2]):
+            going = going & F.col(f"{rule}_{cut}_passes")
+            chosen = F.when(going, F.lit(cut)).otherwise(chosen)
+        return chosen.alias(rule)
+
+    passes = [_passes(F.col("n"), F.col(f"{r}_{c}"), F.col("groups") * len(RULES)).alias(f"{r}_{c}_passes") for r, c in TESTS]
+    chosen = stage(sums.select("group", *passes), "passes").select("group", *[strictest(r) for r in RULES])
+    return ranked.select("stratum", "group").join(chosen, "group").drop("group")
+
+
 def _with_cutoffs(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """``docs`` has a column stratum; gets the column cutoffs (a struct, null without labels)."""
     chosen = chosen.select("stratum", F.struct(*RULES).alias("cutoffs"))
@@ -178,9 +227,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that no rule rejects; all columns as they are."""
+    """The documents that no rule rejects, by ``pooled_cutoffs``; all columns as they are."""
     rows = docs.select(F.struct("*").alias("row"), "text", F.coalesce("lang", F.lit("")).alias("stratum"))
-    rows = _with_cutoffs(rows, cutoffs(docs, labels))
+    rows = _with_cutoffs(rows, pooled_cutoffs(docs, labels))
     stays = let(all_counts(whole_text()), lambda c: ~base_failed(c) & ~rejected(c, F.col("cutoffs")))
     return rows.where(stays).select("row.*")
 
