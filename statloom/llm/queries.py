@@ -56,7 +56,8 @@ def op8_systematic_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minimum_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return slack_packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    packed = slack_packing.pack_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,9 @@ began.  The scan has two levels (segments of blocks, then blocks), so no task or
 
 Defined results: a document without ids counts 0; ids after the last separator are a
 document that is not terminated; blocks without separators and empty blocks are passed
-over; no blocks give no rows.  Ids cut by the end of a block are refused.
+over; no blocks give no rows.  Ids cut by the end of a block are refused.  Null texts are
+empty, rows that repeat are counted each, doc_id may have any type and other columns play no
+part, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,25 +23,39 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ._shared import stage
 from .tokenizing import WordTokenizer
 
-SEPARATOR = 49407  # <|endoftext|> of the vocabulary
+#: Ids are written in 16 bits where the vocabulary leaves the last number free, else in 32.
+NARROW = (1 << 16) - 1
 BLOCK_IDS = 1 << 16
 SEGMENT = 1024
 
 
-def flat_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None = None) -> DataFrame:
-    """The texts as flat token files of 16-bit ids, one file for each task.
+def id_width(path: str | None = None) -> int:
+    """Bytes of an id in the flat files; the largest number of that width is the separator.
+
+    No id of the vocabulary is that number, so no text can hold it.
+    """
+    return 2 if WordTokenizer(path).ids <= NARROW else 4
+
+
+def separator_of(width: int) -> int:
+    return (1 << 8 * width) - 1
+
+
+def flat_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None = None, width: int = 2) -> DataFrame:
+    """The texts as flat token files of ids of ``width`` bytes, one file for each task.
 
     Columns file, block and data, and the manifest that names what the file itself doesn't:
     doc_ids, the documents that end in the block.  Blocks are cut by size alone.
     """
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    size, end = 2 * block_ids, np.array([SEPARATOR], "<u2").tobytes()
-    kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    kind = rows.schema["doc_id"].dataType
+    size, end = width * block_ids, separator_of(width).to_bytes(width, "little")
+    arrow = to_arrow_type(kind)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, file = WordTokenizer.of_worker(path), f"part-{TaskContext.get().partitionId():06d}"
@@ -49,19 +65,24 @@ def flat_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None =
             columns = [pa.array([file]), pa.array([at], pa.int64()), pa.array([bytes(data)], pa.binary()), pa.array([names], pa.list_(arrow))]
             return pa.record_batch(columns, names=["file", "block", "data", "doc_ids"])
 
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held += np.frombuffer(tokenizer.encode(text.as_py()), "<u4").astype("<u2").tobytes() + end
-                ended.append((len(held), name))
-                while len(held) >= size:
-                    yield full(held[:size], block, [x for at, x in ended if at <= size])
-                    ended = [(at - size, x) for at, x in ended if at > size]
-                    del held[:size]
-                    block += 1
-        if held:
-            yield full(held, block, [x for _, x in ended])
-
-    return rows.mapInArrow(write, f"file string, block long, data binary, doc_ids array<{kind}>")
+        try:
+            for batch in batches:
+                for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    ids = tokenizer.encode(text.as_py())
+                    held += ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                    held += end
+                    ended.append((len(held), name))
+                    while len(held) >= size:
+                        yield full(held[:size], block, [x for at, x in ended if at <= size])
+                        ended = [(at - size, x) for at, x in ended if at > size]
+                        del held[:size]
+                        block += 1
+            if held:
+                yield full(held, block, [x for _, x in ended])
+        finally:
+            tokenizer.forget()
+
+    return rows.mapInArrow(write, f"file string, block long, data binary, doc_ids array<{kind.simpleString()}>")
 
 
 def blocks_of_files(spark: SparkSession, path: str, block_bytes: int = 1 << 20) -> DataFrame:
@@ -164,6 +185,7 @@ def documents_in(found: DataFrame, manifest: DataFrame | None = None) -> DataFra
 
 def token_counts(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens of every document, with its file, ordinal and start in the flat files."""
-    blocks = stage(flat_blocks(docs, block_ids, path), "tokens")
-    found = stage(find_separators(blocks, SEPARATOR), "separators")
+    width = id_width(path)
+    blocks = stage(flat_blocks(docs, block_ids, path, width), "tokens")
+    found = stage(find_separators(blocks, separator_of(width), width), "separators")
     return documents_in(found, blocks).select("doc_id", "n_tokens", "file", "ordinal", "start")

@@ -9,14 +9,17 @@ often as the counts allow, so there are about as many combinations as lengths.
 then numbered within their length, in slices so that a hot length is no hot task, and each
 number has its place in one of the combinations.
 
+``token_pieces`` gives each piece with its ids, ``pack`` places pieces, ``sequences`` puts the
+ids of each sequence together.
+
 Defined results: a null or empty text is the end id alone; documents longer than a sequence
 are cut into full pieces and a rest, others stay whole; rows that repeat are packed each;
-an empty table gives no rows.
+columns of the documents other than doc_id and text play no part, whatever their names; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +33,8 @@ from .tokenizing import WordTokenizer
 CAPACITY = 2048
 END_ID = 0
 SLICES = 1024
+#: Bytes of ids that a task brings together before it passes them on.
+TOGETHER = 4 << 20
 
 
 def fullest(counts: dict[int, int], capacity: int) -> dict[int, int]:
@@ -91,30 +96,39 @@ def places(found: list[tuple[int, dict[int, int]]]) -> dict[int, np.ndarray]:
 
 
 def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length and ids_crc32 of the pieces of each row's ids and end id."""
+    """doc_id, piece, start, length and ids of the pieces of each row's ids and end id.
+
+    ``ids`` are little-endian unsigned 32-bit numbers.
+    """
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer.of_worker(path)
-        for batch in batches:
-            which, piece, start, length, crc = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                ids = tokenizer.encode(text.as_py()) + end
-                for at in range(0, len(ids) // 4, capacity):
-                    part = ids[4 * at : 4 * (at + capacity)]
-                    which.append(row)
-                    piece.append(at // capacity)
-                    start.append(at)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            yield pa.record_batch(
-                [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), *[pa.array(x, pa.int64()) for x in (start, length, crc)]],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+
+        def full(batch: pa.RecordBatch, found: list) -> pa.RecordBatch:
+            which, piece, start, length, ids = zip(*found, strict=True) if found else ((),) * 5
+            columns = [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
+            return pa.record_batch([*columns, pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
+
+        try:
+            for batch in batches:
+                found, held = [], 0
+                for row, text in enumerate(batch.column(1)):
+                    ids = tokenizer.encode(text.as_py()) + end
+                    for at in range(0, len(ids) // 4, capacity):
+                        part = ids[4 * at : 4 * (at + capacity)]
+                        found.append((row, at // capacity, at, len(part) // 4, part))
+                    held += len(ids)
+                    if held >= TOGETHER:
+                        yield full(batch, found)
+                        found, held = [], 0
+                yield full(batch, found)
+        finally:
+            tokenizer.forget()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -123,12 +137,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     table = places(combinations(counts, capacity))
 
-    key = F.xxhash64("doc_id", "piece", "ids_crc32")
+    key = F.xxhash64("doc_id", "piece", "ids")
     sliced = pieces.withColumn("slice", F.pmod(key, F.lit(SLICES)).cast("int"))
     held = sliced.groupBy("length", "slice").agg(F.count("*").alias("held"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     firsts = held.select("length", "slice", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", "ids_crc32")
+    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", F.xxhash64("ids"))
     numbered = (
         sliced.withColumn("nth", F.row_number().over(within) - 1)
         .join(firsts, ["length", "slice"])
@@ -152,6 +166,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id and ids (binary) of every sequence, from packed pieces."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))  # a sequence holds at most its capacity
+    joined = F.aggregate(parts, F.lit(b""), lambda a, x: F.concat(a, x["ids"]))
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"))
+
+
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """Every piece of every document with its place: sequence_id and offset in it."""
+    """Every piece of every document with its ids and place: sequence_id and offset in it."""
     return pack(stage(token_pieces(docs, capacity, path), "pieces"), capacity)

@@ -2,9 +2,10 @@
 
 The vocabulary drops white space, lowers letters and merges within runs of letters, single
 digits and runs of other signs only, so the ids of a text are those of its space-separated
-words, one after another.  A Python worker keeps the tokenizer and the ids of words it has
-met from task to task; only new words are encoded, and of plain words (letters, then signs)
-only new stems.
+words, one after another; the strings of special tokens hold no space and stand for their own
+ids.  A Python worker keeps the tokenizer from task to task.  Within a task the ids of words it
+has met are remembered up to ``REMEMBERED_BYTES``; only new words are encoded, and of plain
+words (letters, then signs) only new stems.
 """
 
 from __future__ import annotations
@@ -16,9 +17,14 @@ import sys
 import types
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words, and stems, that a worker remembers at most twice over: beyond that the memory turns
-#: old and a new one begins, which takes over from the old one what is met again.
-REMEMBERED = 150_000
+#: What a task remembers of words and stems, in bytes; beyond that the memory starts anew.
+REMEMBERED_BYTES = 24 << 20
+#: What an entry takes besides its word and ids: two object heads and its share of the table.
+ENTRY_BYTES = 170
+#: Longer words are encoded each time they are met.
+LONGEST_REMEMBERED = 64
+#: Words of a text that are looked up at once.
+STEP = 1 << 15
 
 #: Letters whose lower form is one letter and that no combining changes, then signs without apostrophe.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
@@ -48,13 +54,10 @@ class WordTokenizer:
 
             path = public_tokenizers.path(VOCABULARY)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.merge = self.tokenizer.model.tokenize
         self.letters = _letters_of_bytes()
-        self.known: dict[bytes, bytes] = {}
-        self.known_before: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.stems_before: dict[str, bytes] = {}
+        self.ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.forget()
 
     @classmethod
     def of_worker(cls, path: str | None = None) -> WordTokenizer:
@@ -64,15 +67,21 @@ class WordTokenizer:
             memory[key] = cls(path)
         return memory[key]
 
+    def forget(self) -> None:
+        """Drops what is remembered; a task does so when it ends."""
+        self.known: dict[bytes, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.held = 0
+
     def _stem(self, run: str) -> bytes:
         ids = self.stems.get(run)
         if ids is None:
-            ids = self.stems_before.get(run)
-            if ids is None:
-                letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-                found = [t.id for t in self.merge(letters)] if run else []
-                ids = struct.pack(f"<{len(found)}I", *found)
-            self.stems[run] = ids
+            letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
+            found = [t.id for t in self.merge(letters)] if run else []
+            ids = struct.pack(f"<{len(found)}I", *found)
+            if len(run) <= LONGEST_REMEMBERED:
+                self.stems[run] = ids
+                self.held += len(run) + len(ids) + ENTRY_BYTES
         return ids
 
     def _word(self, word: bytes) -> bytes:
@@ -84,18 +93,24 @@ class WordTokenizer:
         return struct.pack(f"<{len(found)}I", *found)
 
     def encode_words(self, words: list[bytes]) -> bytes:
-        if len(self.known) > REMEMBERED:
-            self.known_before, self.known = self.known, {}
-        if len(self.stems) > REMEMBERED:
-            self.stems_before, self.stems = self.stems, {}
-        known, before = self.known, self.known_before
+        if self.held > REMEMBERED_BYTES:
+            self.forget()
+        known, long = self.known, {}
         for word in words:
-            if word not in known:
-                ids = before.get(word)
-                known[word] = self._word(word) if ids is None else ids
-        return b"".join(map(known.__getitem__, words))
+            if word in known:
+                continue
+            if len(word) > LONGEST_REMEMBERED:
+                if word not in long:
+                    long[word] = self._word(word)
+                continue
+            known[word] = ids = self._word(word)
+            self.held += len(word) + len(ids) + ENTRY_BYTES
+        if not long:
+            return b"".join(map(known.__getitem__, words))
+        return b"".join([known[w] if w in known else long[w] for w in words])
 
     def encode(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()
-        step = REMEMBERED // 4  # a long text piece by piece, to bound what is remembered
-        return b"".join([self.encode_words(words[i : i + step]) for i in range(0, len(words), step)])
+        words = (text or b"").split()  # a long text goes piece by piece, to bound what is remembered
+        if len(words) <= STEP:
+            return self.encode_words(words)
+        return b"".join([self.encode_words(words[i : i + STEP]) for i in range(0, len(words), STEP)])

@@ -7,9 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from statloom.llm import (
     byte_cnn,
@@ -71,22 +73,45 @@ def words(text) -> list[str]:
 # --- 1, 9: tokens ------------------------------------------------------------------------
 
 
+PLAIN = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def whole_ids(text) -> list[int]:
-    tokenizer = tokenizing.WordTokenizer()
-    return tokenizer.tokenizer.encode(text or "", add_special_tokens=False).ids
+    return PLAIN.encode(text or "", add_special_tokens=False).ids
 
 
 def test_words_alone_give_the_ids_of_texts():
     tokenizer = tokenizing.WordTokenizer()
-    for text in [*texts(), "don't-stop'LL _a_b 'tis ﬀ İstanbul ΣΑΣ ẞß ÿŸ ×÷ a\x1cb \x85c １²½", "A.B c++ (d) [e] é.È,", "a" * 300]:
+    for text in [*texts(), "don't-stop'LL _a_b 'tis ﬀ İstanbul ΣΑΣ ẞß ÿŸ ×÷ a\x1cb \x85c １²½", "A.B c++ (d) [e] é.È,", "a" * 300,
+                 "hello <|endoftext|> there", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|>"]:
         assert np.frombuffer(tokenizer.encode((text or "").encode()), "<u4").tolist() == whole_ids(text)
 
 
+def test_memory_of_words_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokenizing, "REMEMBERED_BYTES", 20_000)
+    monkeypatch.setattr(tokenizing, "STEP", 50)
+    tokenizer = tokenizing.WordTokenizer()
+    text = " ".join([f"w{i}x" for i in range(3000)] + ["y" * 100_000, "z" * 65, "z" * 65, "w5x"])
+    assert np.frombuffer(tokenizer.encode(text.encode()), "<u4").tolist() == whole_ids(text)
+    assert tokenizer.held <= 20_000 + 50 * 1000 and max(map(len, tokenizer.known)) <= 64 and max(map(len, tokenizer.stems), default=0) <= 64
+    tokenizer.forget()
+    assert tokenizer.held == len(tokenizer.known) == 0
+
+
 @pytest.mark.parametrize("block", [4, 7, 1000])
 def test_separator_scan_counts_tokens(spark, docs, block):
-    found = separator_scan.token_counts(docs, block_ids=block).collect()
+    found = separator_scan.token_counts(documents(docs.sparkSession, extra=True), block_ids=block).collect()
     expected = sorted((str(r["doc_id"]), len(whole_ids(r["text"]))) for r in docs.collect())
     assert sorted((str(r["doc_id"]), r["n_tokens"]) for r in found) == expected
+    assert separator_scan.token_counts(docs.where("false")).count() == 0
+
+
+def test_separator_scan_takes_any_ids_and_wide_vocabularies(spark):
+    df = spark.createDataFrame([(1.5, "one two"), (2.5, None)], "doc_id double, text string")
+    assert {r["doc_id"]: r["n_tokens"] for r in separator_scan.token_counts(df).collect()} == {1.5: 2, 2.5: 0}
+    wide = separator_scan.flat_blocks(df, 4, width=4)
+    found = separator_scan.find_separators(wide, separator_scan.separator_of(4), 4)
+    assert sorted(r["n_tokens"] for r in separator_scan.documents_in(found.cache()).collect()) == [0, 2]
 
 
 def test_separator_scan_of_flat_files(spark, tmp_path):
@@ -102,7 +127,8 @@ def test_separator_scan_of_flat_files(spark, tmp_path):
 
 
 def test_packing_is_exact(docs):
-    found = slack_packing.pack_documents(docs, capacity=64).collect()
+    packed = slack_packing.pack_documents(documents(docs.sparkSession, extra=True), capacity=64).cache()
+    found = packed.withColumn("ids_crc32", F.crc32("ids")).collect()
     expected = []
     for r in docs.collect():
         ids = [*whole_ids(r["text"]), 0]
@@ -120,6 +146,10 @@ def test_packing_is_exact(docs):
             at += length
         assert at <= 64
     assert len(bins) <= -(-sum(e[3] for e in expected) // 64) + 1
+    whole = {r["sequence_id"]: r["ids"] for r in slack_packing.sequences(packed).collect()}
+    assert set(whole) == set(bins)
+    for r in found:
+        assert whole[r["sequence_id"]][4 * r["offset"] : 4 * (r["offset"] + r["length"])] == r["ids"]
     assert slack_packing.pack_documents(docs.where("false")).count() == 0
 
 
