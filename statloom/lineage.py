@@ -1,10 +1,14 @@
-"""Cutting the lineage of a DataFrame that many later steps look at."""
+"""Cutting the lineage of a DataFrame that many later steps look at, and checked broadcasts."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: A table is broadcast only when it has been counted and holds at most so many rows.
+BROADCAST_ROWS = 4096
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -18,3 +22,18 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="statloom-"))
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """The rows, marked for a broadcast if there are at most ``BROADCAST_ROWS``; else Catalyst chooses."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def numbered(df: DataFrame, name: str, *order) -> DataFrame:
+    """The rows with their place (from 1) in an order, in ranges of it: ranges are counted, then rows within each."""
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    bases = counts.select("_part", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return ranged.join(bases, "_part").select(*df.columns, (F.col("_base") + within).alias(name))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..constants import CORE_MODULES, LOWER_IS_BETTER
 from ..functions.text import contains_any, core_module
+from ..lineage import numbered
 
 KEY = ["indicator_id", "district_id", "year", "period", "period_no"]
 
@@ -42,10 +43,10 @@ def with_ids(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     """Known keys keep their id, others get the next ones by key."""
     known = old.select(key, F.col("id").alias("_old"))
     rows = new.join(known, key, "left")
-    last = F.broadcast(old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_last")))  # one row
-    fresh = rows.where("_old is null").select(key, F.row_number().over(Window.orderBy(key)).alias("_n"))
-    rows = rows.join(fresh, key, "left").crossJoin(last)
-    return rows.withColumn("id", F.coalesce("_old", F.col("_last") + F.col("_n"))).drop("_old", "_last", "_n")
+    last = old.agg(F.max("id")).first()[0] or 0
+    fresh = numbered(rows.where("_old is null").select(key).distinct(), "_n", key)
+    rows = rows.join(fresh, key, "left")
+    return rows.withColumn("id", F.coalesce("_old", F.lit(last) + F.col("_n"))).drop("_old", "_n")
 
 
 def first_of_each(observations: DataFrame, *key: str) -> DataFrame:

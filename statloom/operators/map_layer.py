@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import double, growth, percent, ratio
 from ..functions.period import is_partial, same_span
-from .observations import best_period, of_best_period
+from ..lineage import broadcast_if_small, cut
+from .observations import best_period, cells_of, of_best_period
 
 
 def map_layer(obs: DataFrame, districts: DataFrame, year: int, strict: bool = False) -> DataFrame:
@@ -17,18 +18,18 @@ def map_layer(obs: DataFrame, districts: DataFrame, year: int, strict: bool = Fa
     the two years' best periods are of equal span; rank by value, then district_id, among
     districts with a value.
     """
-    two = obs.where(F.col("year").isin(year - 1, year))
+    two = cut(cells_of(obs.where(F.col("year").isin(year - 1, year))))
     is_now = F.col("year") == year
     kept = of_best_period(two, "indicator_id", "year", strict=strict).where("district_id is not null")
     sum_of = lambda own: F.when(F.count_if(own) > 0, F.coalesce(F.sum(F.when(own, F.col("value"))), F.lit(0)))
-    sums = kept.groupBy("indicator_id", "district_id").agg(sum_of(is_now).alias("value"), sum_of(~is_now).alias("base"))
+    sums = cut(kept.groupBy("indicator_id", "district_id").agg(sum_of(is_now).alias("value"), sum_of(~is_now).alias("base")))
 
     span = F.struct("period", "period_no")
     spans = best_period(two, "indicator_id", "year").groupBy("indicator_id").agg(F.max(F.when(is_now, span)).alias("now"), F.max(F.when(~is_now, span)).alias("then"))
     totals = sums.groupBy("indicator_id").agg(F.sum("value").alias("total"), F.max("value").alias("top"), F.count("value").alias("n"), F.count("base").alias("bases"))
     comparable = (F.col("bases") > 0) & F.coalesce(same_span(F.col("now.period"), F.col("now.period_no"), F.col("then.period"), F.col("then.period_no")), F.lit(False))
     header = totals.where("n > 0").join(spans, "indicator_id").select("indicator_id", "now.period", "now.period_no", "total", "top", comparable.alias("comparable"))
-    cells = header.crossJoin(districts.select("district_id", "name"))  # two small dimensions
+    cells = header.crossJoin(broadcast_if_small(districts.select("district_id", "name")))  # every indicator lists every district
     rows = cells.join(sums, ["indicator_id", "district_id"], "left")
     order = Window.partitionBy("indicator_id", F.col("value").isNull()).orderBy(F.desc("value"), "district_id")
     return rows.select(

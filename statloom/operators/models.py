@@ -101,8 +101,14 @@ def importances(model) -> list[tuple[str, float]]:
 
 def folds(rows: DataFrame, label: str, n: int = 5, seed: int = 42) -> DataFrame:
     """Rows with ``fold``: each label's rows dealt evenly."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), *rows.columns))
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % n).cast("int"))
+    dealt = rows.withColumn("_h", F.xxhash64(F.lit(seed), *rows.columns))
+    sliced = dealt.withColumn("_slice", F.pmod("_h", F.lit(1024)))
+    held = sliced.groupBy(label, "_slice").agg(F.count("*").alias("_held"))  # a hot label is numbered in slices
+    upto = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = held.select(F.col(label).alias("_label"), F.col("_slice").alias("_s"), F.coalesce(F.sum("_held").over(upto), F.lit(0)).alias("_first"))
+    within = F.row_number().over(Window.partitionBy(label, "_slice").orderBy("_h"))
+    numbered = sliced.withColumn("_nth", within).join(firsts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_slice") == F.col("_s")))
+    return numbered.select(*rows.columns, ((F.col("_first") + F.col("_nth") - 1) % n).cast("int").alias("fold"))
 
 
 def macro_f1(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:

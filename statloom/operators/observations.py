@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.period import period_key
@@ -32,13 +32,23 @@ def best_period(obs: DataFrame, *keys: str) -> DataFrame:
     return best.select(*keys, "best.period", "best.period_no")
 
 
-def of_best_period(obs: DataFrame, *keys: str, strict: bool = True) -> DataFrame:
+def cells_of(obs: DataFrame) -> DataFrame:
+    """One row for each indicator, district, year and period, values added up.
+
+    All that is said of series and map layers follows from these few rows, so facts are read
+    and shuffled once, after adding up within each task.
+    """
+    return obs.groupBy("indicator_id", "district_id", "year", "period", "period_no").agg(F.sum("value").alias("value"))
+
+
+def of_best_period(cells: DataFrame, *keys: str, strict: bool = True) -> DataFrame:
     """The rows of their group's best period: of the same kind and number, or of its kind only."""
-    best = best_period(obs, *keys).withColumnsRenamed({"period": "best", "period_no": "best_no"})
-    rows = obs.join(best, list(keys)).where(F.col("period") == F.col("best"))
+    key = period_key(F.col("period"), F.col("period_no"))
+    best = F.max(F.struct(key.alias("key"), "period", "period_no")).over(Window.partitionBy(*keys))
+    rows = cells.withColumn("best", best).where(F.col("period") == F.col("best.period"))
     if strict:
-        rows = rows.where(F.col("period_no").eqNullSafe(F.col("best_no")))
-    return rows.drop("best", "best_no")
+        rows = rows.where(F.col("period_no").eqNullSafe(F.col("best.period_no")))
+    return rows.drop("best")
 
 
 def available_years(obs: DataFrame) -> DataFrame:

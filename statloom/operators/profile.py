@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import percent, severity
+from ..lineage import cut
 from .map_layer import extremes, map_layer
+from .observations import cells_of
 from .series import district_series, national_series
 
 
@@ -19,8 +21,9 @@ def trend(points: DataFrame, *keys: str, n: int, value: str = "value") -> DataFr
 
 def district_profile(obs: DataFrame, districts: DataFrame, district, year: int, points: int = 8) -> DataFrame:
     """A row for each indicator that the district has in the year: value, growth, share, rank, trend."""
-    own = district_series(obs.where(F.col("district_id") == district))
-    layer = map_layer(obs, districts, year)
+    obs = cut(cells_of(obs))
+    own = cut(district_series(obs.where(F.col("district_id") == district)))
+    layer = cut(map_layer(obs, districts, year))
     ranked = layer.where(F.col("district_id") == district).select("indicator_id", "rank", "total")
     of = layer.where("value is not null").groupBy("indicator_id").agg(F.count("*").alias("of"))
     now = own.where(F.col("year") == year)
@@ -34,7 +37,8 @@ def district_profile(obs: DataFrame, districts: DataFrame, district, year: int,
 
 def overview(obs: DataFrame, districts: DataFrame, year: int, points: int = 10) -> DataFrame:
     """A card for each indicator with a national point in the year: value, growth, leader, laggard, trend."""
-    nation = national_series(obs)
+    obs = cut(cells_of(obs))
+    nation = cut(national_series(obs))
     ends = extremes(map_layer(obs, districts, year)).select("indicator_id", "leader", "laggard")
     return nation.where(F.col("year") == year).join(ends, "indicator_id", "left").join(trend(nation, "indicator_id", n=points), "indicator_id")
 

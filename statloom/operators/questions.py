@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import INTENT_KEYWORDS, MODULE_KEYWORDS
 from ..functions.numbers import amount, severity, signed_percent
 from ..functions.text import first_keyword, matched_length, question_form
+from ..lineage import broadcast_if_small
 from .map_layer import declining, extremes, leaders_and_laggards, map_layer
 from .profile import district_profile, overview
 from .series import national_series
@@ -23,7 +24,7 @@ def parsed(questions: DataFrame, districts: DataFrame) -> DataFrame:
     asked = questions.withColumn("q", question_form(F.col("prompt")))
     names = districts.select("district_id", F.explode(F.array("name", "district_id", "name_ru")).alias("alias"))
     names = names.select("district_id", question_form(F.col("alias")).alias("alias")).where(F.length("alias") >= 4)
-    hits = asked.select("id", "q").crossJoin(F.broadcast(names))  # the fixed list of districts
+    hits = asked.select("id", "q").crossJoin(broadcast_if_small(names))  # every question is held against every alias
     hits = hits.withColumn("n", matched_length(F.col("alias"), F.col("q"))).where("n > 0")
     best = Window.partitionBy("id").orderBy(F.desc("n"), "district_id")
     place = hits.withColumn("place", F.row_number().over(best)).where("place = 1").select("id", "district_id")

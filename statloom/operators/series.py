@@ -2,33 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import double, growth
 from ..functions.period import caption, is_partial, year_label
-from .observations import of_best_period, scan
+from .observations import cells_of, of_best_period, scan
 
 
 def national_rows(obs: DataFrame) -> DataFrame:
     """Of each indicator its national rows if it has any in any year, else its district rows; with ``aggregated``."""
-    has = obs.groupBy("indicator_id").agg(F.bool_or(F.col("district_id").isNull()).alias("has_national"))
-    rows = obs.join(has, "indicator_id").where(~F.col("has_national") | F.col("district_id").isNull())
-    return rows.withColumn("aggregated", ~F.col("has_national")).drop("has_national")
+    has = F.bool_or(F.col("district_id").isNull()).over(Window.partitionBy("indicator_id"))
+    rows = obs.withColumn("aggregated", ~has)
+    return rows.where(F.col("aggregated") | F.col("district_id").isNull())
 
 
-def _points(rows: DataFrame, keys: list[str]) -> DataFrame:
-    kept = of_best_period(rows, *keys, "year")
-    cells = kept.groupBy(*keys, "year", F.col("district_id").alias("place"), "period", "period_no").agg(
-        F.sum("value").alias("value"), F.first("aggregated").alias("aggregated")
-    )
-    before = cells.select(*keys, (F.col("year") + 1).alias("year"), F.col("place").alias("b_place"),
-                          F.col("period").alias("b_period"), F.col("period_no").alias("b_no"), F.col("value").alias("base"))
-    same = (
-        F.col("place").eqNullSafe(F.col("b_place")) & (F.col("period") == F.col("b_period")) & F.col("period_no").eqNullSafe(F.col("b_no"))
-    )
-    on = [F.col(f"c.{k}") == F.col(f"b.{k}") for k in [*keys, "year"]]
-    paired = cells.alias("c").join(before.alias("b"), [*on, same], "left").select("c.*", "b.base")
+def _points(cells: DataFrame, keys: list[str]) -> DataFrame:
+    kept = of_best_period(cells, *keys, "year").withColumn("place", F.col("district_id"))
+    line = Window.partitionBy(*keys, "place", "period", "period_no").orderBy("year")
+    base = F.when(F.lag("year").over(line) == F.col("year") - 1, F.lag("value").over(line))
+    paired = kept.withColumn("base", base)
     common = F.when(F.col("base").isNotNull(), F.col("value"))
     out = paired.groupBy(*keys, "year").agg(
         F.sum("value").alias("value"),
@@ -51,11 +44,11 @@ def national_series(obs: DataFrame, year_from: int | None = None, year_to: int |
     the absolute base.  Years outside the range are gone before growth is taken, so the
     first point has none.
     """
-    rows = scan(national_rows(obs), year_from=year_from, year_to=year_to)
+    rows = scan(national_rows(cells_of(obs)), year_from=year_from, year_to=year_to)
     return _points(rows, ["indicator_id"])
 
 
 def district_series(obs: DataFrame, year_from: int | None = None, year_to: int | None = None) -> DataFrame:
     """A point for each indicator, district and year; the best period is the district's own."""
-    rows = scan(obs, level="districts", year_from=year_from, year_to=year_to).withColumn("aggregated", F.lit(False))
-    return _points(rows, ["indicator_id", "district_id"])
+    rows = scan(obs, level="districts", year_from=year_from, year_to=year_to)
+    return _points(cells_of(rows).withColumn("aggregated", F.lit(False)), ["indicator_id", "district_id"])
