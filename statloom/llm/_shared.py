@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -35,6 +36,19 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces_of(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes, cut before white space so that no word is cut."""
+    at = 0
+    while at < len(text):
+        gap = _GAP.search(text, at + size) if at + size < len(text) else None
+        upto = gap.start() if gap else len(text)
+        yield text[at:upto]
+        at = upto
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with the value computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -66,10 +80,10 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_CLEANUP, before)
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again: computed once, lineage cut."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     with shuffles_freed(spark):
-        df.write.parquet(path)
+        df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)

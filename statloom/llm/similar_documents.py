@@ -2,11 +2,15 @@
 
 Two texts are near copies when the Jaccard similarity of their sets of ``SHINGLE``-word
 shingles (A-Z lowered) is 0.8 or more; classes are the connected components of these links.
-SimHash cannot find them on its own: at that similarity about ten of 64 bits differ, and no
-index of 64-bit numbers prunes at a radius that wide.  So pairs are proposed by MinHash:
-``BANDS`` bands of ``ROWS`` minima each, and texts that agree in a band meet in a bucket.  A
-pair at 0.8 is missed with probability (1 - 0.8**4)**25, about two in a million, and less
-above.  Each proposed pair is verified by the exact similarity before it links.
+Pairs are proposed in two ways and verified by the exact similarity before they link:
+
+SimHash fingerprints of the same shingles, linked by the BK-trees of ``simhash_dedup`` within
+two bits, propose the closest.  They cannot propose all: at a similarity of 0.8 about ten of 64
+bits differ, and no index of 64-bit numbers prunes at a radius that wide.
+
+MinHash proposes the rest: ``BANDS`` bands of ``ROWS`` minima each, and texts that agree in a
+band meet in a bucket.  A pair at 0.8 is missed with probability (1 - 0.8**4)**25, about two in
+a million, and less above.
 
 Texts of equal words count once.  In a bucket of n texts not all pairs are compared: first
 each text with one centre (every fourth band has its own order of centres, so a dense group
@@ -27,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash_dedup
 from ._shared import stage, whole_text
 from .components import connected_components
 from .substring_dedup import _MULTIPLIER, Words, _groups, _mixed
@@ -52,8 +57,8 @@ def _shingle_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return words.text[inside], _mixed(grams[inside])
 
 
-def band_keys(texts: list[bytes], names: np.ndarray) -> np.ndarray:
-    """The keys of the bands of each text (a row for each); ``names`` stand for texts without a shingle."""
+def band_keys(texts: list[bytes], names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of the bands of each text (a row for each), and its SimHash; ``names`` stand for texts without a shingle."""
     words = Words(texts)
     of, grams = _shingle_hashes(words)
     short = np.flatnonzero(words.counts < SHINGLE)
@@ -65,7 +70,10 @@ def band_keys(texts: list[bytes], names: np.ndarray) -> np.ndarray:
     for i, seed in enumerate(_SEEDS):
         least = np.minimum.reduceat(_mixed((grams ^ seed) * _MULTIPLIER), starts)
         keys[:, i // ROWS] = keys[:, i // ROWS] * _MULTIPLIER + least
-    return _mixed(keys * _MULTIPLIER + np.arange(1, BANDS + 1, dtype=np.uint64))
+    prints = np.zeros(len(texts), np.uint64)
+    for text, a, b in zip(of[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(of)], strict=True):
+        prints[text] = simhash_dedup.set_in_over_half(simhash_dedup.bit_counts(grams[a:b]), b - a)
+    return _mixed(keys * _MULTIPLIER + np.arange(1, BANDS + 1, dtype=np.uint64)), prints
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -78,7 +86,7 @@ def shingles(text: bytes) -> np.ndarray:
 
 
 def marks(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (its words' hash) and bands of each row."""
+    """doc_id, text_hash, node (its words' hash), fingerprint and bands of each row."""
     from xxhash import xxh3_64_intdigest
 
     rows = docs.select(whole_text().cast("binary").alias("text"), F.struct("doc_id", F.xxhash64(whole_text()).alias("text_hash")).alias("row"))
@@ -88,12 +96,14 @@ def marks(docs: DataFrame) -> DataFrame:
             for first, texts in _groups(batch.column(0)):
                 texts = [t.lower() for t in texts]
                 names = np.fromiter((xxh3_64_intdigest(b" ".join(t.split())) for t in texts), np.uint64, len(texts))
-                keys = pa.array(band_keys(texts, names).view(np.int64).ravel())
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), keys)
-                yield pa.record_batch([batch.column(1).slice(first, len(texts)), pa.array(names.view(np.int64)), bands], names=["row", "node", "bands"])
+                keys, prints = band_keys(texts, names)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * BANDS), pa.array(keys.view(np.int64).ravel()))
+                columns = [batch.column(1).slice(first, len(texts)), pa.array(names.view(np.int64)), pa.array(prints.view(np.int64)), bands]
+                yield pa.record_batch(columns, names=["row", "node", "fingerprint", "bands"])
 
-    out = rows.select("row", F.lit(0).cast("long").alias("node"), F.array().cast("array<long>").alias("bands")).schema
-    return rows.mapInArrow(mark, out).select("row.*", "node", "bands")
+    number = F.lit(0).cast("long")
+    out = rows.select("row", number.alias("node"), number.alias("fingerprint"), F.array().cast("array<long>").alias("bands")).schema
+    return rows.mapInArrow(mark, out).select("row.*", "node", "fingerprint", "bands")
 
 
 def meetings(marked: DataFrame) -> DataFrame:
@@ -190,15 +200,31 @@ def linked_across(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(search, "src long, dst long").distinct()
 
 
+def closest(marked: DataFrame) -> DataFrame:
+    """Pairs (src, dst) of nodes whose fingerprints link, as a staged table.
+
+    A fingerprint is stood for by its least node; other nodes of it pair with that one.
+    """
+    nodes = marked.select("node", "fingerprint").distinct()
+    least = stage(nodes.groupBy("fingerprint").agg(F.min("node").alias("least")), "least")
+    alike = nodes.join(least, "fingerprint").where("node > least").select(F.col("least").alias("src"), F.col("node").alias("dst"))
+    edges = stage(simhash_dedup.links(least.select("fingerprint")), "edges")
+    named = lambda end: least.select(F.col("fingerprint").alias(end), F.col("least").alias(f"{end}_node"))
+    linked = edges.join(named("src"), "src").join(named("dst"), "dst")
+    linked = linked.select(F.least("src_node", "dst_node").alias("src"), F.greatest("src_node", "dst_node").alias("dst"))
+    return stage(alike.unionByName(linked).distinct(), "closest")
+
+
 def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Edges (src, dst) between nodes, enough to connect all near copies that meet."""
-    met = meetings(marked)
-    sets = shingle_sets(docs, marked, met.select("node").distinct())
+    met, close = meetings(marked), closest(marked)
+    both = F.explode(F.array("src", "dst")).alias("node")
+    sets = shingle_sets(docs, marked, met.select("node").unionByName(close.select(both)).distinct())
     order = F.struct(F.xxhash64("node", F.col("band") % CENTRES).alias("at"), "node")
     centres = stage(met.groupBy("bucket").agg(F.min(order)["node"].alias("centre")), "centres")
     first = met.join(centres, "bucket").where("node <> centre")
-    first = first.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst")).distinct()
-    first = stage(first, "pairs")
+    first = first.select(F.least("node", "centre").alias("src"), F.greatest("node", "centre").alias("dst"))
+    first = stage(first.unionByName(close).distinct(), "pairs")
     found = verified(first, sets)
 
     roots = stage(connected_components(found), "roots")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from statloom.llm import (
+    _shared,
     byte_cnn,
     collision_search,
     components,
@@ -89,13 +90,19 @@ def test_words_alone_give_the_ids_of_texts():
 
 def test_memory_of_words_is_bounded(monkeypatch):
     monkeypatch.setattr(tokenizing, "REMEMBERED_BYTES", 20_000)
-    monkeypatch.setattr(tokenizing, "STEP", 50)
-    tokenizer = tokenizing.WordTokenizer()
-    text = " ".join([f"w{i}x" for i in range(3000)] + ["y" * 100_000, "z" * 65, "z" * 65, "w5x"])
+    tokenizer = tokenizing.WordTokenizer.of_worker()
+    text = " ".join([f"w{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}{'uvwxyz'[i // 100 % 6]}q x{i}" for i in range(3000)] + ["y" * 100_000, "z" * 65, "z" * 65])
     assert np.frombuffer(tokenizer.encode(text.encode()), "<u4").tolist() == whole_ids(text)
-    assert tokenizer.held <= 20_000 + 50 * 1000 and max(map(len, tokenizer.known)) <= 64 and max(map(len, tokenizer.stems), default=0) <= 64
-    tokenizer.forget()
-    assert tokenizer.held == len(tokenizer.known) == 0
+    assert 20_000 <= tokenizer.known.held <= 21_000 and len(tokenizer.known) < 110 and max(map(len, tokenizer.known)) <= 64
+    assert tokenizing.WordTokenizer.of_worker() is tokenizer and len(tokenizer.known) == 0
+
+
+def test_ids_of_any_characters():
+    tokenizer, rng = tokenizing.WordTokenizer(), np.random.default_rng(15)
+    signs = [chr(c) for c in range(256)] + list("\'\'sstmdlve  ..\u2019\u201c\u00e9\u0301\u0130\u03a3\u4e2d\ufb01") + ["<|endoftext|>", "\'re", "\'ll"]
+    for _ in range(1500):
+        text = "".join(rng.choice(signs, rng.integers(1, 30)))
+        assert np.frombuffer(tokenizer.encode(text.encode()), "<u4").tolist() == whole_ids(text), repr(text)
 
 
 @pytest.mark.parametrize("block", [4, 7, 1000])
@@ -219,6 +226,39 @@ def test_links_of_chains_and_crowds(spark):
     expected = plain_components(listed, list(range(len(listed))))
     pairs = {(found[v], e) for v, e in zip(listed, expected, strict=True)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) and len(found) == len(listed)
+    for shard_rows, most in ((64, 200), (16, 20)):  # crowded shards are dealt anew, and get several trees
+        edges = [(r["src"] & (2**64 - 1), r["dst"] & (2**64 - 1)) for r in simhash_dedup.links(df, 2, shard_rows, most).collect()]
+        assert all(bin(a ^ b).count("1") <= 2 for a, b in edges)
+        label = np.arange(len(listed))
+        place = {v: i for i, v in enumerate(listed)}
+        simhash_dedup.hooked(label, *(np.array([place[e[i]] for e in edges]) for i in (0, 1)))
+        assert {(a, b) for a, b in zip(label.tolist(), expected, strict=True)} == {(b, b) for b in expected}
+        members = simhash_dedup.sharded(df, 2, shard_rows, most).where("member").groupBy("shard").count().agg(F.max("count")).first()[0]
+        assert members <= 2 * most
+
+
+def test_trees_follow_and_skip_edges():
+    rng = np.random.default_rng(9)
+    values = np.unique(np.r_[rng.integers(0, 2**63, 3000), np.arange(40) << 20].astype(np.uint64))
+    tree = simhash_dedup.BKTree(values)
+    parents, distances = np.nonzero(tree.child >= 0)
+    assert sorted(tree.child[parents, distances].tolist()) == list(range(1, len(values)))  # every member has one place
+    assert (np.bitwise_count(values[parents] ^ values[tree.child[parents, distances]]) == distances).all()
+    found = {(int(a), int(b)) for asked, near in tree.within(values, 2) for a, b in zip(asked, near, strict=True)}
+    away = np.bitwise_count(values[:, None] ^ values[None, :])
+    assert found == set(zip(*(x.tolist() for x in np.nonzero(away <= 2)), strict=True))
+    edges = len(values) * (len(values) - 1)
+    assert 0.001 * edges < tree.followed < 0.05 * edges  # edges followed by all queries, of all edges
+
+
+def test_long_texts_are_hashed_whole(monkeypatch):
+    text = "\n".join(" ".join(f"w{i * j % 997}" for i in range(50)) for j in range(40))
+    whole = plain_simhash(text)
+    monkeypatch.setattr(simhash_dedup, "pieces_of", lambda t: _shared.pieces_of(t, 30))
+    assert simhash_dedup.simhash(text.encode()) == whole
+    assert simhash_dedup.simhash(b" one  two ") == plain_simhash("one two") and simhash_dedup.simhash(b" \n ") == 0
+    pieces = list(_shared.pieces_of(text.encode(), 30))
+    assert b"".join(pieces) == text.encode() and sum(len(p.split()) for p in pieces) == 2000
 
 
 def test_components_of_a_path_and_a_hub(spark):
@@ -295,6 +335,21 @@ def test_lists_as_of_fetch_time(spark):
     assert temporal_list_join.listed_captures(captures, entries.where("false")).where("listed").count() == 0
 
 
+def test_lists_with_clashing_columns_repeats_and_long_urls(spark):
+    entries = spark.createDataFrame([("bad.com", "add", 10), ("late.org", "add", 10**12)], "domain string, action string, at long")
+    rows = [("http://bad.com/" + "x" * 200_000, 2 * 10**8), ("http://bad.com/", 11), ("http://bad.com/", 11), ("http://late.org", 99), (None, None)]
+    captures = spark.createDataFrame(rows, "url string, fetched_at int")
+    names = ("spans", "row", "at", "span", "hit", "domain", "host", "listed", "entry", "since", "until")
+    for name in names:
+        captures = captures.withColumn(name, F.lit("own"))
+    found = temporal_list_join.listed_captures(captures, entries)
+    assert sorted(found.columns) == sorted(captures.columns) and found.count() == 5
+    assert sorted([(r["fetched_at"] or 0, r["host"], r["listed"], r["entry"], r["since"], r["spans"], r["row"]) for r in found.collect()], key=repr) == sorted(
+        [(2 * 10**8, "bad.com", True, "bad.com", 10, "own", "own"), (11, "bad.com", True, "bad.com", 10, "own", "own"), (11, "bad.com", True, "bad.com", 10, "own", "own"),
+         (99, "late.org", False, None, None, "own", "own"), (0, None, False, None, None, "own", "own")], key=repr)
+    assert temporal_list_join.listed_captures(captures.where("false"), entries).count() == 0
+
+
 # --- 5: neighbours -----------------------------------------------------------------------------
 
 
@@ -327,9 +382,16 @@ def test_neighbours_against_all(spark):
 # --- 6: sharding ----------------------------------------------------------------------------------
 
 
-def test_shards_are_exact(docs):
-    found = hypergeometric_sharding.shard_documents(docs, shards=5).collect()
-    again = hypergeometric_sharding.shard_documents(docs, shards=5).collect()
+def test_shards_are_exact(spark, docs, monkeypatch):
+    monkeypatch.setattr(hypergeometric_sharding, "LEAST_CELLS", 3)
+    monkeypatch.setattr(hypergeometric_sharding, "LEAST_BUCKETS", 4)
+    clashing = documents(spark, extra=True)
+    for name in ("bucket", "place", "ends", "cell", "nth", "first"):
+        clashing = clashing.withColumn(name, F.lit("own"))
+    sharded = hypergeometric_sharding.shard_documents(clashing, shards=5)
+    assert sorted(sharded.columns) == sorted(clashing.columns)
+    found = sharded.collect()
+    again = hypergeometric_sharding.shard_documents(clashing, shards=5).collect()
     assert sorted(map(repr, found)) == sorted(map(repr, again))
     shards: dict = {}
     for r in found:
@@ -337,11 +399,25 @@ def test_shards_are_exact(docs):
     n = docs.count()
     assert sorted(len(s) for s in shards.values()) == sorted(n // 5 + (i < n % 5) for i in range(5))
     assert all(sorted(s) == list(range(len(s))) for s in shards.values())
-    sizes = sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 8, zlib.crc32((r["text"] or "").encode())) for r in docs.collect())
-    assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in found) == sizes
+    whole = sorted((str(r["doc_id"]), r["text"] or "") for r in docs.collect())
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in found) == whole
     assert hypergeometric_sharding.shard_documents(docs.where("false")).count() == 0
 
 
+def test_shuffle_is_uniform(spark):
+    """Places are independent of the order of rows: by shard, along each shard and for neighbours."""
+    n, shards = 6000, 4
+    rows = spark.range(n).coalesce(1).cache()
+    for seed in (20, 77):
+        found = sorted((r["shard"], r["slot"], r["id"]) for r in hypergeometric_sharding.shuffle_into_shards(rows, F.col("id"), shards, seed).collect())
+        ids = np.array([i for _, _, i in found]).reshape(shards, -1)
+        sd = np.sqrt(n / shards * 0.25 * (1 - 1 / shards))  # of the smaller half of ids in a shard
+        assert (np.abs((ids < n // 2).sum(axis=1) - n / shards / 2) < 4.5 * sd).all()
+        flat = ids.ravel()
+        for a, b in ((flat[:-1], flat[1:]), *[(np.arange(ids.shape[1]), line) for line in ids]):
+            assert abs(np.corrcoef(a, b)[0, 1]) < 4.5 / np.sqrt(len(a))
+
+
 def test_hypergeometric_law():
     import random
 
@@ -443,7 +519,7 @@ def test_targets_and_copies(spark):
     for v, t in by_size:
         taken = sum(r["taken"] for r in found if r["source_size"] == v and r["target"] == pytest.approx(t))
         assert abs(taken - t) <= 60
-    assert sorted(map(repr, found)) == sorted(map(repr, systematic_mixing.mixture(docs).collect()))
+    assert sorted(map(repr, found)) == sorted(map(repr, systematic_mixing.mixture(docs.withColumn("class", F.lit("own")).withColumn("size", F.lit("own"))).collect()))
     assert systematic_mixing.mixture(docs.where("false")).count() == 0
 
 
@@ -451,8 +527,18 @@ def test_mixed_documents_keep_columns(spark):
     docs = documents(spark, extra=True)
     out = systematic_mixing.mixed_documents(docs)
     assert out.columns == docs.columns
-    taken = sum(len(words(r["text"])) for r in out.collect())
-    assert taken == sum(r["taken"] for r in systematic_mixing.mixture(docs.select("doc_id", "text", "source")).collect()) or taken > 0
+    sizes: dict = {}
+    for r in docs.collect():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + len(words(r["text"]))
+    taken: dict = {}
+    for r in out.collect():
+        taken[r["source"]] = taken.get(r["source"], 0) + len(words(r["text"]))
+    longest = max(len(words(r["text"])) for r in docs.collect())
+    for source, target in plain_targets(sizes).items():
+        assert abs(taken.get(source, 0) - target) <= 3 * longest
+    whole = {(r["doc_id"], r["text"], r["source"], r["size"]) for r in docs.collect()}
+    assert {(r["doc_id"], r["text"], r["source"], r["size"]) for r in out.collect()} <= whole
+    assert max(r["count"] for r in out.where("doc_id > 6").groupBy("doc_id").count().collect()) <= 3
 
 
 # --- 10: classifier ---------------------------------------------------------------------------------------------
@@ -473,12 +559,50 @@ def test_classifier_learns_and_scores_everything(spark, docs):
     assert np.mean([r["predicted"] == (r["doc_id"] < 1000) for r in held]) > 0.95
     assert {r["score"] for r in byte_cnn.quality_scores(df, labels.where("quality = 1")).collect()} == {1.0}
     assert {r["score"] for r in byte_cnn.quality_scores(df, labels.where("false")).collect()} == {0.5}
+    clashing = byte_cnn.quality_scores(documents(spark, extra=True).withColumn("score", F.lit("own")).withColumn("quality", F.lit(0)), labels)
+    assert clashing.columns == ["doc_id", "held_out", "score", "predicted"] and clashing.count() == docs.count()
+    assert byte_cnn.quality_scores(df.where("false"), labels).count() == 0
+
+
+def test_whole_words_are_compared():
+    texts = [b"internationalizations1 internationalizations2 x y", b"a a  a\n\nb b", b"", b" ", b"x", b"ab ab", "é é è".encode(), b"aa a aa a a", b"z" * 300 + b" " + b"z" * 300]
+    for text in texts:
+        expected, before = np.zeros(len(text), bool), None
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", text):
+            expected[m.start() : m.end()] = m[0] == before
+            before = m[0]
+        assert (byte_cnn.repeats(text) == expected).all() and (byte_cnn.repeats_of(text) == expected).all()
+
+
+def test_repeats_of_long_texts(monkeypatch):
+    rng = np.random.default_rng(10)
+    text = b" ".join(rng.choice([b"a", b"bb", b"a" * 40], 500))
+    whole = byte_cnn.repeats(text)
+    monkeypatch.setattr(byte_cnn, "pieces_of", lambda t: _shared.pieces_of(t, 17))
+    assert (byte_cnn.repeats_of(text) == whole).all() and whole.any()
+
+
+def test_score_is_that_of_a_plain_forward_pass():
+    network, rng = byte_cnn.Network(), np.random.default_rng(12)
+    network.w = {k: rng.normal(0, 0.4, v.shape).astype(np.float32) for k, v in network.w.items()}
+    for text in (b"", b"hello", b"one one two three " * 60, bytes(rng.integers(9, 127, 1111).astype(np.uint8))):
+        data = text + bytes(max(1, -(-(len(text) + 4) // 256)) * 256 - len(text))
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text)]
+        again = {i for (_, _, a), (s, e, b) in zip(words, words[1:], strict=False) if a == b for i in range(s, e)}
+        row = lambda i: [*network.w["embed"][data[i]].tolist(), float(i in again)]
+        unit = lambda u: np.array([x for i in range(4 * u, 4 * u + 4) for x in row(i)])
+        n = len(data) // 4
+        z = []
+        for u in range(n):
+            z.append(unit(u) @ network.w["first"] + network.w["bias"] + (unit(u + 1) @ network.w["second"] if u + 1 < n else 0))
+        chunks = [np.maximum(np.max(z[a : min(a + 128, n)], axis=0), 0) for a in range(0, max(n - 64, 1), 64)]  # 512 bytes, every 256
+        logit = np.max(chunks, axis=0) @ network.w["out"] + network.w["shift"][0]
+        assert network.score(text) == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-4)
 
 
 def test_long_texts_are_scored_whole():
     network = byte_cnn.Network()
     rng = np.random.default_rng(7)
-    network.w["out"] = rng.normal(size=2 * byte_cnn.FILTERS).astype(np.float32)
     text = bytes(rng.integers(32, 127, byte_cnn.PIECE * 2 + 777).astype(np.uint8))
     data, extra = byte_cnn.marks(text)
     z = network.responses(network.units(data, extra), np.zeros(1, np.int64)).reshape(-1, byte_cnn.HALF // byte_cnn.UNIT, byte_cnn.FILTERS)
@@ -498,7 +622,7 @@ def test_gradients_by_differences():
             z = network.responses(network.units(data, extra), np.zeros(1, np.int64)).reshape(-1, byte_cnn.HALF // byte_cnn.UNIT, byte_cnn.FILTERS)
             halves = np.maximum(z.max(axis=1), 0)
             chunks = np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
-            logit = np.r_[chunks.max(axis=0), chunks.mean(axis=0)] @ network.w["out"] + network.w["shift"][0]
+            logit = chunks.max(axis=0) @ network.w["out"] + network.w["shift"][0]
             total += np.log1p(np.exp(-logit if y else logit))
         return total / len(batch)
 
