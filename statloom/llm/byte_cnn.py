@@ -1,17 +1,17 @@
 """A quality classifier: a byte-level convolutional network, trained and applied with numpy.
 
-Input are the UTF-8 bytes of the whole text, each with a learned embedding and two marks:
-whether its word repeats the word before, and whether its run of four words occurs more than
-once in the text.  Filters of eight bytes slide by four over the text; their largest
-responses over overlapping chunks (512 bytes, every 256) are pooled once more over the
-document, by maximum and by mean, and combined into one probability.
+Input are the UTF-8 bytes of the whole text, each with a learned embedding and a mark: whether
+its word repeats the word before, which filters of a fixed width cannot see.  Filters of eight
+bytes slide by four over the text; their largest responses over overlapping chunks (512 bytes,
+every 256) are pooled once more over the document by maximum and combined into one probability.
 
 It is trained on the driver on a bounded sample of labelled rows (``SAMPLE`` of each class,
 texts up to ``SAMPLE_BYTES``); scoring takes every row and every byte, long texts in pieces.
 
 Defined results: null and empty texts are scored as texts of padding; without labels of
 both classes every score is the share of good labels (0.5 without any); rows that repeat
-get equal scores; an empty table gives no rows.
+get equal scores; other columns play no part, whatever their names; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -23,53 +23,56 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import pieces_of
+
 SAMPLE = 1500
 SAMPLE_BYTES = 1 << 15
 UNIT, HALF, EMBED, FILTERS = 4, 256, 6, 16
-CHANNELS = EMBED + 2
+CHANNELS = EMBED + 1
 EPOCHS, BATCH, RATE = 6, 32, 0.01
 HELD_OUT = 2
 GOOD_FROM = 0.7
-#: Bytes scored at once.
+#: Bytes scored at once; a multiple of ``HALF``.
 PIECE = 1 << 18
 
 
+def repeats(text: bytes) -> np.ndarray:
+    """For each byte whether its word is the same as the word before it; whole words are compared."""
+    out = np.zeros(len(text), bool)
+    words = text.split()
+    same = [i for i in range(1, len(words)) if words[i] == words[i - 1]]
+    if same:
+        data = np.frombuffer(text, np.uint8)
+        space = np.r_[True, (data == 32) | ((data >= 9) & (data <= 13)), True]
+        edges = np.flatnonzero(space[1:] != space[:-1])
+        step = np.zeros(len(text) + 1, np.int8)
+        step[edges[0::2][same]] = 1
+        np.add.at(step, edges[1::2][same], -1)
+        out[:] = np.cumsum(step[:-1], dtype=np.int8) > 0
+    return out
+
+
+def repeats_of(text: bytes) -> np.ndarray:
+    """``repeats`` of a text of any length, piece by piece: each takes the last word of the one before along."""
+    out, last, at = np.zeros(len(text), bool), b"", 0
+    for piece in pieces_of(text):
+        out[at : at + len(piece)] = repeats(last + b" " + piece)[len(last) + 1 :]
+        at += len(piece)
+        last = (piece.split() or [last])[-1]
+    return out
+
+
+def padded(text: bytes) -> int:
+    """Length of a text padded to whole halves, with at least a unit of padding."""
+    return max(1, -(-(len(text) + UNIT) // HALF)) * HALF
+
+
 def marks(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The text's bytes, padded to whole halves, and their two marks as floats."""
-    size = max(1, -(-(len(text) + UNIT) // HALF)) * HALF
-    data = np.zeros(size, np.uint8)
+    """The text's bytes, padded to whole halves, and their mark."""
+    data, mark = np.zeros(padded(text), np.uint8), np.zeros(padded(text), bool)
     data[: len(text)] = np.frombuffer(text, np.uint8)
-    extra = np.zeros((size, 2), np.float32)
-    space = (data == 32) | ((data >= 9) & (data <= 13)) | (data == 0)
-    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
-        edge = np.r_[0, edge]
-    starts, ends = edge[0::2], edge[1::2]
-    n = min(len(starts), len(ends))
-    starts, ends = starts[:n], ends[:n]
-    if n < 2:
-        return data, extra
-    power = np.uint64(0x9E3779B97F4A7C15) ** np.arange(16, dtype=np.uint64)
-    word = np.zeros(n, np.uint64)  # the first 16 bytes of a word and its length tell it apart well enough for a mark
-    for i in range(16):
-        at = starts + i
-        word += np.where(at < ends, data[np.minimum(at, size - 1)].astype(np.uint64) * power[i], np.uint64(0))
-    word = (word ^ (word >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + (ends - starts).astype(np.uint64)
-    step = np.zeros((size + 1, 2), np.int32)
-    same = np.flatnonzero(word[1:] == word[:-1]) + 1
-    np.add.at(step[:, 0], starts[same], 1)
-    np.add.at(step[:, 0], ends[same], -1)
-    if n >= 4:
-        run = word[: n - 3].copy()
-        for i in range(1, 4):
-            run = run * np.uint64(0x9E3779B97F4A7C15) + word[i : n - 3 + i]
-        order = np.argsort(run, kind="stable")
-        equal = run[order][1:] == run[order][:-1]
-        again = np.flatnonzero(np.bincount(np.r_[order[1:][equal], order[:-1][equal]], minlength=n - 3))
-        np.add.at(step[:, 1], starts[again], 1)
-        np.add.at(step[:, 1], ends[again + 3], -1)
-    extra[:] = np.cumsum(step, axis=0)[:-1] > 0
-    return data, extra
+    mark[: len(text)] = repeats_of(text)
+    return data, mark
 
 
 class Network:
@@ -82,15 +85,15 @@ class Network:
             "first": rng.normal(0, 0.2, (UNIT * CHANNELS, FILTERS)).astype(np.float32),
             "second": rng.normal(0, 0.2, (UNIT * CHANNELS, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
-            "out": np.zeros(2 * FILTERS, np.float32),
+            "out": np.zeros(FILTERS, np.float32),
             "shift": np.zeros(1, np.float32),
         }
         self.log_odds = 0.0  # of the classes beyond those trained on
 
-    def units(self, data: np.ndarray, extra: np.ndarray) -> np.ndarray:
+    def units(self, data: np.ndarray, mark: np.ndarray) -> np.ndarray:
         x = np.empty((len(data), CHANNELS), np.float32)
         x[:, :EMBED] = self.w["embed"][data]
-        x[:, EMBED:] = extra
+        x[:, EMBED] = mark
         return x.reshape(-1, UNIT * CHANNELS)
 
     def responses(self, units: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
@@ -104,35 +107,34 @@ class Network:
 
     def half_peaks(self, text: bytes) -> np.ndarray:
         """The largest response of each filter in each half of a text, long texts in pieces."""
-        data, extra = marks(text)
+        data, mark = marks(text)
         peaks = []
         for at in range(0, len(data), PIECE):
             upto = min(len(data), at + PIECE)
             more = min(len(data), upto + UNIT)  # the next piece's first unit
-            z = self.responses(self.units(data[at:more], extra[at:more]), np.zeros(1, np.int64))
+            z = self.responses(self.units(data[at:more], mark[at:more]), np.zeros(1, np.int64))
             peaks.append(z[: (upto - at) // UNIT].reshape(-1, HALF // UNIT, FILTERS).max(axis=1))
         return np.maximum(np.concatenate(peaks), 0)
 
     def score(self, text: bytes | None) -> float:
         halves = self.half_peaks(text or b"")
         chunks = np.maximum(halves[:-1], halves[1:]) if len(halves) > 1 else halves
-        pooled = np.r_[chunks.max(axis=0), chunks.mean(axis=0, dtype=np.float64)]
-        logit = float(pooled @ self.w["out"]) + float(self.w["shift"][0]) + self.log_odds
+        logit = float(chunks.max(axis=0) @ self.w["out"]) + float(self.w["shift"][0]) + self.log_odds
         return float(1 / (1 + np.exp(-np.clip(logit, -500, 500))))
 
     def gradients(self, texts: list[tuple[np.ndarray, np.ndarray]], goal: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss over a few texts given as bytes and marks."""
         w, lengths = self.w, np.array([len(d) for d, _ in texts])
-        data, extra = np.concatenate([d for d, _ in texts]), np.concatenate([e for _, e in texts])
+        data, mark = np.concatenate([d for d, _ in texts]), np.concatenate([m for _, m in texts])
         first_half = np.r_[0, np.cumsum(lengths)[:-1]] // HALF
-        units = self.units(data, extra)
+        units = self.units(data, mark)
         z = self.responses(units, first_half * (HALF // UNIT)).reshape(-1, HALF // UNIT, FILTERS)
         where = z.argmax(axis=1)
         peak = np.take_along_axis(z, where[:, None], 1)[:, 0]
         halves = np.maximum(peak, 0)
         n_halves = lengths // HALF
         d_halves = np.zeros_like(halves)
-        pooled = np.zeros((len(texts), 2 * FILTERS), np.float32)
+        pooled = np.zeros((len(texts), FILTERS), np.float32)
         picks = []
         columns = np.arange(FILTERS)
         for i, (a, n) in enumerate(zip(first_half, n_halves, strict=True)):
@@ -141,14 +143,12 @@ class Network:
             chunk = np.where(later, h[1:], h[:-1]) if n > 1 else h
             source = (np.arange(n - 1)[:, None] + later if n > 1 else np.zeros((1, FILTERS), np.int64)) + a
             best = chunk.argmax(axis=0)
-            pooled[i] = np.r_[chunk[best, columns], chunk.mean(axis=0)]
+            pooled[i] = chunk[best, columns]
             picks.append((source, best))
         p = 1 / (1 + np.exp(-np.clip(pooled @ w["out"] + w["shift"][0], -50, 50)))
         d_logit = ((p - goal) / len(texts)).astype(np.float32)
         for i, (source, best) in enumerate(picks):
-            d = d_logit[i] * w["out"]
-            np.add.at(d_halves, (source[best, columns], columns), d[:FILTERS])
-            np.add.at(d_halves, (source, np.broadcast_to(columns, source.shape)), d[FILTERS:] / len(source))
+            np.add.at(d_halves, (source[best, columns], columns), d_logit[i] * w["out"])
         d_halves *= peak > 0
         half, column = np.nonzero(d_halves)
         g = d_halves[half, column][:, None]
@@ -172,7 +172,7 @@ class Network:
 
     def train(self, texts: list[bytes], goal: np.ndarray, seed: int = 7) -> None:
         """Adam over shuffled small batches; as reproducible as the arithmetic."""
-        rng, marked = np.random.default_rng(seed), [marks(t) for t in texts]
+        rng = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.w.items()}
         second = {k: np.zeros_like(v) for k, v in self.w.items()}
         step = 0
@@ -182,7 +182,7 @@ class Network:
                 part = order[i : i + BATCH]
                 step += 1
                 rate = RATE * (1 - epoch / EPOCHS)
-                for k, g in self.gradients([marked[j] for j in part], goal[part]).items():
+                for k, g in self.gradients([marks(texts[j]) for j in part], goal[part]).items():
                     first[k] = 0.9 * first[k] + 0.1 * g
                     second[k] = 0.99 * second[k] + 0.01 * g * g
                     self.w[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
