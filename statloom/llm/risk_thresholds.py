@@ -2,13 +2,13 @@
 
 A rule rejects a document when a share counted in its text exceeds a cutoff.  On labelled
 documents the good ones that a cutoff would reject are counted, for every rule, cutoff and
-stratum (language).  A cutoff qualifies when the exact binomial test rules out a false
-rejection rate of ``RISK`` or more, at a level shared among all rules, cutoffs and strata
-(Bonferroni); the strictest cutoff that qualifies is used, and a rule without one is off in
-that stratum.  So with probability 1 - ``LEVEL`` no rule in use falsely rejects more than
-``RISK`` of the good documents of its stratum.  ``kept_documents`` tests the cutoffs in a fixed
-order and pools small strata instead (see ``pooled_cutoffs``), as the correction for all of them
-leaves every rule off in a stratum of few labels.
+stratum (language).  A cutoff passes when the exact binomial test rules out a false rejection
+rate of ``RISK`` or more.  A rule's cutoffs are nested, so they are tested in a fixed order, from
+the laxest to the strictest and no further than the first that fails; only rules and strata then
+share the level (Bonferroni).  The strictest cutoff reached is used, and a rule without one is
+off in that stratum.  So with probability 1 - ``LEVEL`` no rule in use falsely rejects more than
+``RISK`` of the good documents of its stratum.  Languages with too few labels to have rules alone
+form one stratum: its bound holds for their good documents taken together.
 
 All of it is column expressions.  Shares are compared in whole thousandths.  The counts for
 choosing cutoffs need only cheap counts of characters; repeated windows are found by sorting
@@ -16,7 +16,8 @@ window hashes within the document, at n log n for any length.
 
 Defined results: a null text is empty; null languages are a stratum; a document with
 several labels is good if all are 1; null labels and ids are no labels; without labels only
-the base rules reject; rows that repeat each get a row; an empty table gives no rows.
+the base rules reject; rows that repeat each get a row; columns with other names are kept or
+play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -155,27 +156,14 @@ def _passes(n: Column, k: Column, tests: Column) -> Column:
     return F.when(k < RISK * n, tail <= F.log(F.lit(LEVEL) / tests)).otherwise(F.lit(False))
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """stratum and the cutoff of each rule, null where it is off; strata with labels only."""
-    per_stratum = _false_rejections(docs, labels)
-    per_stratum = per_stratum.withColumn("strata", F.count("*").over(Window.partitionBy()))
-    each = F.explode(F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(cut).alias("cut"), F.col(f"{rule}_{cut}").alias("k")) for rule, cut in TESTS]))
-    rows = per_stratum.select("stratum", "n", "strata", each.alias("t")).select("stratum", "n", "strata", "t.*")
-    passed = _passes(F.col("n"), F.col("k"), F.col("strata") * len(TESTS))
-    return rows.groupBy("stratum").agg(*[F.min(F.when(passed & (F.col("rule") == r), F.col("cut"))).alias(r) for r in RULES])
-
-
 def labels_needed(groups: Column) -> Column:
     """Good labels from which a group that rejects none of them has rules, among so many groups."""
     return F.ceil(F.log(groups * len(RULES) / LEVEL) / -math.log1p(-RISK))
 
 
-def pooled_cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Like ``cutoffs``, with fewer labels needed.
+def cutoffs(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """stratum and the cutoff of each rule, null where it is off; strata with labels only.
 
-    A rule's cutoffs are tested from the laxest to the strictest and no further than the first
-    that fails, so that only rules and groups share the level.  Strata too small to have rules
-    alone are one group: its bound holds for their good documents taken together, not for each.
     Which strata are pooled depends on how many good labels they have, not on what is rejected.
     """
     per_stratum = stage(_false_rejections(docs, labels), "rejections")
@@ -227,9 +215,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that no rule rejects, by ``pooled_cutoffs``; all columns as they are."""
+    """The documents that no rule rejects; all columns as they are."""
     rows = docs.select(F.struct("*").alias("row"), "text", F.coalesce("lang", F.lit("")).alias("stratum"))
-    rows = _with_cutoffs(rows, pooled_cutoffs(docs, labels))
+    rows = _with_cutoffs(rows, cutoffs(docs, labels))
     stays = let(all_counts(whole_text()), lambda c: ~base_failed(c) & ~rejected(c, F.col("cutoffs")))
     return rows.where(stays).select("row.*")
 
@@ -269,12 +257,23 @@ stutters AS (SELECT rid, CAST(sum((k + 1) // 2) AS BIGINT) AS n_stutters FROM (S
 f AS (SELECT m.*, coalesce(n_stutters, 0) AS n_stutters FROM m LEFT JOIN stutters USING (rid)),
 good AS (SELECT f.* FROM f JOIN (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1) USING (doc_id)),
 tests AS ({each}),
+ranked AS (
+  SELECT *, row_number() OVER (ORDER BY n DESC, stratum) AS place FROM (SELECT DISTINCT stratum, n FROM tests)),
+alone AS (SELECT coalesce(max(place) FILTER (WHERE n >= ceil(ln((place + 1) * {len(RULES)} / {LEVEL}) / -ln(1 - {RISK}))), 0) AS last FROM ranked),
+grouped AS (SELECT stratum, CASE WHEN place <= last THEN place ELSE 0 END AS grp FROM ranked, alone),
+pooled AS (SELECT grp, rule, cut, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS k FROM tests JOIN grouped USING (stratum) GROUP BY ALL),
 tails AS (
-  SELECT stratum, rule, cut, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) AS tail
-  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM tests WHERE k < {RISK} * n) GROUP BY ALL),
+  SELECT grp, rule, cut, sum(exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) AS tail
+  FROM (SELECT *, unnest(range(0, k + 1)) AS j FROM pooled WHERE k < {RISK} * n) GROUP BY ALL),
+tested AS (
+  SELECT grp, rule, cut, coalesce(tail <= {LEVEL} / ((SELECT count(DISTINCT grp) FROM pooled) * {len(RULES)}), false) AS ok
+  FROM pooled LEFT JOIN tails USING (grp, rule, cut)),
+reached AS (
+  SELECT grp, rule, cut FROM tested t
+  WHERE ok AND NOT EXISTS (SELECT 1 FROM tested l WHERE l.grp = t.grp AND l.rule = t.rule AND l.cut > t.cut AND NOT l.ok)),
 chosen AS (
   SELECT stratum, {', '.join(f"min(cut) FILTER (WHERE rule = '{r}') AS {r}" for r in RULES)}
-  FROM tails WHERE tail <= {LEVEL} / ((SELECT count(DISTINCT stratum) FROM good) * {len(tests)}) GROUP BY stratum)
+  FROM grouped LEFT JOIN reached USING (grp) GROUP BY stratum)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed,
   NOT (n_words < {LEAST_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words) AND NOT ({reject}) AS kept
