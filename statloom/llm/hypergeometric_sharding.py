@@ -1,29 +1,32 @@
 """A uniform shuffle into shards of exact sizes, by a hypergeometric communication matrix.
 
-Rows are dealt by a hash to a fixed number of buckets (the source partitions).  How many
-rows each bucket sends to each shard is drawn exactly, from the multivariate hypergeometric
-law that a uniform shuffle has; this matrix is bounded (buckets x shards) and is all the
-driver sees.  Each bucket permutes its rows and cuts them by its row of the matrix; after
-the exchange each shard permutes what it got, in cells whose sizes are counted first, so
-that no task orders a whole shard.
+Rows are dealt by a hash to buckets (the source partitions).  How many rows each bucket sends to
+each shard is drawn exactly, from the multivariate hypergeometric law that a uniform shuffle has;
+this matrix (buckets x shards) is all the driver sees.  Each bucket permutes its rows and cuts
+them by its row of the matrix; after the exchange each shard permutes what it got, in cells whose
+sizes are counted first, so that no task orders a whole shard.  Buckets and cells grow with the
+rows, up to ``MOST_BUCKETS`` and ``MOST_CELLS``.
 
 Defined results: an empty table gives no rows; a null text has size 8 and the checksum of
 the empty text; rows that repeat each get a place of their own; null ids are rows like any
-other.
+other; columns shard and slot of the input are replaced, all others kept, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
 import random
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stage, whole_text
+from ._shared import BROADCAST_ROWS, stage, whole_text
 
-BUCKETS = 256
-CELLS = 256
+#: Rows that a bucket or a cell is meant to hold.
+GROUP_ROWS = 1 << 18
+LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 14
+LEAST_CELLS, MOST_CELLS = 64, 1 << 16
 
 
 def hypergeometric(rng: random.Random, good: int, bad: int, drawn: int) -> int:
@@ -75,62 +78,45 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
     return [rows // shards + (i < rows % shards) for i in range(shards)]
 
 
+def groups_for(rows: int, least: int, most: int) -> int:
+    return min(most, max(least, -(-rows // GROUP_ROWS)))
+
+
 def shuffle_into_shards(df: DataFrame, key: Column, shards: int, seed: int = 20) -> DataFrame:
     """The rows with ``shard`` and ``slot``: a uniform shuffle, shard sizes at most one apart.
 
     ``key`` tells rows apart (a hash of their content); rows with equal keys are placed in
-    an order of their own.  ``df`` is read twice, so it should be cheap or staged.
+    an order of their own.  ``df`` is read three times, so it should be a plain table.
     """
     spark = df.sparkSession
-    rows = df.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(BUCKETS)).cast("int"))
-    counts = dict(rows.groupBy("bucket").count().collect())  # at most BUCKETS rows
-    sizes = [counts.get(b, 0) for b in range(BUCKETS)]
+    rows = df.select(F.struct("*").alias("row"), key.alias("key"))
+    total = df.count()
+    buckets, cells = groups_for(total, LEAST_BUCKETS, MOST_BUCKETS), groups_for(total // shards, LEAST_CELLS, MOST_CELLS)
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)).cast("int"))
+    counts = dict(rows.groupBy("bucket").count().collect())  # at most MOST_BUCKETS rows
+    sizes = [counts.get(b, 0) for b in range(buckets)]
     matrix = communication_matrix(sizes, shard_sizes(sum(sizes), shards), seed)
-    cuts = []
-    for line in matrix:
-        upto, ends = 0, []
-        for n in line:
-            upto += n
-            ends.append(upto)
-        cuts.append(ends)
-    table = spark.createDataFrame(list(enumerate(cuts)), "bucket int, ends array<long>")
-
-    local = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    table = spark.createDataFrame([(b, list(accumulate(line))) for b, line in enumerate(matrix)], "bucket int, ends array<long>")
+
+    small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    local = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key")
     sent = (
         rows.withColumn("place", F.row_number().over(local) - 1)
-        .join(F.broadcast(table), "bucket")  # BUCKETS rows of one number for each shard
+        .join(small(table, buckets), "bucket")
         .withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("place"))))
-        .withColumn("cell", F.pmod(F.xxhash64(F.lit(seed + 2), key), F.lit(CELLS)).cast("int"))
-        .drop("bucket", "place", "ends")
+        .withColumn("cell", F.pmod(F.xxhash64(F.lit(seed + 2), "key"), F.lit(cells)).cast("int"))
+        .select("row", "key", "shard", "cell")
     )
     sent = stage(sent, "sent")
-    cells = sent.groupBy("shard", "cell").agg(F.count("*").alias("held"))
+    held = sent.groupBy("shard", "cell").agg(F.count("*").alias("held"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cells.select("shard", "cell", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("shard", "cell").orderBy(F.xxhash64(F.lit(seed + 3), key), key)
-    placed = sent.withColumn("nth", F.row_number().over(within) - 1).join(
-        F.broadcast(starts), ["shard", "cell"]  # shards x CELLS rows of three numbers
-    )
-    return placed.withColumn("slot", F.col("first") + F.col("nth")).drop("cell", "nth", "first")
+    starts = held.select("shard", "cell", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("shard", "cell").orderBy(F.xxhash64(F.lit(seed + 3), "key"), "key")
+    placed = sent.withColumn("nth", F.row_number().over(within) - 1).join(small(starts, shards * cells), ["shard", "cell"])
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return placed.select(*kept, "shard", (F.col("first") + F.col("nth")).cast("long").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, seed: int = 20) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document."""
-    text = whole_text()
-    digest = docs.select(
-        "doc_id",
-        (F.octet_length(text) + 8).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash"),
-    )
-    digest = stage(digest, "digest")
-    placed = shuffle_into_shards(digest, F.xxhash64("doc_id", "text_hash", "size", "text_crc32"), shards, seed)
-    return placed.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        F.col("slot").cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    """The documents, text and all, with shard and slot."""
+    return shuffle_into_shards(docs, F.xxhash64("doc_id", whole_text()), shards, seed)

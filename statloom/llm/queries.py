@@ -17,7 +17,7 @@ from . import (
     systematic_mixing,
     temporal_list_join,
 )
-from ._shared import read_table
+from ._shared import read_table, whole_text
 
 
 def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,8 +34,7 @@ def op3_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_temporal_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages", "page_id", "url")
-    listed = temporal_list_join.listed_captures(temporal_list_join.captures_of(pages), temporal_list_join.entries_of(pages))
-    return listed.withColumn("since", F.coalesce("since", F.lit(-1)))
+    return temporal_list_join.listed_captures(temporal_list_join.captures_of(pages), temporal_list_join.entries_of(pages))
 
 
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +42,12 @@ def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hypergeometric_sharding.shard_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    sharded = hypergeometric_sharding.shard_documents(read_table(spark, sf_dir, "documents", "doc_id", "text"))
+    text = whole_text()
+    return sharded.select(
+        "doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )
 
 
 def op7_risk_controlled_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

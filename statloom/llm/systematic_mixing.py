@@ -6,13 +6,16 @@ class, one random offset is added, and a document is emitted once for each whole
 stretch crosses.  Ordering by size spreads the copies evenly over short and long documents,
 so the words taken come near the target.
 
-The prefix sum is computed in two steps: documents are counted by source, size class and a
-slice of 4096 by a digest of doc_id; the counts are summed along each source, and only
-within such a group are documents numbered.  A hot source is thereby spread over its groups.
+The prefix sum is computed in three steps: documents are counted by source, size class and a
+slice of 4096 by a digest of doc_id; class counts are summed along each source, slice counts
+along each class of a source, and only within such a slice are documents numbered.  A hot source
+is thereby spread over its classes and slices.  Sources, which may be very many, are numbered and
+summed up in ranges.
 
 Defined results: null texts have size 0, null sources form the last source; a source of
 size 0 has target 0 and its documents are not taken; rows that repeat are documents of
-their own; an empty table gives no rows.
+their own; other columns are kept or play no part, whatever their names; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +29,25 @@ LARGEST_RATE = 3
 SEED = "mix"
 
 
+def running(df: DataFrame, order: list[Column], *sums: str) -> DataFrame:
+    """The rows with ``place`` (from 0) in the order and, for each of ``sums``, ``<name>_before``: its sum over earlier rows.
+
+    The rows are dealt to ranges of the order, ranges are summed up, then rows within each.
+    """
+    ranged = stage(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+    upto = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    total = ranged.groupBy("part").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in sums])
+    zero = F.lit(0)
+    bases = total.select("part", *[F.coalesce(F.sum(c).over(upto), zero).alias(f"{c}_base") for c in ("n", *sums)])
+    within = Window.partitionBy("part").orderBy(*order)
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(bases, "part").select(
+        *df.columns,
+        (F.col("n_base") + F.row_number().over(within) - 1).alias("place"),
+        *[(F.col(f"{c}_base") + F.coalesce(F.sum(c).over(earlier), zero)).alias(f"{c}_before") for c in sums],
+    )
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """source_key, source_size and target of each source, from rows (source_key, source, size).
 
@@ -35,36 +57,18 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     the level keep their largest target and the rest share what is left.
     """
     totals = sizes.groupBy("source_key", "source").agg(F.sum("size").alias("source_size"))
-    everything = Window.partitionBy()
-    order = Window.orderBy(F.asc_nulls_last("source"))
-    weighed = totals.select(
-        "source_key",
-        "source",
-        "source_size",
-        ((F.row_number().over(order) - 1) % 3 + 1).alias("weight"),
-        F.sum("source_size").over(everything).alias("whole"),
-        (LARGEST_RATE * F.col("source_size")).alias("most"),
-    )
-    by_level = Window.orderBy(F.col("most").cast("double") / F.col("weight"), F.asc_nulls_last("source"))
-    earlier = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    shared = weighed.select(
-        "*",
-        (F.col("whole") - F.coalesce(F.sum("most").over(earlier), F.lit(0))).alias("left"),
-        (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(earlier), F.lit(0))).alias("weights"),
-    )
+    named = running(totals, [F.asc_nulls_last("source")])
+    weighed = stage(named.select("*", (F.col("place") % 3 + 1).alias("weight"), (LARGEST_RATE * F.col("source_size")).alias("most")).drop("place"), "weights")
+    whole, weights = weighed.agg(F.sum("source_size"), F.sum("weight")).first()
+    key = F.col("most").cast("double") / F.col("weight")
+    summed = running(weighed.withColumn("level", key), [F.asc("level"), F.asc_nulls_last("source")], "most", "weight")
+    shared = summed.select("*", (F.lit(whole or 0) - F.col("most_before")).alias("left"), (F.lit(weights or 0) - F.col("weight_before")).alias("weights"))
     full = F.col("most").cast("double") * F.col("weights") <= F.col("left").cast("double") * F.col("weight")
-    flagged = shared.select("*", full.alias("full"))
+    flagged = stage(shared.select("*", full.alias("full")), "shares")
     # Of the sources below their largest target, the first in the order holds the level.
-    first = F.first(F.when(~F.col("full"), F.struct("left", "weights")), ignorenulls=True).over(
-        by_level.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    return flagged.select(
-        "source_key",
-        "source_size",
-        F.when(F.col("full"), F.col("most").cast("double"))
-        .otherwise(first["left"].cast("double") * F.col("weight") / first["weights"].cast("double"))
-        .alias("target"),
-    )
+    holder = flagged.where("not full").agg(F.min(F.struct("place", "left", "weights")).alias("first")).first()["first"]
+    share = F.lit(float(holder["left"])) * F.col("weight") / F.lit(float(holder["weights"])) if holder else F.lit(None).cast("double")
+    return flagged.select("source_key", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
 def size_class(size: Column) -> Column:
@@ -75,8 +79,13 @@ def size_class(size: Column) -> Column:
 
 def with_copies(df: DataFrame, targets: DataFrame, groups: DataFrame, ties: list[str]) -> DataFrame:
     """The rows with source_size, target and copies; ``df`` has source_key, size, class, slice, doc_id."""
-    along = Window.partitionBy("source_key").orderBy("class", "slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("first", F.coalesce(F.sum("held").over(along), F.lit(0))).join(targets, "source_key")
+    zero = F.lit(0)
+    along = Window.partitionBy("source_key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # some hundred classes
+    bases = groups.groupBy("source_key", "class").agg(F.sum("held").alias("held"))
+    bases = bases.select("source_key", "class", F.coalesce(F.sum("held").over(along), zero).alias("base")).join(targets, "source_key")
+    slices = Window.partitionBy("source_key", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("first", F.coalesce(F.sum("held").over(slices), zero)).join(bases, ["source_key", "class"])
+    starts = starts.withColumn("first", F.col("first") + F.col("base"))
     within = Window.partitionBy("source_key", "class", "slice").orderBy("size", "doc_id", F.xxhash64(*ties))
     numbered = df.withColumn("nth", F.row_number().over(within) - 1).join(
         starts.select("source_key", "class", "slice", "first", "source_size", "target"), ["source_key", "class", "slice"]

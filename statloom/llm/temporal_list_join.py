@@ -5,14 +5,17 @@ validity intervals: each holds from its time until the domain's next entry.  A c
 listed if the host or a parent domain of it has an added entry in force when it was
 fetched; the longest such domain counts.
 
-The list is joined with the distinct hosts, not with the captures: a host gets the
-intervals of all its parent domains as one small array, and each capture then looks up its
-time in its host's array.  A host with a third of all captures so costs one row on the list
-side, and adaptive execution can split its captures.
+What is asked are the distinct pairs of host and time, under the host and each of its parent
+domains.  They meet the intervals by domain and by the ``SPAN`` of time they lie in, so that a
+domain with a third of all captures is spread over its spans, and a long history is compared
+span by span; within a span the as-of condition decides.  The best entry of each pair is then
+looked up by the captures.
 
 Defined results: a url without host, a null url or a null time is not listed; at equal
 times of one domain a removal comes after an addition; entries with nulls are passed over;
-captures that repeat each get a row; an empty list lists nothing.
+captures that repeat each get a row; an empty list lists nothing; where nothing is listed entry
+and since are null; columns host, listed, entry and since of the captures are replaced, all
+others kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,7 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import BROADCAST_ROWS, stage
+
+#: Seconds of a span of time.
+SPAN = 32 * 86_400
 
 
 def host_of(url: Column) -> Column:
@@ -40,24 +46,22 @@ def validity(entries: DataFrame) -> DataFrame:
 
 def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The captures (url, fetched_at in seconds, other columns) with host, listed, entry and since."""
-    rows = captures.withColumn("host", host_of(F.col("url")))
-    hosts = rows.where("host is not null").select("host").distinct()
+    rows = captures.select(F.struct("*").alias("row"), host_of(F.col("url")).alias("host"), F.col("fetched_at").cast("long").alias("at"))
+    pairs = rows.where("host is not null and at is not null").select("host", "at").distinct()
+    latest = pairs.agg(F.max("at")).first()[0] or 0
+    span = lambda at: F.floor(at / SPAN).cast("long")
+    last = span(F.least(F.coalesce(F.col("until") - 1, F.lit(latest)), F.lit(latest)))
+    intervals = validity(entries).where(F.col("since") <= latest)
+    intervals = stage(intervals.select("*", F.explode(F.sequence(span(F.col("since")), last)).alias("span")), "intervals")
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    span = F.struct(F.length("domain").alias("length"), "domain", "since", "until")
-    lines = (
-        hosts.select("host", F.explode(parents).alias("domain"))
-        .join(validity(entries), "domain")
-        .groupBy("host")
-        .agg(F.sort_array(F.collect_set(span), asc=False).alias("spans"))
-    )
-    joined = rows.join(stage(lines, "lines"), "host", "left")  # a plain table, so that a hot host can be split
-    now = F.col("fetched_at")
-    active = F.filter("spans", lambda s: (s["since"] <= now) & (s["until"].isNull() | (now < s["until"])))
-    hit = F.get(active, F.lit(0))
-    return joined.select(
-        *captures.columns, "host", F.coalesce(hit.isNotNull(), F.lit(False)).alias("listed"), hit["domain"].alias("entry"), hit["since"].alias("since")
-    )
+    asked = pairs.select("host", "at", span(F.col("at")).alias("span"), F.explode(parents).alias("domain"))
+    known = F.broadcast(intervals) if intervals.count() <= BROADCAST_ROWS else intervals
+    active = asked.join(known, ["domain", "span"]).where("since <= at and (until is null or at < until)")
+    best = active.groupBy("host", "at").agg(F.max(F.struct(F.length("domain").alias("length"), "domain", "since")).alias("hit"))
+    joined = rows.join(stage(best, "hits"), ["host", "at"], "left")  # plain tables, so that a hot host can be split
+    kept = [F.col("row")[c].alias(c) for c in captures.columns if c not in ("host", "listed", "entry", "since")]
+    return joined.select(*kept, "host", F.col("hit").isNotNull().alias("listed"), F.col("hit.domain").alias("entry"), F.col("hit.since").alias("since"))
 
 
 DAY = 86_400
@@ -106,6 +110,6 @@ hits AS (
   SELECT c.page_id, s.domain, s.since, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.domain) DESC, s.domain DESC, s.since DESC) AS n
   FROM cap c JOIN spans s ON (c.host = s.domain OR c.host LIKE '%.' || s.domain)
   WHERE s.action = 'add' AND s.since <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until))
-SELECT c.page_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NULL AS listed, h.domain AS entry, coalesce(h.since, -1) AS since
+SELECT c.page_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NULL AS listed, h.domain AS entry, h.since
 FROM cap c LEFT JOIN hits h ON c.page_id = h.page_id AND h.n = 1
 """
