@@ -4,36 +4,37 @@ Vectors are dealt by a hash to shards of bounded size.  A shard keeps, for each
 ``PROJECTIONS`` random directions, its vectors sorted by their projection.  A query opens a
 window around its own projection in each sorted array and widens all windows by virtual
 rehashing: only the newly covered stretches are counted.  Vectors that have collided in at
-least ``threshold`` projections are verified by their exact cosine.  The search of a shard
-ends when the k-th best vector found lies within the current radius; the last radius covers
-the whole arrays, so a shard with k vectors returns k.  A query's bests of all shards are
-merged.  Every vector is indexed; queries meet the shards in blocks of bounded size.
+least ``SHARE`` of the projections are verified by their exact cosine.  The search of a shard
+ends when the k-th best vector found, or the bound that the query brings along, lies within the
+current radius; the last radius covers the whole arrays, so a query without a bound finds k
+vectors in a shard that has them.
+
+Queries first search one shard each, which gives every query its bound; with it they search
+the others.  Every vector is indexed.  A task holds one shard and a bounded slice of the queries.
 
 Defined results: vectors that are null, zero, hold a null or a number that isn't finite, or
-have another length than most take no part, nor do rows without vec_id; rows of equal
-vec_id count once, with the least vector; ties go to the smaller vec_id.
+have another length than most take no part, nor do rows whose vec_id is null or no whole number;
+rows of equal vec_id count once, with the least vector; ties go to the smaller vec_id; other
+columns play no part, whatever their names; no vectors give no rows.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, stage
+from ._shared import stage
 
-PROJECTIONS = 64
-SHARD_ROWS = 8192
-QUERY_BLOCK = 2048
+PROJECTIONS = 128
+#: Bytes of vectors in a shard, and of queries that a task meets it with.
+SHARD_BYTES = 32 << 20
+SLICE_BYTES = 32 << 20
 #: Half a window, in projected lengths, for a radius of 1, and the share of collisions asked for.
-WIDTH = 1.1
-SHARE = 0.62
-RADII = (0.25, 0.4, 0.55, 0.7, 0.85, 1.0, 1.2, 1.45)
+WIDTH = 1.0
+SHARE = 0.64
+RADII = (0.2, 0.4, 0.6, 0.7, 0.8, 0.85, 0.9, 0.95, 1.0, 1.05, 1.1, 1.15, 1.2, 1.25, 1.3, 1.35, 1.4)
 
 
 def directions(length: int, seed: int = 11) -> np.ndarray:
@@ -49,6 +50,7 @@ class Shard:
         projected = (self.vectors / self.norms[:, None]) @ directions(vectors.shape[1]).T
         self.order = np.argsort(projected, axis=0, kind="stable").T.astype(np.int32) if order is None else order
         self.sorted = np.take_along_axis(projected.T, self.order.astype(np.int64), 1)
+        self.counted = self.verified = 0  # entries of the arrays, and vectors, over all searches
 
     def windows(self, queries: np.ndarray) -> np.ndarray:
         """For each query, radius and projection the stretch of the sorted array within the window: [low, high)."""
@@ -62,78 +64,115 @@ class Shard:
         out[:, -1, :, 0], out[:, -1, :, 1] = 0, len(self.ids)  # the last radius has no end
         return out
 
-    def nearest(self, query_id: int, query: np.ndarray, windows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, cosines) of the k nearest found, without the query's own row."""
+    def nearest(self, query_id: int, query: np.ndarray, windows: np.ndarray, k: int, bound: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(positions, cosines) of the k nearest found, without the query's own row; none below ``bound`` need be found."""
         norm = np.sqrt((query * query).sum())
         n, order = len(self.ids), self.order
-        hits = np.zeros(n, np.int64)
-        cosine = np.full(n, np.nan)
+        hits = np.zeros(n, np.int16)
+        waiting = self.ids != query_id  # not yet verified
         threshold = int(np.ceil(SHARE * PROJECTIONS))
         before = windows[0].tolist()
+        found, cosine = np.empty(0, np.int64), np.empty(0)
         for radius, stretches in zip((*RADII, np.inf), windows[1:].tolist(), strict=True):
             new = []
             for i, ((low, high), (a, b)) in enumerate(zip(before, stretches, strict=True)):
-                new += [order[i, a:low], order[i, high:b]]
+                if a < low:
+                    new.append(order[i, a:low])
+                if high < b:
+                    new.append(order[i, high:b])
             before = stretches
-            hits += np.bincount(np.concatenate(new), minlength=n)
-            met = np.flatnonzero((hits >= threshold) & np.isnan(cosine))
-            cosine[met] = (self.vectors[met] * query).sum(axis=1) / (self.norms[met] * norm)
-            found = np.flatnonzero(~np.isnan(cosine) & (self.ids != query_id))
-            best = found[np.lexsort((self.ids[found], -cosine[found]))[:k]]
-            if len(best) == k and 2 - 2 * cosine[best[-1]] <= radius * radius:
+            if new:
+                new = np.concatenate(new)
+                self.counted += len(new)
+                hits += np.bincount(new, minlength=n).astype(np.int16)
+            met = np.flatnonzero((hits >= threshold) & waiting)
+            if len(met):
+                waiting[met] = False
+                self.verified += len(met)
+                found = np.r_[found, met]
+                cosine = np.r_[cosine, (self.vectors[met] * query).sum(axis=1) / (self.norms[met] * norm)]
+                best = np.lexsort((self.ids[found], -cosine))[:k]
+                found, cosine = found[best], cosine[best]
+            reach = max(bound, cosine[k - 1] if len(found) == k else -np.inf)
+            if 2 - 2 * reach <= radius * radius:
                 break
-        return best, cosine[best]
+        return found, cosine
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part."""
+    """vec_id (long) and embedding of the rows that take part."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    rows = vectors.where("vec_id is not null and embedding is not null and size(embedding) > 0").select("vec_id", "embedding")
+    rows = vectors.select(F.col("vec_id").try_cast("long").alias("vec_id"), "embedding")
+    rows = rows.where("vec_id is not null and embedding is not null and size(embedding) > 0")
     rows = rows.where(F.forall("embedding", fine)).where(F.exists("embedding", lambda x: x != 0))
     length = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     rows = rows.where(F.size("embedding") == (length["n"] if length else 0))
     return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
-def build_index(rows: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, shards: int) -> DataFrame:
     """One row for each shard: its ids, vectors and, for each projection, their order."""
-    shards = max(1, -(-rows.count() // shard_rows))
 
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id")
         shard = Shard(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()))
-        return pd.DataFrame({"ids": [shard.ids.tobytes()], "vectors": [shard.vectors.tobytes()], "orders": [shard.order.tobytes()]})
+        return pd.DataFrame({"shard": [key[0]], "ids": [shard.ids.tobytes()], "vectors": [shard.vectors.tobytes()], "orders": [shard.order.tobytes()]})
 
     dealt = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"))
-    return stage(dealt.groupBy("shard").applyInPandas(build, "ids binary, vectors binary, orders binary"), "index")
-
-
-def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """query_id, rank, vec_id and score: the k nearest found of every row whose vec_id ``every`` divides."""
-    spark = vectors.sparkSession
+    return stage(dealt.groupBy("shard").applyInPandas(build, "shard long, ids binary, vectors binary, orders binary"), "index")
+
+
+def _searched(index: DataFrame, asked: DataFrame, slices: int, k: int) -> DataFrame:
+    """query_id, vec_id, score, counted, verified and held (of the shard) of the k best in each shard asked.
+
+    ``asked`` has vec_id, embedding, shard and bound.  Each shard meets the queries in ``slices``.
+    """
+
+    def search(key: tuple, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(shard) and len(queries):
+            ids = np.frombuffer(shard["ids"][0], np.int64)
+            held = Shard(ids, np.frombuffer(shard["vectors"][0]).reshape(len(ids), -1), np.frombuffer(shard["orders"][0], np.int32).reshape(PROJECTIONS, -1))
+            for at in range(0, len(queries), 256):  # windows of so many queries at once
+                part = queries[at : at + 256]
+                values = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+                for query_id, query, bound, windows in zip(part["vec_id"], values, part["bound"], held.windows(values), strict=True):
+                    counted, verified = held.counted, held.verified
+                    best, cosine = held.nearest(query_id, query, windows, k, bound)
+                    work = (held.counted - counted, held.verified - verified, len(ids))
+                    out += [(query_id, int(ids[b]), float(c), *work) for b, c in zip(best, cosine, strict=True)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score", "counted", "verified", "held"])
+
+    sliced = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(slices)).alias("slice")
+    copies = index.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))).alias("slice"))
+    both = copies.groupBy("shard", "slice").cogroup(asked.select("vec_id", "embedding", "shard", "bound", sliced).groupBy("shard", "slice"))
+    return both.applyInPandas(search, "query_id long, vec_id long, score double, counted long, verified long, held long")
+
+
+def searches(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int | None = None) -> DataFrame:
+    """What ``nearest_neighbours`` merges: the bests of each query in each shard, with the work done there."""
     rows = stage(usable(vectors), "vectors")
-    index = build_index(rows, shard_rows)
-    queries = rows.where(F.col("vec_id") % every == 0)
-    blocks = -(-queries.count() // QUERY_BLOCK)
-    out = f"{shared_dir(spark)}/found-{uuid.uuid4().hex}"
-    schema = "query_id long, vec_id long, score double"
-    for block in range(blocks):
-        asked = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)) == block).select("vec_id", "embedding").collect()
-        asked_ids, asked_vectors = [r[0] for r in asked], np.array([r[1] for r in asked], np.float64)
-
-        def search(batches: Iterator[pa.RecordBatch], ids=asked_ids, values=asked_vectors) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    own = np.frombuffer(row["ids"], np.int64)
-                    shard = Shard(own, np.frombuffer(row["vectors"], np.float64).reshape(len(own), -1), np.frombuffer(row["orders"], np.int32).reshape(PROJECTIONS, -1))
-                    found = []
-                    for query_id, query, windows in zip(ids, values, shard.windows(values), strict=True):
-                        best, cosine = shard.nearest(query_id, query, windows, k)
-                        found.append((np.full(len(best), query_id), shard.ids[best], cosine))
-                    columns = [np.concatenate(x) for x in zip(*found, strict=True)]
-                    yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2])], names=["query_id", "vec_id", "score"])
-
-        index.repartition(max(1, index.rdd.getNumPartitions())).mapInArrow(search, schema).write.mode("append").parquet(out)
-    found = spark.read.schema(schema).parquet(out) if blocks else spark.createDataFrame([], schema)
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    total, asking = rows.count(), queries.count()
+    width = 8 * (rows.select(F.size("embedding")).first() or [1])[0]
+    shards = max(1, -(-total // (shard_rows or SHARD_BYTES // width)))
+    tasks = vectors.sparkSession.sparkContext.defaultParallelism
+    slices = max(1, -(-asking * width // SLICE_BYTES), min(-(-tasks // shards), -(-asking // 64)))
+    index = build_index(rows, shards)
+    own = F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(shards))
+    first = _searched(index, queries.select("*", own.alias("shard"), F.lit(float("-inf")).alias("bound")), slices, k)
+    if shards == 1:
+        return first
+    first = stage(first, "first")
+    bounds = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("bound"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")), lambda s: s != own)
+    asked = queries.join(bounds, queries["vec_id"] == bounds["query_id"], "left")
+    asked = asked.select("vec_id", "embedding", F.explode(others).alias("shard"), F.coalesce("bound", F.lit(float("-inf"))).alias("bound"))
+    return first.unionByName(_searched(index, asked, slices, k))
+
+
+def nearest_neighbours(vectors: DataFrame, every: int = 50, k: int = 5, shard_rows: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score: the k nearest found of every row whose vec_id ``every`` divides."""
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = searches(vectors, every, k, shard_rows).withColumn("rank", F.row_number().over(best))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
