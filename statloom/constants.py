@@ -111,8 +111,7 @@ SEARCH_LETTERS = {
     "'": "", "’": "", "ʻ": "", "`": "",
 }
 
-#: Cells that hold no number, hints of a unit, and words that open a breakdown.
-MISSING = ["-", "–", "—", "х", "x", "", "...", "nan", "*", "n/a"]
+#: Hints of a unit, and words that open a breakdown.
 UNIT_HINTS = [
     "swm", "som", "so'm", "sum", "mln", "mlrd", "mıń", "min ", "%", "protsent",
     "adam", "birlik", "tonna", "dana", "km", "gektar", "ga)", "dollar", "kishi",

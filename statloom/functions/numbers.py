@@ -50,6 +50,11 @@ def unemployment_class(rate: Column) -> Column:
     return F.when(rate < 6, 0).when(rate < 9, 1).otherwise(2)
 
 
+def _formatted(value: Column, pattern: str) -> Column:
+    """A number by a decimal pattern; halves, as the double holds them, to even."""
+    return F.call_function("format_number", double(value), F.lit(pattern))
+
+
 def amount(value: Column) -> Column:
     """Thousands by no-break spaces, one digit after the point unless it is 0; a dash for null."""
     text = F.regexp_replace(F.format_number(value, 1), r"\.0$", "")
@@ -57,19 +62,19 @@ def amount(value: Column) -> Column:
 
 
 def signed_percent(value: Column) -> Column:
-    return F.format_string("%+.1f%%", double(value))
+    return F.concat(_formatted(value, "+0.0;-0.0"), F.lit("%"))
 
 
 def fixed(value: Column, digits: int = 1) -> Column:
-    return F.coalesce(F.format_string(f"%.{digits}f", double(value)), F.lit("—"))
+    return F.coalesce(_formatted(value, "0." + "0" * digits if digits else "0"), F.lit("—"))
 
 
 def compact(value: Column) -> Column:
-    """Millions as mln, thousands as ming."""
-    short = lambda x: F.regexp_replace(F.format_string("%.1f", x), r"\.0$", "")
+    """Millions as mln, thousands as ming; a dash for null."""
+    short = lambda x: F.regexp_replace(_formatted(x, "0.0"), r"\.0$", "")
     size = F.abs(value)
     return (
-        F.when(size >= 1_000_000, F.concat(short(value / 1_000_000), F.lit(" mln")))
+        F.when(value.isNull(), "—").when(size >= 1_000_000, F.concat(short(value / 1_000_000), F.lit(" mln")))
         .when(size >= 1_000, F.concat(short(value / 1_000), F.lit(" ming")))
         .otherwise(short(value))
     )
@@ -90,3 +95,23 @@ def short_date(day: Column) -> Column:
 def minmax(value: Column, low: Column, high: Column, to_low: float = 0.0, to_high: float = 1.0) -> Column:
     """Scaled from low..high to to_low..to_high; to_low where all are equal."""
     return F.coalesce(to_low + double(value - low) / F.nullif(double(high - low), F.lit(0.0)) * (to_high - to_low), F.lit(to_low))
+
+
+def local_number(value: Column, digits: int = 1) -> Column:
+    """Thousands by no-break spaces, a comma before at most so many digits, the minus sign U+2212; a dash for null."""
+    text = F.regexp_replace(F.format_number(F.abs(value), digits), r"(\.\d*?)0+$", "$1")
+    text = F.translate(F.regexp_replace(text, r"\.$", ""), ",.", "\u00a0,")
+    return F.coalesce(F.concat(F.when((value < 0) & (text != "0"), "\u2212").otherwise(""), text), F.lit("—"))
+
+
+def percent_text(value: Column, digits: int = 1) -> Column:
+    """A percentage as text, a dash for null."""
+    return F.when(value.isNotNull(), F.concat(fixed(value, digits), F.lit("%"))).otherwise("—")
+
+
+def scaled_log(value: Column) -> Column:
+    return F.log1p(double(value))
+
+
+def unscaled_log(value: Column) -> Column:
+    return F.expm1(value)

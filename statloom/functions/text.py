@@ -140,3 +140,21 @@ def speakable(markdown: Column, limit: int = 1000) -> Column:
     text = F.regexp_replace(text, r"\[([^\]]+)\]\([^)]*\)", "$1")
     text = F.regexp_replace(text, r"[*_`#>|]+", " ")
     return F.substring(F.trim(F.regexp_replace(text, r"\s+", " ")), 1, limit)
+
+
+def cache_key(*parts: Column) -> Column:
+    """A digest that names a request: the parts, nulls as empty, apart by a sign that none holds."""
+    return F.md5(F.array_join(F.array(*[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), "\x1f"))
+
+
+def structured(answer: Column, schema: str) -> Column:
+    """The JSON object in a text, from its first to its last brace; null where there is none that can be read."""
+    return F.from_json(F.regexp_extract(answer, r"(?s)(\{.*\})", 1), schema, {"mode": "PERMISSIVE"})
+
+
+def first_named(text: Column, names: list[str]) -> Column:
+    """The name, of a list, that the text holds first in the order of the list; null without."""
+    out = F.lit(None).cast("string")
+    for name in reversed(names):
+        out = F.when(F.contains(F.lower(text), F.lit(name.lower())), name).otherwise(out)
+    return out

@@ -3,24 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A table is broadcast only when it has been counted and holds at most so many rows.
 BROADCAST_ROWS = 4096
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's checkpoint folder; later plans begin at them.
+def shared_dir(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which driver and executors share.
 
     A local session without such a folder gets a temporary one; a cluster must name a shared one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    at = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None and not context.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
-        if not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="statloom-"))
+        context.setCheckpointDir(at or tempfile.mkdtemp(prefix="statloom-"))
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to the session's checkpoint folder; later plans begin at them."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 

@@ -62,6 +62,11 @@ def known_districts(observations: DataFrame, districts: DataFrame) -> DataFrame:
     return kept.where("district_id is null or _known is not null").drop("_known")
 
 
+def fully_refreshed(indicators: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All old observations go; the new ones, and the indicators that have any of them."""
+    return indicators.join(new.select(F.col("indicator_id").alias("id")).distinct(), "id", "left_semi"), new
+
+
 def refreshed(old: DataFrame, new: DataFrame) -> DataFrame:
     """Old observations of indicators that the new ones don't touch, and the new ones."""
     return old.join(new.select("indicator_id").distinct(), "indicator_id", "left_anti").unionByName(new)
@@ -80,6 +85,12 @@ def load_statistics(records: DataFrame, districts: DataFrame, key: str) -> DataF
     ).withColumn("skipped", F.col("read") - F.col("added")).drop("read")
 
 
+def redirected(indicators: DataFrame, ident, lower_is_better: bool) -> DataFrame:
+    """An indicator told anew whether lower is better."""
+    own = F.when(F.col("id") == ident, F.lit(lower_is_better)).otherwise(F.col("lower_is_better"))
+    return indicators.withColumn("lower_is_better", own)
+
+
 def rebound(indicators: DataFrame, ident, module: str | None, modules: list[str]) -> DataFrame:
     """An indicator bound to another module; only known modules, only indicators with districts."""
     if module is not None and module not in modules:

@@ -94,3 +94,15 @@ def to_mean(layer: DataFrame) -> DataFrame:
     means = layer.groupBy("indicator_id").agg(F.sum(F.col("value").cast("decimal(24,4)")).alias("s"), F.count("value").alias("n"))
     mean = double(F.col("s")) / F.nullif(F.col("n"), F.lit(0))
     return layer.join(means, "indicator_id").select("indicator_id", "district_id", "value", mean.alias("mean"))
+
+
+def largest_shares(rows: DataFrame, n: int) -> DataFrame:
+    """The n modules of each district with the largest shares."""
+    place = Window.partitionBy("district_id").orderBy(F.desc("share"), "module")
+    return rows.where("share is not null").withColumn("place", F.row_number().over(place)).where(F.col("place") <= n)
+
+
+def highlights(layer: DataFrame, n: int = 5) -> DataFrame:
+    """The names of the first districts of each indicator, each once."""
+    rows = top_ranked(layer, n).groupBy("indicator_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("r"))
+    return rows.select("indicator_id", F.array_distinct(F.transform("r", lambda x: x["name"])).alias("highlights"))

@@ -19,6 +19,11 @@ FEATURES = [
 ]
 
 
+def _ahead(pdf: pd.DataFrame, key: str, years: np.ndarray, yhat: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> pd.DataFrame:
+    names = pd.Series([pdf[key].iloc[0]] * len(years), dtype=object) if len(years) else pd.Series(np.empty(0, object))
+    return pd.DataFrame({key: names, "year": years.astype(np.int32), "yhat": yhat, "lower": lower, "upper": upper})
+
+
 def trend_forecast(panel: DataFrame, key: str, value: str, steps: int, level: float = 1.645) -> DataFrame:
     """A linear trend in logarithms (plain where values aren't positive) for each key, with 90 percent bounds.
 
@@ -29,7 +34,7 @@ def trend_forecast(panel: DataFrame, key: str, value: str, steps: int, level: fl
         pdf = pdf.dropna(subset=[value]).sort_values("year")
         x, y = pdf["year"].to_numpy(float), pdf[value].to_numpy(float)
         if len(x) < 3:
-            return pd.DataFrame({key: [], "year": [], "yhat": [], "lower": [], "upper": []})
+            return _ahead(pdf, key, np.empty(0), *[np.empty(0)] * 3)
         logs = bool((y > 0).all())
         z = np.log(y) if logs else y
         slope, start = np.polyfit(x, z, 1)
@@ -38,7 +43,7 @@ def trend_forecast(panel: DataFrame, key: str, value: str, steps: int, level: fl
         middle = slope * ahead + start
         width = level * spread * np.sqrt(1 + 1 / len(x) + (ahead - x.mean()) ** 2 / max(((x - x.mean()) ** 2).sum(), 1e-9))
         back = np.exp if logs else (lambda v: v)
-        return pd.DataFrame({key: pdf[key].iloc[0], "year": ahead.astype(int), "yhat": back(middle), "lower": back(middle - width), "upper": back(middle + width)})
+        return _ahead(pdf, key, ahead, back(middle), back(middle - width), back(middle + width))
 
     rows = panel.select(key, "year", F.col(value).cast("double").alias(value))
     kind = panel.schema[key].dataType.simpleString()
@@ -118,3 +123,167 @@ def macro_f1(predictions: DataFrame, label: str = "label", predicted: str = "pre
     hits = predictions.where(F.col(label) == F.col(predicted)).groupBy(F.col(label).alias("c")).agg(F.count("*").alias("h"))
     f1 = 2 * F.coalesce("h", F.lit(0)) / (F.col("t") + F.col("p"))
     return both.join(hits, "c", "left").agg(F.avg(f1).alias("macro_f1"))
+
+
+def classification_report(predictions: DataFrame, label: str = "label", predicted: str = "predicted") -> DataFrame:
+    """class, precision, recall, f1 and support of each class that occurs; 0 where one is not defined."""
+    pair = F.array(F.struct(F.col(label).alias("class"), F.lit(1).alias("t"), F.lit(0).alias("p")), F.struct(F.col(predicted).alias("class"), F.lit(0).alias("t"), F.lit(1).alias("p")))
+    both = predictions.select(F.inline(pair), (F.col(label) == F.col(predicted)).cast("int").alias("hit"))
+    sums = both.groupBy("class").agg(F.sum("t").alias("support"), F.sum("p").alias("said"), F.sum(F.col("t") * F.col("hit")).alias("hits"))
+    share = lambda whole: F.coalesce(double(F.col("hits")) / F.nullif(double(whole), F.lit(0.0)), F.lit(0.0))
+    rows = sums.select("class", share(F.col("said")).alias("precision"), share(F.col("support")).alias("recall"), share((F.col("support") + F.col("said")) / 2).alias("f1"), "support")
+    return rows
+
+
+def report_averages(report: DataFrame) -> DataFrame:
+    """The macro and the weighted mean of a classification report."""
+    names = ("precision", "recall", "f1")
+    macro = report.agg(*[F.avg(c).alias(c) for c in names], F.sum("support").alias("support")).withColumn("average", F.lit("macro"))
+    weighted = report.agg(*[(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(c) for c in names], F.sum("support").alias("support"))
+    return macro.unionByName(weighted.withColumn("average", F.lit("weighted")))
+
+
+def cross_validated(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
+    """(fold, macro_f1) of a classifier fitted on all other folds; few folds, one after another."""
+    dealt = folds(rows.select(key, "year", "label", *FEATURES), "label", n).persist()
+    scores = None
+    for fold in range(n):
+        model = early_warning(dealt.where(F.col("fold") != fold))
+        own = macro_f1(warned(model, dealt.where(F.col("fold") == fold), key)).withColumn("fold", F.lit(fold))
+        scores = own if scores is None else scores.unionByName(own)
+    return scores.select("fold", "macro_f1")
+
+
+def score_summary(scores: DataFrame, value: str, *keys: str) -> DataFrame:
+    """Mean and standard deviation (of the population) of scores."""
+    return scores.groupBy(*keys).agg(F.avg(value).alias("mean"), F.coalesce(F.stddev_pop(value), F.lit(0.0)).alias("std"), F.count(value).alias("n"))
+
+
+def line_fit(panel: DataFrame, key: str, value: str) -> DataFrame:
+    """slope, start (of a straight line over the years), n, and the spread around it, of each key."""
+    x, y = double(F.col("year")), double(F.col(value))
+    sums = panel.where(F.col(value).isNotNull()).groupBy(key).agg(
+        F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"), F.coalesce(F.regr_intercept(y, x), F.avg(y)).alias("start"), F.count("*").alias("n"),
+        F.regr_syy(y, x).alias("syy"), F.coalesce(F.regr_sxy(y, x), F.lit(0.0)).alias("sxy"),
+    )
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy")) / F.col("n"))
+    return sums.select(key, "slope", "start", "n", spread.alias("spread"))
+
+
+def trend_of(panel: DataFrame, key: str, value: str) -> DataFrame:
+    """The fitted trend beside each value, and what is left: key, year, value, trend, rest."""
+    fit = line_fit(panel, key, value)
+    trend = F.col("start") + F.col("slope") * F.col("year")
+    return panel.join(fit, key).select(key, "year", double(F.col(value)).alias(value), trend.alias("trend"), (double(F.col(value)) - trend).alias("rest"))
+
+
+def with_future(history: DataFrame, forecast: DataFrame, key: str, value: str) -> DataFrame:
+    """History and forecast as one frame (key, year, value, lower, upper, future); bounds only for the future."""
+    none = F.lit(None).cast("double")
+    past = history.select(key, F.col("year").cast("int").alias("year"), double(F.col(value)).alias("value"), none.alias("lower"), none.alias("upper"), F.lit(False).alias("future"))
+    ahead = forecast.select(key, F.col("year").cast("int").alias("year"), F.col("yhat").alias("value"), "lower", "upper", F.lit(True).alias("future"))
+    return past.unionByName(ahead)
+
+
+def quarterly_forecast(rows: DataFrame, key: str, value: str, steps: int = 12) -> DataFrame:
+    """The next quarters of each key (key, year, quarter, value): a straight line, times the quarter's mean share of it.
+
+    Keys with fewer than eight quarters give none.
+    """
+    place = (F.col("year") * 4 + F.col("quarter") - 1).alias("at")
+    dated = rows.where(F.col(value).isNotNull()).select(key, place, F.col("quarter"), double(F.col(value)).alias("y"))
+    fit = line_fit(dated.select(key, F.col("at").alias("year"), F.col("y").alias(value)), key, value).where("n >= 8")
+    ends = dated.groupBy(key).agg(F.max("at").alias("last"))
+    line = F.col("start") + F.col("slope") * F.col("at")
+    season = dated.join(fit, key).groupBy(key, "quarter").agg(F.coalesce(F.avg(F.col("y") / F.nullif(line, F.lit(0.0))), F.lit(1.0)).alias("share"))
+    ahead = fit.join(ends, key).select("*", F.explode(F.sequence(F.col("last") + 1, F.col("last") + steps)).alias("at"))
+    ahead = ahead.withColumn("quarter", (F.col("at") % 4 + 1).cast("int"))
+    return ahead.join(season, [key, "quarter"], "left").select(
+        key, F.floor(F.col("at") / 4).cast("int").alias("year"), "quarter", (line * F.coalesce("share", F.lit(1.0))).alias("yhat")
+    )
+
+
+def autoregressive_forecast(panel: DataFrame, key: str, value: str, steps: int, inputs: list[str] = [], draws: int = 200, seed: int = 7) -> DataFrame:  # noqa: B006
+    """(key, year, yhat, lower, upper): each year from the one before and the inputs of the one before, by least squares.
+
+    Values are scaled to 0..1.  Bounds are the 5th and 95th percentile of ``draws`` paths with
+    residuals drawn again.  With inputs, these follow their own lines.  Keys with fewer than
+    four values give none.
+    """
+    names = [value, *inputs]
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.dropna(subset=names).sort_values("year")
+        if len(pdf) < 4:
+            return _ahead(pdf, key, np.empty(0), *[np.empty(0)] * 3)
+        values = pdf[names].to_numpy(float)
+        low, span = values.min(axis=0), np.where(np.ptp(values, axis=0) > 0, np.ptp(values, axis=0), 1.0)
+        z, years = (values - low) / span, pdf["year"].to_numpy(float)
+        x = np.c_[np.ones(len(z) - 1), z[:-1]]
+        weights = np.linalg.lstsq(x.T @ x + 1e-3 * np.eye(x.shape[1]), x.T @ z[1:, 0], rcond=None)[0]
+        rest = z[1:, 0] - x @ weights
+        rng = np.random.default_rng(seed)
+        lines = [np.polyfit(years, z[:, i], 1) for i in range(1, z.shape[1])]
+        paths, state = np.empty((draws + 1, steps)), np.repeat(z[-1:, :], draws + 1, axis=0)
+        for step in range(steps):
+            noise = np.r_[0.0, rng.choice(rest, draws)]  # the first path has none
+            following = np.c_[np.ones(draws + 1), state] @ weights + noise
+            paths[:, step] = following
+            ahead = [np.full(draws + 1, np.polyval(line, years[-1] + step + 1)) for line in lines]
+            state = np.column_stack([following, *ahead])
+        paths = paths * span[0] + low[0]
+        bounds = np.percentile(paths[1:], (5, 95), axis=0)
+        return _ahead(pdf, key, years[-1] + np.arange(1, steps + 1), paths[0], bounds[0], bounds[1])
+
+    rows = panel.select(key, "year", *[double(F.col(c)).alias(c) for c in names])
+    kind = panel.schema[key].dataType.simpleString()
+    return rows.groupBy(key).applyInPandas(fit, f"{key} {kind}, year int, yhat double, lower double, upper double")
+
+
+#: Indicator to (model, its inputs); others take the trend.
+DRIVERS = {"export": ("autoregressive", []), "investment": ("autoregressive", ["export"]), "services": ("ensemble", ["export"])}
+
+
+def forecast(wide: DataFrame, target: str | None = None, steps: int = 5, drivers: dict = DRIVERS) -> DataFrame:
+    """(indicator, year, yhat, lower, upper, model) of one indicator of a yearly frame (year and a column for each), or of all.
+
+    ``steps`` is kept within 1 and 10.  An indicator takes the model that its driver names; where
+    that gives nothing, the trend; an unknown indicator gives no rows.
+    """
+    steps, known = max(1, min(steps, 10)), [c for c in wide.columns if c != "year"]
+    out = None
+    for name in known if target is None else [c for c in known if c == target]:
+        model, inputs = drivers.get(name, ("trend", []))
+        own = wide.withColumn("indicator", F.lit(name))
+        parts = {"trend": trend_forecast(own, "indicator", name, steps)}
+        if model != "trend":
+            parts[model] = autoregressive_forecast(own, "indicator", name, steps, [c for c in inputs if c in known])
+        rows = parts[model].withColumn("model", F.lit(model))
+        if model == "ensemble":
+            both = [df.withColumn("part", F.lit(i)) for i, df in enumerate(parts.values())]
+            rows = both[0].unionByName(both[1]).groupBy("indicator", "year").agg(*[F.avg(c).alias(c) for c in ("yhat", "lower", "upper")]).withColumn("model", F.lit(model))
+        if model != "trend":
+            rest = parts["trend"].join(rows.select("indicator", "year"), ["indicator", "year"], "left_anti")
+            rows = rows.unionByName(rest.withColumn("model", F.lit("trend")))
+        out = rows if out is None else out.unionByName(rows)
+    empty = wide.sparkSession.createDataFrame([], "indicator string, year int, yhat double, lower double, upper double, model string")
+    return empty if out is None else out
+
+
+def summary_of(forecasts: DataFrame, history: DataFrame) -> DataFrame:
+    """Of each indicator (history: indicator, year, value) its last value, its last forecast, and the change between them in percent."""
+    last = history.groupBy("indicator").agg(F.max_by("value", "year").alias("last_value"), F.max("year").alias("last_year"))
+    ahead = forecasts.groupBy("indicator").agg(F.max_by("yhat", "year").alias("forecast"), F.max("year").alias("forecast_year"))
+    change = (F.col("forecast") - F.col("last_value")) / F.nullif(F.abs("last_value"), F.lit(0.0)) * 100
+    return last.join(ahead, "indicator").select("indicator", "last_year", "last_value", "forecast_year", "forecast", change.alias("change"))
+
+
+def save(model, path: str) -> None:
+    """A fitted pipeline written to a folder, over what is there."""
+    model.write().overwrite().save(path)
+
+
+def loaded(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)

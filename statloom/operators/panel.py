@@ -108,3 +108,40 @@ def peak(points: DataFrame, key: str, index: str, value: str) -> DataFrame:
     """The index of the first largest absolute value of each key."""
     return points.groupBy(key).agg(F.max_by(index, F.struct(F.abs(F.col(value)), -F.col(index))).alias("peak"))
 
+
+
+def full_years(rows: DataFrame, last: int) -> DataFrame:
+    """Without the year after the last full one."""
+    return rows.where(F.col("year") <= last)
+
+
+def transposed(rows: DataFrame, key: str, columns: list[str], names: list) -> DataFrame:
+    """A row for each of the columns, a column for each of the key's values named."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("x")
+    long_rows = rows.select(F.col(key).cast("string").alias("key"), each).select("key", "x.*")
+    return long_rows.groupBy("name").agg(*[F.max(F.when(F.col("key") == str(n), F.col("value"))).alias(f"c{n}") for n in names])
+
+
+def bounds(rows: DataFrame, key: str, value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """The percentiles of each key, and the mean of logarithms."""
+    return rows.groupBy(key).agg(F.percentile(value, low).alias("low"), F.percentile(value, high).alias("high"), F.avg(F.log1p(value)).alias("mean_log"))
+
+
+def unioned_years(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Years that either has."""
+    return a.select("year").unionByName(b.select("year")).distinct()
+
+
+def best_and_worst(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """Of each year how many keys have a value, and those with the least and the largest (ties to the smaller key)."""
+    own = rows.where(F.col(value).isNotNull())
+    return own.groupBy("year").agg(
+        F.count_distinct(key).alias("n"), F.min_by(key, F.struct(F.col(value), F.col(key))).alias("least"), F.min_by(key, F.struct(-F.col(value), F.col(key))).alias("largest")
+    )
+
+
+def ends_of_year(rows: DataFrame, key: str, value: str, n: int = 3) -> DataFrame:
+    """Of each year the n keys with the least and the n with the largest value."""
+    up, down = (Window.partitionBy("year").orderBy(order, key) for order in (F.asc(value), F.desc(value)))
+    own = rows.where(F.col(value).isNotNull()).withColumn("from_least", F.row_number().over(up)).withColumn("from_largest", F.row_number().over(down))
+    return own.where((F.col("from_least") <= n) | (F.col("from_largest") <= n)).select(key, "year", value, "from_least", "from_largest")

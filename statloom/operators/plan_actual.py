@@ -51,3 +51,11 @@ def status_histogram(rows: DataFrame) -> DataFrame:
     """Count of each status and of all."""
     every = rows.agg(F.lit("all").alias("status"), F.count("*").alias("n"))
     return rows.groupBy("status").agg(F.count("*").alias("n")).unionByName(every)
+
+
+def plan_rows(plans: DataFrame, **equal) -> DataFrame:
+    """Plans with these column values (module, region, year, status)."""
+    for column, value in equal.items():
+        if value is not None:
+            plans = plans.where(F.col(column) == value)
+    return plans

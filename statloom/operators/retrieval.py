@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TOPIC_KEYWORDS
+from ..functions.numbers import fixed
 from ..functions.text import last_year_in
 
 
@@ -38,7 +39,7 @@ def training_pairs(macro: DataFrame) -> DataFrame:
     before = macro.select("indicator", (F.col("year") + 1).alias("year"), F.col("value").alias("base"))
     whole = macro.where("indicator = 'JAO'").select("year", F.col("value").alias("whole"))
     rows = macro.join(before, ["indicator", "year"], "left").join(whole, "year", "left").withColumn("unit", unit_of(F.col("indicator")))
-    number = lambda c: F.format_string("%.1f", c)
+    number = fixed
     name, year = F.col("indicator"), F.col("year").cast("string")
     value = F.struct(F.concat(name, F.lit(" "), year, F.lit("?")).alias("human"), F.concat_ws(" ", name, F.concat(year, F.lit(":")), number(F.col("value")), "unit").alias("gpt"))
     grown = (F.col("value") - F.col("base")) / F.nullif(F.abs("base"), F.lit(0.0)) * 100

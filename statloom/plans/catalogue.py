@@ -744,7 +744,7 @@ def best_configuration(spark, sf_dir):
 
 @query(PLANS, sql=" SELECT id FROM plans WHERE module = 'BUILDING' AND status = 'critical'")
 def plan_rows(spark, sf_dir):
-    return tables.plans(spark, sf_dir).where("module = 'BUILDING' and status = 'critical'").select("id")
+    return plan_actual.plan_rows(tables.plans(spark, sf_dir), module="BUILDING", status="critical").select("id")
 
 
 @query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, count(*) AS lines FROM layer WHERE value IS NOT NULL GROUP BY 1")
@@ -757,10 +757,8 @@ def answer_context(spark, sf_dir):
 
 @query(PANEL, sql=" SELECT district_id, round(quantile_cont(active, 0.05), 9) AS low, round(quantile_cont(active, 0.95), 9) AS high, round(avg(ln(1 + active)), 9) AS mean_log FROM panel GROUP BY 1")
 def percentile_bounds(spark, sf_dir):
-    rows = tables.panel(spark, sf_dir)
-    return rows.groupBy("district_id").agg(
-        F.round(F.percentile("active", 0.05), 9).alias("low"), F.round(F.percentile("active", 0.95), 9).alias("high"), F.round(F.avg(F.log1p("active")), 9).alias("mean_log")
-    )
+    rows = panel.bounds(tables.panel(spark, sf_dir), "district_id", "active")
+    return rows.select("district_id", *[F.round(c, 9).alias(c) for c in ("low", "high", "mean_log")])
 
 
 @query(PANEL, sql=" SELECT district_id, year, year IN (1999, 2000) AS test FROM panel")
@@ -776,13 +774,6 @@ def year_chunks(spark, sf_dir):
     return panel.chunks_to_rows(rows, "district_id", {y: [f"active{y}", f"employed{y}"] for y in years}, ["a", "b"])
 
 
-@query(sql=r" SELECT conv_id, turn, trim(regexp_replace(regexp_replace('**' || text || '** `x` [a](b)', '\[([^\]]+)\]\([^)]*\)', '\1', 'g'), '[*_`#>|]+', ' ', 'g')) AS raw FROM conversations")
-def speakable_raw(spark, sf_dir):
-    said = F.concat(F.lit("**"), "text", F.lit("** `x` [a](b)"))
-    plain = F.regexp_replace(F.regexp_replace(said, r"\[([^\]]+)\]\([^)]*\)", "$1"), r"[*_`#>|]+", " ")
-    return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(plain).alias("raw"))
-
-
 @query(sql=" SELECT o_orderkey, strftime(o_orderdate, '%d.%m.%Y') AS day FROM orders")
 def short_dates(spark, sf_dir):
     return tables.read(spark, sf_dir, "orders").select("o_orderkey", numbers.short_date(F.col("o_orderdate")).alias("day"))
@@ -790,14 +781,12 @@ def short_dates(spark, sf_dir):
 
 @query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, string_agg(name, ',' ORDER BY rank) AS highlights FROM layer WHERE rank <= 5 GROUP BY 1")
 def highlights(spark, sf_dir):
-    rows = _layer(spark, sf_dir).where("rank is not null").groupBy("indicator_id").agg(F.sort_array(F.collect_list(F.struct("rank", "name"))).alias("r"))
-    named = F.slice(F.array_distinct(F.transform("r", lambda x: x["name"])), 1, 5)
-    return rows.select("indicator_id", F.array_join(named, ",").alias("highlights"))
+    return map_layer.highlights(_layer(spark, sf_dir)).withColumn("highlights", F.array_join("highlights", ","))
 
 
 @query(INDICATORS, sql=" SELECT category_id, CAST(ceil(count(*) / 50.0) AS BIGINT) AS pages FROM inds GROUP BY 1")
 def page_counts(spark, sf_dir):
-    return tables.indicators(spark, sf_dir).groupBy("category_id").agg(F.ceil(F.count("*") / 50).alias("pages"))
+    return catalog.page_counts(tables.indicators(spark, sf_dir), 50, "category_id")
 
 
 @query(sql=" SELECT event_type, date_trunc('hour', ts)::VARCHAR AS began, count(*) AS n FROM events GROUP BY 1, 2")

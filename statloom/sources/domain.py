@@ -76,3 +76,34 @@ def branches(cells: DataFrame, least: int = 8, above: float = 0.0, below: float
     rows = rows if below is None else rows.where(F.col("value") < below)
     enough = rows.groupBy("sheet", "row").count().where(F.col("count") >= least).select("sheet", "row")
     return rows.join(enough, ["sheet", "row"], "left_semi").select("branch", "year", "value")
+
+
+def _republic(cells: DataFrame, from_row: int) -> DataFrame:
+    """(sheet, row) of the first row that names the republic."""
+    named = cells.where((F.col("row") >= from_row) & (F.col("col") == 0) & F.col("text").rlike("Respublikas[iı]|Qaraqalpaqstan"))
+    return named.groupBy("sheet").agg(F.min("row").alias("row"))
+
+
+def passengers(cells: DataFrame) -> DataFrame:
+    """(year, value): the republic's row below the years (2018 j.) of row 3; values above 0."""
+    years = cells.where("row = 3").where(F.contains("text", F.lit("j."))).select("sheet", "col", _year(F.col("text"), 2000, 2099).alias("year")).where("year is not null")
+    rows = cells.join(_republic(cells, 4), ["sheet", "row"]).join(years, ["sheet", "col"])
+    return rows.select("year", number_of(F.col("text")).alias("value")).where("value > 0")
+
+
+def enterprises(cells: DataFrame) -> DataFrame:
+    """(year, value): active enterprises of the republic, the second column of each year's block.
+
+    The first of 6 rows with at least four years heads the blocks; values above 0.
+    """
+    year = F.when(F.col("text").rlike(r"^\d{4}(\.0)?$"), F.substring("text", 1, 4).cast("int"))
+    years = cells.where("row < 6").select("sheet", "row", "col", year.alias("year")).where(F.col("year").between(2009, 2030))
+    head = years.groupBy("sheet", "row").agg(F.count_distinct("year").alias("n")).where("n >= 4").groupBy("sheet").agg(F.min("row").alias("row"))
+    starts = years.join(head, ["sheet", "row"]).groupBy("sheet", "year").agg((F.max("col") + 1).alias("col"))
+    rows = cells.join(_republic(cells, 6), ["sheet", "row"]).join(starts, ["sheet", "col"])
+    return rows.select("year", number_of(F.col("text")).alias("value")).where("value > 0")
+
+
+def labour_total(cells: DataFrame) -> DataFrame:
+    """The republic's own row of labour figures, by year."""
+    return labour(cells).where(F.col("district_id") == next(iter(LABOUR_DISTRICTS.values())))

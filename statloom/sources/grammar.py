@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..constants import DUPLICATES_FOLDER, REPUBLIC
 from ..functions.cells import is_breakdown, month_span, parsed_period, unit_alone, unit_in_brackets, year_heading
 from ..functions.text import district_form, district_of, looks_like_unit, number_of
-from ..lineage import cut
+from ..lineage import cut, numbered
 from .workbook import NotAWorkbook, sheets
 
 CELLS = "sheet string, category string, source string, row int, col int, text string"
@@ -243,8 +243,7 @@ def records(cells: DataFrame) -> DataFrame:
     for shape in (vertical_records, district_column_records):
         rest = cut(cells.join(out.select("sheet").distinct(), "sheet", "left_anti"))
         out = out.unionByName(cut(shape(rest)))
-    # Sheets are numbered, not records: one short row each goes through one task.
-    number = out.select("sheet").distinct().withColumn("no", F.row_number().over(Window.orderBy("sheet")).cast("long"))
+    number = numbered(out.select("sheet").distinct(), "no", "sheet").withColumn("no", F.col("no").cast("long"))
     place = F.col("no") * (1 << 36) + F.col("row") * (1 << 14) + F.col("col")
     return out.join(number, "sheet").withColumn("ord", place).drop("sheet", "col", "no")
 

@@ -62,10 +62,9 @@ def sheets(data: bytes) -> list[tuple[str, list[list]]]:
         if path not in book.namelist():
             continue
         try:
-            root = ElementTree.fromstring(book.read(path))
-        except ElementTree.ParseError:
-            continue
-        out.append((name, _grid(root, strings, dates)))
+            out.append((name, _grid(ElementTree.fromstring(book.read(path)), strings, dates)))
+        except (ElementTree.ParseError, ValueError, IndexError, TypeError, OverflowError):
+            continue  # a bad sheet is passed over, the others are read
     return out
 
 

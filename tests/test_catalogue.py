@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from statloom.plans import catalogue
+from statloom.plans import catalogue, more  # noqa: F401
 from tests.helpers import duck, same
 
 SF = "/root/testdata/sf0.001"
