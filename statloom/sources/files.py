@@ -119,13 +119,11 @@ def find_workbooks(spark: SparkSession, folder: str, keyword: str = "") -> DataF
 
 def read_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, parts: int = 8, **options: str) -> DataFrame:
     """A table of a database; with a whole-number column read in as many ranges of it as there are parts."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    if column is None:
-        return reader.option("dbtable", table).load()
-    low, high = reader.option("query", f"SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}").load().first()
-    reader = spark.read.format("jdbc").option("url", url).options(**options).option("dbtable", table)
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options)
+    whole = reader.load()
+    low, high = whole.agg(F.min(column), F.max(column)).first() if column else (None, None)  # reads this column alone
     if low is None or low == high:
-        return reader.load()
+        return whole
     return reader.option("partitionColumn", column).option("lowerBound", int(low)).option("upperBound", int(high) + 1).option("numPartitions", parts).load()
 
 
