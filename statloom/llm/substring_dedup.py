@@ -3,54 +3,64 @@
 A window is ``WINDOW`` consecutive words of a document.  Words covered by a window that
 also starts earlier (smaller doc_id, or earlier in the same document) are removed.
 
-Documents come in batches, in the order of doc_id.  A batch's window hashes form an
-immutable run: a table bucketed and sorted by hash.  A new batch's run is merge-joined with
-the runs of the history, bucket by bucket without a shuffle; a window found there, or
-earlier in its own batch, is a repeat.  Then the run joins the history, and when
-``FAN_OUT`` runs have gathered they are compacted into one that keeps each window's
-earliest place.
-
-Most windows occur once, so not all are indexed.  Each window names the least hash among its
-runs of ``ANCHOR`` words, its anchor; equal windows have equal anchors, and neighbouring
-windows mostly share theirs.  Only windows whose anchor occurs at least twice in the corpus
-can repeat, and only these reach the index.  Exact copies of a whole document need no windows:
-all their words repeat if they have as many as a window.
-
-Windows are compared by 95 bits of a 128-bit hash of their words, and every repeat is
-verified once more against the words of the document it is removed from.  A hash met often
-in one task leaves it once: later occurrences are known there to be repeats and travel under
-hashes of their own, so a passage in a third of all documents is no hot key.
+Documents come in batches.  A batch's fingerprints form an immutable run: a table bucketed and
+sorted by hash.  A new batch's run is merge-joined with the runs of the history, bucket by bucket
+without a shuffle of the history; a window found there, or earlier in its own batch, is a repeat.
+Then the run joins the history, and when ``FAN_OUT`` runs have gathered they are compacted into
+one that keeps each fingerprint's earliest place.  The index lies in a folder that can be opened
+again, so that a later batch meets all that came before (``FingerprintIndex``, ``deduplicated``).
+
+Every window of every document is in the index, most of them folded: a window names the least
+hash among its runs of ``ANCHOR`` words, its anchor, and neighbouring windows mostly share theirs,
+so an index row holds an anchor with the checks (32 bits of another hash, of the whole window) of
+the windows around it.  Equal windows have equal anchors.  Only where an anchor is met again, in
+the batch or in the history, are its rows unfolded to windows, which are then matched by anchor
+and check.  An anchor with several places in one task is unfolded there: windows that repeat
+within the task are known to do so, the others travel under hashes of their own, so a passage in
+a third of all documents is no hot key.  Exact copies of a whole document need no windows: all
+their words repeat if they have as many as a window.
+
+Windows are compared by 96 bits of their words.  The words themselves are compared once more for
+the repeats that go: a stretch of repeated windows must have the same digest as the stretch of the
+earlier document that it repeats; one that has not stays (``verified``).
 
 Defined results: a null text has no words; documents with fewer words than a window keep
 all; rows of equal doc_id are one document in the order (equal rows do not remove each
-other); rows without doc_id come last, as one document; an empty table gives no rows.
+other); rows without doc_id come last, in the order of a hash of their text, those of equal text
+as one document; other columns are kept or play no part, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import shared_dir, shuffles_freed, stage, whole_text
+from ._shared import pieces_of, shared_dir, shuffles_freed, stage, whole_text
 
 WINDOW = 20
 ANCHOR = 10
 BATCHES = 3
 FAN_OUT = 2
-#: Texts hashed at once, in bytes; a longer text is a group of its own.
+#: Texts hashed at once, in bytes; longer texts are hashed in pieces of that size.
 GROUP = 1 << 20
 #: Windows that a task brings together before it passes them on.
 TOGETHER = 1 << 19
-LAST = (1 << 63) - 1
+#: Keys of rows without doc_id begin here.
+UNNAMED = 1 << 62
+#: What an index row stands for.
+FOLDED, SINGLE, KNOWN = 0, 1, 2
+_RUN = "route long, kind int, key long, start int, checks array<int>"
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_CHECK_MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 _BYTE_MULTIPLIER = np.uint64(0x5851F42D4C957F2D)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -87,31 +97,23 @@ class Words:
         sums = np.r_[np.uint64(0), np.cumsum(data * power[: len(data)], dtype=np.uint64)]
         self.hash = _mixed((sums[self.ends] - sums[self.starts]) * inverse[self.starts])
 
-    def anchors(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first word, anchor's first word, anchor's hash) of every window."""
+    def windows(self, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first word, anchor's hash, check) of every window."""
         n = len(self.hash)
         if n < window:
-            return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),)
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
         grams = np.zeros(n - anchor + 1, np.uint64)
         for i in range(anchor):
             grams = grams * _MULTIPLIER + self.hash[i : n - anchor + 1 + i]
         grams = _mixed(grams)
-        least, at = grams[: n - window + 1].copy(), np.zeros(n - window + 1, np.int64)
+        least = grams[: n - window + 1].copy()
         for i in range(1, window - anchor + 1):
-            other = grams[i : n - window + 1 + i]
-            less = other < least
-            least[less], at[less] = other[less], i
+            np.minimum(least, grams[i : n - window + 1 + i], out=least)
+        checks = np.zeros(n - window + 1, np.uint64)
+        for i in range(window):
+            checks = checks * _CHECK_MULTIPLIER + self.hash[i : n - window + 1 + i]
         words = np.flatnonzero(self.text[: n - window + 1] == self.text[window - 1 :])
-        return words, words + at[words], least[words]
-
-    def digests(self, words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-        """64 bits and another 31 bits of the hash of the windows starting at these words."""
-        from xxhash import xxh3_128_digest
-
-        joined = self.joined
-        spans = zip(self.starts[words].tolist(), self.ends[words + window - 1].tolist(), strict=True)
-        both = np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in spans]), ">u8").astype(np.uint64).reshape(-1, 2)
-        return both[:, 0].view(np.int64), (both[:, 1] >> np.uint64(33)).astype(np.int64)
+        return words, least[words].view(np.int64), (_mixed(checks[words]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
@@ -128,258 +130,403 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, group
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """key (place in the order) and text as bytes of the rows."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), whole_text().alias("text"))
-
+def _parts(column: pa.Array, window: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """Groups of (row, place of the first word, text) of about GROUP bytes; long texts in pieces that overlap by a window less a word."""
+    group, held = [], 0
+    for row, x in enumerate(column):
+        kept, upto = b"", 0
+        for piece in pieces_of(x.as_py() or b"", GROUP):
+            if held + len(piece) > GROUP and group:
+                yield group
+                group, held = [], 0
+            whole = kept + b" " + piece if kept else piece
+            group.append((row, upto, whole))
+            held += len(whole)
+            if len(piece) >= GROUP:  # more may follow
+                words = whole.split()
+                tail = words[max(len(words) - window + 1, 0) :]
+                kept, upto = b" ".join(tail), upto + len(words) - len(tail)
+    if group:
+        yield group
 
-def exact_copies(rows: DataFrame) -> DataFrame:
-    """(key, copies): the digests of texts of this key that a smaller key has too."""
-    digests = rows.select("key", F.md5("text").alias("digest"))
-    first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last")
-    later = digests.join(stage(first, "first"), "digest").where("key > first")  # a plain table, so that a hot digest can be split
-    return later.groupBy("key").agg(F.collect_set("digest").alias("copies"))
 
+def key_of() -> Column:
+    """A row's place in the order of documents."""
+    unnamed = F.lit(UNNAMED) + F.pmod(F.xxhash64(whole_text()), F.lit(1 << 61))
+    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
 
-def shared_anchors(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(key, anchors): the hashes of the anchors of this key that occur at least twice."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, hashes = [], []
-            for first, texts in _groups(batch.column(1)):
-                words = Words(texts)
-                _, at, found = words.anchors(window, anchor)
-                at, once = np.unique(at, return_index=True)
-                keys.append(words.text[at] + first)
-                hashes.append(found[once])
-            if not keys:
-                continue
-            key = batch.column(0).to_numpy()[np.concatenate(keys)]
-            h = np.concatenate(hashes).view(np.int64)
-            order = np.argsort(h, kind="stable")
-            h, key = h[order], key[order]
-            new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.empty(0, bool)
-            many = np.zeros(len(h), bool)  # met more than once in this batch
-            if len(h) > 1:
-                many[1:] |= ~new[1:]
-                many[:-1] |= ~new[1:]
-            # Only the first of them needs to be brought together with other tasks' anchors.
-            route = np.where(new, h, _mixed(key.astype(np.uint64) * _MULTIPLIER + h.view(np.uint64)).view(np.int64))
-            yield pa.record_batch([pa.array(x) for x in (route, h, key, many)], names=["route", "anchor", "key", "sure"])
-
-    found = rows.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(emit, "route long, anchor long, key long, sure boolean")
-    together = F.count("*").over(Window.partitionBy("route"))
-    shared = found.withColumn("met", together).where("sure or met > 1")
-    return shared.groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-
-
-def candidate_windows(marked: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Windows that may repeat, of rows (key, text as bytes, anchors).
-
-    Columns route (the window's hash), key, packed (31 more bits of the hash, and the first
-    word) and later: the window is known to repeat an earlier one that the task has brought
-    together with it, and its route is a number of its own.
-    """
+def keyed(docs: DataFrame) -> DataFrame:
+    """key (place in the order) and text as bytes of the rows."""
+    return docs.select(key_of().alias("key"), whole_text().alias("text"))
+
+
+def window_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
+    """Index rows (route, kind, key, start, checks) of the windows of rows (key, text as bytes)."""
+
+    def told(parts: list) -> pa.RecordBatch:
+        h, check, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((start, key, check, h))
+        h, check, key, start = h[order], check[order], key[order], start[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
+        head = np.flatnonzero(new)[np.cumsum(new) - 1]
+        known = np.flatnonzero((key != key[head]) | (start != start[head]))  # equal rows count once
+        h, check, key_, start_ = h[new], check[new], key[new], start[new]
+        order = np.lexsort((start_, key_, h))
+        h, check, key_, start_ = h[order], check[order], key_[order], start_[order]
+        other = np.r_[True, h[1:] != h[:-1]]
+        run = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (key_[1:] != key_[:-1]) | (start_[1:] != start_[:-1] + 1)])
+        of = np.cumsum(other) - 1  # which anchor
+        places = np.bincount(of[run])
+        busy = places[of] > 1
+        ends = np.r_[run[1:], len(h)]
+        folded, single, marker = run[~busy[run]], np.flatnonzero(busy), np.flatnonzero(other & busy)
+        lengths = np.r_[(ends - run)[~busy[run]], np.ones(len(single), np.int64), np.zeros(len(marker) + len(known), np.int64)]
+        columns = [
+            np.r_[h[folded], h[single], h[marker], np.zeros(len(known), np.int64)],
+            np.r_[np.full(len(folded), FOLDED), np.full(len(single), SINGLE), np.full(len(marker), FOLDED), np.full(len(known), KNOWN)].astype(np.int32),
+            np.r_[key_[folded], key_[single], key_[marker], key[known]],
+            np.r_[start_[folded], start_[single], start_[marker], start[known]].astype(np.int32),
+        ]
+        checks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.r_[check[~busy], check[single]]))
+        # Where a known repeat is first met in the task.
+        whose = np.r_[np.zeros(len(lengths) - len(known), np.int64), key[head[known]]]
+        where = np.r_[np.zeros(len(lengths) - len(known), np.int32), start[head[known]].astype(np.int32)]
+        return pa.record_batch([*map(pa.array, columns), checks, pa.array(whose), pa.array(where)], names=["anchor", "kind", "key", "start", "checks", "old_key", "old_start"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def told(parts: list) -> pa.RecordBatch:
-            h, check, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, key, check, h))
-            h, check, key, start = h[order], check[order], key[order], start[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
-            head = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (key != key[head]) | (start != start[head])
-            kept = new | later  # equal rows count once
-            route = np.where(later, _mixed(key.astype(np.uint64) * _MULTIPLIER + start.astype(np.uint64)).view(np.int64), h)
-            columns = (route, key, check << 32 | start, later)
-            return pa.record_batch([pa.array(x[kept]) for x in columns], names=["route", "key", "packed", "later"])
-
         for batch in batches:
-            row_keys, anchors = batch.column(0).to_numpy(), batch.column(2)
-            parts, held = [], 0
-            for first, texts in _groups(batch.column(1)):
-                words = Words(texts)
-                starts, _, found = words.anchors(window, anchor)
-                own = anchors.slice(first, len(texts))
-                asked = own.flatten().to_numpy().view(np.uint64)
-                lengths = own.value_lengths().fill_null(0).to_numpy()
-                salt = lambda x: _mixed(x.astype(np.uint64) * _MULTIPLIER + np.uint64(1))
-                of = np.repeat(np.arange(len(texts)), lengths)
-                starts = starts[np.isin(found ^ salt(words.text[starts]), asked ^ salt(of))]
-                if len(starts):
-                    h, check = words.digests(starts, window)
-                    text = words.text[starts]
-                    parts.append((h, check, row_keys[first + text], starts - words.first[text]))
-                    held += len(starts)
+            keys, parts, held = batch.column(0).to_numpy(), [], 0
+            for group in _parts(batch.column(1), window):
+                row, base = (np.array(x, np.int64) for x in list(zip(*group, strict=True))[:2])
+                words = Words([t for _, _, t in group])
+                at, h, check = words.windows(window, anchor)
+                if len(at):
+                    item = words.text[at]
+                    parts.append((h, check, keys[row[item]], base[item] + at - words.first[item]))
+                    held += len(at)
                 if held >= TOGETHER:
                     yield told(parts)
                     parts, held = [], 0
             if parts:
                 yield told(parts)
 
-    return marked.select("key", F.col("text").cast("binary").alias("text"), "anchors").mapInArrow(
-        emit, "route long, key long, packed long, later boolean"
+    found = rows.select("key", F.col("text").cast("binary").alias("text")).mapInArrow(
+        emit, "anchor long, kind int, key long, start int, checks array<int>, old_key long, old_start int"
     )
+    own = F.when(F.col("kind") == SINGLE, F.xxhash64("anchor", F.get("checks", F.lit(0)))).when(F.col("kind") == KNOWN, F.xxhash64("key", "start"))
+    return found.select(F.coalesce(own, "anchor").alias("route"), "kind", "key", "start", "checks", "old_key", "old_start")
 
 
 class FingerprintIndex:
-    """Immutable runs of window hashes, each a table bucketed and sorted by hash."""
-
-    def __init__(self, spark: SparkSession, buckets: int | None = None):
-        self.spark = spark
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.name = f"statloom_runs_{uuid.uuid4().hex}"
-        self.runs: list[str] = []
-        self.made = 0
-
-    def _write(self, windows: DataFrame) -> str:
-        table = f"{self.name}_{self.made}"
-        self.made += 1
-        dealt = windows.repartition(self.buckets, "route")
+    """Immutable runs of window fingerprints in a folder, each a table bucketed and sorted by hash.
+
+    Opening a folder again finds the runs that its newest manifest names.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path = spark, path
+        self.version, self.runs, self.buckets = 0, [], buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        try:
+            newest = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
+        except AnalysisException:  # a new index
+            newest = None
+        if newest:
+            self.version, self.runs, self.buckets = newest["version"], list(newest["runs"]), newest["buckets"]
+        self.pending: str | None = None
+
+    def _name(self, run: str) -> str:
+        return f"statloom_{hashlib.md5(self.path.encode()).hexdigest()[:16]}_{run}"
+
+    def _table(self, run: str) -> DataFrame:
+        name = self._name(run)
+        if not self.spark.catalog.tableExists(name):
+            columns = ", ".join(f"{c.split()[0]} {c.split()[1]}" for c in f"{_RUN}, old_key long, old_start int".split(", "))
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (route) SORTED BY (route) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame) -> str:
+        run = f"run_{uuid.uuid4().hex}"
         with shuffles_freed(self.spark):
-            dealt.write.bucketBy(self.buckets, "route").sortBy("route").saveAsTable(table)
-        return table
-
-    def add(self, windows: DataFrame) -> DataFrame:
-        """Adds a batch that comes after all before it; gives its repeats (key, packed)."""
-        run = self._write(windows)
-        rows = self.spark.table(run).withColumn("check", F.shiftright("packed", 32))
-        place = F.struct("key", F.col("packed").bitwiseAND(F.lit(0xFFFFFFFF)).alias("start"))
-        first = F.min(place).over(Window.partitionBy("route", "later", "check"))
-        rows = rows.withColumn("repeats", F.col("later") | (place > first))
+            dealt = rows.repartition(self.buckets, "route")
+            dealt.write.bucketBy(self.buckets, "route").sortBy("route").option("path", f"{self.path}/{run}").saveAsTable(self._name(run))
+        return run
+
+    def _commit(self, runs: list[str]) -> None:
+        self.version, self.runs = self.version + 1, runs
+        row = self.spark.createDataFrame([(self.version, runs, self.buckets)], "version long, runs array<string>, buckets int")
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+
+    def _delete(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+        self._remove(f"{self.path}/{run}")
+
+    def _remove(self, path: str) -> None:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def add(self, rows: DataFrame) -> DataFrame:
+        """Writes a batch's run; gives its repeats (key, start, old_key, old_start), to be read before ``keep``.
+
+        The batch comes after all that is in the index; within it the order is that of keys.
+        """
+        self.pending = self._write(rows)
+        new = self._table(self.pending)
+        folded = new.where(F.col("kind") == FOLDED)
+        routes = folded.select("route").distinct()
+        flagged = folded.withColumn("again", F.count("*").over(Window.partitionBy("route")) > 1)
+        unfolded = lambda df, old: df.select(
+            "route", "key", "start", F.posexplode("checks").alias("i", "check"), F.lit(old).alias("old")
+        ).select(F.xxhash64("route", "check").alias("route"), "check", "key", (F.col("start") + F.col("i")).alias("start"), "old")
+        single = lambda run: self._table(run).where(F.col("kind") == SINGLE).select("route", F.get("checks", F.lit(0)).alias("check"), "key", "start")
+        history = None
         for old in self.runs:
-            # Joined by the bucketing column alone, so that no side is shuffled.
-            seen = self.spark.table(old).where("not later")
-            seen = seen.select(F.col("route").alias("old_route"), F.shiftright("packed", 32).alias("old_check")).distinct()
-            same = (F.col("route") == F.col("old_route")) & (F.col("check") - F.col("old_check") == 0)
-            joined = rows.join(seen, same & ~F.col("later"), "left")
-            rows = joined.withColumn("repeats", F.col("repeats") | F.col("old_route").isNotNull()).drop("old_route", "old_check")
-        repeats = rows.where("repeats").select("key", "packed")
-        self.runs.append(run)
-        return repeats
+            theirs = self._table(old).where(F.col("kind") == FOLDED)
+            known = theirs.select(F.col("route").alias("_old")).distinct()
+            flagged = flagged.join(known, F.col("route") == F.col("_old"), "left").withColumn("again", F.col("again") | F.col("_old").isNotNull()).drop("_old")
+            met = unfolded(theirs.join(routes, "route", "left_semi"), True)
+            history = met if history is None else history.unionByName(met)
+        every = unfolded(flagged.where("again"), False).unionByName(single(self.pending).withColumn("old", F.lit(False)))
+        every = every if history is None else every.unionByName(history)
+        dealt = every.repartition(self.buckets, "route")
+        place = F.struct(~F.col("old"), "key", "start")
+        first = F.min(place).over(Window.partitionBy("route", "check"))
+        rows = dealt.withColumn("first", F.when(first < place, F.struct(first["key"].alias("key"), first["start"].alias("start")))).where("not old")
+        for old in self.runs:
+            # Joined by the bucketing column alone, so that no side is shuffled again.
+            theirs = single(old).select(F.col("route").alias("_route"), F.col("check").alias("_check"), F.struct("key", "start").alias("_first"))
+            same = (F.col("route") == F.col("_route")) & (F.col("check") - F.col("_check") == 0)
+            rows = rows.join(theirs, same & F.col("first").isNull(), "left").withColumn("first", F.coalesce("first", "_first")).drop("_route", "_check", "_first")
+        found = rows.where("first is not null").select("key", "start", F.col("first.key").alias("old_key"), F.col("first.start").alias("old_start"))
+        return found.unionByName(new.where(F.col("kind") == KNOWN).select("key", "start", "old_key", "old_start"))
+
+    def keep(self) -> None:
+        """The run that was added joins the history."""
+        self._commit([*self.runs, self.pending])
+        self.pending = None
+        if len(self.runs) > FAN_OUT:
+            self.compact()
 
     def compact(self) -> None:
-        """Merges the runs into one that keeps the earliest place of each window."""
+        """Merges the runs into one that keeps the earliest place of each fingerprint."""
         if len(self.runs) < 2:
             return
-        every = self.spark.table(self.runs[0])
+        every = self._table(self.runs[0])
         for run in self.runs[1:]:
-            every = every.unionByName(self.spark.table(run))
-        every = every.where("not later").withColumn("check", F.shiftright("packed", 32))
-        first = every.groupBy("route", "check").agg(F.min(F.struct("key", "packed")).alias("first"))
-        merged = self._write(first.select("route", "first.key", "first.packed", F.lit(False).alias("later")))
-        old, self.runs = self.runs, [merged]
+            every = every.unionByName(self._table(run))
+        first = every.where(F.col("kind") != KNOWN).groupBy("route", "kind", "checks").agg(F.min(F.struct("key", "start")).alias("first"))
+        none = F.lit(None)
+        merged = self._write(first.select("route", "kind", "first.key", "first.start", "checks", none.cast("long").alias("old_key"), none.cast("int").alias("old_start")))
+        old = self.runs
+        self._commit([merged])
         for run in old:
-            self.spark.sql(f"DROP TABLE {run}")
+            self._delete(run)
+
+    def forget(self) -> None:
+        """Drops a run that was not kept, for instance of a batch that failed."""
+        if self.pending:
+            self._delete(self.pending)
+            self.pending = None
 
     def drop(self) -> None:
+        self.forget()
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+            self._delete(run)
+        self._remove(self.path)
         self.runs = []
 
-
-def repeats(rows: DataFrame, copies: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """(key, packed): for each document the windows to remove, as a staged table."""
-    spark = rows.sparkSession
-    anchors = stage(shared_anchors(rows, window, anchor), "anchors")
+    # Digests of whole texts, for exact copies.
+
+    def copies_of(self, rows: DataFrame) -> DataFrame:
+        """(key, copies) of the digests of texts of this key that the history or a smaller key has too, as a staged table."""
+        digests = rows.select("key", F.md5("text").alias("digest"))
+        first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"))
+        try:
+            seen = self.spark.read.schema("digest string").parquet(f"{self.path}/digests").distinct().withColumn("seen", F.lit(True))
+            seen.isEmpty()
+            first = first.join(seen, "digest", "left")
+        except AnalysisException:
+            first = first.withColumn("seen", F.lit(None).cast("boolean"))
+        first = first.where("first < last or seen").select("digest", F.when(F.col("seen"), F.lit(-(1 << 63))).otherwise(F.col("first")).alias("first"))
+        later = digests.join(stage(first, "first"), "digest").where("key > first")  # a plain table, so that a hot digest can be split
+        return stage(later.groupBy("key").agg(F.collect_set("digest").alias("copies")), "copies")
+
+    def keep_digests(self, rows: DataFrame) -> None:
+        rows.select(F.md5("text").alias("digest")).distinct().write.mode("append").parquet(f"{self.path}/digests")
+
+
+def repeats(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
+    """Adds the documents to the index; gives (key, found: start, old_key, old_start) of their repeats, and (key, copies)."""
+    spark, rows = docs.sparkSession, keyed(docs)
+    copies = index.copies_of(rows)
     shares = [i / batches for i in range(1, batches)]
     cuts = rows.agg(F.percentile_approx("key", shares)).first()[0] or [] if shares else []
     edges = [None, *sorted(set(cuts)), None]
-    index, out = FingerprintIndex(spark), f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
-    for low, high in zip(edges, edges[1:], strict=False):
-        part = F.lit(True) if low is None else F.col("key") > low
-        part = part if high is None else part & (F.col("key") <= high)
-        batch = rows.where(part).join(anchors.where(part), "key").join(copies.where(part), "key", "left")
-        batch = batch.where(F.coalesce(~F.array_contains("copies", F.md5("text")), F.lit(True)))
-        if len(index.runs) >= FAN_OUT:
-            index.compact()
-        found = index.add(candidate_windows(batch, window, anchor)).groupBy("key").agg(F.collect_list("packed").alias("packed"))
-        with shuffles_freed(spark):
-            found.write.mode("append").parquet(out)
-    index.drop()
-    return spark.read.schema("key long, packed array<long>").parquet(out)
-
-
-def covered_words(text: bytes, packed: np.ndarray, window: int) -> np.ndarray:
-    """Which words of a text lie in the windows given; windows that aren't the text's don't count."""
-    words = Words([text])
-    n = int(words.counts[0])
-    starts = packed & 0xFFFFFFFF
-    fits = starts + window <= n
-    starts, check = starts[fits], packed[fits] >> 32
-    steps = np.zeros(n + 1, np.int64)
-    if len(starts):
-        starts = starts[words.digests(starts, window)[1] == check]
-        np.add.at(steps, starts, 1)
-        np.add.at(steps, starts + window, -1)
-    return np.cumsum(steps)[:n] > 0
-
-
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-
-
-def without(text: bytes, removed: np.ndarray) -> bytes:
-    """The text without these words; stretches that stay are as they were, joined by one space."""
-    if not removed.any():
-        return text
-    spans = [m.span() for m in _WORD.finditer(text)]
-    edge = np.flatnonzero(np.diff(np.r_[True, removed, True].astype(np.int8)))
-    return b" ".join(text[spans[a][0] : spans[b - 1][1]] for a, b in zip(edge[0::2], edge[1::2], strict=True))
-
-
-def _with_repeats(docs: DataFrame, window: int, anchor: int, batches: int) -> DataFrame:
-    """row (all columns), text as bytes, packed and whole (an exact copy) of every row."""
-    rows = keyed(docs)
-    copies = stage(exact_copies(rows), "copies")
-    found = repeats(rows, copies, window, anchor, batches)
-    text = whole_text()
-    named = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), text.alias("text"))
-    joined = named.join(found, "key", "left").join(copies, "key", "left")
-    whole = F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))
-    return joined.select("row", F.col("text").cast("binary").alias("text"), "packed", whole.alias("whole"))
+    out = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
+    try:
+        for low, high in zip(edges, edges[1:], strict=False):
+            part = F.lit(True) if low is None else F.col("key") > low
+            part = part if high is None else part & (F.col("key") <= high)
+            batch = rows.where(part).join(copies.where(part), "key", "left")
+            batch = batch.where(F.coalesce(~F.array_contains("copies", F.md5("text")), F.lit(True)))
+            found = index.add(window_rows(batch, window, anchor))
+            with shuffles_freed(spark):
+                found.groupBy("key").agg(F.collect_list(F.struct("start", "old_key", "old_start")).alias("found")).write.mode("append").parquet(out)
+            index.keep()
+        index.keep_digests(rows)
+    finally:
+        index.forget()
+    return spark.read.schema("key long, found array<struct<start:int,old_key:long,old_start:int>>").parquet(out), copies
 
 
-def _removed(text: bytes, packed, whole: bool, window: int) -> np.ndarray:
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of a text begin and end."""
+    space = _IS_SPACE[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(np.diff(np.r_[True, space, True]))
+    return edges[0::2], edges[1::2]
+
+
+def said(text: bytes, starts: np.ndarray, ends: np.ndarray, first: int, words: int) -> bytes | None:
+    """So many words from one on, joined by one space; null beyond the text."""
+    return b" ".join(text[starts[first] : ends[first + words - 1]].split()) if first + words <= len(starts) else None
+
+
+def stretches_of(found: DataFrame, window: int) -> DataFrame:
+    """(key, start, words, old_key, old_start): repeats that lie side by side here and there, as one."""
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            inner = lists.flatten()
+            key = np.repeat(batch.column(0).to_numpy(), lists.value_lengths().to_numpy())
+            start, old_key, old_start = (inner.field(i).to_numpy().astype(np.int64) for i in range(3))
+            order = np.lexsort((start, old_start - start, old_key, key))
+            key, start, old_key, old_start = key[order], start[order], old_key[order], old_start[order]
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (old_key[1:] != old_key[:-1]) | (start[1:] != start[:-1] + 1) | (old_start[1:] != old_start[:-1] + 1)
+            first = np.flatnonzero(new)
+            words = (np.diff(np.r_[first, len(key)]) + window - 1).astype(np.int32)
+            columns = (key[first], start[first].astype(np.int32), words, old_key[first], old_start[first].astype(np.int32))
+            yield pa.record_batch([pa.array(x) for x in columns], names=["key", "start", "words", "old_key", "old_start"])
+
+    return found.mapInArrow(joined, "key long, start int, words int, old_key long, old_start int").distinct()
+
+
+def verified(stretches: DataFrame, docs: DataFrame) -> DataFrame:
+    """(key, checks: start, words, digests): each stretch with the digests of the earlier words it repeats.
+
+    The words are those of the documents given, which must hold the history too; of a key with
+    several rows each gives a digest.
+    """
+    from xxhash import xxh3_128_digest
+
+    asked = stretches.select("old_key", "old_start", "words").distinct()
+    asked = stage(asked.groupBy("old_key").agg(F.collect_list(F.struct("old_start", "words")).alias("asked")), "asked")
+    rows = keyed(docs).join(asked, F.col("key") == F.col("old_key")).select("old_key", F.col("text").cast("binary").alias("text"), "asked")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for key, text, asked in zip(*[batch.column(i) for i in range(3)], strict=True):
+                text = text.as_py()
+                starts, ends = spans(text)
+                for x in asked.as_py():
+                    words = said(text, starts, ends, x["old_start"], x["words"])
+                    if words is not None:
+                        out.append((key.as_py(), x["old_start"], x["words"], xxh3_128_digest(words)))
+            key, start, words, digest = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.record_batch([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(words, pa.int32()), pa.array(digest, pa.binary())], names=["old_key", "old_start", "words", "digest"])
+
+    digests = rows.mapInArrow(read, "old_key long, old_start int, words int, digest binary").distinct()
+    told = stretches.join(stage(digests, "digests"), ["old_key", "old_start", "words"])
+    return told.groupBy("key").agg(F.collect_set(F.struct("start", "words", "digest")).alias("checks"))
+
+
+def removed_words(text: bytes, checks: list | None, whole: bool, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where words begin and end, and which go: all of an exact copy, else those of stretches whose digest is theirs."""
+    from xxhash import xxh3_128_digest
+
+    starts, ends = spans(text)
+    n = len(starts)
     if whole:
-        n = len(text.split())
-        return np.full(n, n >= window)
-    if packed is None:
-        return np.zeros(len(text.split()), bool)
-    return covered_words(text, np.array(packed, np.int64), window)
+        return starts, ends, np.full(n, n >= window)
+    gone = np.zeros(n, bool)
+    for x in checks or []:
+        words = said(text, starts, ends, x["start"], x["words"])
+        if words is not None and xxh3_128_digest(words) == x["digest"]:
+            gone[x["start"] : x["start"] + x["words"]] = True
+    return starts, ends, gone
+
+
+def kept_stretches(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> list[bytes]:
+    """The stretches of the text that stay, as they were."""
+    edge = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
+    return [text[starts[a] : ends[b - 1]] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)]
+
+
+def _with_repeats(docs: DataFrame, window: int, anchor: int, batches: int, index: str | None, history: DataFrame | None) -> DataFrame:
+    """row (all columns), text as bytes, checks and whole (an exact copy) of every row."""
+    opened = FingerprintIndex(docs.sparkSession, index or f"{shared_dir(docs.sparkSession)}/index-{uuid.uuid4().hex}")
+    try:
+        found, copies = repeats(docs, opened, window, anchor, batches)
+    finally:
+        if index is None:
+            opened.drop()
+    every = docs.select("doc_id", "text")
+    if history is not None:
+        every = history.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text").unionByName(every)
+    checks = stage(verified(stage(stretches_of(found, window), "stretches"), every), "checks")
+    named = docs.select(F.struct("*").alias("row"), key_of().alias("key"), whole_text().alias("text"))
+    joined = named.join(checks, "key", "left").join(copies, "key", "left")
+    whole = F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))
+    return joined.select("row", F.col("text").cast("binary").alias("text"), "checks", whole.alias("whole"))
 
 
-def removal_digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every document."""
-    rows = _with_repeats(docs.select("doc_id", "text"), window, anchor, batches).select("row.doc_id", "text", "packed", "whole")
+def removal_digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, index: str | None = None, history: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every document; see ``deduplicated`` for index and history."""
+    rows = _with_repeats(docs.select("doc_id", "text"), window, anchor, batches, index, history).select("row.doc_id", "text", "checks", "whole")
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, packed, whole in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True):
-                text = text.as_py() or b""
-                words = text.split()
-                removed = _removed(text, packed.as_py(), whole.as_py(), window)
-                kept = [w for w, gone in zip(words, removed.tolist(), strict=True) if not gone] if removed.any() else words
-                out.append((len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
-            n, gone, sha = zip(*out, strict=True) if out else ((), (), ())
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
+            for text, checks, whole in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True):
+                text = text.as_py()
+                starts, ends, gone = removed_words(text, checks.as_py(), whole.as_py(), window)
+                sha, between = hashlib.sha256(), b""
+                for kept in kept_stretches(text, starts, ends, gone):
+                    for piece in pieces_of(kept):
+                        if words := piece.split():
+                            sha.update(between + b" ".join(words))
+                            between = b" "
+                out.append((len(starts), int(gone.sum()), sha.hexdigest()))
+            n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     return rows.mapInArrow(digest, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """The documents with repeated words removed from text, and n_chars of what is left; other columns as they are."""
-    rows = _with_repeats(docs, window, anchor, batches)
+def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, index: str | None = None, history: DataFrame | None = None) -> DataFrame:
+    """The documents with repeated words removed from text, and n_chars of what is left; other columns as they are.
+
+    With ``index``, a folder, the documents come after all that it holds and are added to it;
+    ``history`` gives the documents (doc_id, text) that were added before, whose doc_ids differ
+    from these and whose words the repeats are verified against.  Without, they stand alone.
+    """
+    rows = _with_repeats(docs, window, anchor, batches, index, history)
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                without(text.as_py() or b"", _removed(text.as_py() or b"", packed.as_py(), whole.as_py(), window))
-                for text, packed, whole in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True)
-            ]
+            texts = []
+            for text, checks, whole in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True):
+                text = text.as_py()
+                starts, ends, gone = removed_words(text, checks.as_py(), whole.as_py(), window)
+                texts.append(b" ".join(kept_stretches(text, starts, ends, gone)) if gone.any() else text)
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["row", "text"])
 
     out = rows.select("row", "text").schema
@@ -391,6 +538,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     return rows.select(new.alias("row")).select("row.*")
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """``deduplicated`` of documents that stand alone."""
+    return deduplicated(docs)
+
+
 ORACLE_SQL = r"""
 WITH d AS (
   SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -282,23 +283,34 @@ def test_one_of_each_class_stays(spark, docs):
 
 def plain_removals(rows: list, n: int = 20) -> list:
     first, out = {}, []
-    place = lambda i: (1, 0) if i is None else (0, i)
+    ranks: dict = {}
+
+    def rank(i, text):  # rows without doc_id come last, each text a document of its own
+        return (1, ranks[text or ""]) if i is None else (0, i)
+
+    unnamed = sorted({t or "" for i, t in rows if i is None}, key=lambda t: spark_hash(t))
+    ranks.update({t: k for k, t in enumerate(unnamed)})
     for doc_id, text in rows:
         found = words(text)
         for s in range(len(found) - n + 1):
             window = tuple(found[s : s + n])
-            first[window] = min(first.get(window, (place(doc_id), s)), (place(doc_id), s))
+            first[window] = min(first.get(window, (rank(doc_id, text), s)), (rank(doc_id, text), s))
     for doc_id, text in rows:
         found = words(text)
         gone = set()
         for s in range(len(found) - n + 1):
-            if first[tuple(found[s : s + n])] < (place(doc_id), s):
+            if first[tuple(found[s : s + n])] < (rank(doc_id, text), s):
                 gone.update(range(s, s + n))
         kept = [w for i, w in enumerate(found) if i not in gone]
         out.append((str(doc_id), len(found), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return sorted(out)
 
 
+def spark_hash(text: str) -> int:
+    """Spark's xxhash64 of a string, as the order of rows without doc_id takes it."""
+    return xxhash.xxh64_intdigest(text.encode(), 42) % (1 << 61)
+
+
 @pytest.mark.parametrize("batches", [1, 4])
 def test_repeated_windows_go(docs, batches):
     found = substring_dedup.removal_digest(docs, batches=batches).collect()
@@ -307,6 +319,59 @@ def test_repeated_windows_go(docs, batches):
     assert substring_dedup.removal_digest(docs.where("false")).count() == 0
 
 
+def test_index_is_opened_again(spark, docs, tmp_path):
+    """Two sessions' batches (history, then new documents) give what all documents together give."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.where("doc_id is not null").collect()]
+    expected = plain_removals(rows)
+    path, found = f"file://{tmp_path}/index", []
+    for low, high in ((0, 7), (7, 12), (12, 14), (14, 1000)):
+        part = docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < high))
+        out = substring_dedup.removal_digest(part, batches=2, index=path, history=docs.where(F.col("doc_id") < low))
+        found += [(str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in out.collect()]
+        for table in spark.catalog.listTables():  # as in a new session, which knows the folder alone
+            if table.name.startswith("statloom_"):
+                spark.sql(f"DROP TABLE {table.name}")
+    assert sorted(found) == expected
+    index = substring_dedup.FingerprintIndex(spark, path)
+    assert 1 <= len(index.runs) <= substring_dedup.FAN_OUT
+    before = index.runs
+    with pytest.raises(Exception):
+        substring_dedup.repeats(docs.select("doc_id", F.expr("raise_error('x')").cast("string").alias("text")), index)
+    assert index.pending is None and substring_dedup.FingerprintIndex(spark, path).runs == before
+    index.drop()
+    assert not (tmp_path / "index").exists()
+
+
+def test_repeats_are_verified_by_their_words(spark):
+    same = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, same), (2, "x " + same), (3, "y " + same.replace("w7", "v7"))], "doc_id long, text string")
+    claimed = spark.createDataFrame([(2, [(i + 1, 1, i) for i in range(11)]), (3, [(i + 1, 1, i) for i in range(11)])], "key long, found array<struct<start:int,old_key:long,old_start:int>>")
+    stretches = substring_dedup.stretches_of(claimed, 20)
+    assert sorted((r["key"], r["start"], r["words"], r["old_start"]) for r in stretches.collect()) == [(2, 1, 30, 0), (3, 1, 30, 0)]
+    checks = {r["key"]: [x.asDict() for x in r["checks"]] for r in substring_dedup.verified(stretches, docs).collect()}
+    gone = {i: substring_dedup.removed_words(t.encode(), checks.get(i), False, 20)[2].sum() for i, t in ((2, "x " + same), (3, "y " + same.replace("w7", "v7")))}
+    assert gone == {2: 30, 3: 0}
+
+
+def test_windows_of_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    text = " \n".join(rng.choice([f"w{i}" for i in range(50)], 900)).encode()
+    whole = [(r, s) for group in substring_dedup._parts(pa.array([text, None, text]), 20) for r, b, t in group for s in [(b, t)]]
+    assert len(whole) == 2 and whole[0] == (0, (0, text))
+    one = substring_dedup.Words([text]).windows(20, 10)
+    monkeypatch.setattr(substring_dedup, "GROUP", 300)
+    seen: dict = {}
+    for group in substring_dedup._parts(pa.array([text]), 20):
+        found = substring_dedup.Words([t for _, _, t in group])
+        at, h, check = found.windows(20, 10)
+        base = np.array([b for _, b, _ in group])
+        for w, x, c in zip(at, h, check, strict=True):
+            place = int(base[found.text[w]] + w - found.first[found.text[w]])
+            assert place not in seen
+            seen[place] = (x, c)
+    assert seen == {int(w): (x, c) for w, x, c in zip(*one, strict=True)} and len(seen) == 881
+
+
 def test_texts_without_repeats(spark):
     docs = documents(spark, extra=True)
     out = substring_dedup.without_repeats(docs)
