@@ -65,22 +65,19 @@ def flat_blocks(docs: DataFrame, block_ids: int = BLOCK_IDS, path: str | None =
             columns = [pa.array([file]), pa.array([at], pa.int64()), pa.array([bytes(data)], pa.binary()), pa.array([names], pa.list_(arrow))]
             return pa.record_batch(columns, names=["file", "block", "data", "doc_ids"])
 
-        try:
-            for batch in batches:
-                for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    ids = tokenizer.encode(text.as_py())
-                    held += ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
-                    held += end
-                    ended.append((len(held), name))
-                    while len(held) >= size:
-                        yield full(held[:size], block, [x for at, x in ended if at <= size])
-                        ended = [(at - size, x) for at, x in ended if at > size]
-                        del held[:size]
-                        block += 1
-            if held:
-                yield full(held, block, [x for _, x in ended])
-        finally:
-            tokenizer.forget()
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = tokenizer.encode(text.as_py())
+                held += ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
+                held += end
+                ended.append((len(held), name))
+                while len(held) >= size:
+                    yield full(held[:size], block, [x for at, x in ended if at <= size])
+                    ended = [(at - size, x) for at, x in ended if at > size]
+                    del held[:size]
+                    block += 1
+        if held:
+            yield full(held, block, [x for _, x in ended])
 
     return rows.mapInArrow(write, f"file string, block long, data binary, doc_ids array<{kind.simpleString()}>")
 

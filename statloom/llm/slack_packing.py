@@ -111,21 +111,18 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
             columns = [batch.column(0).take(pa.array(which, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
             return pa.record_batch([*columns, pa.array(ids, pa.binary())], names=["doc_id", "piece", "start", "length", "ids"])
 
-        try:
-            for batch in batches:
-                found, held = [], 0
-                for row, text in enumerate(batch.column(1)):
-                    ids = tokenizer.encode(text.as_py()) + end
-                    for at in range(0, len(ids) // 4, capacity):
-                        part = ids[4 * at : 4 * (at + capacity)]
-                        found.append((row, at // capacity, at, len(part) // 4, part))
-                    held += len(ids)
-                    if held >= TOGETHER:
-                        yield full(batch, found)
-                        found, held = [], 0
-                yield full(batch, found)
-        finally:
-            tokenizer.forget()
+        for batch in batches:
+            found, held = [], 0
+            for row, text in enumerate(batch.column(1)):
+                ids = tokenizer.encode(text.as_py()) + end
+                for at in range(0, len(ids) // 4, capacity):
+                    part = ids[4 * at : 4 * (at + capacity)]
+                    found.append((row, at // capacity, at, len(part) // 4, part))
+                held += len(ids)
+                if held >= TOGETHER:
+                    yield full(batch, found)
+                    found, held = [], 0
+            yield full(batch, found)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids binary")
@@ -175,4 +172,4 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece of every document with its ids and place: sequence_id and offset in it."""
-    return pack(stage(token_pieces(docs, capacity, path), "pieces"), capacity)
+    return pack(stage(token_pieces(docs, capacity, path), "pieces", "zstd"), capacity)  # two of four bytes of an id are mostly 0

@@ -2,10 +2,11 @@
 
 The vocabulary drops white space, lowers letters and merges within runs of letters, single
 digits and runs of other signs only, so the ids of a text are those of its space-separated
-words, one after another; the strings of special tokens hold no space and stand for their own
-ids.  A Python worker keeps the tokenizer from task to task.  Within a task the ids of words it
-has met are remembered up to ``REMEMBERED_BYTES``; only new words are encoded, and of plain
-words (letters, then signs) only new stems.
+words, and the ids of a word those of its runs, one after another.  Runs are found here in texts
+of Latin-1 characters, which lowering and composing keep apart; of other texts, words of other
+characters and with the string of a special token go to the tokenizer.  A Python worker keeps the
+tokenizer and the ids of runs it has met, up to ``REMEMBERED_BYTES``; a full memory learns no
+more, and is emptied when a task begins.
 """
 
 from __future__ import annotations
@@ -16,18 +17,20 @@ import struct
 import sys
 import types
 
+from ._shared import pieces_of
+
 VOCABULARY = "word_bpe_49k.json"
-#: What a task remembers of words and stems, in bytes; beyond that the memory starts anew.
-REMEMBERED_BYTES = 24 << 20
-#: What an entry takes besides its word and ids: two object heads and its share of the table.
-ENTRY_BYTES = 170
-#: Longer words are encoded each time they are met.
+#: What a worker remembers of runs, in bytes.
+REMEMBERED_BYTES = 48 << 20
+#: What an entry takes besides its run and ids: two object heads and its share of the table.
+ENTRY_BYTES = 190
+#: Longer runs are merged each time they are met.
 LONGEST_REMEMBERED = 64
-#: Words of a text that are looked up at once.
-STEP = 1 << 15
 
-#: Letters whose lower form is one letter and that no combining changes, then signs without apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([!-&(-/:-@\[-`{-~]*)\Z")
+#: The vocabulary's runs, in lowered text of Latin-1 characters.
+_RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-z0-9ªµºß-öø-ÿ²³¹¼½¾]+")
+_BEYOND = re.compile("[^\x00-\xff]")
+_SPECIAL = "<|"
 
 
 def worker_memory() -> dict:
@@ -42,6 +45,26 @@ def _letters_of_bytes() -> dict[int, int]:
     return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Ids by run, found by ``find`` where they are new; bounded by bytes."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find, self.held = find, 0
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.find(run)
+        if len(run) <= LONGEST_REMEMBERED and self.held < REMEMBERED_BYTES:
+            self[run] = ids
+            self.held += len(run) + len(ids) + ENTRY_BYTES
+        return ids
+
+    def emptied_if_full(self) -> None:
+        if self.held >= REMEMBERED_BYTES:
+            self.clear()
+            self.held = 0
+
+
 class WordTokenizer:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids."""
 
@@ -57,7 +80,7 @@ class WordTokenizer:
         self.merge = self.tokenizer.model.tokenize
         self.letters = _letters_of_bytes()
         self.ids = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.forget()
+        self.known = Memory(self._run)
 
     @classmethod
     def of_worker(cls, path: str | None = None) -> WordTokenizer:
@@ -65,52 +88,29 @@ class WordTokenizer:
         memory = worker_memory()
         if (key := f"tokenizer {path}") not in memory:
             memory[key] = cls(path)
+        memory[key].known.emptied_if_full()
         return memory[key]
 
-    def forget(self) -> None:
-        """Drops what is remembered; a task does so when it ends."""
-        self.known: dict[bytes, bytes] = {}
-        self.stems: dict[str, bytes] = {}
-        self.held = 0
-
-    def _stem(self, run: str) -> bytes:
-        ids = self.stems.get(run)
-        if ids is None:
-            letters = run if run.isascii() else run.encode().decode("latin-1").translate(self.letters)
-            found = [t.id for t in self.merge(letters)] if run else []
-            ids = struct.pack(f"<{len(found)}I", *found)
-            if len(run) <= LONGEST_REMEMBERED:
-                self.stems[run] = ids
-                self.held += len(run) + len(ids) + ENTRY_BYTES
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if plain := _PLAIN.match(text):
-            stem, signs = plain.groups()
-            return self._stem(stem.lower()) + self._stem(signs) if signs else self._stem(stem.lower())
-        found = self.tokenizer.encode(text, add_special_tokens=False).ids
+    def _run(self, run: str) -> bytes:
+        plain = run.isascii() and run.isprintable()
+        found = [t.id for t in self.merge(run if plain else run.encode().decode("latin-1").translate(self.letters))]
         return struct.pack(f"<{len(found)}I", *found)
 
-    def encode_words(self, words: list[bytes]) -> bytes:
-        if self.held > REMEMBERED_BYTES:
-            self.forget()
-        known, long = self.known, {}
-        for word in words:
-            if word in known:
-                continue
-            if len(word) > LONGEST_REMEMBERED:
-                if word not in long:
-                    long[word] = self._word(word)
-                continue
-            known[word] = ids = self._word(word)
-            self.held += len(word) + len(ids) + ENTRY_BYTES
-        if not long:
-            return b"".join(map(known.__getitem__, words))
-        return b"".join([known[w] if w in known else long[w] for w in words])
+    def _runs(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, _RUN.findall(text.lower())))
+
+    def _word(self, word: str) -> bytes:
+        if _SPECIAL not in word and not _BEYOND.search(word):
+            return self._runs(word)
+        found = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
 
     def encode(self, text: bytes | None) -> bytes:
-        words = (text or b"").split()  # a long text goes piece by piece, to bound what is remembered
-        if len(words) <= STEP:
-            return self.encode_words(words)
-        return b"".join([self.encode_words(words[i : i + STEP]) for i in range(0, len(words), STEP)])
+        out = []
+        for piece in pieces_of(text or b""):
+            said = piece.decode()
+            if _SPECIAL not in said and (said.isascii() or not _BEYOND.search(said)):
+                out.append(self._runs(said))
+            else:
+                out += [self._word(w.decode()) for w in piece.split()]
+        return b"".join(out)
