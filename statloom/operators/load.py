@@ -102,3 +102,8 @@ def rebound(indicators: DataFrame, ident, module: str | None, modules: list[str]
 def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
     """New rows, and old ones whose key is not among them."""
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new)
+
+
+def without(rows: DataFrame, key: str, *gone) -> DataFrame:
+    """The rows but those with one of these keys."""
+    return rows.where(F.col(key).isNull() | ~F.col(key).isin(*gone))

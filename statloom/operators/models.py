@@ -104,6 +104,10 @@ def importances(model) -> list[tuple[str, float]]:
     return sorted(zip(FEATURES, map(float, values), strict=True), key=lambda x: -x[1])
 
 
+def top_importances(model, n: int = 5) -> list[tuple[str, float]]:
+    return importances(model)[:n]
+
+
 def folds(rows: DataFrame, label: str, n: int = 5, seed: int = 42) -> DataFrame:
     """Rows with ``fold``: each label's rows dealt evenly."""
     dealt = rows.withColumn("_h", F.xxhash64(F.lit(seed), *rows.columns))

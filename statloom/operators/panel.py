@@ -43,6 +43,14 @@ def sliding_windows(panel: DataFrame, key: str, value: str, width: int) -> DataF
     return rows.where(F.size("window") == width)
 
 
+def joint_windows(panel: DataFrame, key: str, values: list[str], target: str, width: int) -> DataFrame:
+    """Like ``sliding_windows`` with several values in each step."""
+    line = Window.partitionBy(key).orderBy("year").rowsBetween(-width, -1)
+    step = F.array(*[double(F.col(c)) for c in values])
+    rows = panel.select(key, "year", F.collect_list(step).over(line).alias("window"), F.col(target).alias("target"))
+    return rows.where(F.size("window") == width)
+
+
 def extrapolated(panel: DataFrame, key: str, value: str, steps: int, over: int = 3) -> DataFrame:
     """Years after each key's last: the last value grown by the mean of its last ``over`` growth rates."""
     line = Window.partitionBy(key).orderBy("year")

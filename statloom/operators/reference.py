@@ -38,3 +38,9 @@ def catalogue_text(primary: DataFrame) -> DataFrame:
     line = F.concat_ws(" | ", "module", "name", "unit")
     lines = F.array_sort(F.collect_list(F.struct("module", line.alias("line"))))
     return primary.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))
+
+
+def district_text(districts: DataFrame) -> DataFrame:
+    """One text that lists districts with their ids, for prompts; districts are a fixed list."""
+    lines = F.array_sort(F.collect_list(F.struct("district_id", F.concat_ws(" | ", "district_id", "name").alias("line"))))
+    return districts.agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("text"))

@@ -49,6 +49,48 @@ def training_pairs(macro: DataFrame) -> DataFrame:
     return rows.select("indicator", "year", F.inline(F.filter(F.array(value, growth, share), lambda x: x.isNotNull())))
 
 
+def _said(kind: str, rows: DataFrame, human: Column, gpt: Column) -> DataFrame:
+    return rows.select(F.lit(kind).alias("kind"), human.alias("human"), gpt.alias("gpt"))
+
+
+def generated(macro: DataFrame, labour: DataFrame) -> DataFrame:
+    """(kind, human, gpt): questions with answers from macro figures (indicator, year, value) and labour (district_id, year, active, rate).
+
+    Ten kinds: value, growth and share of each figure; change from the first to the last year, the
+    highest and lowest year, and the mean of the last three growth rates of each indicator; the
+    balance of trade by year; the largest indicator by year; the rate of each district and year;
+    the best and worst district by year.
+    """
+    text, number = lambda c: F.col(c).cast("string"), fixed
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    pairs = training_pairs(macro)
+    kind = F.when(F.endswith("human", F.lit(" ósim?")), "growth").when(F.endswith("human", F.lit(" úlesi?")), "share").otherwise("value")
+    every = [pairs.select(kind.alias("kind"), "human", "gpt")]
+
+    ends = macro.groupBy("indicator").agg(
+        F.min("year").alias("a"), F.max("year").alias("b"), F.min_by("value", "year").alias("va"), F.max_by("value", "year").alias("vb"),
+        F.max_by("year", F.struct(F.col("value"), -F.col("year"))).alias("top"), F.min_by("year", F.struct("value", "year")).alias("low"),
+    ).where("a < b")
+    times = F.col("vb") / F.nullif(F.col("va"), F.lit(0.0))
+    every.append(_said("change", ends, say(F.col("indicator"), " ", text("a"), "–", text("b"), "?"), say(number(F.col("va")), " → ", number(F.col("vb")), " (", number(times), " ese)")))
+    every.append(_said("extremes", ends, say(F.col("indicator"), " eń joqarı?"), say(text("top"), ", ", text("low"))))
+    line = Window.partitionBy("indicator").orderBy("year")
+    grown = macro.withColumn("g", (F.col("value") - F.lag("value").over(line)) / F.nullif(F.abs(F.lag("value").over(line)), F.lit(0.0)) * 100)
+    grown = grown.withColumn("back", F.row_number().over(Window.partitionBy("indicator").orderBy(F.desc("year")))).where("back <= 3")
+    means = grown.groupBy("indicator").agg(F.avg("g").alias("g")).where("g is not null")
+    every.append(_said("mean_growth", means, say(F.col("indicator"), " ortasha ósim?"), say(number(F.col("g")), "%")))
+    side = lambda name, alias: macro.where(F.col("indicator") == name).select("year", F.col("value").alias(alias))
+    trade = side("Eksport", "x").join(side("Import", "m"), "year")
+    every.append(_said("trade", trade, say("Saldo ", text("year"), "?"), say(number(F.col("x") - F.col("m")), F.when(F.col("x") > F.col("m"), " artıqsha").otherwise(" kemshilik"))))
+    largest = macro.groupBy("year").agg(F.max_by("indicator", F.struct("value", "indicator")).alias("i"))
+    every.append(_said("largest", largest, say(text("year"), " eń úlken?"), F.col("i")))
+    known = labour.where("rate is not null")
+    every.append(_said("rate", known, say(F.col("district_id"), " ", text("year"), " jumıssızlıq?"), say(number(F.col("rate")), "%, ", text("active"))))
+    best = known.groupBy("year").agg(F.min_by("district_id", F.struct("rate", "district_id")).alias("least"), F.max_by("district_id", F.struct("rate", "district_id")).alias("most"))
+    every.append(_said("districts", best, say(text("year"), " eń jaqsı rayon?"), say(F.col("least"), ", ", F.col("most"))))
+    return reduce(DataFrame.unionByName, every)
+
+
 def prompt_text(instructions: str, lines: DataFrame, order: str = "line") -> DataFrame:
     """One text: the instructions and the lines below them, for few lines."""
     return lines.agg(F.concat(F.lit(instructions + "\n"), F.array_join(F.array_sort(F.collect_list(F.col(order))), "\n")).alias("prompt"))

@@ -45,3 +45,8 @@ def seeded(spark, districts: DataFrame, templates: DataFrame, year: int = 2026)
         (i + 1).alias("id"), "title", "district_id", F.col("module").alias("module_id"), "progress", progress_status(F.col("progress")).alias("status"),
         F.make_date(F.lit(year), (1 + i % 12).cast("int"), F.lit(28)).alias("deadline"),
     )
+
+
+def seeded_if_empty(tasks: DataFrame, spark, districts: DataFrame, templates: DataFrame) -> DataFrame:
+    """The tasks as they are, or those of the templates where there are none."""
+    return seeded(spark, districts, templates).select(*tasks.columns) if tasks.isEmpty() else tasks

@@ -661,3 +661,56 @@ def urgent_tasks(spark, sf_dir):
 def combined_forecasts(spark, sf_dir):
     rows = series.national_series(tables.observations(spark, sf_dir))
     return retrieval.combined({"a": rows.where("indicator_id = 'BUILDING'"), "b": rows.where("indicator_id = 'MACHINERY'")})
+
+
+# --- training pairs, windows, small changes ----------------------------------------------------------
+
+MORE_MACRO = "macro2 AS (SELECT CASE indicator_id WHEN 'BUILDING' THEN 'JAO' WHEN 'MACHINERY' THEN 'Eksport' WHEN 'HOUSEHOLD' THEN 'Import' ELSE 'Sanaat' END AS indicator, year, value FROM points WHERE indicator_id <> 'AUTOMOBILE')"
+
+
+@query(OBSERVATIONS, series_sql(False), MORE_MACRO, PANEL, sql=""" , l AS (SELECT *, lag(value) OVER (PARTITION BY indicator ORDER BY year) AS before, row_number() OVER (PARTITION BY indicator ORDER BY year DESC) AS back FROM macro2),
+e AS (SELECT indicator, min(year) AS a, max(year) AS b, arg_min(value, year) AS va, arg_max(value, year) AS vb, arg_max(year, struct_pack(v := value, y := -year)) AS top, arg_min(year, struct_pack(v := value, y := year)) AS low FROM macro2 GROUP BY 1 HAVING min(year) < max(year))
+SELECT 'change' AS kind, indicator || ' ' || a || '–' || b || '?' AS human, printf('%.1f', va) || ' → ' || printf('%.1f', vb) || ' (' || printf('%.1f', vb / va) || ' ese)' AS gpt FROM e
+UNION ALL SELECT 'extremes', indicator || ' eń joqarı?', top || ', ' || low FROM e
+UNION ALL SELECT 'mean_growth', indicator || ' ortasha ósim?', printf('%.1f', avg((value - before) / abs(before) * 100)) || '%' FROM l WHERE back <= 3 GROUP BY indicator HAVING count(before) > 0
+UNION ALL SELECT 'trade', 'Saldo ' || x.year || '?', printf('%.1f', x.value - m.value) || CASE WHEN x.value > m.value THEN ' artıqsha' ELSE ' kemshilik' END FROM macro2 x JOIN macro2 m ON m.indicator = 'Import' AND m.year = x.year WHERE x.indicator = 'Eksport'
+UNION ALL SELECT 'largest', year || ' eń úlken?', arg_max(indicator, struct_pack(v := value, i := indicator)) FROM macro2 GROUP BY year
+UNION ALL SELECT 'rate', district_id || ' ' || year || ' jumıssızlıq?', printf('%.1f', rate) || '%, ' || active FROM panel
+UNION ALL SELECT 'districts', year || ' eń jaqsı rayon?', arg_min(district_id, struct_pack(r := rate, d := district_id)) || ', ' || arg_max(district_id, struct_pack(r := rate, d := district_id)) FROM panel GROUP BY year""")
+def generated_pairs(spark, sf_dir):
+    names = F.create_map(*[F.lit(x) for pair in (("BUILDING", "JAO"), ("MACHINERY", "Eksport"), ("HOUSEHOLD", "Import"), ("FURNITURE", "Sanaat")) for x in pair])
+    rows = series.national_series(tables.observations(spark, sf_dir)).where("indicator_id <> 'AUTOMOBILE'")
+    macro = cut(rows.select(F.try_element_at(names, F.col("indicator_id")).alias("indicator"), "year", "value"))
+    return retrieval.generated(macro, tables.panel(spark, sf_dir)).where("kind not in ('value', 'growth', 'share')")  # those are training_texts
+
+
+@query(PANEL, sql=""" SELECT district_id, year, w1 || ',' || w2 AS steps, target FROM (SELECT district_id, year, lag(active, 2) OVER w || ':' || lag(employed, 2) OVER w AS w1, lag(active) OVER w || ':' || lag(employed) OVER w AS w2, unemployed AS target
+  FROM panel WINDOW w AS (PARTITION BY district_id ORDER BY year)) WHERE w1 IS NOT NULL""")
+def joint_windows(spark, sf_dir):
+    rows = panel.joint_windows(tables.panel(spark, sf_dir), "district_id", ["active", "employed"], "unemployed", 2)
+    steps = F.array_join(F.transform("window", lambda x: F.concat_ws(":", F.transform(x, lambda v: v.cast("long").cast("string")))), ",")
+    return rows.select("district_id", "year", steps.alias("steps"), "target")
+
+
+@query(TASKS, sql=" SELECT id FROM tasks WHERE id NOT IN (1, 2, 3)")
+def deleted_tasks(spark, sf_dir):
+    return load.without(tables.tasks(spark, sf_dir), "id", 1, 2, 3).select("id")
+
+
+@query(TASKS, sql=" SELECT count(*) AS n, (SELECT count(*) FROM nation) AS seeded FROM tasks")
+def tasks_or_seeds(spark, sf_dir):
+    templates = tables.read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("ord"), F.col("n_name").alias("title"), F.lit("sanaat").alias("module"))
+    some, none = tables.tasks(spark, sf_dir).select("id", "progress"), tables.tasks(spark, sf_dir).select("id", "progress").where("false")
+    seed = lambda df: tasks.seeded_if_empty(df, spark, tables.districts(spark, sf_dir), templates).agg(F.count("*").alias("n"))
+    return seed(some).crossJoin(seed(none).withColumnRenamed("n", "seeded"))  # one row each
+
+
+@query(OBSERVATIONS, sql=" SELECT string_agg(district_id || ' | ' || name, chr(10) ORDER BY district_id) AS text FROM districts")
+def district_catalogue(spark, sf_dir):
+    return reference.district_text(tables.districts(spark, sf_dir))
+
+
+@query(OBSERVATIONS, layer_sql(YEAR), sql=f" SELECT 'Answer:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS prompt FROM (SELECT concat_ws(' | ', indicator_id, name, {_amount('value')}, {_pct('yoy')}) AS line FROM layer WHERE value IS NOT NULL AND indicator_id = 'BUILDING')")
+def prompt_of_lines(spark, sf_dir):
+    lines = questions.context(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), YEAR).where("indicator_id = 'BUILDING'")
+    return retrieval.prompt_text("Answer:", lines)
