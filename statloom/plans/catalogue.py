@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..constants import TOPIC_KEYWORDS
 from ..functions import colour, numbers, period, text
 from ..operators import catalog, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, reference, retrieval, series, shapes, tasks
 from . import tables
@@ -693,11 +694,18 @@ def _macro(spark: SparkSession, sf_dir: str) -> DataFrame:
 MACRO = "macro AS (SELECT CASE indicator_id WHEN 'BUILDING' THEN 'JAO' WHEN 'MACHINERY' THEN 'Eksport' ELSE 'Sanaat' END AS indicator, year, value FROM points WHERE indicator_id IN ('BUILDING', 'MACHINERY', 'FURNITURE'))"
 
 
-@query(OBSERVATIONS, series_sql(False), MACRO, sql=""" , asked AS (SELECT 1 AS id, 'JAO' AS indicator, CAST(NULL AS INT) AS y UNION ALL SELECT 2, 'Sanaat', NULL UNION ALL SELECT 2, 'Eksport', NULL UNION ALL SELECT 3, 'JAO', NULL)
+TOPICS = "topics AS (SELECT * FROM (VALUES " + ", ".join("('" + k.replace("'", "''") + f"', '{t}')" for k, t in TOPIC_KEYWORDS.items()) + ") t(word, indicator))"
+PROMPTS = ["gdp 1999, 2000?", "sanoat va eksport", "salem", "Eksport 2012-jıl, 2019?"]
+
+
+@query(OBSERVATIONS, series_sql(False), MACRO, TOPICS, sql=f""" , said AS (SELECT conv_id || '-' || turn AS id, text FROM conversations UNION ALL SELECT 'p' || i, p FROM (SELECT unnest({PROMPTS}) AS p, unnest(range(4)) AS i)),
+hits AS (SELECT DISTINCT id, indicator FROM said JOIN topics ON contains(lower(text), word)),
+asked AS (SELECT s.id, coalesce(h.indicator, 'JAO') AS indicator, CAST(regexp_extract_all(text, '\\b20[12][0-9]\\b')[-1] AS INT) AS y FROM said s LEFT JOIN hits h USING (id))
 SELECT id, indicator, year, value FROM asked JOIN (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY year DESC) AS back FROM macro) USING (indicator) WHERE CASE WHEN y IS NOT NULL THEN year = y ELSE back <= 4 END""")
 def retrieved_figures(spark, sf_dir):
-    asked = spark.createDataFrame([(1, "gdp 1999, 2000?"), (2, "sanoat va eksport"), (3, "salem")], "id int, prompt string")
-    return retrieval.figures(asked, _macro(spark, sf_dir))
+    turns = tables.read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("prompt"))
+    more = spark.createDataFrame([(f"p{i}", p) for i, p in enumerate(PROMPTS)], "id string, prompt string")
+    return retrieval.figures(turns.unionByName(more), _macro(spark, sf_dir))
 
 
 @query(OBSERVATIONS, series_sql(False), MACRO, sql=""" , x AS (SELECT m.*, b.value AS base, w.value AS whole FROM macro m LEFT JOIN macro b ON b.indicator = m.indicator AND b.year = m.year - 1 LEFT JOIN macro w ON w.indicator = 'JAO' AND w.year = m.year)

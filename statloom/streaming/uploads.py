@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.load import first_of_each, refreshed
+from ..operators.load import first_of_each
 
 OBSERVATIONS = "indicator_id int, district_id string, year int, period string, period_no int, value double, ord long"
 
@@ -20,18 +20,15 @@ def incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upsert_stream(arriving: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Each batch replaces the observations of the indicators it holds, as a new version of ``target``.
+    """Each batch replaces the observations of the indicators it holds; ``target`` has a partition for each.
 
-    Versions are folders target/v=N; the highest counts.  A batch that is run again writes
-    the same version again.
+    Only the partitions of these indicators are written, nothing old is read.  A batch that is
+    run again writes the same partitions again.
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        new = first_of_each(batch).drop("ord")
-        if number:
-            new = refreshed(spark.read.parquet(f"{target}/v={number - 1}"), new)
-        new.write.mode("overwrite").parquet(f"{target}/v={number}")
+        new = first_of_each(batch).drop("ord").repartition("indicator_id")
+        new.write.partitionBy("indicator_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
 
     writer = arriving.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
