@@ -6,8 +6,8 @@ also starts earlier (smaller doc_id, or earlier in the same document) are remove
 Documents come in batches.  A batch's fingerprints form an immutable run: a table bucketed and
 sorted by hash.  A new batch's run is merge-joined with the runs of the history, bucket by bucket
 without a shuffle of the history; a window found there, or earlier in its own batch, is a repeat.
-Then the run joins the history, and when ``FAN_OUT`` runs have gathered they are compacted into
-one that keeps each fingerprint's earliest place.  The index lies in a folder that can be opened
+Then the run joins the history; where ``FAN_OUT`` runs have gathered they are compacted, before the
+next batch, into one that keeps each fingerprint's earliest place.  The index lies in a folder that can be opened
 again, so that a later batch meets all that came before (``FingerprintIndex``, ``deduplicated``).
 
 Every window of every document is in the index, most of them folded: a window names the least
@@ -20,6 +20,8 @@ within the task are known to do so, the others travel under hashes of their own,
 a third of all documents is no hot key.  Exact copies of a whole document need no windows: all
 their words repeat if they have as many as a window.
 
+Joins of texts are sort-merge joins at every size: the other side grows with the corpus.
+
 Windows are compared by 96 bits of their words.  The words themselves are compared once more for
 the repeats that go: a stretch of repeated windows must have the same digest as the stretch of the
 earlier document that it repeats; one that has not stays (``verified``).
@@ -52,7 +54,7 @@ FAN_OUT = 2
 #: Texts hashed at once, in bytes; longer texts are hashed in pieces of that size.
 GROUP = 1 << 20
 #: Windows that a task brings together before it passes them on.
-TOGETHER = 1 << 19
+TOGETHER = 1 << 18
 #: Keys of rows without doc_id begin here.
 UNNAMED = 1 << 62
 #: What an index row stands for.
@@ -270,6 +272,8 @@ class FingerprintIndex:
 
         The batch comes after all that is in the index; within it the order is that of keys.
         """
+        if len(self.runs) >= FAN_OUT:
+            self.compact()
         self.pending = self._write(rows)
         new = self._table(self.pending)
         folded = new.where(F.col("kind") == FOLDED)
@@ -304,8 +308,6 @@ class FingerprintIndex:
         """The run that was added joins the history."""
         self._commit([*self.runs, self.pending])
         self.pending = None
-        if len(self.runs) > FAN_OUT:
-            self.compact()
 
     def compact(self) -> None:
         """Merges the runs into one that keeps the earliest place of each fingerprint."""
@@ -367,7 +369,7 @@ def repeats(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, anch
         for low, high in zip(edges, edges[1:], strict=False):
             part = F.lit(True) if low is None else F.col("key") > low
             part = part if high is None else part & (F.col("key") <= high)
-            batch = rows.where(part).join(copies.where(part), "key", "left")
+            batch = rows.where(part).join(copies.where(part).hint("merge"), "key", "left")
             batch = batch.where(F.coalesce(~F.array_contains("copies", F.md5("text")), F.lit(True)))
             found = index.add(window_rows(batch, window, anchor))
             with shuffles_freed(spark):
@@ -426,7 +428,7 @@ def verified(stretches: DataFrame, docs: DataFrame) -> DataFrame:
 
     asked = stretches.select("old_key", "old_start", "words").distinct()
     asked = stage(asked.groupBy("old_key").agg(F.collect_list(F.struct("old_start", "words")).alias("asked")), "asked")
-    rows = keyed(docs).join(asked, F.col("key") == F.col("old_key")).select("old_key", F.col("text").cast("binary").alias("text"), "asked")
+    rows = keyed(docs).join(asked.hint("merge"), F.col("key") == F.col("old_key")).select("old_key", F.col("text").cast("binary").alias("text"), "asked")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -442,7 +444,7 @@ def verified(stretches: DataFrame, docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(words, pa.int32()), pa.array(digest, pa.binary())], names=["old_key", "old_start", "words", "digest"])
 
     digests = rows.mapInArrow(read, "old_key long, old_start int, words int, digest binary").distinct()
-    told = stretches.join(stage(digests, "digests"), ["old_key", "old_start", "words"])
+    told = stretches.join(stage(digests, "digests").hint("merge"), ["old_key", "old_start", "words"])
     return told.groupBy("key").agg(F.collect_set(F.struct("start", "words", "digest")).alias("checks"))
 
 
@@ -481,7 +483,7 @@ def _with_repeats(docs: DataFrame, window: int, anchor: int, batches: int, index
         every = history.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "text").unionByName(every)
     checks = stage(verified(stage(stretches_of(found, window), "stretches"), every), "checks")
     named = docs.select(F.struct("*").alias("row"), key_of().alias("key"), whole_text().alias("text"))
-    joined = named.join(checks, "key", "left").join(copies, "key", "left")
+    joined = named.join(checks.hint("merge"), "key", "left").join(copies.hint("merge"), "key", "left")
     whole = F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False))
     return joined.select("row", F.col("text").cast("binary").alias("text"), "checks", whole.alias("whole"))
 
