@@ -238,7 +238,12 @@ def _sheet(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-TITLE = F.concat("title", F.lit(" sanaat ónimi kólemi (mln. som)"))
+
+
+def _title() -> Column:
+    return F.concat("title", F.lit(" sanaat ónimi kólemi (mln. som)"))
+
+
 READ = " SELECT title || ' sanaat ónimi kólemi (mln. som)' AS indicator, 'mln. som' AS unit, district_id, year, value FROM facts"
 BACK = ("indicator", "unit", "district_id", "year", "value")
 
@@ -247,7 +252,7 @@ BACK = ("indicator", "unit", "district_id", "year", "value")
 def sheets_of_years_across(spark, sf_dir):
     f = cut(_facts(spark, sf_dir))
     at, down = F.col("year") - 2001, F.col("nr") + 3
-    cells = _sheet(_cell(f, 0, 0, TITLE), _cell(f, 2, at, F.concat(F.col("year").cast("string"), F.lit("-jıl"))), _cell(f, down, 0, F.col("label")), _cell(f, down, at, F.col("value")))
+    cells = _sheet(_cell(f, 0, 0, _title()), _cell(f, 2, at, F.concat(F.col("year").cast("string"), F.lit("-jıl"))), _cell(f, down, 0, F.col("label")), _cell(f, down, at, F.col("value")))
     return grammar.records(cells).select(*BACK)
 
 
@@ -255,7 +260,7 @@ def sheets_of_years_across(spark, sf_dir):
 def sheets_of_years_down(spark, sf_dir):
     f = cut(_facts(spark, sf_dir))
     head, down = (F.col("year") - 2001) * 20, (F.col("year") - 2001) * 20 + F.col("nr") + 1
-    cells = _sheet(_cell(f, 0, 0, TITLE), _cell(f, 1, 1, "Jámi"), _cell(f, head, 0, F.col("year").cast("string")), _cell(f, down, 0, F.col("label")), _cell(f, down, 1, F.col("value")))
+    cells = _sheet(_cell(f, 0, 0, _title()), _cell(f, 1, 1, "Jámi"), _cell(f, head, 0, F.col("year").cast("string")), _cell(f, down, 0, F.col("label")), _cell(f, down, 1, F.col("value")))
     return grammar.records(cells).select(*BACK)
 
 
