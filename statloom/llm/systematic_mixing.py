@@ -6,9 +6,10 @@ class, one random offset is added, and a document is emitted once for each whole
 stretch crosses.  Ordering by size spreads the copies evenly over short and long documents,
 so the words taken come near the target.
 
-The prefix sum is computed in three steps: documents are counted by source, size class and a
-slice of 4096 by a digest of doc_id; class counts are summed along each source, slice counts
-along each class of a source, and only within such a slice are documents numbered.  A hot source
+The prefix sum is computed in steps: documents are counted by source, size class and a slice of
+4096 by a digest of doc_id; class counts are summed along each source, counts by the slice's first
+digit along each class of a source, slice counts along each of these, and only within a slice are
+documents numbered.  A hot source
 is thereby spread over its classes and slices.  Sources, which may be very many, are numbered and
 summed up in ranges.
 
@@ -83,9 +84,13 @@ def with_copies(df: DataFrame, targets: DataFrame, groups: DataFrame, ties: list
     along = Window.partitionBy("source_key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # some hundred classes
     bases = groups.groupBy("source_key", "class").agg(F.sum("held").alias("held"))
     bases = bases.select("source_key", "class", F.coalesce(F.sum("held").over(along), zero).alias("base")).join(targets, "source_key")
-    slices = Window.partitionBy("source_key", "class").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = groups.withColumn("first", F.coalesce(F.sum("held").over(slices), zero)).join(bases, ["source_key", "class"])
-    starts = starts.withColumn("first", F.col("first") + F.col("base"))
+    first_digit = F.substring("slice", 1, 1).alias("digit")
+    digits = groups.groupBy("source_key", "class", first_digit).agg(F.sum("held").alias("held"))
+    by_digit = Window.partitionBy("source_key", "class").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)  # 17 digits
+    digits = digits.withColumn("before", F.coalesce(F.sum("held").over(by_digit), zero)).drop("held").join(bases, ["source_key", "class"])
+    slices = Window.partitionBy("source_key", "class", "digit").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.withColumn("digit", first_digit).withColumn("first", F.coalesce(F.sum("held").over(slices), zero)).join(digits, ["source_key", "class", "digit"])
+    starts = starts.withColumn("first", F.col("first") + F.col("base") + F.col("before"))
     within = Window.partitionBy("source_key", "class", "slice").orderBy("size", "doc_id", F.xxhash64(*ties))
     numbered = df.withColumn("nth", F.row_number().over(within) - 1).join(
         starts.select("source_key", "class", "slice", "first", "source_size", "target"), ["source_key", "class", "slice"]
