@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
+    block_norm_clustering,
     byte_cnn,
+    chat_formatting,
     collision_search,
     hypergeometric_sharding,
     risk_thresholds,
@@ -15,6 +17,7 @@ from . import (
     slack_packing,
     substring_dedup,
     systematic_mixing,
+    target_resampling,
     temporal_list_join,
 )
 from ._shared import read_table, whole_text
@@ -69,6 +72,18 @@ def op10_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_cnn.quality_scores(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op11_block_norm_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_norm_clustering.clustered(read_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def op12_collapsed_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target_resampling.resampled(read_table(spark, sf_dir, "documents", "doc_id", "text"), read_table(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_schema_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_formatting.conversation_digests(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -82,6 +97,9 @@ QUERIES = {
         op8_systematic_mixing,
         op9_minimum_bin_slack,
         op10_byte_cnn,
+        op11_block_norm_clustering,
+        op12_collapsed_resampling,
+        op13_schema_fingerprints,
     )
 }
 ORACLE_SQL = {
@@ -89,4 +107,6 @@ ORACLE_SQL = {
     "op4_temporal_list_join": temporal_list_join.ORACLE_SQL,
     "op7_risk_controlled_rules": risk_thresholds.ORACLE_SQL,
     "op8_systematic_mixing": systematic_mixing.ORACLE_SQL,
+    "op11_block_norm_clustering": block_norm_clustering.ORACLE_SQL,
+    "op13_schema_fingerprints": chat_formatting.ORACLE_SQL,
 }
