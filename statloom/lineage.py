@@ -31,10 +31,16 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def staged(df: DataFrame, label: str = "rows") -> DataFrame:
+    """The rows written to the shared folder as Parquet and read again: computed once, later plans see columns and sizes."""
+    path = scratch(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the session's checkpoint folder; later plans begin at them."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The rows with their lineage cut."""
+    return staged(df, "cut")
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
