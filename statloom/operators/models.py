@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import double
+from ..lineage import cut
+from . import boosting
 
 FEATURES = [
     "rate", "rate_diff", "active", "employed", "unemployed", "active_diff", "employed_diff",
@@ -88,8 +92,16 @@ def early_warning(features: DataFrame, trees: int = 60, depth: int = 4, seed: in
     return Pipeline(stages=stages).fit(features)
 
 
+def boosted_warning(features: DataFrame, rounds: int = 200, **settings) -> boosting.Boosted:
+    """Boosted trees over the features, label 0 to 2."""
+    return boosting.fit(features, FEATURES, "label", 3, rounds, **settings)
+
+
 def warned(model, features: DataFrame, key: str = "district_id") -> DataFrame:
-    """Predictions with the probability of each class and whether they are right."""
+    """Predictions of a forest or of boosted trees with the probability of each class and whether they are right."""
+    if isinstance(model, boosting.Boosted):
+        rows = boosting.scored(model, features, [key, "year", "rate", "label"])
+        return rows.select(key, "year", "rate", "label", "predicted", (F.col("predicted") == F.col("label")).alias("right"), "p0", "p1", "p2")
     p = vector_to_array("probability")
     rows = model.transform(features)
     return rows.select(
@@ -100,6 +112,8 @@ def warned(model, features: DataFrame, key: str = "district_id") -> DataFrame:
 
 def importances(model) -> list[tuple[str, float]]:
     """Features by importance, largest first."""
+    if isinstance(model, boosting.Boosted):
+        return model.importances()
     values = model.stages[-1].featureImportances.toArray()
     return sorted(zip(FEATURES, map(float, values), strict=True), key=lambda x: -x[1])
 
@@ -147,12 +161,12 @@ def report_averages(report: DataFrame) -> DataFrame:
     return macro.unionByName(weighted.withColumn("average", F.lit("weighted")))
 
 
-def cross_validated(rows: DataFrame, key: str, n: int = 5) -> DataFrame:
+def cross_validated(rows: DataFrame, key: str, n: int = 5, fit: Callable[[DataFrame], object] = early_warning) -> DataFrame:
     """(fold, macro_f1) of a classifier fitted on all other folds; few folds, one after another."""
-    dealt = folds(rows.select(key, "year", "label", *FEATURES), "label", n).persist()
+    dealt = cut(folds(rows.select(key, "year", "rate", "label", *[c for c in FEATURES if c != "rate"]), "label", n))
     scores = None
     for fold in range(n):
-        model = early_warning(dealt.where(F.col("fold") != fold))
+        model = fit(dealt.where(F.col("fold") != fold))
         own = macro_f1(warned(model, dealt.where(F.col("fold") == fold), key)).withColumn("fold", F.lit(fold))
         scores = own if scores is None else scores.unionByName(own)
     return scores.select("fold", "macro_f1")
@@ -244,36 +258,6 @@ def autoregressive_forecast(panel: DataFrame, key: str, value: str, steps: int,
     return rows.groupBy(key).applyInPandas(fit, f"{key} {kind}, year int, yhat double, lower double, upper double")
 
 
-#: Indicator to (model, its inputs); others take the trend.
-DRIVERS = {"export": ("autoregressive", []), "investment": ("autoregressive", ["export"]), "services": ("ensemble", ["export"])}
-
-
-def forecast(wide: DataFrame, target: str | None = None, steps: int = 5, drivers: dict = DRIVERS) -> DataFrame:
-    """(indicator, year, yhat, lower, upper, model) of one indicator of a yearly frame (year and a column for each), or of all.
-
-    ``steps`` is kept within 1 and 10.  An indicator takes the model that its driver names; where
-    that gives nothing, the trend; an unknown indicator gives no rows.
-    """
-    steps, known = max(1, min(steps, 10)), [c for c in wide.columns if c != "year"]
-    out = None
-    for name in known if target is None else [c for c in known if c == target]:
-        model, inputs = drivers.get(name, ("trend", []))
-        own = wide.withColumn("indicator", F.lit(name))
-        parts = {"trend": trend_forecast(own, "indicator", name, steps)}
-        if model != "trend":
-            parts[model] = autoregressive_forecast(own, "indicator", name, steps, [c for c in inputs if c in known])
-        rows = parts[model].withColumn("model", F.lit(model))
-        if model == "ensemble":
-            both = [df.withColumn("part", F.lit(i)) for i, df in enumerate(parts.values())]
-            rows = both[0].unionByName(both[1]).groupBy("indicator", "year").agg(*[F.avg(c).alias(c) for c in ("yhat", "lower", "upper")]).withColumn("model", F.lit(model))
-        if model != "trend":
-            rest = parts["trend"].join(rows.select("indicator", "year"), ["indicator", "year"], "left_anti")
-            rows = rows.unionByName(rest.withColumn("model", F.lit("trend")))
-        out = rows if out is None else out.unionByName(rows)
-    empty = wide.sparkSession.createDataFrame([], "indicator string, year int, yhat double, lower double, upper double, model string")
-    return empty if out is None else out
-
-
 def summary_of(forecasts: DataFrame, history: DataFrame) -> DataFrame:
     """Of each indicator (history: indicator, year, value) its last value, its last forecast, and the change between them in percent."""
     last = history.groupBy("indicator").agg(F.max_by("value", "year").alias("last_value"), F.max("year").alias("last_year"))
@@ -283,7 +267,9 @@ def summary_of(forecasts: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def save(model, path: str) -> None:
-    """A fitted pipeline written to a folder, over what is there."""
+    """A fitted pipeline, or boosted trees, written to a folder, over what is there."""
+    if isinstance(model, boosting.Boosted):
+        return model.save(SparkSession.active(), path)
     model.write().overwrite().save(path)
 
 

@@ -7,18 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .models import early_warning, ensemble, measures, trend_forecast, warned
+from ..lineage import cut
+from .models import boosted_warning, ensemble, measures, trend_forecast, warned
 from .panel import features, split_by_years
 from .plan_actual import completion, critical, status_counts, summary_by_module
 
 
-def weak_spots(panel: DataFrame, year: int | None = None, key: str = "district_id") -> DataFrame:
+def weak_spots(panel: DataFrame, year: int | None = None, key: str = "district_id", fit: Callable[[DataFrame], object] = boosted_warning) -> DataFrame:
     """Districts whose rate is predicted in the worst class, most probable first; the last year unless one is given.
 
     Lags are taken over the whole panel, and only then the year is chosen.
     """
-    ready = features(panel, key)
-    rows = warned(early_warning(ready), ready, key)
+    ready = cut(features(panel, key))
+    rows = warned(fit(ready), ready, key)
     if year is None:
         rows = rows.join(F.broadcast(rows.agg(F.max("year").alias("year"))), "year")  # one row
     else:
@@ -26,10 +27,15 @@ def weak_spots(panel: DataFrame, year: int | None = None, key: str = "district_i
     return rows.where("predicted = 2").orderBy(F.desc("p2"), key)
 
 
-def holdout(panel: DataFrame, key: str, value: str, years: list[int]) -> DataFrame:
-    """Measures of the trend forecast for years left out of the fit."""
+def critical_counts(warnings: DataFrame, key: str = "district_id") -> DataFrame:
+    """Of each year the number of districts predicted in the worst class, and of all."""
+    return warnings.groupBy("year").agg(F.count_distinct(F.when(F.col("predicted") == 2, F.col(key))).alias("critical"), F.count_distinct(key).alias("districts"))
+
+
+def holdout(panel: DataFrame, key: str, value: str, years: list[int], model: Callable[..., DataFrame] = trend_forecast) -> DataFrame:
+    """Measures of a model's forecast (key, year, yhat, lower, upper) for years left out of the fit."""
     past, test = split_by_years(panel, years)
-    ahead = trend_forecast(past, key, value, len(years))
+    ahead = model(past, key, value, len(years))
     truth = test.select(key, F.col("year").cast("int").alias("year"), F.col(value).alias("actual"))
     return measures(ahead.join(truth, [key, "year"]), key)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import TOPIC_KEYWORDS
 from ..functions import colour, numbers, period, text
-from ..operators import catalog, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, reference, retrieval, series, shapes, tasks
+from ..operators import backtest, catalog, changepoints, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, recurrent, reference, retrieval, series, shapes, tasks
 from . import tables
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
 
@@ -657,6 +657,23 @@ def search_forms(spark, sf_dir):
     return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", text.search_form(F.col("text")).alias("form"))
 
 
+@query()
+def changepoint_forecasts(spark, sf_dir):
+    return changepoints.yearly_forecast(tables.panel(spark, sf_dir), "district_id", "active", 5)
+
+
+@query()
+def recurrent_forecasts(spark, sf_dir):
+    return recurrent.forecast(tables.quarters(spark, sf_dir), "district_id", "active", 5)
+
+
+@query()
+def backtest_grid(spark, sf_dir):
+    configurations = (*backtest.CLOSED, backtest.Configuration("changepoints", "changepoints"), *backtest.GRID)
+    found = backtest.backtested(tables.quarters(spark, sf_dir), "district_id", "active", configurations, (1998 * 4, 1999 * 4), 2)
+    return backtest.scores(found, "district_id")
+
+
 @query()
 def trend_forecasts(spark, sf_dir):
     return models.trend_forecast(tables.panel(spark, sf_dir), "district_id", "active", 5)
@@ -744,10 +761,25 @@ def enough_values(spark, sf_dir):
     return panel.enough(tables.panel(spark, sf_dir).select("district_id", "year", "active"), "district_id", "active", 3, 80, 200)
 
 
-@query(PANEL, FORECASTS, sql=" SELECT district_id, arg_min(model, m * 10 + ascii(model)) AS configuration, min(m) AS mape FROM (SELECT district_id, model, any_value(ascii(model) - 96) * count(*) AS m FROM forecasts GROUP BY district_id, model) GROUP BY 1")
+ORIGINS = (1995, 1996, 1997)
+#: Forecasts of the closed-form configurations from each origin, and what came in the two years after.
+BACKTESTS = f"""backtests AS (SELECT f.district_id, configuration, origin, CAST(p.year AS INT) AS year, CAST(p.active AS DOUBLE) AS actual,
+    CASE configuration WHEN 'last' THEN last WHEN 'drift' THEN last + (last - first) / (last_year - first_year) * (p.year - last_year) ELSE a + b * p.year END AS yhat
+  FROM (SELECT district_id, origin, arg_max(v, year) AS last, max(year) AS last_year, arg_min(v, year) AS first, min(year) AS first_year, regr_slope(v, year) AS b, regr_intercept(v, year) AS a
+    FROM (SELECT district_id, CAST(o AS INT) AS origin, year, CAST(active AS DOUBLE) AS v FROM panel, (SELECT unnest({list(ORIGINS)}) AS o) WHERE year <= o) GROUP BY ALL HAVING count(*) >= 2) f
+  JOIN panel p ON p.district_id = f.district_id AND p.year > origin AND p.year <= origin + 2, (SELECT unnest(['last', 'drift', 'line']) AS configuration))"""
+
+
+@query(PANEL, BACKTESTS, sql=" SELECT district_id, configuration, origin, year, actual, round(yhat, 6) + 0.0::DOUBLE AS yhat FROM backtests")
+def backtests(spark, sf_dir):
+    rows = backtest.backtested(tables.panel(spark, sf_dir), "district_id", "active", origins=ORIGINS, horizon=2)
+    return rows.withColumn("yhat", F.round("yhat", 6) + 0.0)
+
+
+@query(PANEL, BACKTESTS, sql=""" SELECT district_id, arg_min(configuration, struct_pack(a := mape, b := configuration)) AS configuration, round(min(mape), 6) AS mape FROM
+  (SELECT district_id, configuration, round(avg(abs(actual - yhat) / abs(actual)) * 100, 9) AS mape FROM backtests GROUP BY 1, 2) GROUP BY 1""")
 def best_configuration(spark, sf_dir):
-    scores = _forecasts(spark, sf_dir).groupBy("district_id", F.col("model").alias("configuration")).agg((F.count("*") * (F.ascii(F.first("model")) - 96)).alias("mape"))
-    return models.best_configuration(scores, "district_id")
+    return backtest.chosen(tables.panel(spark, sf_dir), "district_id", "active", origins=ORIGINS, horizon=2).withColumn("mape", F.round("mape", 6))
 
 
 @query(PLANS, sql=" SELECT id FROM plans WHERE module = 'BUILDING' AND status = 'critical'")

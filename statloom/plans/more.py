@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import DISTRICTS, MODULES
 from ..functions import colour, numbers, period, text
 from ..lineage import cut, scratch
-from ..operators import assistant, catalog, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
+from ..operators import assistant, catalog, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
 from ..sources import domain, files, grammar
 from . import tables
 from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, layer_sql, query, series_sql
@@ -510,13 +510,59 @@ def quarters_ahead(spark, sf_dir):
 
 
 def _wide(spark, sf_dir):
-    p = tables.panel(spark, sf_dir).groupBy("year").agg(F.sum("active").alias("export"), F.sum("employed").alias("investment"), F.sum("unemployed").alias("services"))
-    return panel.full_years(p, 2000).select("year", "export", "investment", "services", (F.col("export") * 2).alias("macro"))
+    q = tables.read(spark, sf_dir, "orders").groupBy((F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).alias("year"))
+    sums = q.agg(F.count("*").alias("export"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("investment"), F.count_if(F.col("o_orderstatus") == "P").alias("services"))
+    return sums.select("*", (F.col("export") * 2).alias("macro"), (F.col("export") + 1).alias("other"))
 
 
-@query(sql=" SELECT i AS indicator, CAST(2000 + s AS INT) AS year, m AS model FROM (VALUES ('export', 'autoregressive'), ('investment', 'autoregressive'), ('services', 'ensemble'), ('macro', 'trend')) t(i, m), (SELECT unnest([1, 2, 3]) AS s)")
+@query(sql="""WITH macro AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INT) AS year, ln(2.0 * count(*)) AS z FROM orders GROUP BY 1),
+line AS (SELECT regr_slope(z, year) AS b, regr_intercept(z, year) AS a, count(*) AS n, avg(year) AS middle, regr_sxx(z, year) AS sxx, sqrt((regr_syy(z, year) - regr_slope(z, year) * regr_sxy(z, year)) / (count(*) - 2)) AS spread, max(year) AS last FROM macro),
+steps AS (SELECT *, CAST(last + s AS INT) AS year, 1.645 * spread * sqrt(1 + 1.0 / n + pow(last + s - middle, 2) / sxx) AS width FROM line, (SELECT unnest([1, 2, 3]) AS s))
+SELECT i AS indicator, year, m AS model, CASE WHEN m = 'line' THEN round(exp(a + b * year), 3) END AS yhat, CASE WHEN m = 'line' THEN round(exp(a + b * year - width), 3) END AS lower, CASE WHEN m = 'line' THEN round(exp(a + b * year + width), 3) END AS upper
+  FROM steps, (VALUES ('export', 'recurrent'), ('investment', 'recurrent'), ('services', 'ensemble'), ('macro', 'line'), ('other', 'changepoints')) t(i, m)""")
 def forecasts_of_all(spark, sf_dir):
-    return models.forecast(cut(_wide(spark, sf_dir)), steps=3).select("indicator", "year", "model")
+    # the figures that SQL can give are compared; those of trained models are compared with single fits in the tests
+    rows = forecasting.forecast(cut(_wide(spark, sf_dir)), steps=3, drivers=forecasting.DRIVERS | {"macro": ("line", ())})
+    figure = lambda c: F.when(F.col("model") == "line", F.round(c, 3)).alias(c)
+    return rows.select("indicator", "year", "model", *map(figure, ("yhat", "lower", "upper")))
+
+
+@query()
+def forecast_figures(spark, sf_dir):
+    return forecasting.forecast(cut(_wide(spark, sf_dir)), steps=3)
+
+
+#: Urgent orders of a nation and year as unemployment: rates on both sides of 6 and 9.
+URGENT = """urgent AS (
+  SELECT CAST(c_nationkey AS VARCHAR) AS district_id, CAST(year(o_orderdate) AS INT) AS year, count(*) AS active,
+    CAST(count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS DOUBLE) / count(*) * 37.5 AS rate
+  FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+judged AS (SELECT *, CASE WHEN rate < 6 THEN 0 WHEN rate < 9 THEN 1 ELSE 2 END AS label FROM (SELECT *, row_number() OVER (PARTITION BY district_id ORDER BY year) AS nth FROM urgent) WHERE nth > 1)"""
+
+
+def _urgent(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders").select("o_custkey", "o_orderpriority", F.year("o_orderdate").alias("year"))
+    c = tables.read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("district_id"))
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("district_id", "year").agg(F.count("*").alias("active"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("unemployed"))
+    return rows.withColumn("employed", F.col("active") - F.col("unemployed")).withColumn("rate", F.col("unemployed").cast("double") / F.col("active") * 37.5)
+
+
+def _warnings(spark, sf_dir):
+    ready = cut(panel.features(_urgent(spark, sf_dir)))
+    model = models.boosted_warning(ready, 10, rate=0.5, depth=3, subsample=1.0, colsample=1.0, bins=256)
+    return models.warned(model, ready)
+
+
+@query(URGENT, sql=" SELECT district_id, year, round(rate, 9) AS rate, label, CAST(label AS INT) AS predicted, true AS right, true AS sums_to_one FROM judged")
+def boosted_spots(spark, sf_dir):
+    # the rate is among the features, so that trees that are grown well judge every row as the rule does
+    rows = _warnings(spark, sf_dir).withColumn("sums_to_one", F.abs(F.col("p0") + F.col("p1") + F.col("p2") - 1) < 1e-9)
+    return rows.select("district_id", "year", F.round("rate", 9).alias("rate"), "label", "predicted", "right", "sums_to_one")
+
+
+@query(URGENT, sql=" SELECT year, count(*) FILTER (WHERE label = 2) AS critical, count(*) AS districts FROM judged GROUP BY year")
+def critical_districts(spark, sf_dir):
+    return reports.critical_counts(_warnings(spark, sf_dir))
 
 
 @query(PANEL, FORECASTS, sql=" SELECT district_id, year, round(sum(yhat / m) / sum(1 / m), 6) AS yhat, count(*) AS models FROM (SELECT *, CASE model WHEN 'a' THEN 10.0::DOUBLE ELSE 5.0 END AS m FROM forecasts WHERE model IN ('a', 'b')) GROUP BY ALL")

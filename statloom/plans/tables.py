@@ -158,3 +158,10 @@ panel AS (
     CAST(count(*) FILTER (WHERE o_orderstatus = 'P') AS DOUBLE) / count(*) * 10 AS rate
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 """
+
+
+def quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each nation and quarter; quarters are numbered on, as ``year``: series long enough to learn from."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).alias("year"))
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("district_id"))
+    return o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy("district_id", "year").agg(F.count("*").alias("active"))

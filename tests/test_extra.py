@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from statloom.constants import INTENT_KEYWORDS, MODULE_KEYWORDS, SEARCH_LETTERS
 from statloom.functions import text
-from statloom.operators import models, questions, shapes
+from statloom.operators import forecasting, models, questions, shapes
 from statloom.plans import catalogue, tables
 from statloom.sources import files
 from tests.test_sources import workbook
@@ -99,13 +99,16 @@ def test_autoregression_continues_what_it_has_seen(spark):
 
 
 def test_forecast_dispatcher(spark):
-    wide = spark.createDataFrame([(2010 + i, 10.0 + i, 5.0 + 2 * i, 7.0 + i, 3.0) for i in range(8)], "year int, export double, investment double, services double, other double")
-    out = models.forecast(wide, steps=40).collect()
-    assert {(r["indicator"], r["model"]) for r in out} == {("export", "autoregressive"), ("investment", "autoregressive"), ("services", "ensemble"), ("other", "trend")}
-    assert all(sum(r["indicator"] == i for r in out) == 10 for i in ("export", "other"))
-    assert models.forecast(wide, "unknown").count() == 0
-    short = models.forecast(wide.where("year < 2013"), "export", 2).collect()
-    assert [r["model"] for r in short] == ["trend", "trend"]
+    wide = spark.createDataFrame([(2010 + i, 10.0 + i, 5.0 + 2 * i, 7.0 + i, 3.0, 8.0 if i < 4 else None, float(i)) for i in range(8)], "year int, export double, investment double, services double, other double, short double, plain double")
+    drivers = forecasting.DRIVERS | {"short": ("recurrent", ()), "plain": ("line", ())}
+    out = forecasting.forecast(wide, steps=40, drivers=drivers).collect()
+    assert {(r["indicator"], r["model"]) for r in out} == {("export", "recurrent"), ("investment", "recurrent"), ("services", "ensemble"), ("other", "changepoints"), ("short", "changepoints"), ("plain", "line")}
+    assert all(sum(r["indicator"] == i for r in out) == 10 for i in ("export", "other", "services", "short"))
+    assert all(r["lower"] <= r["upper"] for r in out)
+    assert forecasting.forecast(wide, "unknown").count() == 0
+    assert forecasting.forecast(wide.where("year < 2012"), "export", 2).count() == 0
+    short = forecasting.forecast(wide.where("year < 2013"), "export", 2).collect()
+    assert [r["model"] for r in short] == ["changepoints", "changepoints"]
 
 
 def test_models_are_saved_and_loaded(spark, tmp_path):
@@ -117,7 +120,8 @@ def test_models_are_saved_and_loaded(spark, tmp_path):
     again = models.loaded(str(tmp_path / "model"))
     assert models.warned(again, df).orderBy("year", "district_id").collect() == models.warned(model, df).orderBy("year", "district_id").collect()
     scores = models.cross_validated(df, "district_id", 2)
-    assert scores.count() == 2 and models.score_summary(scores, "macro_f1").first()["n"] == 2
+    boosted = models.cross_validated(df, "district_id", 2, lambda rows: models.boosted_warning(rows, 4, rate=0.5))
+    assert boosted.count() == 2 and scores.count() == 2 and models.score_summary(scores, "macro_f1").first()["n"] == 2
 
 
 def test_database_tables(spark):

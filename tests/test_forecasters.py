@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pytest
 
-from statloom.operators import changepoints, recurrent
+from statloom.operators import backtest, changepoints, recurrent
+from statloom.plans import catalogue, more, tables  # noqa: F401
 
 SERIES = "k string, year int, v double"
 
@@ -110,3 +113,65 @@ def test_inputs_of_years_ahead_are_used(spark):
     assert np.abs(np.array([r["yhat"] for r in found]) - truth).mean() < 20
     beyond = recurrent.forecast(df.where("v is not null"), "k", "v", 3, ("x",)).collect()
     assert len(beyond) == 3
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def series_of(rows) -> dict:
+    out: dict = {}
+    for r in rows.orderBy("year").collect():
+        out.setdefault(r["district_id"], []).append((r["year"], float(r["active"])))
+    return {k: (np.array([y for y, _ in v], float), np.array([x for _, x in v])) for k, v in out.items()}
+
+
+def test_changepoint_query_gives_the_figures_of_single_fits(spark):
+    found = {(r["district_id"], r["year"]): r for r in catalogue.QUERIES["changepoint_forecasts"](spark, SF).collect()}
+    for key, (years, values) in series_of(tables.panel(spark, SF)).items():
+        ahead = years[-1] + np.arange(1, 6)
+        assert len(years) >= 3 or not any(k == key for k, _ in found)
+        if len(years) >= 3:
+            fit = changepoints.fitted(years, values)
+            assert [found[key, int(y)]["yhat"] for y in ahead] == pytest.approx((fit.parts(ahead)[0] * fit.scale).tolist())
+            assert all(found[key, int(y)]["lower"] < found[key, int(y)]["upper"] for y in ahead)
+
+
+def test_recurrent_query_and_grid_give_the_figures_of_single_fits(spark):
+    learnt = {(r["district_id"], r["year"]): r["yhat"] for r in catalogue.QUERIES["recurrent_forecasts"](spark, SF).collect()}
+    grid = {(r["district_id"], r["configuration"]): r["mape"] for r in catalogue.QUERIES["backtest_grid"](spark, SF).collect()}
+    compared = 0
+    for key, (years, values) in sorted(series_of(tables.quarters(spark, SF)).items())[:4]:
+        ahead = years[-1] + np.arange(1, 6)
+        if len(years) >= 7:
+            single = recurrent.predicted(values[:, None], np.empty((5, 0)), 3, 16, 0.2, recurrent.EPOCHS, 200, 7 + zlib.crc32(key.encode()))
+            assert [learnt[key, int(y)] for y in ahead] == pytest.approx(single[0].tolist())
+        errors = []
+        for origin in (1998 * 4, 1999 * 4):
+            past, test = years <= origin, (years > origin) & (years <= origin + 2)
+            if past.sum() >= 3 and test.any():
+                fit = changepoints.fitted(years[past], values[past])
+                errors += np.abs(fit.parts(years[test])[0] * fit.scale / values[test] - 1).tolist()
+        if errors:
+            assert grid[key, "changepoints"] == pytest.approx(float(np.mean(errors) * 100))
+            compared += 1
+    assert compared and {c for _, c in grid} == {c.name for c in (*backtest.CLOSED, *backtest.GRID)} | {"changepoints"}
+
+
+def test_dispatcher_gives_the_figures_of_its_models(spark):
+    rows = catalogue.QUERIES["forecast_figures"](spark, SF).collect()
+    assert {(r["indicator"], r["model"]) for r in rows} == {("export", "recurrent"), ("investment", "recurrent"), ("services", "ensemble"), ("macro", "changepoints"), ("other", "changepoints")}
+    orders: dict = {}
+    for r in tables.quarters(spark, SF).collect():
+        orders[r["year"]] = orders.get(r["year"], 0) + r["active"]
+    fit = changepoints.fitted(np.array(sorted(orders), float), np.array([2.0 * orders[y] for y in sorted(orders)]))
+    for r in rows:
+        assert r["lower"] <= r["upper"]
+        if r["indicator"] == "macro":
+            assert r["yhat"] == pytest.approx(float(fit.parts(np.array([float(r["year"])]))[0][0] * fit.scale))
+
+
+def test_errors_that_are_equal_tie_by_name_and_short_series_are_left_out(spark):
+    rows = [("two", 2000, 1.0), ("two", 2001, 2.0), ("two", 2002, 4.0), ("one", 2001, 1.0), ("one", 2002, 1.0), ("gap", 2000, 1.0), ("gap", 2001, None)]
+    df = spark.createDataFrame(rows, SERIES)
+    found = {r["k"]: r for r in backtest.chosen(df, "k", "v", origins=(2001,)).collect()}
+    assert list(found) == ["two"] and found["two"]["configuration"] == "drift" and found["two"]["mape"] == 25

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from statloom.functions import colour
-from statloom.operators import load, reference, reports, retrieval
+from statloom.operators import load, models, reference, reports, retrieval
 from statloom.sources import domain, files, grammar
 from tests.test_sources import workbook
 
@@ -87,8 +87,10 @@ def test_reports(spark, tmp_path):
         [(f"d{i}", y, 1000 + i, 900 + i, 100, 4.0 + (i * 7 + y * 3) % 8) for i in range(9) for y in range(2018, 2026)],
         "district_id string, year int, active int, employed int, unemployed int, rate double",
     )
-    assert {r["year"] for r in reports.weak_spots(panel).collect()} <= {2025}
-    assert reports.weak_spots(panel, 2024).count() > 0
+    fit = lambda rows: models.boosted_warning(rows, 6, rate=0.5)
+    worst = reports.weak_spots(panel, fit=fit).collect()
+    assert {r["year"] for r in worst} == {2025} and [r["p2"] for r in worst] == sorted((r["p2"] for r in worst), reverse=True)
+    assert reports.weak_spots(panel, 2024, fit=models.early_warning).count() > 0
     held = reports.holdout(panel, "district_id", "active", [2024, 2025]).collect()
     assert len(held) == 9 and all(r["mape"] < 1 for r in held)
     done, failed = reports.run_isolated({"good": lambda: panel.limit(1), "bad": lambda: panel.select(F.raise_error(F.lit("no")))})
