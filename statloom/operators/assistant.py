@@ -18,6 +18,7 @@ from ..lineage import cut
 from .catalog import primary_indicators
 from .map_layer import declining, fastest, leaders_and_laggards, map_layer, to_mean, top_ranked
 from .observations import cells_of
+from .questions import parsed
 from .series import district_series, national_series
 
 MOST_CHARTS = 3
@@ -166,6 +167,11 @@ def answers(questions: DataFrame, obs: DataFrame, districts: DataFrame, indicato
     return told.select("id", "intent", "indicator", "district_id", text.alias("text"))
 
 
+def replies(prompts: DataFrame, obs: DataFrame, districts: DataFrame, indicators: DataFrame, year: int) -> DataFrame:
+    """(id, intent, indicator, district_id, text) of prompts in words (id, prompt): what they ask for, and the answer."""
+    return answers(cut(parsed(prompts, districts)), obs, districts, indicators, year)
+
+
 def context(obs: DataFrame, districts: DataFrame, indicators: DataFrame, year: int, module: str | None = None, district=None) -> DataFrame:
     """(section, place, line): the lines of numbers to answer from, in four sections.
 

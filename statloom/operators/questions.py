@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import INTENT_KEYWORDS, MODULE_KEYWORDS
-from ..functions.numbers import amount, severity, signed_percent
-from ..functions.text import first_keyword, matched_length, question_form
-from ..lineage import broadcast_if_small
-from .map_layer import declining, extremes, leaders_and_laggards, map_layer
-from .profile import district_profile, overview
-from .series import national_series
+from ..functions.numbers import amount, signed_percent
+from ..functions.text import first_keyword, question_form
+from ..lineage import broadcast_if_small, cut
+from .map_layer import extremes, map_layer
+
+#: Letters of a name that a question must hold at least.
+STEM = 5
+
+
+def alias_index(districts: DataFrame, least: int = STEM) -> DataFrame:
+    """(prefix, district_id, stem, longest): every beginning of ``least`` letters or more of a name, id or Russian name.
+
+    A beginning that several districts share is the smaller id's; ``longest`` is the length of the
+    longest alias with the same first letters (its stem).
+    """
+    names = districts.select(F.col("district_id"), F.explode(F.array("name", "district_id", "name_ru")).alias("alias"))
+    names = names.select("district_id", question_form(F.col("alias")).alias("alias")).where(F.length("alias") >= least)
+    each = names.select("district_id", F.explode(F.transform(F.sequence(F.lit(least), F.length("alias")), lambda n: F.substring(F.col("alias"), F.lit(1), n))).alias("prefix"))
+    firsts = each.groupBy("prefix").agg(F.min("district_id").alias("district_id")).withColumn("stem", F.substring("prefix", 1, least))
+    longest = firsts.groupBy("stem").agg(F.max(F.length("prefix")).alias("longest"))
+    return firsts.join(longest, "stem").select("prefix", "district_id", "stem", "longest")
+
+
+def places_named(asked: DataFrame, districts: DataFrame, least: int = STEM) -> DataFrame:
+    """(id, district_id) of the rows (id, q: a question in search form) that hold a beginning of an alias; the longest wins, then the smaller id.
+
+    Runs of letters of a question meet the index by equality: first the stems, then, where one is
+    found, all beginnings that go on from there.  No question is held against every alias.
+    """
+    index = cut(alias_index(districts, least))
+    stems = index.select("stem", "longest").distinct()
+    longest = stems.agg(F.max("longest")).first()[0] or least  # one number
+    starts = F.sequence(F.lit(1), F.length("q") - (least - 1))
+    tails = F.array_distinct(F.transform(starts, lambda at: F.substring(F.col("q"), at, F.lit(longest))))
+    held = asked.where(F.length("q") >= least).select("id", F.explode(tails).alias("tail"))
+    met = held.withColumn("stem", F.substring("tail", 1, least)).join(broadcast_if_small(stems), "stem")
+    upto = F.sequence(F.lit(least), F.least(F.length("tail"), "longest"))
+    runs = met.select("id", F.explode(F.transform(upto, lambda n: F.substring(F.col("tail"), F.lit(1), n))).alias("prefix"))
+    hits = runs.join(broadcast_if_small(index.select("prefix", "district_id")), "prefix")
+    return hits.groupBy("id").agg(F.min_by("district_id", F.struct(-F.length("prefix"), "district_id")).alias("district_id"))
 
 
 def parsed(questions: DataFrame, districts: DataFrame) -> DataFrame:
@@ -19,16 +53,11 @@ def parsed(questions: DataFrame, districts: DataFrame) -> DataFrame:
 
     The district is the one with the longest beginning of a name in the prompt, ties to the
     smaller id; module and intent are the first with a keyword at the start of a word.
-    An open question about a module or district is about that.
+    An open question about a module or district is about that.  A null prompt is an empty one.
     """
-    asked = questions.withColumn("q", question_form(F.col("prompt")))
-    names = districts.select("district_id", F.explode(F.array("name", "district_id", "name_ru")).alias("alias"))
-    names = names.select("district_id", question_form(F.col("alias")).alias("alias")).where(F.length("alias") >= 4)
-    hits = asked.select("id", "q").crossJoin(broadcast_if_small(names))  # every question is held against every alias
-    hits = hits.withColumn("n", matched_length(F.col("alias"), F.col("q"))).where("n > 0")
-    best = Window.partitionBy("id").orderBy(F.desc("n"), "district_id")
-    place = hits.withColumn("place", F.row_number().over(best)).where("place = 1").select("id", "district_id")
-    rows = asked.join(place, "id", "left").withColumn("module", first_keyword(F.col("q"), MODULE_KEYWORDS))
+    asked = questions.withColumn("q", F.coalesce(question_form(F.col("prompt")), F.lit("")))
+    rows = asked.join(places_named(asked.select("id", "q").distinct(), districts), "id", "left")
+    rows = rows.withColumn("module", first_keyword(F.col("q"), MODULE_KEYWORDS))
     intent = first_keyword(F.col("q"), INTENT_KEYWORDS)
     rest = F.when(F.col("module").isNotNull(), "module").when(F.col("district_id").isNotNull(), "district").otherwise("overview")
     return rows.select("id", F.coalesce(intent, rest).alias("intent"), "district_id", "module")
@@ -41,28 +70,6 @@ def context(obs: DataFrame, districts: DataFrame, year: int) -> DataFrame:
     return layer.select("indicator_id", "district_id", line.alias("line"))
 
 
-def answer(obs: DataFrame, districts: DataFrame, intent: str, year: int, district=None, indicator=None, n: int = 5) -> list[str]:
-    """Sentences for a question that has been parsed; the driver sees a handful of rows."""
-    own = obs if indicator is None else obs.where(F.col("indicator_id") == indicator)
-    if intent == "weak":
-        rows = declining(map_layer(own, districts, year), n).orderBy("yoy").limit(n)
-        return [f"{r['name']} ({r['indicator_id']}): {r['yoy']:+.1f}%" for r in rows.collect()]
-    if intent == "compare":
-        rows = leaders_and_laggards(map_layer(own, districts, year)).orderBy("indicator_id", "rank").limit(6 * n)
-        return [f"{r['indicator_id']}: {r['rank']}. {r['name']}" for r in rows.collect()]
-    if intent == "district" and district is not None:
-        rows = district_profile(own, districts, district, year).orderBy("indicator_id").limit(10 * n)
-        return [f"{r['indicator_id']}: {r['rank']}/{r['of']}, {'—' if r['share'] is None else format(r['share'], '.1f')}%" for r in rows.collect()]
-    if intent == "recommend":
-        rows = declining(map_layer(own, districts, year), n).withColumn("status", severity(F.col("yoy"))).orderBy("yoy").limit(n)
-        return [f"{r['name']} ({r['indicator_id']}): {r['status']}" for r in rows.collect()]
-    if intent in ("annual", "module"):
-        rows = national_series(own).orderBy("indicator_id", "year").limit(40 * n)
-        return [f"{r['indicator_id']} {r['label']}: {r['value']:.1f}" for r in rows.collect()]
-    rows = overview(own, districts, year).orderBy("indicator_id").limit(10 * n)
-    return [f"{r['indicator_id']}: {r['leader']} / {r['laggard']}" for r in rows.collect()]
-
-
 def insight(obs: DataFrame, districts: DataFrame, year: int) -> DataFrame:
     """Leader, laggard and how many districts decline, of each indicator."""
     return extremes(map_layer(obs, districts, year))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import TOPIC_KEYWORDS
+from ..constants import INTENT_KEYWORDS, MODULE_KEYWORDS, SEARCH_LETTERS, TOPIC_KEYWORDS
 from ..functions import colour, numbers, period, text
 from ..operators import backtest, catalog, changepoints, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, recurrent, reference, retrieval, series, shapes, tasks
 from . import tables
@@ -652,7 +652,42 @@ def slugs(spark, sf_dir):
     return tables.read(spark, sf_dir, "part").select("p_partkey", text.slug(F.concat_ws("|", "p_name", "p_brand")).alias("slug"))
 
 
-@query()
+_LETTERS = {**{k: v for k, v in SEARCH_LETTERS.items() if v}, **{k: "" for k, v in SEARCH_LETTERS.items() if not v}}
+
+
+def form_sql(text: str) -> str:
+    """The search form of a text, in SQL."""
+    quoted = lambda t: t.replace("'", "''")
+    return f"translate(strip_accents(lower({text})), '{quoted(''.join(_LETTERS))}', '{quoted(''.join(_LETTERS.values()))}')"
+
+
+def question_sql(text: str) -> str:
+    """The form of a question, in SQL."""
+    return rf"trim(regexp_replace(regexp_replace({form_sql(text)}, '[^\p{{L}}\p{{N}}\p{{M}}_\s]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def first_keyword_sql(text: str, keywords: dict[str, list[str]]) -> str:
+    """The first name with a keyword at the start of a word, in SQL."""
+    plain = lambda k: " ".join("".join(c if c.isalnum() or c == "_" else " " for c in k).split())
+    return "CASE " + " ".join(rf"WHEN regexp_matches({text}, '\b(?:{'|'.join(map(plain, keys))})') THEN '{name}'" for name, keys in keywords.items()) + " END"
+
+
+def parsed_sql(asked: str) -> str:
+    """Table expressions that end in parsed (id, intent, district_id, module), from rows (id, prompt) and districts."""
+    return f"""forms AS (SELECT id, {question_sql("coalesce(prompt, '')")} AS q FROM {asked}),
+aliases AS (SELECT district_id, {question_sql('name')} AS alias FROM districts),
+named AS (SELECT id, arg_min(district_id, struct_pack(a := -n, b := district_id)) AS district_id FROM
+  (SELECT forms.id, a.district_id, n FROM forms, (SELECT *, unnest(range(5, length(alias) + 1)) AS n FROM aliases) a WHERE contains(q, left(alias, n))) GROUP BY id),
+words AS (SELECT id, q, {first_keyword_sql('q', MODULE_KEYWORDS)} AS module, {first_keyword_sql('q', INTENT_KEYWORDS)} AS intent FROM forms),
+parsed AS (SELECT w.id, coalesce(intent, CASE WHEN module IS NOT NULL THEN 'module' WHEN district_id IS NOT NULL THEN 'district' ELSE 'overview' END) AS intent, district_id, module
+  FROM words w LEFT JOIN named n ON n.id = w.id)"""
+
+
+DISTRICT_ROWS = "districts AS (SELECT CAST(n_nationkey AS VARCHAR) AS district_id, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region_id FROM nation)"
+USER_PROMPTS = "prompts AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, text AS prompt FROM conversations WHERE role = 'user')"
+
+
+@query(sql=f" SELECT conv_id, turn, {form_sql('text')} AS form FROM conversations")
 def search_forms(spark, sf_dir):
     return tables.read(spark, sf_dir, "conversations").select("conv_id", "turn", text.search_form(F.col("text")).alias("form"))
 
@@ -679,7 +714,7 @@ def trend_forecasts(spark, sf_dir):
     return models.trend_forecast(tables.panel(spark, sf_dir), "district_id", "active", 5)
 
 
-@query()
+@query(DISTRICT_ROWS, USER_PROMPTS, parsed_sql("prompts"), sql=" SELECT id, intent, district_id, module FROM parsed")
 def question_intents(spark, sf_dir):
     asked = tables.read(spark, sf_dir, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("text").alias("prompt"))
     return questions.parsed(asked, tables.districts(spark, sf_dir))

@@ -13,7 +13,7 @@ from ..lineage import cut, scratch
 from ..operators import assistant, catalog, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
 from ..sources import domain, files, grammar
 from . import tables
-from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, layer_sql, query, series_sql
+from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, layer_sql, parsed_sql, query, series_sql
 from .catalogue import MACRO as MACRO_SQL
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
 
@@ -117,6 +117,26 @@ def assistant_answers(spark, sf_dir):
     return assistant.answers(asked, tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), segments(spark), YEAR)
 
 
+ASKED_FOR = ["sanaat qalay", "mashqala bar ma", "rayonlardi salistir", "qurilis ushin usinis", "jilliq juwmaq", "sawda qanday", "ne jaǵday"]
+#: Every user's turn, with a nation's name for some and something that is asked for.
+PROMPTS = f"""prompts AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, coalesce(text, '') || ' ' || CASE WHEN conv_id % 2 = 0 THEN lower(n_name) || 'da ' ELSE '' END || {ASKED_FOR}[(conv_id + turn) % 7 + 1] AS prompt
+  FROM conversations JOIN nation ON n_nationkey = conv_id % 25 WHERE role = 'user')"""
+REPLIED = "asked AS (SELECT p.id, intent, coalesce(s.id, 'MACHINERY') AS indicator, district_id FROM parsed p LEFT JOIN segs s ON s.module = p.module)"
+
+
+@query(OBSERVATIONS, layer_sql(YEAR), series_sql(False), series_sql(True, prefix="d"), SEGS, PROMPTS, parsed_sql("prompts"), REPLIED, TOLD, sql=""" SELECT a.id, a.intent, a.indicator, a.district_id,
+  coalesce(t.text, CASE WHEN a.kind IN ('weak', 'recommend') THEN 'Barlıq rayonlarda kólem óskan.' ELSE 'Maǵlıwmat joq.' END) AS text FROM kinds a LEFT JOIN told t
+  ON a.kind = t.kind AND CASE WHEN a.kind IN ('district', 'overview') THEN '' ELSE a.indicator END = t.i AND CASE WHEN a.kind IN ('series', 'district') THEN coalesce(a.district_id, '') ELSE '' END = t.d""")
+def replies_to_prompts(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "conversations").where("role = 'user'")
+    n = tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    what = F.get(F.array(*map(F.lit, ASKED_FOR)), ((F.col("conv_id") + F.col("turn")) % 7).cast("int"))
+    where = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lower("n_name"), F.lit("da "))).otherwise("")
+    rows = c.join(n, F.col("conv_id") % 25 == F.col("n_nationkey"))
+    prompts = rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), where, what).alias("prompt"))
+    return assistant.replies(prompts, tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), segments(spark), YEAR)
+
+
 def _num(v: str) -> str:
     return f"coalesce(printf('%.1f', {v}), '—')"
 

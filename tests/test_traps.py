@@ -159,15 +159,34 @@ def test_questions(spark):
     }
 
 
-def test_answers_come_from_the_numbers(spark):
-    rows = obs(spark, ("a", 2019, "year", None, 100.0), ("a", 2020, "year", None, 90.0), ("b", 2019, "year", None, 10.0), ("b", 2020, "year", None, 20.0))
-    places = districts(spark, "a", "b")
-    assert questions.answer(rows, places, "weak", 2020) == ["A (1): -10.0%"]
-    assert questions.answer(rows, places, "overview", 2020) == ["1: A / B"]
-    assert questions.answer(rows, places, "district", 2020, district="a") == ["1: 1/2, 81.8%"]
-    for intent in ("compare", "recommend", "annual", "module"):
-        assert questions.answer(rows, places, intent, 2020)
-    assert questions.answer(rows.where("false"), places, "overview", 2020) == []
+def test_places_are_found_by_equality(spark):
+    """Against holding every question against every alias, on names that share beginnings."""
+    import random
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randrange(3, 9)))
+    places = [(f"p{i:03d}", word() + rng.choice(["", " rayoni", " qalasi"]), rng.choice([word(), "", None])) for i in range(120)]
+    asked = [(i, " ".join(word() + rng.choice(["", "rayoni", "ta"]) for _ in range(rng.randrange(0, 6)))) for i in range(300)] + [(300, None), (301, "")]
+    frame = spark.createDataFrame(places, "district_id string, name string, name_ru string")
+    found = {r["id"]: r["district_id"] for r in questions.parsed(spark.createDataFrame(asked, "id int, prompt string"), frame).collect()}
+    expected = {}
+    for i, q in asked:
+        best = (0, None)
+        for ident, *names in places:
+            for alias in (n for n in (*names, ident) if n):
+                n = max((n for n in range(5, len(alias) + 1) if alias[:n] in (q or "")), default=0)
+                best = max(best, (n, ident if n else None), key=lambda b: (b[0], [-ord(c) for c in b[1] or ""]))
+        expected[i] = best[1]
+    assert found == expected and sum(v is not None for v in found.values()) > 50
+
+
+def test_places_need_no_nested_loop(spark):
+    many = spark.range(100_000).select(F.concat(F.lit("place"), F.col("id").cast("string")).alias("district_id"), F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12).alias("name"), F.lit(None).cast("string").alias("name_ru"))
+    asked = spark.createDataFrame([(1, "to place77 by 5feceb66ffc8ta")], "id int, prompt string")
+    rows = questions.parsed(asked, many)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert rows.first()["district_id"] == "place0"
 
 
 def test_lags_are_taken_before_rows_go(spark):
