@@ -31,6 +31,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of whatever store it is in; one that is not there is left alone."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def staged(df: DataFrame, label: str = "rows") -> DataFrame:
     """The rows written to the shared folder as Parquet and read again: computed once, later plans see columns and sizes."""
     path = scratch(df.sparkSession, label)

@@ -7,12 +7,12 @@ counts, it is the first by ord.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..constants import CORE_MODULES, LOWER_IS_BETTER
 from ..functions.text import contains_any, core_module
-from ..lineage import numbered
+from ..lineage import cut, numbered
 
 KEY = ["indicator_id", "district_id", "year", "period", "period_no"]
 
@@ -85,6 +85,49 @@ def load_statistics(records: DataFrame, districts: DataFrame, key: str) -> DataF
     ).withColumn("skipped", F.col("read") - F.col("added")).drop("read")
 
 
+def load(records: DataFrame, districts: DataFrame, indicators: DataFrame, observations: DataFrame, key: str, to: str, replace_all: bool = False) -> dict[str, int]:
+    """Loads records into ``to``/indicators and ``to``/observations (another folder than that of the old tables), and says what was done.
+
+    Old tables are (``key``, id, name, ...) and (indicator_id, district_id, year, period, period_no,
+    value).  With ``replace_all`` all old observations go, and indicators that are left without
+    any; otherwise only those of the indicators that the records touch.  Counted as the rows are
+    written: categories and indicators of the records, rows ``added``, rows ``skipped`` (of unknown
+    districts, or not the first of their key), and ``orphans`` removed.  Without records nothing
+    is written and all counts are 0; without districts nothing can be loaded.
+    """
+    if records.isEmpty():
+        return dict.fromkeys(("categories", "indicators", "added", "skipped", "orphans"), 0)
+    if districts.isEmpty():
+        raise ValueError("no districts")
+    read, kept, made = Observation("read"), Observation("kept"), Observation("made")
+    known = districts.select(F.col("district_id").alias("_known"))
+    rows = records.join(known, F.col("district_id") == F.col("_known"), "left").withColumn("_fits", F.col("district_id").isNull() | F.col("_known").isNotNull()).drop("_known")
+    touched = indicators_of(rows, key).join(rows.groupBy(key).agg(F.bool_or("_fits").alias("_held")), key)
+    numbered_ones = cut(with_ids(touched, indicators, key))
+    old = indicators.join(numbered_ones.select(key), key, "left_anti")
+    still = F.lit(False)
+    if not replace_all:
+        still = F.lit(True)  # they keep what they have
+    every = numbered_ones.withColumn("_touched", F.lit(True)).unionByName(old.withColumn("_held", still).withColumn("_touched", F.lit(False)), allowMissingColumns=True)
+    every = every.observe(made, F.count_if("_touched").alias("indicators"), F.count_if(~F.col("_held")).alias("without"))
+    every = every.where("_held") if replace_all else every
+    every.drop("_held", "_touched").write.mode("overwrite").parquet(f"{to}/indicators")
+
+    ids = numbered_ones.select(key, F.col("id").alias("indicator_id"))
+    counted = rows.observe(read, F.count("*").alias("read"), F.size(F.collect_set("category")).alias("categories"))  # as many as there are folders
+    first = Window.partitionBy(key, "district_id", "year", "period", "period_no").orderBy("ord")
+    new = counted.where("_fits").withColumn("_n", F.row_number().over(first)).where("_n = 1").observe(kept, F.count("*").alias("added"))
+    new = new.join(ids, key).select(*KEY, "value")
+    if not replace_all:
+        new = observations.select(*KEY, "value").join(ids.select("indicator_id"), "indicator_id", "left_anti").unionByName(new)
+    new.write.mode("overwrite").parquet(f"{to}/observations")
+    added = kept.get["added"]
+    return {
+        "categories": read.get["categories"], "indicators": made.get["indicators"], "added": added, "skipped": read.get["read"] - added,
+        "orphans": made.get["without"] if replace_all else 0,
+    }
+
+
 def redirected(indicators: DataFrame, ident, lower_is_better: bool) -> DataFrame:
     """An indicator told anew whether lower is better."""
     own = F.when(F.col("id") == ident, F.lit(lower_is_better)).otherwise(F.col("lower_is_better"))

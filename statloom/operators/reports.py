@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark import InheritableThread
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut
+from ..lineage import cut, delete, scratch
 from .models import boosted_warning, ensemble, measures, trend_forecast, warned
 from .panel import features, split_by_years
 from .plan_actual import completion, critical, status_counts, summary_by_module
@@ -60,14 +62,48 @@ def annual_report(plans: DataFrame, year: int) -> DataFrame:
     return completion(plans.where(F.col("year") == year), "module")
 
 
-def run_isolated(stages: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """Each stage's rows, kept, and the errors of those that failed; a failure stops no other stage."""
-    done, failed = {}, {}
-    for name, stage in stages.items():
+def run_isolated(stages: dict[str, Callable[[], DataFrame]], seconds: float | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
+    """The rows of each stage, staged, and the errors of those that failed or took over ``seconds``; the stages run together.
+
+    Each runs in a thread with a scheduler pool and a job tag of its own.  A failure stops no
+    other stage; one that is late is cancelled by its tag, and what it has written is deleted.
+    ``release`` deletes the rows of stages that are no longer needed.
+    """
+    spark = SparkSession.active()
+    done: dict[str, DataFrame] = {}
+    failed: dict[str, str] = {}
+    paths = {name: scratch(spark, "stage") for name in stages}
+
+    def run(name: str) -> None:
+        spark.sparkContext.addJobTag(f"stage-{paths[name].rpartition('-')[2]}")
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", name)
         try:
-            out = stage().persist()
-            out.count()
-            done[name] = out
+            out = stages[name]()
+            out.write.parquet(paths[name])
+            done[name] = spark.read.schema(out.schema).parquet(paths[name])
         except Exception as error:  # noqa: BLE001  whatever a stage raises is reported, not hidden
-            failed[name] = f"{type(error).__name__}: {str(error).splitlines()[0]}"
-    return done, failed
+            failed.setdefault(name, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}")
+
+    threads = {name: InheritableThread(target=run, args=(name,)) for name in stages}
+    for thread in threads.values():
+        thread.start()
+    until = None if seconds is None else time.monotonic() + seconds
+    for name, thread in threads.items():
+        thread.join(None if until is None else max(0.0, until - time.monotonic()))
+        if thread.is_alive():
+            failed[name] = f"late: over {seconds:g} seconds"
+            while thread.is_alive():  # a stage may start another job after one was cancelled
+                spark.sparkContext.cancelJobsWithTag(f"stage-{paths[name].rpartition('-')[2]}")
+                thread.join(0.2)
+            done.pop(name, None)
+    for name in failed:
+        delete(spark, paths[name])
+    return {name: done[name] for name in stages if name in done}, {name: failed[name] for name in stages if name in failed}
+
+
+def release(done: dict[str, DataFrame]) -> None:
+    """Deletes the staged rows of stages."""
+    for rows in done.values():
+        for path in {file.rpartition("/")[0] for file in rows.inputFiles()}:
+            delete(rows.sparkSession, path)
+    done.clear()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..constants import INTENT_KEYWORDS, MODULE_KEYWORDS, SEARCH_LETTERS, TOPIC_KEYWORDS
 from ..functions import colour, numbers, period, text
+from ..lineage import scratch
 from ..operators import backtest, catalog, changepoints, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, recurrent, reference, retrieval, series, shapes, tasks
 from . import tables
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
@@ -506,6 +507,44 @@ def load_statistics(spark, sf_dir):
     return load.load_statistics(rows, tables.districts(spark, sf_dir), "indicator_id")
 
 
+#: Records of which some slugs (u0 to u9) have rows of unknown districts alone, and old tables that they meet in part.
+LOADED = """
+raw AS (SELECT l_orderkey * 10 + l_linenumber AS ord, CASE WHEN l_suppkey % 30 >= 25 AND l_suppkey % 4 <> 0 THEN 'u' || CAST(l_partkey % 10 AS VARCHAR) ELSE CAST(l_partkey % 100 AS VARCHAR) END AS slug,
+  CASE WHEN l_suppkey % 4 <> 0 THEN CAST(l_suppkey % 30 AS VARCHAR) END AS district_id, CAST(year(l_shipdate) AS INT) AS year, CASE WHEN l_linestatus = 'F' THEN 'year' ELSE 'ytd' END AS period,
+  CASE WHEN l_linestatus <> 'F' THEN l_linenumber END AS period_no, l_returnflag AS category FROM lineitem),
+olds AS (SELECT DISTINCT CAST(p_partkey % 150 AS VARCHAR) AS slug, 1000 + p_partkey % 150 AS id FROM part),
+old_obs AS (SELECT 1000 + o_custkey % 150 AS indicator_id FROM orders),
+fits AS (SELECT * FROM raw WHERE district_id IS NULL OR district_id IN (SELECT CAST(n_nationkey AS VARCHAR) FROM nation)),
+firsts AS (SELECT DISTINCT slug, district_id, year, period, period_no FROM fits),
+counts AS (SELECT (SELECT count(DISTINCT category) FROM raw) AS categories, (SELECT count(DISTINCT slug) FROM raw) AS indicators, (SELECT count(*) FROM firsts) AS added, (SELECT count(*) FROM raw) - (SELECT count(*) FROM firsts) AS skipped,
+  (SELECT count(*) FROM (SELECT slug FROM raw UNION SELECT slug FROM olds)) AS every, (SELECT count(DISTINCT slug) FROM fits) AS held,
+  (SELECT count(*) FROM old_obs WHERE indicator_id NOT IN (SELECT id FROM olds WHERE slug IN (SELECT slug FROM raw))) AS stayed)
+"""
+
+
+@query(LOADED, sql=""" SELECT 'full' AS mode, categories, indicators, added, skipped, every - held AS orphans, held AS indicator_rows, added AS observation_rows FROM counts
+  UNION ALL SELECT 'part', categories, indicators, added, skipped, 0, every, added + stayed FROM counts UNION ALL SELECT 'none', 0, 0, 0, 0, 0, NULL, NULL""")
+def load_metrics(spark, sf_dir):
+    lost = (F.col("l_suppkey") % 30 >= 25) & (F.col("l_suppkey") % 4 != 0)
+    rows = tables.read(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"), F.when(lost, F.concat(F.lit("u"), (F.col("l_partkey") % 10).cast("string"))).otherwise((F.col("l_partkey") % 100).cast("string")).alias("slug"),
+        F.when(F.col("l_suppkey") % 4 != 0, (F.col("l_suppkey") % 30).cast("string")).alias("district_id"), F.year("l_shipdate").alias("year"), F.when(F.col("l_linestatus") == "F", "year").otherwise("ytd").alias("period"),
+        F.when(F.col("l_linestatus") != "F", F.col("l_linenumber")).alias("period_no"), F.col("l_quantity").alias("value"), F.col("l_returnflag").alias("indicator"), F.lit("").alias("unit"), F.col("l_returnflag").alias("category"), F.lit("s").alias("source"),
+    )
+    k = F.col("p_partkey") % 150
+    old = tables.read(spark, sf_dir, "part").select(k.cast("string").alias("slug"), (k + 1000).alias("id")).distinct()
+    held = tables.read(spark, sf_dir, "orders").select(
+        (F.col("o_custkey") % 150 + 1000).alias("indicator_id"), F.lit("1").alias("district_id"), F.year("o_orderdate").alias("year"), F.lit("year").alias("period"), F.lit(None).cast("int").alias("period_no"), F.col("o_totalprice").alias("value")
+    )
+    out = []
+    for mode, given in (("full", rows), ("part", rows), ("none", rows.where("false"))):
+        to = scratch(spark, "load")
+        told = load.load(given, tables.districts(spark, sf_dir), old, held, "slug", to, mode == "full")
+        written = [spark.read.parquet(f"{to}/{t}").count() for t in ("indicators", "observations")] if mode != "none" else [None, None]
+        out.append((mode, *told.values(), *written))
+    return spark.createDataFrame(out, "mode string, categories long, indicators long, added long, skipped long, orphans long, indicator_rows long, observation_rows long")
+
+
 # --- panels, models ------------------------------------------------------------------------
 
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import DISTRICTS, MODULES
+from ..constants import DISTRICTS, DUPLICATES_FOLDER, MODULES
 from ..functions import colour, numbers, period, text
 from ..lineage import cut, scratch
 from ..operators import assistant, catalog, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
-from ..sources import domain, files, grammar
+from ..sources import domain, files, grammar, workbook, workbook_source
 from . import tables
 from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, layer_sql, parsed_sql, query, series_sql
 from .catalogue import MACRO as MACRO_SQL
@@ -347,6 +347,46 @@ def enterprises_sheet(spark, sf_dir):
 # --- files ------------------------------------------------------------------------------------
 
 
+def _workbooks(spark, sf_dir) -> str:
+    """A folder of workbooks: one for each nation with a sheet for each segment; one that is none, one with a sheet that breaks off, and a duplicate."""
+    folder = scratch(spark, "workbooks")
+    c = tables.read(spark, sf_dir, "customer").join(tables.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    place = F.row_number().over(Window.partitionBy("n_name", "c_mktsegment").orderBy("c_custkey")) - 1
+    each = F.array(F.struct(F.lit(0).alias("col"), F.col("c_name").alias("text"), F.lit(None).cast("double").alias("number")), F.struct(F.lit(1).alias("col"), F.lit(None).cast("string").alias("text"), F.col("c_acctbal").cast("double").alias("number")))
+    cells = c.withColumn("row", place).select(F.concat("n_name", F.lit("/"), "n_name", F.lit(".xlsx")).alias("file"), F.col("c_mktsegment").alias("sheet"), "row", F.inline(each))
+    workbook_source.write_workbooks(cells, folder).count()
+    workbook_source.put(f"{folder}/broken/none.xlsx", b"not a workbook")
+    workbook_source.put(f"{folder}/broken/half.xlsx", workbook.packed([("fine", {(0, 0): "x"}), ("torn", {(0, 0): "y"})]).replace(b"sheet2.xml", b"sheet9.xml"))
+    workbook_source.put(f"{folder}/{DUPLICATES_FOLDER}/copy.xlsx", workbook.packed([("s", {(0, 0): "z"})]))
+    workbook_source.put(f"{folder}/broken/~$open.xlsx", b"")
+    return folder
+
+
+BOOKS = """books AS (SELECT n_name || '.xlsx#' || c_mktsegment AS source, n_name AS category, CAST(row_number() OVER (PARTITION BY n_name, c_mktsegment ORDER BY c_custkey) - 1 AS INT) AS row, c_name, CAST(c_acctbal AS DOUBLE) AS b
+  FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query(BOOKS, sql=""" SELECT source, category, row, 0 AS col, c_name AS text, NULL AS bad FROM books UNION ALL SELECT source, category, row, 1, CAST(b AS VARCHAR), NULL FROM books
+  UNION ALL SELECT 'half.xlsx#fine', 'broken', 0, 0, 'x', NULL UNION ALL SELECT 'none.xlsx', 'broken', NULL, NULL, NULL, 'NotAWorkbook' UNION ALL SELECT 'half.xlsx#torn', 'broken', NULL, NULL, NULL, 'no part xl/worksheets/sheet2.xml'""")
+def workbook_cells(spark, sf_dir):
+    cells, bad = workbook_source.read_workbooks(spark, _workbooks(spark, sf_dir))
+    rows = cells.withColumn("bad", F.lit(None).cast("string")).unionByName(bad, allowMissingColumns=True)
+    return rows.select("source", "category", "row", "col", "text", F.substring_index("bad", ":", 1).alias("bad"))
+
+
+@query(sql=" SELECT n_name || '.xlsx' AS name FROM nation WHERE contains(lower(n_name), 'an') AND n_nationkey IN (SELECT c_nationkey FROM customer)")
+def workbooks_by_keyword(spark, sf_dir):
+    cells, _ = workbook_source.read_workbooks(spark, _workbooks(spark, sf_dir), keyword="AN")
+    return cells.select(F.substring_index("source", "#", 1).alias("name")).distinct()
+
+
+@query(sql=" SELECT n_name || '.xlsx' AS name FROM nation WHERE contains(lower(n_name), 'an') AND n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'none.xlsx' WHERE false")
+def workbooks_found(spark, sf_dir):
+    return files.find_workbooks(spark, _workbooks(spark, sf_dir), "an").select("name")
+
+
+
+
 @query(PANEL, sql=" SELECT district_id, CAST(year AS VARCHAR) AS year, CAST(active AS VARCHAR) AS active FROM panel")
 def csv_report(spark, sf_dir):
     path = scratch(spark, "csv")

@@ -23,26 +23,34 @@ def bulk_plans(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def bulk_workbooks(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Like ``bulk_plans``, for the first sheets of workbooks; the first row of each holds the names."""
+    """Like ``bulk_plans``, for the first sheets of workbooks; the first row of each holds the names.
+
+    A workbook that cannot be read or lacks a column is one row with its ``error``; the others are loaded.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     names = list(PLAN_COLUMNS)
 
     def unpack(frames):
         for frame in frames:
             rows = []
-            for content in frame["content"]:
+            for path, content in zip(frame["path"], frame["content"], strict=True):
+                name, none = path.rpartition("/")[2], [None] * len(names)
                 try:
                     grid = sheets(bytes(content))[0][1]
                 except (NotAWorkbook, IndexError):
+                    rows.append([*none, f"{name}: no workbook"])
                     continue
                 head = {str(v).strip(): i for i, v in enumerate(grid[0]) if v is not None} if grid else {}
                 if missing := [c for c in REQUIRED if c not in head]:
-                    raise ValueError(f"missing columns: {', '.join(missing)}")
+                    rows.append([*none, f"{name}: missing columns: {', '.join(missing)}"])
+                    continue
                 plain = lambda v: None if v is None else f"{v:.15g}" if isinstance(v, float) else str(v)
-                rows += [[plain(line[head[n]]) if n in head and head[n] < len(line) else None for n in names] for line in grid[1:] if any(v is not None for v in line)]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+                rows += [[*(plain(line[head[n]]) if n in head and head[n] < len(line) else None for n in names), None] for line in grid[1:] if any(v is not None for v in line)]
+            yield pd.DataFrame(rows, columns=[*names, "bad"], dtype=object)
 
-    return checked_plans(files.mapInPandas(unpack, ", ".join(f"`{n}` string" for n in names)))
+    raw = files.mapInPandas(unpack, ", ".join(f"`{n}` string" for n in [*names, "bad"]))
+    good, wrong = checked_plans(raw.where("bad is null").drop("bad"))
+    return good, wrong.unionByName(raw.where("bad is not null").select(F.col("bad").alias("error")), allowMissingColumns=True)
 
 
 def checked_plans(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

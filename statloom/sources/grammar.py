@@ -20,18 +20,13 @@ from ..constants import DUPLICATES_FOLDER, REPUBLIC
 from ..functions.cells import is_breakdown, month_span, parsed_period, unit_alone, unit_in_brackets, year_heading
 from ..functions.text import district_form, district_of, looks_like_unit, number_of
 from ..lineage import cut, numbered
-from .workbook import NotAWorkbook, sheets
+from .workbook import NotAWorkbook, cell_text, sheets
 
 CELLS = "sheet string, category string, source string, row int, col int, text string"
 DASH = " — "
 
 
 def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def text(value) -> str | None:
-        if hasattr(value, "year"):
-            return str(value.year)  # a date heads its year
-        return None if value is None else str(value).strip() or None
-
     for frame in frames:
         rows = []
         for path, content in zip(frame["path"], frame["content"], strict=True):
@@ -42,7 +37,7 @@ def _cells(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             for name, grid in found:
                 key = (f"{path}#{name}", folder, f"{file}#{name}"[:200])
-                rows += [(*key, r, c, t) for r, line in enumerate(grid) for c, v in enumerate(line) if (t := text(v)) is not None]
+                rows += [(*key, r, c, t) for r, line in enumerate(grid) for c, v in enumerate(line) if (t := cell_text(v)) is not None]
         yield pd.DataFrame(rows, columns=["sheet", "category", "source", "row", "col", "text"])
 
 

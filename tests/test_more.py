@@ -112,3 +112,47 @@ def test_retrieval(spark):
 def test_dialogues(spark, tmp_path):
     (tmp_path / "d.json").write_text('[{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}]')
     assert [tuple(r) for r in files.dialogues(spark, str(tmp_path / "d.json")).collect()] == [("", "q", "a")]
+
+
+def test_stages_run_together_and_a_late_one_is_cancelled(spark):
+    import time
+
+    from statloom.lineage import scratch
+
+    slow = spark.range(4).repartition(2).mapInPandas(_sleeping, "id long")
+    began = time.monotonic()
+    done, failed = reports.run_isolated({"quick": lambda: spark.range(10), "slow": lambda: slow, "other": lambda: spark.range(3), "bad": lambda: spark.range(1).select(F.raise_error(F.lit("no")))}, seconds=8)
+    assert time.monotonic() - began < 40
+    assert list(done) == ["quick", "other"] and done["quick"].count() == 10
+    assert list(failed) == ["slow", "bad"] and failed["slow"].startswith("late")
+    files_of = done["quick"].inputFiles()
+    reports.release(done)
+    assert not done and files_of and not any(spark.read.format("binaryFile").option("pathGlobFilter", f.rpartition("/")[2]).load(scratch(spark, "x").rpartition("/")[0]).count() for f in files_of[:1])
+
+
+def _sleeping(frames):
+    import time
+
+    for frame in frames:
+        time.sleep(300)
+        yield frame
+
+
+def test_loading_counts_what_it_writes(spark, tmp_path):
+    kinds = "ord long, slug string, district_id string, year int, period string, period_no int, value double, indicator string, unit string, category string, source string"
+    row = lambda i, slug, d, v=1.0: (i, slug, d, 2020, "year", None, v, slug, "", "c", "s")
+    records = spark.createDataFrame([row(1, "a", "x"), row(2, "a", "x", 2.0), row(3, "b", "unknown"), row(4, "c", None)], kinds)
+    places = spark.createDataFrame([("x",)], "district_id string")
+    old = spark.createDataFrame([("a", 7, "was"), ("z", 9, "z")], "slug string, id long, name string")
+    held = spark.createDataFrame([(7, "x", 1999, "year", None, 5.0), (9, "x", 1999, "year", None, 6.0)], "indicator_id long, district_id string, year int, period string, period_no int, value double")
+    full = load.load(records, places, old, held, "slug", str(tmp_path / "full"), True)
+    assert full == {"categories": 1, "indicators": 3, "added": 2, "skipped": 2, "orphans": 2}
+    kept = {r["slug"]: (r["id"], r["name"]) for r in spark.read.parquet(str(tmp_path / "full" / "indicators")).collect()}
+    assert kept == {"a": (7, "a"), "c": (11, "c")}
+    assert sorted((r["indicator_id"], r["value"]) for r in spark.read.parquet(str(tmp_path / "full" / "observations")).collect()) == [(7, 1.0), (11, 1.0)]
+    part = load.load(records, places, old, held, "slug", str(tmp_path / "part"))
+    assert part == full | {"orphans": 0}
+    assert sorted((r["indicator_id"], r["value"]) for r in spark.read.parquet(str(tmp_path / "part" / "observations")).collect()) == [(7, 1.0), (9, 6.0), (11, 1.0)]
+    assert set(load.load(records.where("false"), places, old, held, "slug", str(tmp_path / "none")).values()) == {0} and not (tmp_path / "none").exists()
+    with pytest.raises(ValueError, match="no districts"):
+        load.load(records, places.where("false"), old, held, "slug", str(tmp_path / "none"))

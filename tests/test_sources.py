@@ -127,3 +127,55 @@ def test_uploads_replace_indicators(spark, tmp_path):
     run()
     found = spark.read.parquet(str(tmp_path / "t")).collect()
     assert sorted((r["indicator_id"], r["value"]) for r in found) == [(1, 1.0), (2, 5.0)]
+
+
+def test_workbook_source(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from statloom.constants import DUPLICATES_FOLDER
+    from statloom.sources import workbook as books
+    from statloom.sources import workbook_source
+
+    workbook(tmp_path / "02_Sanaat" / "Wages 1.xlsx", [["a", 1.5, None], [None, "b", 1]])
+    (tmp_path / "02_Sanaat" / "old.xlsx").write_bytes(b"\xd0\xcf\x11\xe0 not a zip")
+    whole = books.packed([("one", {(0, 0): "x"}), ("two", {(1, 27): 2.0})])
+    (tmp_path / "cut.xlsx").write_bytes(whole[: len(whole) // 2])
+    (tmp_path / "torn.xlsx").write_bytes(whole.replace(b"sheet1.xml", b"sheet7.xml"))
+    (tmp_path / "~$lock.xlsx").write_bytes(b"")
+    (tmp_path / DUPLICATES_FOLDER).mkdir()
+    (tmp_path / DUPLICATES_FOLDER / "d.xlsx").write_bytes(whole)
+    (tmp_path / "note.txt").write_text("no")
+    cells, bad = workbook_source.read_workbooks(spark, str(tmp_path))
+    assert sorted((r["source"], r["row"], r["col"], r["text"]) for r in cells.collect()) == [("Wages 1.xlsx#S1", 0, 0, "a"), ("Wages 1.xlsx#S1", 0, 1, "1.5"), ("Wages 1.xlsx#S1", 1, 1, "b"), ("Wages 1.xlsx#S1", 1, 2, "1.0"), ("torn.xlsx#two", 1, 27, "2.0")]
+    told = {r["source"]: r["bad"] for r in bad.collect()}
+    assert set(told) == {"old.xlsx", "cut.xlsx", "torn.xlsx#one"} and all(told.values())
+    assert cells.columns == [c.split()[0] for c in grammar.CELLS.split(", ")]
+    assert {r["category"] for r in cells.where("source like 'Wages%'").collect()} == {"02_Sanaat"}
+    only, none = workbook_source.read_workbooks(spark, str(tmp_path), keyword="wages", category="own")
+    assert {(r["source"], r["category"]) for r in only.collect()} == {("Wages 1.xlsx#S1", "own")} and none.count() == 0
+    every, _ = workbook_source.read_workbooks(spark, str(tmp_path), skip="")
+    assert every.where(F.col("source").startswith("d.xlsx")).count() == 2
+    one, _ = workbook_source.read_workbooks(spark, str(tmp_path / "torn.xlsx"))
+    assert one.count() == 1
+    (tmp_path / "empty").mkdir()
+    nothing, no = workbook_source.read_workbooks(spark, str(tmp_path / "empty"))
+    assert nothing.count() == no.count() == 0
+    assert spark.read.format("workbook").load(str(tmp_path)).rdd.getNumPartitions() == 4
+
+
+def test_workbooks_are_read_as_sheets(spark, tmp_path):
+    from statloom.sources import workbook_source
+
+    grid = [["Rayonlar boyınsha sanaat ónimi kólemi (mlrd. som)"], [None, "2023 j.", "2024", "2025"], ["Nókis qalası", 1, 2, 3], ["Nókis", 4, 5, 6]]
+    workbook(tmp_path / "02_Sanaat" / "w.xlsx", grid)
+    cells, _ = workbook_source.read_workbooks(spark, str(tmp_path))
+    assert sorted((r["district_id"], r["year"], r["value"]) for r in grammar.records(cells).collect()) == sorted((r["district_id"], r["year"], r["value"]) for r in grammar.records(grammar.read_cells(spark, str(tmp_path))).collect())
+
+
+def test_bulk_workbooks_name_what_they_cannot_load(spark, tmp_path):
+    workbook(tmp_path / "good.xlsx", [["module", "region", "year", "kpi_actual"], ["m", "r", 2024, 1.5], ["m", None, 2024, "x"]])
+    workbook(tmp_path / "lacks.xlsx", [["module", "year"], ["m", 2024]])
+    (tmp_path / "none.xlsx").write_bytes(b"no")
+    good, wrong = files.bulk_workbooks(spark, str(tmp_path))
+    assert [(r["module"], r["region"], r["year"], r["kpi_actual"]) for r in good.collect()] == [("m", "r", 2024, 1.5)]
+    assert sorted(r["error"] for r in wrong.collect()) == ["lacks.xlsx: missing columns: region", "none.xlsx: no workbook", "region is empty; kpi_actual: x"]
