@@ -7,15 +7,17 @@ fetched; the longest such domain counts.
 
 What is asked are the distinct pairs of host and time, under the host and each of its parent
 domains.  They meet the intervals by domain and by the ``SPAN`` of time they lie in, so that a
-domain with a third of all captures is spread over its spans, and a long history is compared
-span by span; within a span the as-of condition decides.  The best entry of each pair is then
-looked up by the captures.
+domain with a third of all captures is spread over its spans; within a span the as-of condition
+decides.  An interval is known in the span it begins in, and is carried into those later spans
+that are asked for its domain: intervals of a domain do not overlap, so one at most is carried
+into each, and there are never more rows than entries and asked spans, however long an interval
+lasts or how far off a time is.  The best entry of each pair is then looked up by the captures.
 
 Defined results: a url without host, a null url or a null time is not listed; at equal
 times of one domain a removal comes after an addition; entries with nulls are passed over;
 captures that repeat each get a row; an empty list lists nothing; where nothing is listed entry
 and since are null; columns host, listed, entry and since of the captures are replaced, all
-others kept, whatever their names.
+others kept, whatever their names; times are any whole numbers of 64 bits.
 """
 
 from __future__ import annotations
@@ -44,18 +46,31 @@ def validity(entries: DataFrame) -> DataFrame:
     return spans.where("action = 'add' and (until is null or until > at)").select("domain", F.col("at").alias("since"), "until")
 
 
+def span_of(name: str) -> Column:
+    """The number of the span that a time lies in, exact for every long."""
+    return F.expr(f"({name} div {SPAN}) - if({name} < 0 and {name} % {SPAN} <> 0, 1, 0)").alias("span")
+
+
+def intervals_by_span(intervals: DataFrame, asked: DataFrame) -> DataFrame:
+    """(domain, span, since, until) of the intervals, in the span where each begins and in the later ones asked (domain, span) that it may reach."""
+    none = F.lit(None).cast("long")
+    begun = intervals.select("domain", span_of("since"), "since", "until")
+    known = asked.join(intervals.select("domain").distinct(), "domain", "left_semi")
+    line = known.select("domain", "span", none.alias("since"), none.alias("until")).unionByName(begun)
+    before = Window.partitionBy("domain").orderBy("span", F.asc_nulls_first("since")).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last(F.when(F.col("since").isNotNull(), F.struct("since", "until")), ignorenulls=True).over(before)
+    carried = line.withColumn("carry", carry).where("since is null and carry is not null").select("domain", "span", "carry.since", "carry.until")
+    return begun.unionByName(carried.where(F.col("until").isNull() | (span_of("until") >= F.col("span"))))
+
+
 def listed_captures(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """The captures (url, fetched_at in seconds, other columns) with host, listed, entry and since."""
     rows = captures.select(F.struct("*").alias("row"), host_of(F.col("url")).alias("host"), F.col("fetched_at").cast("long").alias("at"))
     pairs = rows.where("host is not null and at is not null").select("host", "at").distinct()
-    latest = pairs.agg(F.max("at")).first()[0] or 0
-    span = lambda at: F.floor(at / SPAN).cast("long")
-    last = span(F.least(F.coalesce(F.col("until") - 1, F.lit(latest)), F.lit(latest)))
-    intervals = validity(entries).where(F.col("since") <= latest)
-    intervals = stage(intervals.select("*", F.explode(F.sequence(span(F.col("since")), last)).alias("span")), "intervals")
     labels = F.split("host", r"\.")
     parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    asked = pairs.select("host", "at", span(F.col("at")).alias("span"), F.explode(parents).alias("domain"))
+    asked = pairs.select("host", "at", span_of("at"), F.explode(parents).alias("domain"))
+    intervals = stage(intervals_by_span(validity(entries), asked.select("domain", "span").distinct()), "intervals")
     known = F.broadcast(intervals) if intervals.count() <= BROADCAST_ROWS else intervals
     active = asked.join(known, ["domain", "span"]).where("since <= at and (until is null or at < until)")
     best = active.groupBy("host", "at").agg(F.max(F.struct(F.length("domain").alias("length"), "domain", "since")).alias("hit"))

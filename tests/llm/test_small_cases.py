@@ -415,6 +415,35 @@ def test_lists_with_clashing_columns_repeats_and_long_urls(spark):
     assert temporal_list_join.listed_captures(captures.where("false"), entries).count() == 0
 
 
+def test_times_may_be_anything(spark):
+    """Against holding each capture against each interval: the first and last long, milliseconds, the year 9999, negative times."""
+    rng = np.random.default_rng(12)
+    odd = [2**63 - 1, -(2**63), 1_704_067_200_000, 253_402_300_799, -1, 0, 1, temporal_list_join.SPAN, -temporal_list_join.SPAN, temporal_list_join.SPAN - 1]
+    names = ["a.org", "x.a.org", "b.net", "c.d.e.com", "e.com"]
+    time = lambda: int(rng.choice(odd)) if rng.uniform() < 0.4 else int(rng.integers(-(10**8), 2 * 10**9))
+    listed = [(str(rng.choice(names)), str(rng.choice(["add", "remove"])), time()) for _ in range(120)]
+    asked = [(i, "http://" + str(rng.choice(["", "www."])) + str(rng.choice(names)) + "/p", time()) for i in range(400)]
+    entries, captures = spark.createDataFrame(listed, "domain string, action string, at long"), spark.createDataFrame(asked, "id int, url string, fetched_at long")
+    spans = {}
+    for domain in names:
+        own = sorted((at, action) for d, action, at in listed if d == domain)
+        spans[domain] = [(at, own[i + 1][0] if i + 1 < len(own) else None) for i, (at, action) in enumerate(own) if action == "add"]
+    expected = {}
+    for i, url, at in asked:
+        host = url.split("/")[2]
+        hits = [(len(d), d, since) for d, own in spans.items() if host == d or host.endswith("." + d) for since, until in own if since <= at and (until is None or at < until)]
+        expected[i] = max(hits)[1:] if hits else (None, None)
+    found = {r["id"]: (r["entry"], r["since"]) for r in temporal_list_join.listed_captures(captures, entries).collect()}
+    assert found == expected and sum(e is not None for e, _ in expected.values()) > 50
+
+
+def test_a_far_time_does_not_multiply_the_list(spark):
+    entries = spark.range(200).select(F.concat(F.lit("d"), F.col("id").cast("string"), F.lit(".org")).alias("domain"), F.lit("add").alias("action"), F.lit(10).alias("at"))
+    pairs = spark.createDataFrame([("d1.org", s) for s in (0, 5, 3 * 10**12)], "domain string, span long")
+    rows = temporal_list_join.intervals_by_span(temporal_list_join.validity(entries), pairs)
+    assert rows.count() == 200 + 2 and rows.where("domain = 'd1.org'").count() == 3
+
+
 # --- 5: neighbours -----------------------------------------------------------------------------
 
 
