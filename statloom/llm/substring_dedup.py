@@ -28,8 +28,8 @@ earlier document that it repeats; one that has not stays (``verified``).
 
 Defined results: a null text has no words; documents with fewer words than a window keep
 all; rows of equal doc_id are one document in the order (equal rows do not remove each
-other); rows without doc_id come last, in the order of a hash of their text, those of equal text
-as one document; other columns are kept or play no part, whatever their names; an empty table
+other); rows whose doc_id is no whole number come last, in the order of a hash of it, and rows
+without doc_id in that of a hash of their text, those of equal text as one document; other columns are kept or play no part, whatever their names; an empty table
 gives no rows.
 """
 
@@ -154,8 +154,8 @@ def _parts(column: pa.Array, window: int) -> Iterator[list[tuple[int, int, bytes
 
 def key_of() -> Column:
     """A row's place in the order of documents."""
-    unnamed = F.lit(UNNAMED) + F.pmod(F.xxhash64(whole_text()), F.lit(1 << 61))
-    return F.coalesce(F.col("doc_id").cast("long"), unnamed)
+    unnamed = F.lit(UNNAMED) + F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), whole_text())), F.lit(1 << 61))
+    return F.coalesce(F.col("doc_id").try_cast("long"), unnamed)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -231,8 +231,10 @@ class FingerprintIndex:
         self.version, self.runs, self.buckets = 0, [], buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         try:
             newest = spark.read.parquet(f"{path}/manifest").orderBy(F.desc("version")).first()
-        except AnalysisException:  # a new index
-            newest = None
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            newest = None  # a new index
         if newest:
             self.version, self.runs, self.buckets = newest["version"], list(newest["runs"]), newest["buckets"]
         self.pending: str | None = None
@@ -347,7 +349,9 @@ class FingerprintIndex:
             seen = self.spark.read.schema("digest string").parquet(f"{self.path}/digests").distinct().withColumn("seen", F.lit(True))
             seen.isEmpty()
             first = first.join(seen, "digest", "left")
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             first = first.withColumn("seen", F.lit(None).cast("boolean"))
         first = first.where("first < last or seen").select("digest", F.when(F.col("seen"), F.lit(-(1 << 63))).otherwise(F.col("first")).alias("first"))
         later = digests.join(stage(first, "first"), "digest").where("key > first")  # a plain table, so that a hot digest can be split
