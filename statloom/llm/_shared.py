@@ -87,3 +87,28 @@ def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     with shuffles_freed(spark):
         df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows that are ordered in one task, more or less.
+GROUP_ROWS = 1 << 18
+
+
+def spread(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows with ``sub``: 0, but a number from 0 where more than ``GROUP_ROWS`` rows share the keys, who are dealt evenly.
+
+    ``rows`` is a staged table with ``place``, a number of each row's own: the keys' counts say
+    which are hot, at most one for every ``GROUP_ROWS`` rows.
+    """
+    most = GROUP_ROWS
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("held")).where(F.col("held") > most)
+    hot = hot.select(*(F.col(k).alias(f"_{k}") for k in keys), F.ceil(F.col("held") / most).alias("parts"))
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if not found:
+        return rows.withColumn("sub", F.lit(0).cast("long"))
+    same = None
+    for k in keys:
+        own = F.col(k).eqNullSafe(F.col(f"_{k}"))
+        same = own if same is None else same & own
+    joined = rows.join(F.broadcast(hot) if found <= BROADCAST_ROWS else hot, same, "left")
+    sub = F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("place"), F.col("parts"))).otherwise(0).cast("long")
+    return joined.select(*rows.columns, sub.alias("sub"))

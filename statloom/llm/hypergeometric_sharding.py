@@ -18,13 +18,13 @@ import math
 import random
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _shared
 from ._shared import BROADCAST_ROWS, stage, whole_text
 
-#: Rows that a bucket or a cell is meant to hold.
-GROUP_ROWS = 1 << 18
 LEAST_BUCKETS, MOST_BUCKETS = 64, 1 << 14
 LEAST_CELLS, MOST_CELLS = 64, 1 << 16
 
@@ -79,24 +79,39 @@ def shard_sizes(rows: int, shards: int) -> list[int]:
 
 
 def groups_for(rows: int, least: int, most: int) -> int:
-    return min(most, max(least, -(-rows // GROUP_ROWS)))
+    return min(most, max(least, -(-rows // _shared.GROUP_ROWS)))
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """The rows (row, key), staged; keys that more than ``GROUP_ROWS`` rows share become keys of each row's own."""
+    rows = stage(rows.withColumn("place", F.monotonically_increasing_id()), "repeated")
+    hot = rows.groupBy("key").agg(F.count("*").alias("held")).where(F.col("held") > _shared.GROUP_ROWS).select(F.col("key").alias("hot"))
+    known = F.broadcast(hot) if hot.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else hot
+    joined = rows.join(known, F.col("key") == F.col("hot"), "left")
+    return joined.select("row", F.when(F.col("hot").isNull(), F.col("key")).otherwise(F.xxhash64("key", "place")).alias("key"))
 
 
 def shuffle_into_shards(df: DataFrame, key: Column, shards: int, seed: int = 20) -> DataFrame:
     """The rows with ``shard`` and ``slot``: a uniform shuffle, shard sizes at most one apart.
 
     ``key`` tells rows apart (a hash of their content); rows with equal keys are placed in
-    an order of their own.  ``df`` is read three times, so it should be a plain table.
+    an order of their own, and where they crowd a bucket they are told apart by where they lie.
+    ``df`` is read three times, so it should be a plain table.
     """
     spark = df.sparkSession
     rows = df.select(F.struct("*").alias("row"), key.alias("key"))
     total = df.count()
     buckets, cells = groups_for(total, LEAST_BUCKETS, MOST_BUCKETS), groups_for(total // shards, LEAST_CELLS, MOST_CELLS)
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)).cast("int"))
+    in_bucket = F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(buckets)).cast("int")
+    rows = rows.withColumn("bucket", in_bucket)
     counts = dict(rows.groupBy("bucket").count().collect())  # at most MOST_BUCKETS rows
+    if max(counts.values(), default=0) > 2 * max(_shared.GROUP_ROWS, total // buckets):
+        rows = _apart(rows.select("row", "key")).withColumn("bucket", in_bucket)
+        counts = dict(rows.groupBy("bucket").count().collect())
     sizes = [counts.get(b, 0) for b in range(buckets)]
     matrix = communication_matrix(sizes, shard_sizes(sum(sizes), shards), seed)
-    table = spark.createDataFrame([(b, list(accumulate(line))) for b, line in enumerate(matrix)], "bucket int, ends array<long>")
+    ends = pa.array([list(accumulate(line)) for line in matrix], pa.list_(pa.int64()))
+    table = spark.createDataFrame(pa.table([pa.array(range(buckets), pa.int32()), ends], names=["bucket", "ends"]))  # a local relation
 
     small = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
     local = Window.partitionBy("bucket").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key")

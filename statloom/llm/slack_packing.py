@@ -6,8 +6,8 @@ combination that fits, and that combination is removed.  Only the number of piec
 length matters for this, at most one count for each length up to the capacity, so the
 driver sees a bounded table however large the corpus is; a combination found is removed as
 often as the counts allow, so there are about as many combinations as lengths.  Pieces are
-then numbered within their length, in slices so that a hot length is no hot task, and each
-number has its place in one of the combinations.
+then numbered within their length, in slices so that a hot length is no hot task (slices that
+equal pieces crowd are dealt out once more), and each number has its place in one of the combinations.
 
 ``token_pieces`` gives each piece with its ids, ``pack`` places pieces, ``sequences`` puts the
 ids of each sequence together.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stage
+from ._shared import spread, stage
 from .tokenizing import WordTokenizer
 
 CAPACITY = 2048
@@ -129,20 +129,20 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """The rows of a staged table of pieces with sequence_id and offset."""
-    names = pieces.columns
+    """The rows of a staged table of pieces (with ``place``, a number of each row's own) with sequence_id and offset."""
+    names = [c for c in pieces.columns if c != "place"]
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     table = places(combinations(counts, capacity))
 
     key = F.xxhash64("doc_id", "piece", "ids")
-    sliced = pieces.withColumn("slice", F.pmod(key, F.lit(SLICES)).cast("int"))
-    held = sliced.groupBy("length", "slice").agg(F.count("*").alias("held"))
-    before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = held.select("length", "slice", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "slice").orderBy("doc_id", "piece", F.xxhash64("ids"))
+    sliced = spread(pieces.withColumn("slice", F.pmod(key, F.lit(SLICES)).cast("int")), ["length", "slice"])
+    held = sliced.groupBy("length", "slice", "sub").agg(F.count("*").alias("held"))
+    before = Window.partitionBy("length").orderBy("slice", "sub").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = held.select("length", "slice", "sub", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("first"))
+    within = Window.partitionBy("length", "slice", "sub").orderBy("doc_id", "piece", F.xxhash64("ids"), "place")
     numbered = (
         sliced.withColumn("nth", F.row_number().over(within) - 1)
-        .join(firsts, ["length", "slice"])
+        .join(firsts, ["length", "slice", "sub"])
         .select(*names, (F.col("first") + F.col("nth")).alias("number"))
     )
 
@@ -159,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             kept = [batch.column(c) for c in names]
             yield pa.record_batch([*kept, pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name in names)
     return numbered.mapInArrow(place, f"{fields}, sequence_id long, offset long")
 
 
@@ -172,4 +172,5 @@ def sequences(packed: DataFrame) -> DataFrame:
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
     """Every piece of every document with its ids and place: sequence_id and offset in it."""
-    return pack(stage(token_pieces(docs, capacity, path), "pieces", "zstd"), capacity)  # two of four bytes of an id are mostly 0
+    pieces = token_pieces(docs, capacity, path).withColumn("place", F.monotonically_increasing_id())
+    return pack(stage(pieces, "pieces", "zstd"), capacity)  # two of four bytes of an id are mostly 0

@@ -9,8 +9,8 @@ so the words taken come near the target.
 The prefix sum is computed in steps: documents are counted by source, size class and a slice of
 4096 by a digest of doc_id; class counts are summed along each source, counts by the slice's first
 digit along each class of a source, slice counts along each of these, and only within a slice are
-documents numbered.  A hot source
-is thereby spread over its classes and slices.  Sources, which may be very many, are numbered and
+documents numbered.  A hot source is thereby spread over its classes and slices; a slice that
+rows without doc_id, or of equal ones, crowd is dealt out once more by where its rows lie.  Sources, which may be very many, are numbered and
 summed up in ranges.
 
 Defined results: null texts have size 0, null sources form the last source; a source of
@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import stage, whole_text, words_of
+from . import _shared
+from ._shared import spread, stage, whole_text, words_of
 
 LARGEST_RATE = 3
 SEED = "mix"
@@ -72,6 +73,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return flagged.select("source_key", "source_size", F.when(F.col("full"), F.col("most").cast("double")).otherwise(share).alias("target"))
 
 
+#: What tells rows of a source apart before they are numbered.
+GROUP = ["source_key", "class", "slice"]
+
+
 def size_class(size: Column) -> Column:
     """Eight classes for each power of two; a class's sizes differ by at most an eighth."""
     bits = F.length(F.bin(size))
@@ -79,7 +84,7 @@ def size_class(size: Column) -> Column:
 
 
 def with_copies(df: DataFrame, targets: DataFrame, groups: DataFrame, ties: list[str]) -> DataFrame:
-    """The rows with source_size, target and copies; ``df`` has source_key, size, class, slice, doc_id."""
+    """The rows with source_size, target and copies; ``df`` has source_key, size, class, slice, sub, doc_id and place."""
     zero = F.lit(0)
     along = Window.partitionBy("source_key").orderBy("class").rowsBetween(Window.unboundedPreceding, -1)  # some hundred classes
     bases = groups.groupBy("source_key", "class").agg(F.sum("held").alias("held"))
@@ -88,12 +93,12 @@ def with_copies(df: DataFrame, targets: DataFrame, groups: DataFrame, ties: list
     digits = groups.groupBy("source_key", "class", first_digit).agg(F.sum("held").alias("held"))
     by_digit = Window.partitionBy("source_key", "class").orderBy("digit").rowsBetween(Window.unboundedPreceding, -1)  # 17 digits
     digits = digits.withColumn("before", F.coalesce(F.sum("held").over(by_digit), zero)).drop("held").join(bases, ["source_key", "class"])
-    slices = Window.partitionBy("source_key", "class", "digit").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = Window.partitionBy("source_key", "class", "digit").orderBy("slice", "sub").rowsBetween(Window.unboundedPreceding, -1)
     starts = groups.withColumn("digit", first_digit).withColumn("first", F.coalesce(F.sum("held").over(slices), zero)).join(digits, ["source_key", "class", "digit"])
     starts = starts.withColumn("first", F.col("first") + F.col("base") + F.col("before"))
-    within = Window.partitionBy("source_key", "class", "slice").orderBy("size", "doc_id", F.xxhash64(*ties))
+    within = Window.partitionBy("source_key", "class", "slice", "sub").orderBy("size", "doc_id", F.xxhash64(*ties))
     numbered = df.withColumn("nth", F.row_number().over(within) - 1).join(
-        starts.select("source_key", "class", "slice", "first", "source_size", "target"), ["source_key", "class", "slice"]
+        starts.select("source_key", "class", "slice", "sub", "first", "source_size", "target"), ["source_key", "class", "slice", "sub"]
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(SEED), "source_key")), 1, 8), 16, 10).cast("double") / 4294967296
@@ -113,10 +118,10 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def mixture(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken (words the mix takes) of every document."""
-    small = stage(keyed(docs).select("doc_id", "source", "source_key", "size", "slice"), "sizes")
-    small = small.withColumn("class", size_class(F.col("size")))
+    small = keyed(docs).select("doc_id", "source", "source_key", "size", "slice", F.monotonically_increasing_id().alias("place"))
+    small = spread(stage(small, "sizes").withColumn("class", size_class(F.col("size"))), GROUP)
     targets = source_targets(small)
-    groups = small.groupBy("source_key", "class", "slice").agg(F.count("*").alias("held"))
+    groups = small.groupBy(*GROUP, "sub").agg(F.count("*").alias("held"))
     mixed = with_copies(small, targets, groups, ["doc_id", "size"])
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
@@ -126,8 +131,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct("*").alias("row"), "doc_id", "source", "text")
     rows = keyed(rows).withColumn("text_hash", F.xxhash64(whole_text())).drop("text")
     small = stage(rows.select("source_key", "source", "size", "slice"), "sizes").withColumn("class", size_class(F.col("size")))
-    groups = small.groupBy("source_key", "class", "slice").agg(F.count("*").alias("held"))
-    rows = rows.drop("source").withColumn("class", size_class(F.col("size")))
+    rows = rows.withColumn("class", size_class(F.col("size")))
+    if small.groupBy(*GROUP).count().where(F.col("count") > _shared.GROUP_ROWS).isEmpty():
+        rows, groups = rows.withColumn("sub", F.lit(0).cast("long")), small.withColumn("sub", F.lit(0).cast("long"))
+    else:  # rows that crowd a group need numbers that last
+        rows = groups = spread(stage(rows.withColumn("place", F.monotonically_increasing_id()), "crowded"), GROUP)
+    rows, groups = rows.drop("source", "place"), groups.groupBy(*GROUP, "sub").agg(F.count("*").alias("held"))
     mixed = with_copies(rows, source_targets(small), groups, ["text_hash"])
     return mixed.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), "copies")).alias("copy")).select("row.*")
 
