@@ -293,6 +293,45 @@ def sheets_of_districts_across(spark, sf_dir):
     return grammar.records(cells).select(*BACK)
 
 
+@query(FACTS, sql=""" SELECT title || ' sanaat ónimi kólemi (mln. som) — ' || part AS indicator, 'mln. som' AS unit, CAST(NULL AS VARCHAR) AS district_id, year, sum(value) AS value
+  FROM facts, (VALUES ('Barlıǵı', -1), ('Barlıǵı — Jup', 0), ('Barlıǵı — Taq', 1), ('Qalǵan', -1), ('Qalǵan — Taq', 1)) t(part, odd) WHERE odd < 0 OR nr % 2 = odd GROUP BY ALL""")
+def sheets_of_parts(spark, sf_dir):
+    f = cut(_facts(spark, sf_dir))
+    at = F.col("year") - 2001
+    sums = lambda odd: f.where(F.lit(odd < 0) | (F.col("nr") % 2 == odd)).groupBy("title", "year").agg(F.sum("value").alias("value"))
+    lines = [("Barlıǵı", -1), ("sonnan:", None), ("Jup", 0), ("Taq", 1), ("Qalǵan", -1), ("Shundan", None), ("Taq", 1)]
+    parts = [_cell(f, 0, 0, _title()), _cell(f, 2, at, F.concat(F.col("year").cast("string"), F.lit("-jıl")))]
+    for i, (label, odd) in enumerate(lines):
+        parts.append(_cell(f, 3 + i, 0, label))
+        if odd is not None:
+            parts.append(_cell(sums(odd), 3 + i, at, F.col("value")))
+    return grammar.records(_sheet(*parts)).select(*BACK)
+
+
+@query(FACTS, sql=" SELECT title || ' sanaat ónimi kólemi (mln. som) — ' || grp AS indicator, 'mln. som' AS unit, district_id, year, value * k AS value FROM facts, (VALUES ('Jámi', 1), ('Sonnan tısqarı', 2)) t(grp, k)")
+def sheets_of_groups(spark, sf_dir):
+    f = cut(_facts(spark, sf_dir))
+    at, down = F.col("year") - 2001, F.col("nr") + 4
+    wide = 20  # two tables stand side by side, the second so far to the right
+    heading = F.concat(F.col("year").cast("string"), F.lit(" j."))
+    first = f.groupBy("title").agg((F.min("year") - 2001).alias("low"))
+    cells = [_cell(f, 0, 0, _title()), _cell(first, 2, F.col("low"), "Jámi"), _cell(first, 2, F.col("low") + wide, "Sonnan tısqarı"), _cell(f, down, 0, F.col("label"))]
+    for k in (0, 1):
+        cells += [_cell(f, 3, at + k * wide, heading), _cell(f, down, at + k * wide, F.col("value") * (k + 1))]
+    return grammar.records(_sheet(*cells)).select(*BACK)
+
+
+@query(FACTS, sql=""" SELECT title || ' sanaat ónimi kólemi (mln. som)' AS indicator, 'mln. som' AS unit, district_id, 2004 AS year, CASE WHEN m = 12 THEN 'year' ELSE 'ytd' END AS period, CASE WHEN m < 12 THEN m END AS period_no, value * m AS value
+  FROM facts, (SELECT unnest([1, 2, 6, 12]) AS m) WHERE year = 2004""")
+def sheets_of_month_spans(spark, sf_dir):
+    f = cut(_facts(spark, sf_dir).where("year = 2004"))
+    spans = {1: "Yanvar", 2: "Yanvar-fevral", 6: "Yanvar - iyun", 12: "Yanvar-dekabr"}
+    cells = [_cell(f, 0, 0, _title()), _cell(f, 1, 2, "2004-jıl"), _cell(f, F.col("nr") + 4, 0, F.col("label"))]
+    for i, (month, said) in enumerate(spans.items()):
+        cells += [_cell(f, 3, 1 + i, said), _cell(f, F.col("nr") + 4, 1 + i, F.col("value") * month)]
+    return grammar.records(_sheet(*cells)).select(*BACK, "period", "period_no")
+
+
 def _table(rows: DataFrame, row, col, said) -> DataFrame:
     return _cell(rows.withColumn("title", F.lit("t")), row, col, said).select("sheet", "row", "col", "text")
 

@@ -108,16 +108,20 @@ def _groups(cells: DataFrame, heads: DataFrame) -> DataFrame:
     """(sheet, col, group): captions above period columns where tables stand side by side.
 
     The nearest row above with 2 marks or more, but on no more than half the columns, is
-    taken; its marks are carried to the right.
+    taken if its marks, carried to the right, tell period columns apart.
     """
     span = heads.groupBy("sheet").agg(F.min("head").alias("head"), F.min("col").alias("first"), F.max("col").alias("last"), F.count("*").alias("n")).where("n >= 4")
     marks = cells.join(span, "sheet").where((F.col("row") < F.col("head")) & F.col("col").between(F.col("first"), F.col("last")) & (F.length("text") < 60))
-    sparse = marks.groupBy("sheet", "row").agg(F.count("*").alias("m"), F.first("n").alias("n")).where((F.col("m") >= 2) & (F.col("m") <= F.floor(F.col("n") / 2)))
-    nearest = sparse.groupBy("sheet").agg(F.max("row").alias("row"))
-    chosen = marks.join(nearest, ["sheet", "row"]).select("sheet", "col", F.col("text").alias("mark"))
-    right = Window.partitionBy("sheet").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
-    columns = heads.select("sheet", "col").join(chosen, ["sheet", "col"], "full")  # marks may stand between period columns
-    return columns.select("sheet", "col", F.coalesce(F.last("mark", ignorenulls=True).over(right), F.lit("")).alias("group"))
+    sparse = marks.groupBy("sheet", "row").agg(F.count("*").alias("m"), F.first("n").alias("n")).where((F.col("m") >= 2) & (F.col("m") <= F.floor(F.col("n") / 2))).select("sheet", "row")
+    none = F.lit(None)
+    places = sparse.join(heads.select("sheet", "col"), "sheet").select("sheet", "row", "col", F.lit(True).alias("period"), none.cast("string").alias("mark"))
+    marked = marks.join(sparse, ["sheet", "row"]).select("sheet", "row", "col", none.cast("boolean").alias("period"), F.col("text").alias("mark"))
+    line = places.unionByName(marked).groupBy("sheet", "row", "col").agg(F.max("period").alias("period"), F.max("mark").alias("mark"))  # marks may stand between period columns
+    right = Window.partitionBy("sheet", "row").orderBy("col").rowsBetween(Window.unboundedPreceding, 0)
+    line = line.withColumn("group", F.coalesce(F.last("mark", ignorenulls=True).over(right), F.lit(""))).where("period")
+    telling = line.groupBy("sheet", "row").agg(F.count_distinct("group").alias("k")).where("k >= 2")
+    nearest = telling.groupBy("sheet").agg(F.max("row").alias("row"))
+    return line.join(nearest, ["sheet", "row"]).select("sheet", "col", "group")
 
 
 def _blocks(districts: Column) -> Column:
@@ -150,6 +154,10 @@ def wide_records(cells: DataFrame) -> DataFrame:
         F.max(F.when(F.col("col") == unit_col, F.col("text"))).alias("beside"),
         F.bool_or(F.coalesce("in_period", F.lit(False))).alias("filled"),
     )
+    # Rows without any cell go on with the label above them, too.
+    last = cells.groupBy("sheet").agg(F.max("row").alias("last")).join(head.select("sheet", "head"), "sheet").where(F.col("last") > F.col("head"))
+    every = last.select("sheet", F.explode(F.sequence(F.col("head") + 1, F.col("last"))).alias("row"))
+    lines = every.join(lines, ["sheet", "row"], "left").withColumn("filled", F.coalesce("filled", F.lit(False)))
     down = Window.partitionBy("sheet").orderBy("row")
     marker = F.coalesce(is_breakdown(F.col("own")), F.lit(False))
     lines = lines.withColumn("marker", marker)
