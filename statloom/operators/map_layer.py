@@ -48,6 +48,12 @@ def map_layer(obs: DataFrame, districts: DataFrame, year: int, strict: bool = Fa
     )
 
 
+def shown(rows: DataFrame) -> DataFrame:
+    """The rows as they are presented: values, totals, shares and growth to two digits, intensities to four."""
+    digits = {"value": 2, "total": 2, "share": 2, "yoy": 2, "mean_yoy": 2, "intensity": 4}
+    return rows.withColumns({c: F.round(c, digits[c]) for c in rows.columns if c in digits})
+
+
 def top_ranked(layer: DataFrame, n: int = 17) -> DataFrame:
     """The first districts of each indicator by rank."""
     return layer.where(F.col("rank") <= n)

@@ -9,7 +9,9 @@ from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import fixed
 from ..lineage import cut, delete, scratch
+from .forecasting import DRIVERS, forecast
 from .models import boosted_warning, ensemble, measures, trend_forecast, warned
 from .panel import features, split_by_years
 from .plan_actual import completion, critical, status_counts, summary_by_module
@@ -51,10 +53,12 @@ def weighted_forecast(forecasts: dict[str, DataFrame], errors: DataFrame, *keys:
     return ensemble(every.join(errors, "model"), *keys)
 
 
-def dashboard(plans: DataFrame, below: float = 80.0) -> dict[str, DataFrame]:
-    """Modules, statuses, and the regions least complete."""
+def dashboard(plans: DataFrame, below: float = 80.0, year: int | None = None, wide: DataFrame | None = None, steps: int = 3, drivers: dict = DRIVERS) -> dict[str, DataFrame]:
+    """Modules, statuses, the regions least complete and, where yearly figures are given, the forecasts of all of them."""
+    plans = plans if year is None else plans.where(F.col("year") == year)
     done = completion(plans, "module", "region")
-    return {"modules": summary_by_module(plans, "module"), "statuses": status_counts(plans), "critical": critical(done, "module", "region", below=below)}
+    parts = {"modules": summary_by_module(plans, "module"), "statuses": status_counts(plans), "critical": critical(done, "module", "region", below=below)}
+    return parts if wide is None else parts | {"forecasts": forecast(wide, steps=steps, drivers=drivers)}
 
 
 def annual_report(plans: DataFrame, year: int) -> DataFrame:
@@ -62,6 +66,16 @@ def annual_report(plans: DataFrame, year: int) -> DataFrame:
     return completion(plans.where(F.col("year") == year), "module")
 
 
+def annual_text(plans: DataFrame, years: list[int]) -> DataFrame:
+    """(year, text): the completion by module of each of the years, a line a module; a message for a year without plans."""
+    asked = plans.sparkSession.createDataFrame([(y,) for y in years], "year int")
+    lines = completion(plans.join(F.broadcast(asked), "year"), "year", "module").where("module is not null")  # as many as are asked
+    said = F.concat_ws(" | ", "module", fixed(F.col("plan")), fixed(F.col("fact")), "status")
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("module", said.alias("line")))), lambda x: x["line"]), "\n")
+    told = lines.groupBy("year").agg(text.alias("text"))
+    return asked.join(told, "year", "left").select("year", F.coalesce("text", F.concat(F.col("year").cast("string"), F.lit("-jıl ushın maǵlıwmat joq."))).alias("text"))
+
+
 def run_isolated(stages: dict[str, Callable[[], DataFrame]], seconds: float | None = None) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """The rows of each stage, staged, and the errors of those that failed or took over ``seconds``; the stages run together.
 

@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import TOPIC_KEYWORDS
-from ..functions.numbers import fixed
-from ..functions.text import last_year_in
+from ..functions.numbers import double, fixed
+from ..functions.text import last_year_in, question_form
+from ..lineage import broadcast_if_small, cut
+from .questions import places_named
+
+#: Topics whose figures are not among the macro ones.
+UNEMPLOYMENT, WAGES = "Jumıssızlıq", "IsHaqı"
 
 
 def topics(text: Column) -> Column:
@@ -30,6 +35,75 @@ def figures(questions: DataFrame, macro: DataFrame, last: int = 4) -> DataFrame:
     return rows.where(wanted).select("id", "indicator", "year", "value")
 
 
+def contexts(questions: DataFrame, macro: DataFrame, labour: DataFrame, wages: DataFrame, districts: DataFrame, total, branch: str, last: int = 4) -> DataFrame:
+    """(id, section, topic, item, at, value): all figures that questions (id, prompt) ask for, in four sections.
+
+    ``macro`` (indicator, year, value): the year asked where the topic has it, else its last years.
+    ``labour`` (district_id, year, active, employed, unemployed, rate): where unemployment is asked,
+    that of the district named, else of ``total``, in the year asked or its last.  ``districts``:
+    where one is named, the rates of all in the year asked or the last.  ``wages`` (branch, year,
+    quarter, value): where asked, the last quarters of ``branch``, in thousands.  Values are rounded
+    as they are shown.  Questions with equal ids are one question; a null prompt is an empty one.
+    """
+    text = F.coalesce(F.col("prompt"), F.lit(""))
+    asked = cut(questions.select("id", topics(text).alias("topics"), last_year_in(text).alias("asked"), question_form(text).alias("q")).dropDuplicates(["id"]))
+    named = places_named(asked.select("id", "q"), districts).withColumnRenamed("district_id", "named")
+    each = asked.select("id", "asked", F.explode("topics").alias("topic"))
+    out = lambda rows, section, topic, item, at, value: rows.select("id", F.lit(section).alias("section"), topic.alias("topic"), item.alias("item"), at.cast("string").alias("at"), value.cast("double").alias("value"))
+
+    back = Window.partitionBy("indicator").orderBy(F.desc("year"))
+    known = macro.where("value is not null").select("indicator", "year", "value").withColumn("back", F.row_number().over(back))
+    rows = each.join(broadcast_if_small(known), F.col("topic") == F.col("indicator"))
+    there = F.max(F.coalesce(F.col("year") == F.col("asked"), F.lit(False))).over(Window.partitionBy("id", "topic"))
+    rows = rows.withColumn("there", there).where(F.when(F.col("there"), F.col("year") == F.col("asked")).otherwise(F.col("back") <= last))
+    parts = [out(rows, "macro", F.col("topic"), F.when(F.col("there"), "value").otherwise("series"), F.col("year"), F.round(double(F.col("value")), 2))]
+
+    own = labour.select(F.col("district_id").alias("place"), F.col("year").alias("of"), "active", "employed", "unemployed", "rate")
+    ends = own.groupBy("place").agg(F.max("of").alias("latest"))
+    about = each.where(F.col("topic") == UNEMPLOYMENT).join(named, "id", "left").withColumn("place", F.coalesce("named", F.lit(total))).drop("named")
+    found = about.join(broadcast_if_small(own.join(ends, "place")), "place").where(F.col("of") == F.coalesce("asked", "latest"))
+    items = F.array(*[F.struct(F.lit(c).alias("item"), F.round(double(F.col(c)), d).alias("value")) for c, d in (("active", 1), ("employed", 1), ("unemployed", 1), ("rate", 2))])
+    found = found.select("id", F.concat_ws(" ", "place", F.col("of").cast("string")).alias("at"), F.inline(items))
+    parts.append(out(found, "labour", F.lit(UNEMPLOYMENT), F.col("item"), F.col("at"), F.col("value")))
+
+    newest = labour.agg(F.max("year")).first()[0]  # one number
+    wanted = asked.select("id", "asked").join(named.select("id"), "id").withColumn("of", F.coalesce("asked", F.lit(newest)))
+    beside = wanted.join(broadcast_if_small(own.where("rate is not null")), "of")
+    parts.append(out(beside, "districts", F.lit(UNEMPLOYMENT), F.col("place"), F.col("of"), F.round(double(F.col("rate")), 2)))
+
+    latest = Window.orderBy(F.desc("year"), F.desc("quarter"))  # the quarters of one branch
+    paid = wages.where((F.col("branch") == branch) & F.col("value").isNotNull()).withColumn("back", F.row_number().over(latest)).where(F.col("back") <= last)
+    quarter = F.concat(F.col("year").cast("string"), F.lit("Q"), F.col("quarter").cast("string"))
+    money = each.where(F.col("topic") == WAGES).select("id").crossJoin(F.broadcast(paid))  # four rows
+    parts.append(out(money, "wages", F.lit(WAGES), F.lit(branch), quarter, F.round(double(F.col("value")) / 1000, 0)))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _lines(context: DataFrame) -> DataFrame:
+    """(id, place, line): the lines that tell a context, in order."""
+    number = fixed(F.col("value"))
+    which = {"macro": 1, "labour": 2, "districts": 3, "wages": 4}
+    order = F.create_map(*[F.lit(x) for pair in which.items() for x in pair])[F.col("section")]
+    worst = F.row_number().over(Window.partitionBy("id", "section").orderBy(F.desc("value"), "item"))
+    newest = F.row_number().over(Window.partitionBy("id", "section", "topic").orderBy(F.desc("at")))
+    rows = context.withColumn("worst", F.when(F.col("section") == "districts", worst)).withColumn("newest", newest)
+    rows = rows.where(F.when(F.col("section") == "districts", F.col("worst") <= 3).when(F.col("item") == "series", F.col("newest") <= 3).otherwise(True))
+    unit = F.when(F.col("section") == "macro", unit_of(F.col("topic"))).when(F.col("section") == "wages", "mıń som").when((F.col("section") == "labour") & (F.col("item") != "rate"), "mıń").otherwise("%")
+    said = F.concat(F.lit("- "), F.col("topic"), F.when(F.col("section").isin("labour", "districts"), F.concat(F.lit(" "), F.col("item"))).otherwise(""), F.lit(" ("), F.col("at"), F.lit("): "), number, F.lit(" "), unit)
+    place = F.struct(order.alias("section"), F.col("topic").alias("topic"), F.coalesce("worst", F.lit(0)).alias("worst"), F.col("at").alias("at"), F.col("item").alias("item"))
+    return rows.select("id", place.alias("place"), said.alias("line"))
+
+
+def told(questions: DataFrame, context: DataFrame) -> DataFrame:
+    """(id, prompt, answer): for each question (id, prompt) the prompt to a model, with its figures, and the answer made from a template alone."""
+    lines = _lines(context).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))  # some dozen a question
+    rows = questions.select("id", "prompt").dropDuplicates(["id"]).join(lines, "id", "left")
+    body = F.coalesce(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("Maǵlıwmat tabılmadı."))
+    prompt = F.concat(F.lit("=== Maǵlıwmatlar ===\n"), body, F.lit("\n\n=== Soraw ===\n"), F.coalesce("prompt", F.lit("")))
+    answer = F.concat(F.lit("## Statistika\n"), body, F.lit("\n\n## Juwmaq\n"), F.when(F.col("lines").isNull(), "Sorawdı anıqlań.").otherwise("Sanlar bazadan alındı."))
+    return rows.select("id", prompt.alias("prompt"), answer.alias("answer"))
+
+
 def unit_of(indicator: Column) -> Column:
     return F.when(indicator.isin("Eksport", "Import", "Saldo"), "mln.$").otherwise("mlrd.som")
 

@@ -60,13 +60,22 @@ def main_ring(shapes: DataFrame, key: str) -> DataFrame:
 
 
 def label_points(shapes: DataFrame, key: str, steps: int = 49) -> DataFrame:
-    """The point of a grid over each ring's box that lies inside and farthest from the edge."""
-    boxes = bounding_boxes(shapes, key)
-    cells = shapes.join(boxes, key).select(key, "ring", "x0", "y0", "x1", "y1", F.explode(F.sequence(F.lit(0), F.lit(steps * steps - 1))).alias("i"))
-    at = lambda low, high, i: F.col(low) + (F.col(high) - F.col(low)) * (i + 0.5) / steps
-    cells = cells.withColumn("x", at("x0", "x1", F.col("i") % steps)).withColumn("y", at("y0", "y1", F.floor(F.col("i") / steps)))
+    """The point of a grid over each ring's box that lies inside and farthest from the edge; rings without such a point give none.
+
+    The grid is walked within the row, so that a ring is never copied.
+    """
+    rows = shapes.join(bounding_boxes(shapes, key), key)
     ring = F.col("ring")
     following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
-    away = F.array_min(F.zip_with(ring, following, lambda a, b: distance_to_segment(F.col("x"), F.col("y"), a, b)))
-    inside = cells.where(contains(ring, F.col("x"), F.col("y"))).withColumn("away", away)
-    return inside.groupBy(key).agg(F.max_by(F.struct("x", "y"), F.struct(F.col("away"), -F.col("i"))).alias("p"), F.max("away").alias("away")).select(key, "p.x", "p.y", "away")
+    at = lambda low, high, i: F.col(low) + (F.col(high) - F.col(low)) * (i + 0.5) / steps
+    place = lambda i: (at("x0", "x1", i % steps), at("y0", "y1", F.floor(i / steps)))
+    away = lambda x, y: F.array_min(F.zip_with(ring, following, lambda a, b: distance_to_segment(x, y, a, b)))
+
+    def farther(best: Column, i: Column) -> Column:
+        x, y = place(i)
+        own = F.when(contains(ring, x, y), away(x, y))
+        return F.when(own > F.coalesce(best["away"], F.lit(-1.0)), F.struct(x.alias("x"), y.alias("y"), own.alias("away"))).otherwise(best)
+
+    none = F.lit(None).cast("double")
+    best = F.aggregate(F.sequence(F.lit(0), F.lit(steps * steps - 1)), F.struct(none.alias("x"), none.alias("y"), none.alias("away")), farther)
+    return rows.select(key, best.alias("p")).where("p.away is not null").select(key, "p.x", "p.y", "p.away")

@@ -7,14 +7,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import DISTRICTS, DUPLICATES_FOLDER, MODULES
+from ..constants import DISTRICTS, DUPLICATES_FOLDER, LABOUR_DISTRICTS, MODULES
 from ..functions import colour, numbers, period, text
 from ..lineage import cut, scratch
-from ..operators import assistant, catalog, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
+from ..operators import assistant, catalog, changepoints, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
 from ..sources import domain, files, grammar, workbook, workbook_source
 from . import tables
 from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, layer_sql, parsed_sql, query, series_sql
 from .catalogue import MACRO as MACRO_SQL
+from .catalogue import TOPICS
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
 
 #: Market segments as indicators, each primary in a module.
@@ -183,10 +184,20 @@ def meta(spark, sf_dir):
     )
 
 
-@query(SEGS, sql=" SELECT id, module, CASE module " + " ".join(f"WHEN '{m}' THEN '{v[0]}'" for m, v in MODULES.items()) + " END AS module_name, CASE module " + " ".join(f"WHEN '{m}' THEN '{v[2]}'" for m, v in MODULES.items()) + " END AS color FROM segs UNION ALL SELECT 'X', 'other', NULL, NULL")
+MODULE_NAMES = list(MODULES)
+MODULE_ROWS = "mods AS (SELECT * FROM (VALUES " + ", ".join(f"('{m}', '{v[0]}', '{v[2]}')" for m, v in MODULES.items()) + ") t(module, module_name, color))"
+BRIEFS = f"briefs AS (SELECT p_partkey AS id, CASE WHEN p_size % 9 < {len(MODULE_NAMES)} THEN {MODULE_NAMES}[p_size % 9 + 1] ELSE 'other' END AS module FROM part)"
+
+
+def _in_modules(spark, sf_dir):
+    k = (F.col("p_size") % 9).cast("int")
+    module = F.when(k < len(MODULE_NAMES), F.get(F.array(*map(F.lit, MODULE_NAMES)), k)).otherwise("other")
+    return tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("unit"), F.col("p_type").alias("category_id"), module.alias("module"), F.lit(True).alias("has_districts"))
+
+
+@query(MODULE_ROWS, BRIEFS, sql=" SELECT id, b.module, module_name, color FROM briefs b LEFT JOIN mods m ON m.module = b.module")
 def indicator_brief(spark, sf_dir):
-    other = spark.createDataFrame([("X", "x", "", "c", "other", True)], segments(spark).schema)
-    return catalog.brief(segments(spark).unionByName(other)).select("id", "module", "module_name", "color")
+    return catalog.brief(_in_modules(spark, sf_dir)).select("id", "module", "module_name", "color")
 
 
 @query(INDICATORS, sql=" SELECT id FROM inds WHERE contains(translate(strip_accents(lower(name)), '''', ''), 'gear')")
@@ -194,10 +205,18 @@ def indicator_found(spark, sf_dir):
     return catalog.found(tables.indicators(spark, sf_dir), "GEÁ'R").select("id")
 
 
-@query(sql=" SELECT " + ", ".join(f"{c}" for c in ("id", "name", "n")) + " FROM (VALUES " + ", ".join(f"('{d[0]}', '{d[1]}', {len(MODULES)})" for d in DISTRICTS) + ") t(id, name, n)")
+DISTRICT_LIST = "dims AS (SELECT * FROM (VALUES " + ", ".join(f"('{d[0]}', '{d[1]}', {i})" for i, d in enumerate(DISTRICTS)) + ") t(id, name, nr))"
+
+
+@query(DISTRICT_LIST, MODULE_ROWS, BRIEFS, sql=f""" SELECT 'district' AS list, d.id, d.name, (SELECT count(*) FROM customer WHERE c_nationkey % {len(DISTRICTS)} = nr) AS n FROM dims d
+  UNION ALL SELECT 'module', m.module, m.module_name, (SELECT count(*) FROM briefs b WHERE b.module = m.module) FROM mods m""")
 def reference_lists(spark, sf_dir):
-    n = reference.modules(spark).agg(F.count("*").cast("int").alias("n"))
-    return reference.districts(spark).select(F.col("district_id").alias("id"), "name").crossJoin(n)  # one row
+    # districts with how many customers they have, modules with how many indicators
+    ids = F.get(F.array(*[F.lit(d[0]) for d in DISTRICTS]), (F.col("c_nationkey") % len(DISTRICTS)).cast("int"))
+    held = tables.read(spark, sf_dir, "customer").groupBy(ids.alias("district_id")).agg(F.count("*").alias("n"))
+    places = reference.districts(spark).join(held, "district_id", "left").select(F.lit("district").alias("list"), F.col("district_id").alias("id"), "name", F.coalesce("n", F.lit(0)).alias("n"))
+    own = _in_modules(spark, sf_dir).groupBy(F.col("module").alias("id")).agg(F.count("*").alias("n"))
+    return places.unionByName(reference.modules(spark).join(own, "id", "left").select(F.lit("module").alias("list"), "id", "name", F.coalesce("n", F.lit(0)).alias("n")))
 
 
 @query(INDICATORS, PRIM, sql=" SELECT string_agg(module || ' | ' || name || ' | ' || unit, chr(10) ORDER BY module) AS text FROM prim")
@@ -860,7 +879,142 @@ def district_catalogue(spark, sf_dir):
     return reference.district_text(tables.districts(spark, sf_dir))
 
 
+ASKED_OF = ["jao 1999", "eksport hám sanaat 2012", "jumıssızlıq 2000", "ishsizlik", "maosh, gdp 2000-jıl", "qalay"]
+ASKING = f"""asking AS (SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, coalesce(text, '') || ' ' || CASE WHEN conv_id % 3 = 0 THEN lower(n_name) || ' ' ELSE '' END || {ASKED_OF}[conv_id % 6 + 1] AS prompt
+  FROM conversations JOIN nation ON n_nationkey = conv_id % 25 WHERE role = 'user')"""
+PAID = "paid AS (SELECT year, quarter, y, row_number() OVER (ORDER BY year DESC, quarter DESC) AS back FROM (SELECT year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS y FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL))"
+CONTEXTS = rf"""hits AS (SELECT DISTINCT id, indicator FROM asking JOIN topics ON contains(lower(prompt), word)),
+each AS (SELECT s.id, coalesce(h.indicator, 'JAO') AS topic, TRY_CAST(regexp_extract_all(prompt, '20[12][0-9]')[-1] AS INT) AS asked FROM asking s LEFT JOIN hits h ON h.id = s.id),
+years AS (SELECT DISTINCT id, asked FROM each),
+vals AS (SELECT *, row_number() OVER (PARTITION BY indicator ORDER BY year DESC) AS back FROM macro),
+met AS (SELECT e.id, topic, year, value, back, coalesce(year = asked, false) AS hit, max(CASE WHEN year = asked THEN 1 ELSE 0 END) OVER (PARTITION BY e.id, topic) AS there FROM each e JOIN vals v ON v.indicator = topic),
+labour AS (SELECT *, max(year) OVER (PARTITION BY district_id) AS latest FROM panel),
+people AS (SELECT e.id, l.* FROM each e LEFT JOIN named n ON n.id = e.id JOIN labour l ON l.district_id = coalesce(n.district_id, '0') AND l.year = coalesce(asked, latest) WHERE topic = 'Jumıssızlıq'),
+context AS (
+  SELECT id, 'macro' AS section, topic, CASE WHEN there = 1 THEN 'value' ELSE 'series' END AS item, CAST(year AS VARCHAR) AS at_, round(CAST(value AS DOUBLE), 2) AS value FROM met WHERE CASE WHEN there = 1 THEN hit ELSE back <= 4 END
+  UNION ALL SELECT id, 'labour', 'Jumıssızlıq', i, district_id || ' ' || CAST(year AS VARCHAR), CASE i WHEN 'active' THEN round(CAST(active AS DOUBLE), 1) WHEN 'employed' THEN round(CAST(employed AS DOUBLE), 1) WHEN 'unemployed' THEN round(CAST(unemployed AS DOUBLE), 1) ELSE round(rate, 2) END
+    FROM people, (SELECT unnest(['active', 'employed', 'unemployed', 'rate']) AS i)
+  UNION ALL SELECT y.id, 'districts', 'Jumıssızlıq', p.district_id, CAST(p.year AS VARCHAR), round(rate, 2) FROM years y JOIN named n ON n.id = y.id JOIN panel p ON p.year = coalesce(asked, (SELECT max(year) FROM panel))
+  UNION ALL SELECT id, 'wages', 'IsHaqı', '1-URGENT', CAST(year AS VARCHAR) || 'Q' || CAST(quarter AS VARCHAR), round(y / 1000, 0) FROM each, paid WHERE topic = 'IsHaqı' AND back <= 4)"""
+
+
+def _asking(spark, sf_dir):
+    c = tables.read(spark, sf_dir, "conversations").where("role = 'user'")
+    n = tables.read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    where = F.when(F.col("conv_id") % 3 == 0, F.concat(F.lower("n_name"), F.lit(" "))).otherwise("")
+    what = F.get(F.array(*map(F.lit, ASKED_OF)), (F.col("conv_id") % 6).cast("int"))
+    rows = c.join(n, F.col("conv_id") % 25 == F.col("n_nationkey"))
+    return rows.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit(" "), where, what).alias("prompt"))
+
+
+def _contexts(spark, sf_dir, asking):
+    o = tables.read(spark, sf_dir, "orders")
+    wages = o.groupBy(F.col("o_orderpriority").alias("branch"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("value"))
+    return retrieval.contexts(asking, _macro(spark, sf_dir), tables.panel(spark, sf_dir), wages, tables.districts(spark, sf_dir), "0", "1-URGENT")
+
+
+@query(OBSERVATIONS, series_sql(False), MACRO_SQL, PANEL, TOPICS, ASKING, parsed_sql("asking"), PAID, CONTEXTS, sql=" SELECT id, section, topic, item, at_ AS at, value FROM context")
+def question_figures(spark, sf_dir):
+    return _contexts(spark, sf_dir, _asking(spark, sf_dir))
+
+
+@query(OBSERVATIONS, series_sql(False), MACRO_SQL, PANEL, TOPICS, ASKING, parsed_sql("asking"), PAID, CONTEXTS, sql=""" , kept AS (
+  SELECT *, CASE section WHEN 'macro' THEN 1 WHEN 'labour' THEN 2 WHEN 'districts' THEN 3 ELSE 4 END AS sec, CASE WHEN section = 'districts' THEN row_number() OVER (PARTITION BY id, section ORDER BY value DESC, item) ELSE 0 END AS worst,
+    row_number() OVER (PARTITION BY id, section, topic ORDER BY at_ DESC) AS newest FROM context),
+lines AS (SELECT id, string_agg('- ' || topic || CASE WHEN section IN ('labour', 'districts') THEN ' ' || item ELSE '' END || ' (' || at_ || '): ' || printf('%.1f', value) || ' ' ||
+    CASE WHEN section = 'macro' THEN CASE WHEN topic IN ('Eksport', 'Import', 'Saldo') THEN 'mln.$' ELSE 'mlrd.som' END WHEN section = 'wages' THEN 'mıń som' WHEN section = 'labour' AND item <> 'rate' THEN 'mıń' ELSE '%' END,
+    chr(10) ORDER BY sec, topic, worst, at_, item) AS body FROM kept WHERE CASE WHEN section = 'districts' THEN worst <= 3 WHEN item = 'series' THEN newest <= 3 ELSE true END GROUP BY id)
+SELECT a.id, '=== Maǵlıwmatlar ===' || chr(10) || coalesce(body, 'Maǵlıwmat tabılmadı.') || chr(10) || chr(10) || '=== Soraw ===' || chr(10) || prompt AS prompt,
+  '## Statistika' || chr(10) || coalesce(body, 'Maǵlıwmat tabılmadı.') || chr(10) || chr(10) || '## Juwmaq' || chr(10) || CASE WHEN body IS NULL THEN 'Sorawdı anıqlań.' ELSE 'Sanlar bazadan alındı.' END AS answer FROM asking a LEFT JOIN lines l ON l.id = a.id""")
+def template_answers(spark, sf_dir):
+    asking = cut(_asking(spark, sf_dir))
+    return retrieval.told(asking, _contexts(spark, sf_dir, asking))
+
+
 @query(OBSERVATIONS, layer_sql(YEAR), sql=f" SELECT 'Answer:' || chr(10) || string_agg(line, chr(10) ORDER BY line) AS prompt FROM (SELECT concat_ws(' | ', indicator_id, name, {_amount('value')}, {_pct('yoy')}) AS line FROM layer WHERE value IS NOT NULL AND indicator_id = 'BUILDING')")
 def prompt_of_lines(spark, sf_dir):
     lines = questions.context(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), YEAR).where("indicator_id = 'BUILDING'")
     return retrieval.prompt_text("Answer:", lines)
+
+
+# --- as presented --------------------------------------------------------------------------------
+
+
+@query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, district_id, round(value, 2) AS value, round(total, 2) AS total, round(share, 2) AS share, round(yoy, 2) AS yoy, round(intensity, 4) AS intensity FROM layer")
+def shown_layer(spark, sf_dir):
+    return map_layer.shown(_layer(spark, sf_dir)).select("indicator_id", "district_id", "value", "total", "share", "yoy", "intensity")
+
+
+@query(sql=" SELECT p_name AS human, CASE WHEN p_size % 2 = 0 THEN '<|im_start|>system' || chr(10) || 'be brief<|im_end|>' || chr(10) ELSE '' END || '<|im_start|>user' || chr(10) || p_name || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) || p_brand || '<|im_end|>' || chr(10) AS text FROM part")
+def chat_texts(spark, sf_dir):
+    path = scratch(spark, "pairs")
+    pairs = tables.read(spark, sf_dir, "part").select("p_size", F.col("p_name").alias("human"), F.col("p_brand").alias("gpt"))
+    even = F.col("p_size") % 2 == 0
+    files.write_json(files.sharegpt(pairs.where(even), "be brief").unionByName(files.sharegpt(pairs.where(~even), "")), path)
+    return files.chat_text(files.dialogues(spark, path, lines=True)).select("human", "text")
+
+
+@query(PLANS, sql=""" , done AS (SELECT module, avg(CAST(planned AS DOUBLE)) AS plan, avg(CAST(actual AS DOUBLE)) AS fact FROM plans WHERE module IS NOT NULL GROUP BY 1 HAVING count(planned) > 0 AND count(actual) > 0)
+SELECT 2026 AS year, string_agg(concat_ws(' | ', module, printf('%.1f', plan), printf('%.1f', fact), CASE WHEN fact / plan >= 0.95 THEN 'completed' WHEN fact / plan >= 0.8 THEN 'in_progress' WHEN fact / plan >= 0.6 THEN 'at_risk' ELSE 'critical' END), chr(10) ORDER BY module) AS text FROM done
+UNION ALL SELECT 2031, '2031-jıl ushın maǵlıwmat joq.'""")
+def annual_texts(spark, sf_dir):
+    return reports.annual_text(tables.plans(spark, sf_dir).withColumn("year", F.lit(2026)), [2026, 2031])
+
+
+@query(sql="""WITH long AS (SELECT CAST(year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS INT) AS year, count(*) AS export, count(*) FILTER (WHERE o_orderpriority = '1-URGENT') AS investment FROM orders GROUP BY 1),
+pair AS (SELECT 'export' AS indicator, year, ln(CAST(export AS DOUBLE)) AS z FROM long UNION ALL SELECT 'investment', year, ln(CAST(investment AS DOUBLE)) FROM long WHERE (SELECT min(investment) FROM long) > 0),
+line AS (SELECT indicator, regr_slope(z, year) AS b, regr_intercept(z, year) AS a, max(year) AS last FROM pair GROUP BY 1)
+SELECT indicator, CAST(last + s AS INT) AS year, round(exp(a + b * (last + s)), 3) AS yhat FROM line, (SELECT unnest([1, 2]) AS s)""")
+def dashboard_forecasts(spark, sf_dir):
+    wide = cut(_wide(spark, sf_dir)).select("year", "export", "investment")
+    parts = reports.dashboard(tables.plans(spark, sf_dir), wide=wide, steps=2, drivers={"export": ("line", ()), "investment": ("line", ())})
+    return parts["forecasts"].select("indicator", "year", F.round("yhat", 3).alias("yhat"))
+
+
+@query(PLANS, sql=""" SELECT module, region, round(fact / plan * 100, 6) AS completion FROM (SELECT module, region, avg(CAST(planned AS DOUBLE)) AS plan, avg(CAST(actual AS DOUBLE)) AS fact FROM plans
+  WHERE module IS NOT NULL AND region IS NOT NULL GROUP BY ALL HAVING count(planned) > 0 AND count(actual) > 0) WHERE fact / plan < 0.8 ORDER BY fact / plan, module, region LIMIT 10""")
+def dashboard_critical(spark, sf_dir):
+    return reports.dashboard(tables.plans(spark, sf_dir))["critical"].select("module", "region", F.round("completion", 6).alias("completion"))
+
+
+@query(FACTS, sql=" SELECT year + 8 AS year, 'Eksport' AS indicator, sum(value) AS value FROM facts WHERE year % 2 = 0 GROUP BY 1")
+def macro_sheet_filled(spark, sf_dir):
+    y = cut(_years_of(_facts(spark, sf_dir)).withColumn("year", F.col("year") + 8))
+    at = F.col("year") - 2000
+    known = F.when(F.col("year") % 2 == 0, F.col("value")).otherwise(0.0)
+    return domain.macro_filled(_sheet(_table(y, 2, at, F.concat(F.col("year").cast("string"), F.lit(" j."))), _table(y, 4, 0, "Eksport, jámi"), _table(y, 4, 1, "mln. AQSH dolları"), _table(y, 4, at, 0), _table(y, 5, 1, "mln. AQSH dolları"), _table(y, 5, at, known)))
+
+
+LABOUR_ROWS = f"names AS (SELECT * FROM (VALUES {', '.join(f'({i}, {chr(39)}{k.replace(chr(39), chr(39) * 2)}{chr(39)}, {chr(39)}{v}{chr(39)})' for i, (k, v) in enumerate(LABOUR_DISTRICTS.items()))}) t(num, said, id))"
+
+
+@query(FACTS, LABOUR_ROWS, sql=" SELECT id AS district_id, year + 14 AS year, sum(value) + num AS active, sum(value) AS employed, CAST(num AS DOUBLE) AS unemployed, 5.5::DOUBLE AS rate FROM facts, names WHERE num % 3 <> 2 GROUP BY year, id, num")
+def labour_by_district(spark, sf_dir):
+    y = cut(_years_of(_facts(spark, sf_dir)).withColumn("year", F.col("year") + 14))
+    at = (F.col("year") - 2016) * 4 + 1
+    parts = [_table(y, 2, at, F.concat(F.col("year").cast("string"), F.lit("-j.")))]
+    for i, said in enumerate(LABOUR_DISTRICTS):
+        parts.append(_table(y, 6 + i, 0, said))
+        figures = (F.col("value") + i, F.col("value"), i, 5.5)
+        parts += [_table(y, 6 + i, at + j, v) for j, v in enumerate(figures) if not (i % 3 == 2 and j == 2)]  # every third has a gap
+    return domain.labour(_sheet(*parts))
+
+
+@query()
+def feature_shares(spark, sf_dir):
+    ready = cut(panel.features(_urgent(spark, sf_dir)))
+    model = models.boosted_warning(ready, 6, rate=0.5, depth=3)
+    return spark.createDataFrame([(i + 1, n, s) for i, (n, s) in enumerate(models.top_importances(model))], "place int, feature string, share double")
+
+
+@query()
+def weak_spot_list(spark, sf_dir):
+    fit = lambda rows: models.boosted_warning(rows, 6, rate=0.5, depth=3)
+    return reports.weak_spots(_urgent(spark, sf_dir), fit=fit)
+
+
+@query()
+def quarterly_forecasts(spark, sf_dir):
+    o = tables.read(spark, sf_dir, "orders")
+    rows = o.groupBy("o_orderpriority", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count("*").alias("n"))
+    return changepoints.quarterly_forecast(rows, "o_orderpriority", "n")

@@ -29,18 +29,31 @@ def _years(cells: DataFrame, row: int, low: int, high: int) -> DataFrame:
     return cells.where(F.col("row") == row).select("sheet", "col", _year(F.col("text"), low, high).alias("year")).where("year is not null")
 
 
-def macro(cells: DataFrame) -> DataFrame:
-    """(year, indicator, value): for each label its first row in thousands of millions or millions; growth rows are left out."""
+def _macro_rows(cells: DataFrame) -> DataFrame:
     down = Window.partitionBy("sheet").orderBy("row")
     lines = cells.where("row >= 3").groupBy("sheet", "row").agg(F.max(F.when(F.col("col") == 0, F.col("text"))).alias("label"), F.max(F.when(F.col("col") == 1, F.lower("text"))).alias("unit"))
     lines = lines.withColumn("indicator", F.last(_first_part(F.coalesce("label", F.lit("")), MACRO_LABELS), ignorenulls=True).over(down))
     lines = lines.where("indicator is not null and unit rlike 'mlrd|mln'").where(~F.col("unit").rlike("o'siw|ósim|%"))
     values = cells.join(_years(cells, 2, 2010, 2030), ["sheet", "col"]).select("sheet", "row", "year", number_of(F.col("text")).alias("value")).where("value is not null")
-    rows = lines.join(values, ["sheet", "row"])
+    return lines.join(values, ["sheet", "row"])
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("sheet", "indicator").agg(F.min("row").alias("row"))
     return rows.join(first, ["sheet", "indicator", "row"]).select("year", "indicator", "value")
 
 
+def macro(cells: DataFrame) -> DataFrame:
+    """(year, indicator, value): for each label its first row in thousands of millions or millions; growth rows are left out."""
+    return _first_rows(_macro_rows(cells))
+
+
+def macro_filled(cells: DataFrame) -> DataFrame:
+    """Like ``macro`` without zeros, which stand for figures not known yet; a label's first row is one that has others."""
+    rows = _macro_rows(cells).where("value <> 0")
+    return _first_rows(rows)
+
+
 def labour(cells: DataFrame) -> DataFrame:
     """(district_id, year, active, employed, unemployed, rate): four columns for each year; rows with a gap are left out."""
     names = ("active", "employed", "unemployed", "rate")

@@ -117,6 +117,13 @@ def sharegpt(pairs: DataFrame, system: str) -> DataFrame:
     return pairs.select(F.array(turn("system", F.lit(system)), turn("human", F.col("human")), turn("gpt", F.col("gpt"))).alias("conversations"))
 
 
+def chat_text(turns: DataFrame) -> DataFrame:
+    """The rows (system, human, gpt) with ``text``: their turns with marks around them, as a chat model is trained on; an empty system turn is left out."""
+    turn = lambda who, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"<|im_start|>{who}\n"), c, F.lit("<|im_end|>\n"))).otherwise("")
+    said = lambda who, c: F.concat(F.lit(f"<|im_start|>{who}\n"), F.coalesce(c, F.lit("")), F.lit("<|im_end|>\n"))
+    return turns.withColumn("text", F.concat(turn("system", F.col("system")), said("user", F.col("human")), said("assistant", F.col("gpt"))))
+
+
 def find_workbooks(spark: SparkSession, folder: str, keyword: str = "") -> DataFrame:
     """path and name, in the order of paths, of the workbooks below a folder whose name holds the keyword; duplicates' folders are passed over."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")

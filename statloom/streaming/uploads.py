@@ -27,7 +27,7 @@ def upsert_stream(arriving: DataFrame, target: str, checkpoint: str, once: bool
     """
 
     def load(batch: DataFrame, number: int) -> None:
-        new = first_of_each(batch).drop("ord").repartition("indicator_id")
+        new = first_of_each(batch).drop("ord").hint("rebalance", "indicator_id")  # a hot indicator is written by several tasks
         new.write.partitionBy("indicator_id").option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(target)
 
     writer = arriving.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

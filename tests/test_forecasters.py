@@ -175,3 +175,25 @@ def test_errors_that_are_equal_tie_by_name_and_short_series_are_left_out(spark):
     df = spark.createDataFrame(rows, SERIES)
     found = {r["k"]: r for r in backtest.chosen(df, "k", "v", origins=(2001,)).collect()}
     assert list(found) == ["two"] and found["two"]["configuration"] == "drift" and found["two"]["mape"] == 25
+
+
+def test_quarterly_query_gives_the_figures_of_single_fits(spark):
+    series: dict = {}
+    for r in tables.read(spark, SF, "orders").selectExpr("o_orderpriority k", "year(o_orderdate) + (quarter(o_orderdate) - 0.5) / 4 at").groupBy("k", "at").count().orderBy("at").collect():
+        series.setdefault(r["k"], []).append((float(r["at"]), float(r["count"])))
+    found = {(r["o_orderpriority"], r["year"] + (r["quarter"] - 0.5) / 4): r for r in catalogue.QUERIES["quarterly_forecasts"](spark, SF).collect()}
+    assert len(found) == 12 * len(series)
+    for key, rows in series.items():
+        at, y = (np.array(x) for x in zip(*rows, strict=True))
+        fit = changepoints.fitted(at, y, 2)
+        ahead = at[-1] + 0.25 * np.arange(1, 13)
+        trend, season = fit.parts(ahead)
+        assert [found[key, float(a)]["yhat"] for a in ahead] == pytest.approx((fit.scale * trend * season).tolist())
+
+
+def test_weak_spots_are_those_of_the_rule(spark):
+    rows = catalogue.QUERIES["weak_spot_list"](spark, SF).collect()
+    assert [(-r["p2"], r["district_id"]) for r in rows] == sorted((-r["p2"], r["district_id"]) for r in rows) and len({r["year"] for r in rows}) <= 1
+    assert sum(r["label"] == 2 for r in rows) >= 0.8 * len(rows)
+    shares = catalogue.QUERIES["feature_shares"](spark, SF).collect()
+    assert len(shares) == 5 and shares[0]["feature"] in ("rate", "employed_share", "unemployed_share") and [r["share"] for r in shares] == sorted((r["share"] for r in shares), reverse=True)
