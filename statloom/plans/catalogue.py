@@ -861,9 +861,11 @@ def plan_rows(spark, sf_dir):
     return plan_actual.plan_rows(tables.plans(spark, sf_dir), module="BUILDING", status="critical").select("id")
 
 
-@query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, count(*) AS lines FROM layer WHERE value IS NOT NULL GROUP BY 1")
+@query(OBSERVATIONS, layer_sql(YEAR), sql=" SELECT indicator_id, count(*) AS lines, string_agg(name, ',' ORDER BY name) AS names FROM layer WHERE value IS NOT NULL GROUP BY 1")
 def answer_context(spark, sf_dir):
-    return questions.context(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), YEAR).groupBy("indicator_id").agg(F.count("*").alias("lines"))
+    lines = questions.context(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), YEAR)
+    name = F.split("line", r" \| ")[1]
+    return lines.groupBy("indicator_id").agg(F.count("*").alias("lines"), F.array_join(F.sort_array(F.collect_list(name)), ",").alias("names"))
 
 
 # --- small things --------------------------------------------------------------------------------

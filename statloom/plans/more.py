@@ -52,17 +52,27 @@ KINDS = ["dynamics", "ranking", "growth", "share", "structure", "compare", "pie"
 REQUESTS = f"""req AS (SELECT n_nationkey AS id, p AS place, {KINDS}[(n_nationkey + p) % 7 + 1] AS kind, ['sanaat', 'qurilis', 'sawda', 'none'][n_nationkey % 4 + 1] AS module,
   CASE WHEN n_nationkey % 3 <> 0 THEN CAST(n_nationkey AS VARCHAR) END AS district_id FROM nation, (SELECT unnest([1, 2, 3, 4]) AS p)),
 asked AS (SELECT r.* EXCLUDE (module), coalesce(s.id, 'MACHINERY') AS indicator FROM req r LEFT JOIN segs s USING (module) WHERE place <= 3)"""
+
+
+def _told(label: str, value: str, order: str) -> str:
+    return f"string_agg({label}, ',' ORDER BY {order}) AS labels, string_agg(printf('%.3f', CAST({value} AS DOUBLE)), ',' ORDER BY {order}) AS figures"
+
+
 BUILT = f"""built AS (
-  SELECT 'dynamics' AS kind, indicator_id AS i, '' AS d, string_agg(label, ',' ORDER BY year) AS labels FROM points WHERE year <= {YEAR} GROUP BY ALL HAVING count(*) >= 2
-  UNION ALL SELECT 'dynamics', indicator_id, district_id, string_agg(label, ',' ORDER BY year) FROM dpoints WHERE year <= {YEAR} GROUP BY ALL HAVING count(*) >= 2
-  UNION ALL SELECT 'ranking', indicator_id, '', string_agg(name, ',' ORDER BY rank) FROM layer WHERE rank <= 17 GROUP BY ALL
-  UNION ALL SELECT 'growth', indicator_id, '', string_agg(name, ',' ORDER BY yoy DESC, district_id) FROM (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY yoy DESC, district_id) AS g FROM layer WHERE yoy IS NOT NULL) WHERE g <= 17 GROUP BY ALL
-  UNION ALL SELECT 'share', '', district_id, string_agg(module, ',' ORDER BY share DESC, module) FROM layer JOIN segs ON id = indicator_id WHERE share IS NOT NULL GROUP BY ALL
-  UNION ALL SELECT 'structure', '', '', string_agg(module, ',' ORDER BY yoy DESC, module) FROM points JOIN segs ON id = indicator_id WHERE year = {YEAR} AND yoy IS NOT NULL
-  UNION ALL SELECT 'compare', indicator_id, district_id, 'local,mean' FROM layer WHERE value IS NOT NULL)"""
+  SELECT 'dynamics' AS kind, indicator_id AS i, '' AS d, {_told('label', 'value', 'year')} FROM points WHERE year <= {YEAR} GROUP BY ALL HAVING count(*) >= 2
+  UNION ALL SELECT 'dynamics', indicator_id, district_id, {_told('label', 'value', 'year')} FROM dpoints WHERE year <= {YEAR} GROUP BY ALL HAVING count(*) >= 2
+  UNION ALL SELECT 'ranking', indicator_id, '', {_told('name', 'value', 'rank')} FROM layer WHERE rank <= 17 GROUP BY ALL
+  UNION ALL SELECT 'growth', indicator_id, '', {_told('name', 'yoy', 'yoy DESC, district_id')} FROM (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY yoy DESC, district_id) AS g FROM layer WHERE yoy IS NOT NULL) WHERE g <= 17 GROUP BY ALL
+  UNION ALL SELECT 'share', '', district_id, {_told('module', 'share', 'share DESC, module')} FROM layer JOIN segs ON id = indicator_id WHERE share IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT 'structure', '', '', {_told('module', 'yoy', 'yoy DESC, module')} FROM points JOIN segs ON id = indicator_id WHERE year = {YEAR} AND yoy IS NOT NULL
+  UNION ALL SELECT 'compare', indicator_id, district_id, 'local,mean', printf('%.3f', value) || ',' || printf('%.3f', mean) FROM (SELECT *, avg(value) OVER (PARTITION BY indicator_id) AS mean FROM layer WHERE value IS NOT NULL))"""
+
+
+def _figures_of(items: str) -> Column:
+    return F.array_join(F.transform(items, lambda p: F.format_string("%.3f", p["value"].cast("double"))), ",")
 
 
-@query(OBSERVATIONS, layer_sql(YEAR), series_sql(False), series_sql(True, prefix="d"), SEGS, REQUESTS, BUILT, sql=""" SELECT a.id, a.place, a.kind, a.indicator, a.district_id, labels FROM asked a JOIN built b
+@query(OBSERVATIONS, layer_sql(YEAR), series_sql(False), series_sql(True, prefix="d"), SEGS, REQUESTS, BUILT, sql=""" SELECT a.id, a.place, a.kind, a.indicator, a.district_id, labels, figures FROM asked a JOIN built b
   ON a.kind = b.kind AND CASE WHEN a.kind IN ('share', 'structure') THEN '' ELSE a.indicator END = b.i AND CASE WHEN a.kind IN ('dynamics', 'share', 'compare') THEN coalesce(a.district_id, '') ELSE '' END = b.d""")
 def requested_charts(spark, sf_dir):
     n = F.col("n_nationkey").cast("int")
@@ -70,14 +80,14 @@ def requested_charts(spark, sf_dir):
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i)
     asked = places.select("id", "place", pick(KINDS, (F.col("id") + F.col("place")) % 7).alias("kind"), pick(["sanaat", "qurilis", "sawda", "none"], F.col("id") % 4).alias("module"), F.when(F.col("id") % 3 != 0, F.col("id").cast("string")).alias("district_id"))
     made = assistant.charts(asked, tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), segments(spark), YEAR)
-    return made.select("id", "place", "kind", "indicator", "district_id", _flat("points", "label").alias("labels"))
+    return made.select("id", "place", "kind", "indicator", "district_id", _flat("points", "label").alias("labels"), _figures_of("points").alias("figures"))
 
 
-@query(OBSERVATIONS, layer_sql(YEAR), series_sql(False), SEGS, sql=f""" SELECT 1 AS place, 'dynamics' AS kind, count(*) AS n FROM points WHERE indicator_id = 'BUILDING' AND year <= {YEAR}
-  UNION ALL SELECT 2, 'ranking', count(*) FROM layer WHERE indicator_id = 'BUILDING' AND rank <= 17 UNION ALL SELECT 3, 'structure', count(*) FROM points WHERE year = {YEAR} AND yoy IS NOT NULL""")
+@query(OBSERVATIONS, layer_sql(YEAR), series_sql(False), series_sql(True, prefix="d"), SEGS, BUILT, sql=""" SELECT CASE kind WHEN 'dynamics' THEN 1 WHEN 'ranking' THEN 2 ELSE 3 END AS place, kind, labels, figures FROM built
+  WHERE d = '' AND (kind IN ('dynamics', 'ranking') AND i = 'BUILDING' OR kind = 'structure')""")
 def panel_charts(spark, sf_dir):
     made = assistant.default_charts(tables.observations(spark, sf_dir), tables.districts(spark, sf_dir), segments(spark), YEAR, "qurilis")
-    return made.select("place", "kind", F.size("points").cast("long").alias("n"))
+    return made.select("place", "kind", _flat("points", "label").alias("labels"), _figures_of("points").alias("figures"))
 
 
 def _amount(v: str) -> str:
