@@ -37,6 +37,8 @@ BUCKETS = 10_000
 RUN = 3
 LEAST_WORDS = 20
 PERCENT = 5
+#: Texts whose features a worker holds at once.
+PART = 512
 
 #: Words of UTF-8 in lower case: digits, letters a to z, and all that is beyond ASCII.
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -71,6 +73,13 @@ def features_of(text: bytes, piece: int = 1 << 20) -> tuple[int, int, np.ndarray
     return n_words, int(counts.sum()), buckets, counts
 
 
+def _in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``PART`` rows: a worker holds the numbers of one part."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART):
+            yield batch.slice(at, PART)
+
+
 def text_features(texts: DataFrame) -> DataFrame:
     """digest, copies, n_words, n_features, buckets and counts of the distinct texts, staged.
 
@@ -78,12 +87,14 @@ def text_features(texts: DataFrame) -> DataFrame:
     """
     distinct = texts.select(whole_text().alias("text")).groupBy("text").agg(F.count("*").alias("copies"))
 
+    def pack(text: bytes) -> tuple[int, int, bytes, bytes]:
+        n_words, n_features, buckets, counts = features_of(text)
+        return n_words, n_features, np.diff(buckets, prepend=0).astype("<u2").tobytes(), counts.astype("<u4").tobytes()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [features_of(text.as_py()) for text in batch.column("text")]
-            columns = [pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)]
-            columns += [pa.array([np.diff(f[2], prepend=0).astype("<u2").tobytes() for f in found], pa.binary())]
-            columns += [pa.array([f[3].astype("<u4").tobytes() for f in found], pa.binary())]
+        for batch in _in_parts(batches):
+            found = [pack(text.as_py()) for text in batch.column("text")]
+            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))]
             yield pa.record_batch([batch.column("digest"), batch.column("copies"), *columns], names=["digest", "copies", "n_words", "n_features", "buckets", "counts"])
 
     rows = distinct.select(digest_of(F.col("text")).alias("digest"), "copies", F.col("text").cast("binary").alias("text"))
@@ -110,7 +121,7 @@ def bucket_counts(features: DataFrame) -> np.ndarray:
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in _in_parts(batches):
             text, bucket, count = _unpacked(batch)
             np.add.at(total, bucket, count * batch.column("copies").to_numpy()[text])
         some = np.flatnonzero(total)
@@ -134,7 +145,7 @@ def text_weights(features: DataFrame, gains: np.ndarray) -> DataFrame:
     """digest, n_words, n_features and weight of the distinct texts."""
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _in_parts(batches):
             text, bucket, count = _unpacked(batch)
             weight = np.zeros(batch.num_rows, np.int64)
             np.add.at(weight, text, gains[bucket] * count)
