@@ -25,6 +25,11 @@ def scan(obs: DataFrame, indicator=None, district=None, level: str | None = None
     return obs
 
 
+def spans(obs: DataFrame, *keys: str) -> DataFrame:
+    """The distinct years and periods that there are, of each of the keys if any are given."""
+    return obs.select(*keys, "year", "period", "period_no").distinct()
+
+
 def best_period(obs: DataFrame, *keys: str) -> DataFrame:
     """The widest period of each group: keys, period, period_no."""
     key = period_key(F.col("period"), F.col("period_no"))

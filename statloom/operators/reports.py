@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
@@ -44,13 +45,14 @@ def holdout(panel: DataFrame, key: str, value: str, years: list[int], model: Cal
     return measures(ahead.join(truth, [key, "year"]), key)
 
 
+def all_forecasts(forecasts: dict[str, DataFrame], *keys: str) -> DataFrame:
+    """Forecasts (keys, yhat) of several models as one table with ``model``."""
+    return reduce(DataFrame.unionByName, [df.select(*keys, "yhat", F.lit(model).alias("model")) for model, df in forecasts.items()])
+
+
 def weighted_forecast(forecasts: dict[str, DataFrame], errors: DataFrame, *keys: str) -> DataFrame:
     """Forecasts of several models (keys, yhat) combined by their errors (model, mape)."""
-    every = None
-    for model, df in forecasts.items():
-        part = df.select(*keys, "yhat", F.lit(model).alias("model"))
-        every = part if every is None else every.unionByName(part)
-    return ensemble(every.join(errors, "model"), *keys)
+    return ensemble(all_forecasts(forecasts, *keys).join(errors, "model"), *keys)
 
 
 def dashboard(plans: DataFrame, below: float = 80.0, year: int | None = None, wide: DataFrame | None = None, steps: int = 3, drivers: dict = DRIVERS) -> dict[str, DataFrame]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..constants import INTENT_KEYWORDS, MODULE_KEYWORDS, SEARCH_LETTERS, TOPIC_KEYWORDS
 from ..functions import colour, numbers, period, text
 from ..lineage import scratch
-from ..operators import backtest, catalog, changepoints, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, recurrent, reference, retrieval, series, shapes, tasks
+from ..operators import backtest, catalog, changepoints, charts, load, map_layer, models, observations, panel, plan_actual, profile, questions, recurrent, reference, reports, retrieval, series, shapes, tasks
 from . import tables
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
 
@@ -261,10 +261,15 @@ def latest_year(spark, sf_dir):
     return observations.latest_year(tables.observations(spark, sf_dir), "indicator_id")
 
 
+@query(OBSERVATIONS, sql=" SELECT DISTINCT indicator_id, year, period, CAST(period_no AS VARCHAR) AS period_no FROM obs")
+def distinct_spans(spark, sf_dir):
+    return observations.spans(tables.observations(spark, sf_dir), "indicator_id").withColumn("period_no", F.col("period_no").cast("string"))
+
+
 @query(OBSERVATIONS, sql=f" SELECT DISTINCT period, CAST(period_no AS VARCHAR) AS period_no, {CAPTION} AS caption, CASE WHEN period <> 'year' THEN ' (' || {CAPTION} || ')' ELSE '' END AS note FROM obs")
 def period_label(spark, sf_dir):
     p, no = F.col("period"), F.col("period_no")
-    rows = tables.observations(spark, sf_dir).select(p, no.cast("string").alias("period_no"), period.caption(p, no).alias("caption"), period.period_note(p, no).alias("note"))
+    rows = observations.spans(tables.observations(spark, sf_dir)).select(p, no.cast("string").alias("period_no"), period.caption(p, no).alias("caption"), period.period_note(p, no).alias("note"))
     return rows.distinct()
 
 
@@ -636,7 +641,7 @@ def long_to_wide(spark, sf_dir):
 @query(PANEL, FORECASTS, sql=" SELECT district_id, year, model, yhat FROM forecasts WHERE model = 'a' UNION ALL SELECT district_id, year, model, yhat FROM forecasts WHERE model = 'b'")
 def union_forecasts(spark, sf_dir):
     rows = _forecasts(spark, sf_dir)
-    return rows.where("model = 'a'").unionByName(rows.where("model = 'b'"))
+    return reports.all_forecasts({m: rows.where(F.col("model") == m) for m in ("a", "b")}, "district_id", "year")
 
 
 TRADE = """, ex AS (SELECT year, value FROM points WHERE indicator_id = 'BUILDING'), im AS (SELECT year, value FROM points WHERE indicator_id = 'MACHINERY')"""

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..constants import DISTRICTS, DUPLICATES_FOLDER, LABOUR_DISTRICTS, MODULES
 from ..functions import colour, numbers, period, text
 from ..lineage import cut, scratch
-from ..operators import assistant, catalog, changepoints, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
+from ..operators import assistant, boosting, catalog, changepoints, forecasting, load, map_layer, models, observations, panel, plan_actual, questions, reference, reports, retrieval, series, shapes, tasks
 from ..sources import domain, files, grammar, workbook, workbook_source
 from . import tables
-from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, layer_sql, parsed_sql, query, series_sql
+from .catalogue import FORECASTS, RANK, YEAR, _forecasts, _layer, _macro, _ramp_sql, layer_sql, parsed_sql, query, series_sql
 from .catalogue import MACRO as MACRO_SQL
 from .catalogue import TOPICS
 from .tables import INDICATORS, OBSERVATIONS, PANEL, PLANS, TASKS
@@ -248,9 +248,10 @@ def scanned_district(spark, sf_dir):
     return rows.withColumn("period_no", F.col("period_no").cast("string"))
 
 
-@query(OBSERVATIONS, sql=" SELECT indicator_id, year, count(*) AS n FROM obs WHERE district_id IS NULL GROUP BY ALL")
+@query(OBSERVATIONS, sql=" SELECT indicator_id, year, period, CAST(period_no AS VARCHAR) AS period_no, value FROM obs WHERE district_id IS NULL")
 def scanned_national(spark, sf_dir):
-    return observations.scan(tables.observations(spark, sf_dir), level="national", year_from=0).groupBy("indicator_id", "year").agg(F.count("*").alias("n"))
+    rows = observations.scan(tables.observations(spark, sf_dir), level="national", year_from=0)
+    return rows.select("indicator_id", "year", "period", F.col("period_no").cast("string").alias("period_no"), "value")
 
 
 @query(OBSERVATIONS, sql=" SELECT coalesce(max(year), 0) AS latest_year FROM obs")
@@ -809,6 +810,11 @@ def slug_words(spark, sf_dir):
     return tables.read(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(whole, "-[0-9a-f]{8}$", "").alias("slug"))
 
 
+@query(sql=f" SELECT c_custkey, {_ramp_sql('r', colour.PERFORMANCE_COLOURS)} AS fill FROM (SELECT c_custkey, 0.6 + (c_custkey % 64) / 100.0::DOUBLE AS r FROM customer)")
+def performance_scale(spark, sf_dir):
+    return tables.read(spark, sf_dir, "customer").select("c_custkey", colour.performance(F.lit(0.6) + (F.col("c_custkey") % 64) / 100.0).alias("fill"))
+
+
 @query(sql=" SELECT n_nationkey, CASE WHEN r < 0.5 THEN '#f07178' WHEN r > 2 THEN '#6da7ec' END AS ends FROM (SELECT n_nationkey, n_nationkey % 4 - 0.4 AS r FROM nation) WHERE r < 0.5 OR r > 2")
 def performance_ends(spark, sf_dir):
     r = F.col("n_nationkey") % 4 - 0.4
@@ -831,9 +837,9 @@ def filtered_plans(spark, sf_dir):
     return plan_actual.plan_rows(tables.plans(spark, sf_dir), module="BUILDING", status="critical", region="3").select("id")
 
 
-@query(TASKS, sql=" SELECT count(*) AS n, count(*) FILTER (WHERE status = 'at_risk') AS risky FROM tasks WHERE module = '1-URGENT'")
+@query(TASKS, sql=" SELECT id, progress, status FROM tasks WHERE module = '1-URGENT'")
 def urgent_tasks(spark, sf_dir):
-    return tasks.task_list(tables.tasks(spark, sf_dir), module="1-URGENT").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "at_risk").alias("risky"))
+    return tasks.task_list(tables.tasks(spark, sf_dir), module="1-URGENT").select("id", "progress", "status")
 
 
 @query(OBSERVATIONS, series_sql(False), sql=" SELECT 'a' AS part, year, value FROM points WHERE indicator_id = 'BUILDING' UNION ALL SELECT 'b', year, value FROM points WHERE indicator_id = 'MACHINERY'")
@@ -1028,3 +1034,82 @@ def quarterly_forecasts(spark, sf_dir):
     o = tables.read(spark, sf_dir, "orders")
     rows = o.groupBy("o_orderpriority", F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")).agg(F.count("*").alias("n"))
     return changepoints.quarterly_forecast(rows, "o_orderpriority", "n")
+
+
+@query(URGENT, sql=" SELECT district_id, year, CAST(label AS INT) AS predicted FROM judged")
+def reloaded_spots(spark, sf_dir):
+    ready = cut(panel.features(_urgent(spark, sf_dir)))
+    path = scratch(spark, "model")
+    models.save(models.boosted_warning(ready, 10, rate=0.5, depth=3, subsample=1.0, colsample=1.0, bins=256), path)
+    return models.warned(boosting.Boosted.load(spark, path), ready).select("district_id", "year", "predicted")
+
+
+@query(FACTS, sql=" SELECT 'AMERICA kólemi (mln. som) — ' || title AS indicator, 'mln. som' AS unit, year, sum(value) AS value FROM facts GROUP BY ALL")
+def uploaded_records(spark, sf_dir):
+    # a workbook of one sheet, sent as bytes: regions down, years across
+    rows = _facts(spark, sf_dir).groupBy("title", "year").agg(F.sum("value").alias("value")).orderBy("title", "year").collect()
+    titles = sorted({r["title"] for r in rows})
+    cells = {(0, 0): "AMERICA kólemi (mln. som)"} | {(2, r["year"] - 2000): f"{r['year']}-jıl" for r in rows}
+    cells |= {(3 + titles.index(r["title"]), 0): r["title"] for r in rows} | {(3 + titles.index(r["title"]), r["year"] - 2000): r["value"] for r in rows}
+    found = grammar.upload(spark, workbook.packed([("s", cells)]), "02_Sanaat", "regions.xlsx", ["02_Sanaat"])
+    return found.select("indicator", "unit", "year", "value")
+
+
+@query(sql=""" SELECT c_mktsegment AS module, n_name AS region, 2000 + c_custkey % 30 AS year, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE CAST(c_acctbal AS DOUBLE) END AS kpi_actual, 'in_progress' AS status, '' AS error FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 7 <> 0
+  UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, 'region is empty; kpi_actual: junk' FROM customer WHERE c_custkey % 7 = 0""")
+def bulk_rows(spark, sf_dir):
+    path, k = scratch(spark, "bulk"), F.col("c_custkey")
+    rows = tables.read(spark, sf_dir, "customer").join(tables.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    actual = F.when(k % 7 == 0, "junk").when(k % 5 != 0, F.regexp_replace(F.col("c_acctbal").cast("decimal(18,2)").cast("string"), r"\.", ","))
+    told = rows.select(F.col("c_mktsegment").alias("module"), F.when(k % 7 != 0, F.col("n_name")).alias("region"), (k % 30 + 2000).cast("string").alias("year"), actual.alias("kpi_actual"))
+    told.write.option("header", True).csv(path)
+    good, wrong = files.bulk_plans(spark, path)
+    none = lambda kind: F.lit(None).cast(kind)
+    return good.select("module", "region", "year", "kpi_actual", "status", F.lit("").alias("error")).unionByName(
+        wrong.select(none("string").alias("module"), none("string").alias("region"), none("int").alias("year"), none("double").alias("kpi_actual"), none("string").alias("status"), "error"))
+
+
+HELD = [1998, 1999]
+
+
+@query(PANEL, sql=f""" , past AS (SELECT district_id, regr_slope(z, year) AS b, regr_intercept(z, year) AS a, count(*) AS n, avg(year) AS middle, regr_sxx(z, year) AS sxx, max(year) AS last,
+    sqrt(greatest(0, regr_syy(z, year) - regr_slope(z, year) * regr_sxy(z, year)) / (count(*) - 2)) AS spread
+  FROM (SELECT district_id, year, ln(CAST(active AS DOUBLE)) AS z FROM panel WHERE year < {HELD[0]}) GROUP BY 1 HAVING count(*) >= 3),
+ahead AS (SELECT p.*, CAST(last + s AS INT) AS year, 1.645 * spread * sqrt(1 + 1.0 / n + pow(last + s - middle, 2) / sxx) AS width FROM past p, (SELECT unnest([1, 2]) AS s)),
+met AS (SELECT h.district_id, CAST(active AS DOUBLE) AS actual, exp(a + b * h.year) AS yhat, exp(a + b * h.year - width) AS low, exp(a + b * h.year + width) AS high
+  FROM ahead h JOIN panel p ON p.district_id = h.district_id AND p.year = h.year WHERE p.year IN ({HELD[0]}, {HELD[1]}))
+SELECT district_id, count(*) AS n, round(avg(abs(actual - yhat)), 6) AS mae, round(avg(abs(actual - yhat) / actual) * 100, 6) AS mape, CAST(count(*) FILTER (WHERE actual BETWEEN low AND high) AS DOUBLE) / count(*) AS coverage FROM met GROUP BY 1""")
+def holdout_measures(spark, sf_dir):
+    rows = tables.panel(spark, sf_dir).where(F.col("year") <= HELD[-1])
+    found = reports.holdout(rows, "district_id", "active", HELD)
+    return found.select("district_id", "n", F.round("mae", 6).alias("mae"), F.round("mape", 6).alias("mape"), "coverage")
+
+
+#: The sides of a right triangle by nation, and the grid point inside that is farthest from the sides.
+TRIANGLES = """tri AS (SELECT n_nationkey AS id, CAST(n_nationkey % 5 AS DOUBLE) AS x, CAST(n_nationkey % 3 AS DOUBLE) AS y, CAST(n_nationkey % 4 + 3 AS DOUBLE) AS w, CAST(n_nationkey % 7 + 2 AS DOUBLE) AS h FROM nation),
+grid AS (SELECT id, i, x, y, w, h, w * ((i % 49) + 0.5) / 49 AS u, h * (i // 49 + 0.5) / 49 AS v FROM tri, (SELECT unnest(range(2401)) AS i)),
+inner_ AS (SELECT *, least(v, u, (w * h - h * u - w * v) / sqrt(w * w + h * h)) AS away FROM grid WHERE h * u + w * v < w * h)"""
+
+
+@query(TRIANGLES, sql=" SELECT id, round(away, 9) AS away FROM (SELECT id, max(away) AS away FROM inner_ GROUP BY id)")
+def label_triangles(spark, sf_dir):
+    k = F.col("n_nationkey")
+    x, y, w, h = (c.cast("double") for c in (k % 5, k % 3, k % 4 + 3, k % 7 + 2))
+    point = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    rows = tables.read(spark, sf_dir, "nation").select(k.alias("id"), F.array(point(x, y), point(x + w, y), point(x, y + h)).alias("ring"))
+    return shapes.label_points(rows, "id").select("id", F.round("away", 9).alias("away"))
+
+
+@query(sql="""WITH boxes AS (SELECT n_nationkey AS id, n_nationkey % 5 AS x, n_nationkey % 3 AS y, n_nationkey % 4 + 3 AS w, n_nationkey % 4 + 3 AS h FROM nation)
+SELECT 'export const SHAPES = [' || chr(10) || string_agg('  { id: "' || id || '", labelX: ' || printf('%.1f', x + w / 2.0) || ', labelY: ' || printf('%.1f', y + h / 2.0) || ', bbox: [' || printf('%.1f', CAST(x AS DOUBLE)) || ', ' || printf('%.1f', CAST(y AS DOUBLE)) || ', ' || printf('%.1f', CAST(x + w AS DOUBLE)) || ', ' || printf('%.1f', CAST(y + h AS DOUBLE))
+  || '], d: "M' || x || ' ' || y || ' H' || (x + w) || ' V' || (y + h) || ' H' || x || ' Z" },', chr(10) ORDER BY id) || chr(10) || '];' AS text FROM boxes""")
+def geometry_of_drawing(spark, sf_dir):
+    path, k = scratch(spark, "drawing"), F.col("n_nationkey")
+    x, y, w, h = k % 5, k % 3, k % 4 + 3, k % 4 + 3
+    text = lambda c: c.cast("string")
+    d = F.concat(F.lit("M"), text(x), F.lit(" "), text(y), F.lit(" H"), text(x + w), F.lit(" V"), text(y + h), F.lit(" H"), text(x), F.lit(" Z"))
+    drawn = tables.read(spark, sf_dir, "nation").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(k.alias("k"), d.alias("d")))), lambda p: F.concat(F.lit('<path d="'), p["d"], F.lit('"/>'))), "\n").alias("paths"))  # a drawing is one file
+    drawn.select(F.concat(F.lit('<svg viewBox="0 0 9 9">'), "paths", F.lit("</svg>"))).write.text(path)
+    rows = files.svg_paths(spark, path).select(F.col("place").cast("long").alias("id"), "d", shapes.path_points(F.col("d")).alias("ring"))
+    labels = shapes.label_points(rows, "id").select("id", F.col("x").alias("label_x"), F.col("y").alias("label_y"))
+    return files.geometry_text(rows.select("id", "d").join(labels, "id").join(shapes.bounding_boxes(rows, "id"), "id"))
