@@ -6,8 +6,8 @@ also starts earlier (smaller doc_id, or earlier in the same document) are remove
 Documents come in batches.  A batch's fingerprints form an immutable run: a table bucketed and
 sorted by hash.  A new batch's run is merge-joined with the runs of the history, bucket by bucket
 without a shuffle of the history; a window found there, or earlier in its own batch, is a repeat.
-Then the run joins the history; where ``FAN_OUT`` runs have gathered they are compacted, before the
-next batch, into one that keeps each fingerprint's earliest place.  The index lies in a folder that can be opened
+Then the run joins the history; where ``FAN_OUT`` runs have gathered those of about a size are
+compacted, before the next batch, into one that keeps each fingerprint's earliest place.  The index lies in a folder that can be opened
 again, so that a later batch meets all that came before (``FingerprintIndex``, ``deduplicated``).
 
 Every window of every document is in the index, most of them folded: a window names the least
@@ -51,6 +51,8 @@ WINDOW = 20
 ANCHOR = 10
 BATCHES = 3
 FAN_OUT = 2
+#: Times the rows of later runs that a run may have to be merged with them.
+TIER = 4
 #: Texts hashed at once, in bytes; longer texts are hashed in pieces of that size.
 GROUP = 1 << 20
 #: Windows that a task brings together before it passes them on.
@@ -312,18 +314,27 @@ class FingerprintIndex:
         self.pending = None
 
     def compact(self) -> None:
-        """Merges the runs into one that keeps the earliest place of each fingerprint."""
-        if len(self.runs) < 2:
+        """Merges the newest runs into one that keeps the earliest place of each fingerprint.
+
+        An older run joins in while it has at most ``TIER`` times the rows of those after it, so
+        that a long history is not written again for every small batch: there are as many runs
+        as sizes, and a fingerprint is written once for each size.
+        """
+        sizes = [self._table(run).count() for run in self.runs]  # from the files' footers
+        first = max(len(self.runs) - 1, 0)
+        while first > 0 and sizes[first - 1] <= TIER * sum(sizes[first:]):
+            first -= 1
+        older, newer = self.runs[:first], self.runs[first:]
+        if len(newer) < 2:
             return
-        every = self._table(self.runs[0])
-        for run in self.runs[1:]:
+        every = self._table(newer[0])
+        for run in newer[1:]:
             every = every.unionByName(self._table(run))
-        first = every.where(F.col("kind") != KNOWN).groupBy("route", "kind", "checks").agg(F.min(F.struct("key", "start")).alias("first"))
+        least = every.where(F.col("kind") != KNOWN).groupBy("route", "kind", "checks").agg(F.min(F.struct("key", "start")).alias("first"))
         none = F.lit(None)
-        merged = self._write(first.select("route", "kind", "first.key", "first.start", "checks", none.cast("long").alias("old_key"), none.cast("int").alias("old_start")))
-        old = self.runs
-        self._commit([merged])
-        for run in old:
+        merged = self._write(least.select("route", "kind", "first.key", "first.start", "checks", none.cast("long").alias("old_key"), none.cast("int").alias("old_start")))
+        self._commit([*older, merged])
+        for run in newer:
             self._delete(run)
 
     def forget(self) -> None:

@@ -333,7 +333,8 @@ def test_index_is_opened_again(spark, docs, tmp_path):
                 spark.sql(f"DROP TABLE {table.name}")
     assert sorted(found) == expected
     index = substring_dedup.FingerprintIndex(spark, path)
-    assert 1 <= len(index.runs) <= substring_dedup.FAN_OUT
+    sizes = [index._table(run).count() for run in index.runs]
+    assert sizes and all(sizes[i] > substring_dedup.TIER * sum(sizes[i + 1 : -1]) for i in range(len(sizes) - 2))
     before = index.runs
     with pytest.raises(Exception):
         substring_dedup.repeats(docs.select("doc_id", F.expr("raise_error('x')").cast("string").alias("text")), index)
@@ -342,6 +343,25 @@ def test_index_is_opened_again(spark, docs, tmp_path):
     assert not (tmp_path / "index").exists()
 
 
+def test_a_long_history_is_not_written_again_for_small_batches(spark, tmp_path):
+    rng = np.random.default_rng(21)
+    text = lambda n: " ".join(f"w{rng.integers(10**6)}" for _ in range(n))
+    passage = text(40)
+    rows = [(i, text(400) + (" " + passage if i == 5 else "")) for i in range(40)] + [(100 + i, text(60) + (" " + passage if i > 3 else "")) for i in range(6)]
+    index = substring_dedup.FingerprintIndex(spark, f"file://{tmp_path}/index", 4)
+    batches = [spark.createDataFrame(part, "doc_id long, text string") for part in (rows[:40], rows[40:42], rows[42:44], rows[44:46])]
+    first, found = None, []
+    for batch in batches:
+        rows_found, _ = substring_dedup.repeats(batch, index, batches=1)
+        found += [(r["key"], x["old_key"]) for r in rows_found.collect() for x in r["found"]]
+        first = first or index.runs[0]
+    assert index.runs[0] == first and 2 <= len(index.runs) <= 3  # the large run is still the one written first
+    assert {k for k, _ in found} == {104, 105} and {o for _, o in found} <= {5, 104}  # an earlier place, not always the first
+    index.compact()
+    assert len(index.runs) == 2 and index.runs[0] == first
+    index.drop()
+
+
 def test_repeats_are_verified_by_their_words(spark):
     same = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, same), (2, "x " + same), (3, "y " + same.replace("w7", "v7"))], "doc_id long, text string")
