@@ -23,7 +23,13 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return table.select(*columns) if columns else table
+    return dealt(table.select(*columns) if columns else table)
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """The table, dealt to all cores where its files make fewer parts than these; a table of more parts is left as it is."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
 
 
 def whole_text(column: str = "text") -> Column:
