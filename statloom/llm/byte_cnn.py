@@ -5,8 +5,9 @@ its word repeats the word before, which filters of a fixed width cannot see.  Fi
 bytes slide by four over the text; their largest responses over overlapping chunks (512 bytes,
 every 256) are pooled once more over the document by maximum and combined into one probability.
 
-It is trained on the driver on a bounded sample of labelled rows (``SAMPLE`` of each class,
-texts up to ``SAMPLE_BYTES``); scoring takes every row and every byte, long texts in pieces.
+It is trained on the driver on a bounded sample of labelled rows (``SAMPLE`` ids of each class,
+by a hash of the id, texts up to ``SAMPLE_BYTES``; where ids repeat, the first 4 * ``SAMPLE`` rows
+in the order of id and text); scoring takes every row and every byte, long texts in pieces.
 
 Defined results: null and empty texts are scored as texts of padding; without labels of
 both classes every score is the share of good labels (0.5 without any); rows that repeat

@@ -35,6 +35,8 @@ LEVEL = 0.05
 LEAST_WORDS = 20
 WINDOW = 8
 MOST_REPEATED = 30  # percent of the words
+#: Ids of labelled documents that are broadcast at most.
+LABEL_ROWS = 1 << 20
 #: Terms of the binomial tail summed one by one; the rest is bounded by a geometric series.
 TERMS = 5000
 
@@ -144,8 +146,12 @@ def _false_rejections(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """stratum, n (good documents) and how many of them each cutoff would reject."""
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     good = good.where("quality = 1").select("doc_id")
-    counted = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), cheap_counts(whole_text()).alias("c"))
-    counted = counted.join(good, "doc_id")
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("stratum"), "text")
+    counts = cheap_counts(whole_text()).alias("c")
+    if good.limit(LABEL_ROWS + 1).count() <= LABEL_ROWS:  # then only labelled texts are counted
+        counted = rows.join(F.broadcast(good), "doc_id").select("stratum", counts)
+    else:  # the counts travel, not the texts
+        counted = rows.select("doc_id", "stratum", counts).join(good, "doc_id").select("stratum", "c")
     sums = [F.sum(_exceeds(F.col("c"), rule, cut).cast("long")).alias(f"{rule}_{cut}") for rule, cut in TESTS]
     return counted.groupBy("stratum").agg(F.count("*").alias("n"), *sums)
 
