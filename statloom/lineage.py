@@ -54,6 +54,19 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+def every_pair(left: DataFrame, right: DataFrame, parts: int = 64) -> DataFrame:
+    """Each row of the left with each of the right, where that is what is wanted.
+
+    A right side of counted, few rows is broadcast; a larger one is dealt to parts, which the left
+    side's rows meet by equality, one copy for each part.
+    """
+    if right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        return left.crossJoin(F.broadcast(right))
+    copies = left.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = right.withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int"))
+    return copies.join(dealt, "_part").drop("_part")
+
+
 def numbered(df: DataFrame, name: str, *order) -> DataFrame:
     """The rows with their place (from 1) in an order, in ranges of it: ranges are counted, then rows within each."""
     ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import double, growth, percent, ratio
 from ..functions.period import is_partial, same_span
-from ..lineage import broadcast_if_small, cut
+from ..lineage import cut, every_pair
 from .observations import best_period, cells_of, of_best_period
 
 
@@ -29,7 +29,7 @@ def map_layer(obs: DataFrame, districts: DataFrame, year: int, strict: bool = Fa
     totals = sums.groupBy("indicator_id").agg(F.sum("value").alias("total"), F.max("value").alias("top"), F.count("value").alias("n"), F.count("base").alias("bases"))
     comparable = (F.col("bases") > 0) & F.coalesce(same_span(F.col("now.period"), F.col("now.period_no"), F.col("then.period"), F.col("then.period_no")), F.lit(False))
     header = totals.where("n > 0").join(spans, "indicator_id").select("indicator_id", "now.period", "now.period_no", "total", "top", comparable.alias("comparable"))
-    cells = header.crossJoin(broadcast_if_small(districts.select("district_id", "name")))  # every indicator lists every district
+    cells = every_pair(header, districts.select("district_id", "name"))  # every indicator lists every district
     rows = cells.join(sums, ["indicator_id", "district_id"], "left")
     order = Window.partitionBy("indicator_id", F.col("value").isNull()).orderBy(F.desc("value"), "district_id")
     return rows.select(

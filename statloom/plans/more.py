@@ -421,7 +421,8 @@ def _workbooks(spark, sf_dir) -> str:
     folder = scratch(spark, "workbooks")
     c = tables.read(spark, sf_dir, "customer").join(tables.read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     place = F.row_number().over(Window.partitionBy("n_name", "c_mktsegment").orderBy("c_custkey")) - 1
-    each = F.array(F.struct(F.lit(0).alias("col"), F.col("c_name").alias("text"), F.lit(None).cast("double").alias("number")), F.struct(F.lit(1).alias("col"), F.lit(None).cast("string").alias("text"), F.col("c_acctbal").cast("double").alias("number")))
+    cell = lambda col, text=None, number=None, day=None: F.struct(F.lit(col).alias("col"), F.lit(text).cast("string").alias("text"), F.lit(number).cast("double").alias("number"), F.lit(day).cast("date").alias("date"))
+    each = F.array(cell(0, F.col("c_name")), cell(1, number=F.col("c_acctbal")), cell(2, day=F.date_add(F.lit("2010-01-01").cast("date"), F.col("c_custkey").cast("int"))))
     cells = c.withColumn("row", place).select(F.concat("n_name", F.lit("/"), "n_name", F.lit(".xlsx")).alias("file"), F.col("c_mktsegment").alias("sheet"), "row", F.inline(each))
     workbook_source.write_workbooks(cells, folder).count()
     workbook_source.put(f"{folder}/broken/none.xlsx", b"not a workbook")
@@ -431,11 +432,11 @@ def _workbooks(spark, sf_dir) -> str:
     return folder
 
 
-BOOKS = """books AS (SELECT n_name || '.xlsx#' || c_mktsegment AS source, n_name AS category, CAST(row_number() OVER (PARTITION BY n_name, c_mktsegment ORDER BY c_custkey) - 1 AS INT) AS row, c_name, CAST(c_acctbal AS DOUBLE) AS b
+BOOKS = """books AS (SELECT n_name || '.xlsx#' || c_mktsegment AS source, n_name AS category, CAST(row_number() OVER (PARTITION BY n_name, c_mktsegment ORDER BY c_custkey) - 1 AS INT) AS row, c_name, CAST(c_acctbal AS DOUBLE) AS b, CAST(year(DATE '2010-01-01' + CAST(c_custkey AS INT)) AS VARCHAR) AS y
   FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
-@query(BOOKS, sql=""" SELECT source, category, row, 0 AS col, c_name AS text, NULL AS bad FROM books UNION ALL SELECT source, category, row, 1, CAST(b AS VARCHAR), NULL FROM books
+@query(BOOKS, sql=""" SELECT source, category, row, 0 AS col, c_name AS text, NULL AS bad FROM books UNION ALL SELECT source, category, row, 1, CAST(b AS VARCHAR), NULL FROM books UNION ALL SELECT source, category, row, 2, y, NULL FROM books
   UNION ALL SELECT 'half.xlsx#fine', 'broken', 0, 0, 'x', NULL UNION ALL SELECT 'none.xlsx', 'broken', NULL, NULL, NULL, 'NotAWorkbook' UNION ALL SELECT 'half.xlsx#torn', 'broken', NULL, NULL, NULL, 'no part xl/worksheets/sheet2.xml'""")
 def workbook_cells(spark, sf_dir):
     cells, bad = workbook_source.read_workbooks(spark, _workbooks(spark, sf_dir))
@@ -443,15 +444,15 @@ def workbook_cells(spark, sf_dir):
     return rows.select("source", "category", "row", "col", "text", F.substring_index("bad", ":", 1).alias("bad"))
 
 
-@query(sql=" SELECT n_name || '.xlsx' AS name FROM nation WHERE contains(lower(n_name), 'an') AND n_nationkey IN (SELECT c_nationkey FROM customer)")
+@query(sql=" SELECT n_name || '.xlsx' AS name FROM nation WHERE contains(lower(n_name), 'ion_1') AND n_nationkey IN (SELECT c_nationkey FROM customer)")
 def workbooks_by_keyword(spark, sf_dir):
-    cells, _ = workbook_source.read_workbooks(spark, _workbooks(spark, sf_dir), keyword="AN")
+    cells, _ = workbook_source.read_workbooks(spark, _workbooks(spark, sf_dir), keyword="Ion_1")
     return cells.select(F.substring_index("source", "#", 1).alias("name")).distinct()
 
 
-@query(sql=" SELECT n_name || '.xlsx' AS name FROM nation WHERE contains(lower(n_name), 'an') AND n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'none.xlsx' WHERE false")
+@query(sql=" SELECT n_name || '.xlsx' AS name FROM nation WHERE contains(lower(n_name), 'ion_1') AND n_nationkey IN (SELECT c_nationkey FROM customer) UNION ALL SELECT 'none.xlsx' WHERE false")
 def workbooks_found(spark, sf_dir):
-    return files.find_workbooks(spark, _workbooks(spark, sf_dir), "an").select("name")
+    return files.find_workbooks(spark, _workbooks(spark, sf_dir), "ION_1").select("name")
 
 
 

@@ -7,7 +7,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Iterator
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
@@ -84,8 +84,11 @@ def cell_text(value) -> str | None:
     return None if value is None else str(value).strip() or None
 
 
-def packed(tables: list[tuple[str, dict[tuple[int, int], str | float]]]) -> bytes:
-    """A workbook with these sheets, each a name and its cells by (row, column)."""
+_STYLES = f'<styleSheet xmlns="{_MAIN[1:-1]}"><cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="14" applyNumberFormat="1"/></cellXfs></styleSheet>'
+
+
+def packed(tables: list[tuple[str, dict[tuple[int, int], str | float | date]]]) -> bytes:
+    """A workbook with these sheets, each a name and its cells by (row, column): texts, numbers and dates."""
     letters = lambda c: (letters(c // 26 - 1) if c >= 26 else "") + chr(65 + c % 26)
     held = io.BytesIO()
     parts = range(1, len(tables) + 1)
@@ -94,11 +97,14 @@ def packed(tables: list[tuple[str, dict[tuple[int, int], str | float]]]) -> byte
         links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in parts)
         book.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_LINK[1:].partition("}")[0]}"><sheets>{listed}</sheets></workbook>')
         book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>')
+        book.writestr("xl/styles.xml", _STYLES)
         for i, (_, cells) in zip(parts, tables, strict=True):
             lines: dict[int, list[str]] = {}
             for (r, c), value in sorted(cells.items()):
                 at = f"{letters(c)}{r + 1}"
-                told = f'<c r="{at}"><v>{value!r}</v></c>' if isinstance(value, (int, float)) else f'<c r="{at}" t="inlineStr"><is><t>{escape(_UNWRITABLE.sub(lambda m: f"_x{ord(m[0]):04X}_", value))}</t></is></c>'
+                dated = isinstance(value, date)
+                value = (value - date(1899, 12, 30)).days if dated else value
+                told = f'<c r="{at}"{' s="1"' * dated}><v>{value!r}</v></c>' if isinstance(value, (int, float)) else f'<c r="{at}" t="inlineStr"><is><t>{escape(_UNWRITABLE.sub(lambda m: f"_x{ord(m[0]):04X}_", value))}</t></is></c>'
                 lines.setdefault(r, []).append(told)
             rows = "".join(f'<row r="{r + 1}">{"".join(line)}</row>' for r, line in lines.items())
             book.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{rows}</sheetData></worksheet>')

@@ -118,9 +118,9 @@ def put(path: str, data: bytes) -> None:
 
 
 def write_workbooks(cells: DataFrame, folder: str) -> DataFrame:
-    """(file, sheets, bytes) of the workbooks written below a folder, one for each ``file``, from (file, sheet, row, col, text, number).
+    """(file, sheets, bytes) of the workbooks written below a folder, one for each ``file``, from (file, sheet, row, col, text, number, date).
 
-    A number is written where there is one, else the text.  A workbook is put together by one
+    A number is written where there is one, else a date, else the text.  A workbook is put together by one
     task, as its format asks for; a task that runs again writes the same file again.
     """
     import pandas as pd
@@ -129,10 +129,11 @@ def write_workbooks(cells: DataFrame, folder: str) -> DataFrame:
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         name, tables = pdf["file"].iloc[0], {}
-        for sheet, row, col, text, number in zip(pdf["sheet"], pdf["row"], pdf["col"], pdf["text"], pdf["number"], strict=True):
-            tables.setdefault(sheet, {})[int(row), int(col)] = float(number) if pd.notna(number) else text
+        for sheet, row, col, text, number, day in zip(*(pdf[c] for c in ("sheet", "row", "col", "text", "number", "date")), strict=True):
+            tables.setdefault(sheet, {})[int(row), int(col)] = float(number) if pd.notna(number) else day if pd.notna(day) else text
         data = packed(sorted(tables.items()))
         put(f"{folder.rstrip('/')}/{name}", data)
         return pd.DataFrame({"file": pd.Series([name], dtype=object), "sheets": [len(tables)], "bytes": [len(data)]})
 
-    return cells.select("file", "sheet", "row", "col", "text", F.col("number").cast("double").alias("number")).groupBy("file").applyInPandas(write, "file string, sheets long, bytes long")
+    day = F.col("date").cast("date") if "date" in cells.columns else F.lit(None).cast("date").alias("date")
+    return cells.select("file", "sheet", "row", "col", "text", F.col("number").cast("double").alias("number"), day).groupBy("file").applyInPandas(write, "file string, sheets long, bytes long")

@@ -156,3 +156,15 @@ def test_loading_counts_what_it_writes(spark, tmp_path):
     assert set(load.load(records.where("false"), places, old, held, "slug", str(tmp_path / "none")).values()) == {0} and not (tmp_path / "none").exists()
     with pytest.raises(ValueError, match="no districts"):
         load.load(records, places.where("false"), old, held, "slug", str(tmp_path / "none"))
+
+
+def test_every_pair_with_few_and_many(spark, monkeypatch):
+    from statloom import lineage
+
+    left, right = spark.range(7).toDF("a"), spark.range(50).toDF("b")
+    few = sorted(map(tuple, lineage.every_pair(left, right).collect()))
+    monkeypatch.setattr(lineage, "BROADCAST_ROWS", 10)
+    many = lineage.every_pair(left, right)
+    assert sorted(map(tuple, many.collect())) == few == [(a, b) for a in range(7) for b in range(50)]
+    plan = many._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
