@@ -16,7 +16,10 @@ Texts of equal words count once.  In a bucket of n texts not all pairs are compa
 each text with one centre (every fourth band has its own order of centres, so a dense group
 meets several), then, in buckets that still hold several classes, every text outside the
 largest class with all others.  The latter happens within a task, which holds the sets of one
-bucket at a time, so that no row is made for a pair.
+bucket at a time, so that no row is made for a pair.  Buckets of more than ``CROWD`` texts (a
+template in many texts that are not alike otherwise) are dealt anew before: near copies have one of
+their rarest shingles in common (of the first fifth and one more, in an order that all sets
+share), so texts that share such a one meet instead, which loses no pair and leaves templates out.
 
 Defined results: a text shorter than a shingle is one shingle; wordless texts are near
 copies of each other; a text is known by 64 bits of its words.
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash_dedup
@@ -41,6 +44,8 @@ BANDS = 25
 ROWS = 4
 #: Orders of centres among the bands.
 CENTRES = 4
+#: Texts of a bucket that are compared within a task at most.
+CROWD = 2048
 
 _SEEDS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * _MULTIPLIER)
 
@@ -200,6 +205,20 @@ def linked_across(members: DataFrame) -> DataFrame:
     return rows.mapInArrow(search, "src long, dst long").distinct()
 
 
+def rare_meetings(crowded: DataFrame, sets: DataFrame) -> DataFrame:
+    """(bucket, node, root) of nodes (node, root) that share a shingle among the rarest of each, where they are of several classes."""
+    each = crowded.join(sets, "node").select("node", "root", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    each = stage(each, "each")  # plain tables, so that a hot shingle can be split
+    often = stage(each.groupBy("shingle").agg(F.count("*").alias("often")), "often")
+    order = Window.partitionBy("node").orderBy("often", "shingle")
+    first = each.join(often, "shingle").where("often > 1").withColumn("place", F.row_number().over(order))
+    alone = each.join(often, "shingle").where("often = 1").groupBy("node").agg(F.count("*").alias("alone"))  # they come first, and meet nothing
+    first = first.join(alone, "node", "left").where(F.expr("place + coalesce(alone, 0) <= n - (4 * n + 4) div 5 + 1"))
+    first = stage(first.select(F.col("shingle").alias("bucket"), "node", "root"), "rare")
+    several = first.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b").select("bucket")
+    return first.join(stage(several, "several"), "bucket")
+
+
 def closest(marked: DataFrame) -> DataFrame:
     """Pairs (src, dst) of nodes whose fingerprints link, as a staged table.
 
@@ -231,8 +250,12 @@ def links(docs: DataFrame, marked: DataFrame) -> DataFrame:
     rooted = met.join(roots, F.col("node") == F.col("vertex"), "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     rooted = stage(rooted, "rooted")
     apart = rooted.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count("*").alias("n"))
-    apart = stage(apart.where("a < b and n > 2").select("bucket"), "apart")  # two texts have met already
+    apart = stage(apart.where("a < b and n > 2").select("bucket", "n"), "apart")  # two texts have met already
     members = stage(rooted.join(apart, "bucket"), "members")
+    crowded = members.where(F.col("n") > CROWD).select("node", "root").distinct()
+    members = members.where(F.col("n") <= CROWD).drop("n")
+    if not crowded.isEmpty():
+        members = members.unionByName(stage(rare_meetings(stage(crowded, "crowded"), sets), "rare-members"))
     return found.unionByName(stage(linked_across(members.join(sets, "node")), "links"))
 
 

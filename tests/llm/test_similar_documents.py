@@ -55,3 +55,35 @@ def test_similar_texts_keep_columns_and_rows_without_id(spark):
     groups = plain_classes([r["text"] for r in rows])
     expected = {min((rows[i]["doc_id"] is None, rows[i]["doc_id"] or 0) for i, g in enumerate(groups) if g == name) for name in set(groups)}
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == sorted(expected)
+
+
+def test_crowded_buckets_are_dealt_anew_by_rare_shingles(spark, monkeypatch):
+    """A template in many texts that differ elsewhere, near copies among them, and a text of the template alone."""
+    from pyspark.sql import functions as F
+
+    from statloom.llm import similar_documents
+
+    rng = np.random.default_rng(23)
+    template = [f"t{i}" for i in range(150)]
+    texts = [" ".join(template)]
+    for i in range(90):
+        own = [f"o{i}x{j}" for j in range(int(rng.integers(20, 70)))]
+        texts.append(" ".join(template + own))
+        if i % 6 == 0:  # near copies: a few words more, fewer, or changed
+            texts.append(" ".join(template + own[:-2] + [f"z{i}"]))
+            texts.append(" ".join(template[4:] + own))
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = sorted(set(plain_classes(texts)))
+    seen = []
+    plain = similar_documents.rare_meetings
+
+    def watched(crowded, sets):
+        out = plain(crowded, sets).cache()
+        seen.append((crowded.count(), out.groupBy("bucket").count().agg(F.max("count")).first()[0]))
+        return out
+
+    monkeypatch.setattr(similar_documents, "rare_meetings", watched)
+    monkeypatch.setattr(similar_documents, "CROWD", 8)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == expected and 40 < len(expected) < len(texts) - 10
+    assert seen and seen[0][0] > 40 and (seen[0][1] or 0) < seen[0][0]
