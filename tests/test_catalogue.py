@@ -21,7 +21,7 @@ def test_query_equals_sql(spark, con, name):
 
 
 def test_queries_without_sql_are_tested_elsewhere():
-    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"slugs", "trend_forecasts", "changepoint_forecasts", "recurrent_forecasts", "backtest_grid", "forecast_figures", "feature_shares", "weak_spot_list", "quarterly_forecasts"}  # tests/test_extra.py, tests/test_forecasters.py
+    assert set(catalogue.QUERIES) - set(catalogue.ORACLE_SQL) == {"slugs", "changepoint_forecasts", "recurrent_forecasts", "backtest_grid", "forecast_figures", "feature_shares", "weak_spot_list", "quarterly_forecasts"}  # tests/test_extra.py, tests/test_forecasters.py
 
 
 def test_entry():
