@@ -62,20 +62,33 @@ def main_ring(shapes: DataFrame, key: str) -> DataFrame:
 def label_points(shapes: DataFrame, key: str, steps: int = 49) -> DataFrame:
     """The point of a grid over each ring's box that lies inside and farthest from the edge; rings without such a point give none.
 
-    The grid is walked within the row, so that a ring is never copied.
+    The grid is walked within the row and the edges are worked out once, so that a ring is never copied.
     """
     rows = shapes.join(bounding_boxes(shapes, key), key)
     ring = F.col("ring")
     following = F.concat(F.slice(ring, F.lit(2), F.size(ring)), F.slice(ring, 1, 1))
+    edge = lambda a, b: F.struct(a["x"].alias("x"), a["y"].alias("y"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
     at = lambda low, high, i: F.col(low) + (F.col(high) - F.col(low)) * (i + 0.5) / steps
     place = lambda i: (at("x0", "x1", i % steps), at("y0", "y1", F.floor(i / steps)))
-    away = lambda x, y: F.array_min(F.zip_with(ring, following, lambda a, b: distance_to_segment(x, y, a, b)))
-
-    def farther(best: Column, i: Column) -> Column:
-        x, y = place(i)
-        own = F.when(contains(ring, x, y), away(x, y))
-        return F.when(own > F.coalesce(best["away"], F.lit(-1.0)), F.struct(x.alias("x"), y.alias("y"), own.alias("away"))).otherwise(best)
-
-    none = F.lit(None).cast("double")
-    best = F.aggregate(F.sequence(F.lit(0), F.lit(steps * steps - 1)), F.struct(none.alias("x"), none.alias("y"), none.alias("away")), farther)
-    return rows.select(key, best.alias("p")).where("p.away is not null").select(key, "p.x", "p.y", "p.away")
+    start = F.struct(F.lit(False).alias("inside"), F.lit(float("inf")).alias("square"))
+
+    def met(state: Column, e: Column, x: Column, y: Column) -> Column:
+        """Whether the point lies inside, by the crossings so far, and the square of its least distance to an edge so far."""
+        u, v, length = x - e["x"], y - e["y"], e["dx"] * e["dx"] + e["dy"] * e["dy"]
+        crosses = ((v < 0) != (v - e["dy"] < 0)) & (u < e["dx"] * v / F.nullif(e["dy"], F.lit(0.0)))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((u * e["dx"] + v * e["dy"]) / F.nullif(length, F.lit(0.0)), F.lit(0.0))))
+        away = F.pow(u - t * e["dx"], F.lit(2)) + F.pow(v - t * e["dy"], F.lit(2))
+        return F.struct((state["inside"] != F.coalesce(crosses, F.lit(False))).alias("inside"), F.least(state["square"], away).alias("square"))
+
+    def best_of(edges: Column) -> Column:
+        def away(i: Column) -> Column:
+            point = F.array(F.struct(*(c.alias(n) for c, n in zip(place(i), "xy", strict=True))))  # worked out once
+            told = F.transform(point, lambda p: F.aggregate(edges, start, lambda state, e: met(state, e, p["x"], p["y"])))[0]
+            return F.transform(F.array(told), lambda m: F.struct(F.when(m["inside"], F.sqrt(m["square"])).alias("away"), (-i).alias("i")))[0]
+
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(steps * steps - 1)), away))
+
+    best = F.transform(F.array(F.zip_with(ring, following, edge)), best_of)[0]
+    found = rows.withColumn("best", best).where("best.away is not null").withColumn("i", -F.col("best.i"))
+    x, y = place(F.col("i"))
+    return found.select(key, x.alias("x"), y.alias("y"), F.col("best.away").alias("away"))

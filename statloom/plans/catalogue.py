@@ -757,10 +757,10 @@ def backtest_grid(spark, sf_dir):
     sqrt(greatest(0, regr_syy(z, year) - regr_slope(z, year) * regr_sxy(z, year)) / (count(*) - 2)) AS spread
   FROM (SELECT district_id, year, ln(CAST(active AS DOUBLE)) AS z FROM panel) GROUP BY 1 HAVING count(*) >= 3),
 ahead AS (SELECT *, CAST(last + s AS INT) AS year, 1.645 * spread * sqrt(1 + 1.0 / n + pow(last + s - middle, 2) / sxx) AS width FROM line, (SELECT unnest([1, 2, 3, 4, 5]) AS s))
-SELECT district_id, year, round(exp(a + b * year), 4) AS yhat, round(exp(a + b * year - width), 4) AS lower, round(exp(a + b * year + width), 4) AS upper FROM ahead""")
+SELECT district_id, year, round(exp(a + b * year), 6) AS yhat, round(exp(a + b * year - width), 6) AS lower, round(exp(a + b * year + width), 6) AS upper FROM ahead""")
 def trend_forecasts(spark, sf_dir):
     rows = models.trend_forecast(tables.panel(spark, sf_dir), "district_id", "active", 5)
-    return rows.withColumns({c: F.round(c, 4) for c in ("yhat", "lower", "upper")})
+    return rows.withColumns({c: F.round(c, 6) for c in ("yhat", "lower", "upper")})
 
 
 @query(DISTRICT_ROWS, USER_PROMPTS, parsed_sql("prompts"), sql=" SELECT id, intent, district_id, module FROM parsed")

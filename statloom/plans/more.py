@@ -988,8 +988,8 @@ def dashboard_forecasts(spark, sf_dir):
     return parts["forecasts"].select("indicator", "year", F.round("yhat", 3).alias("yhat"))
 
 
-@query(PLANS, sql=""" SELECT module, region, round(fact / plan * 100, 6) AS completion FROM (SELECT module, region, avg(CAST(planned AS DOUBLE)) AS plan, avg(CAST(actual AS DOUBLE)) AS fact FROM plans
-  WHERE module IS NOT NULL AND region IS NOT NULL GROUP BY ALL HAVING count(planned) > 0 AND count(actual) > 0) WHERE fact / plan < 0.8 ORDER BY fact / plan, module, region LIMIT 10""")
+@query(PLANS, sql=""" SELECT module, region, round(coalesce(fact / nullif(plan, 0), 0) * 100, 6) AS completion FROM (SELECT module, region, avg(CAST(planned AS DOUBLE)) AS plan, avg(CAST(actual AS DOUBLE)) AS fact FROM plans
+  WHERE module IS NOT NULL AND region IS NOT NULL GROUP BY ALL HAVING count(planned) > 0 AND count(actual) > 0) WHERE coalesce(fact / nullif(plan, 0), 0) < 0.8 ORDER BY coalesce(fact / nullif(plan, 0), 0), module, region LIMIT 10""")
 def dashboard_critical(spark, sf_dir):
     return reports.dashboard(tables.plans(spark, sf_dir))["critical"].select("module", "region", F.round("completion", 6).alias("completion"))
 
@@ -1079,11 +1079,11 @@ HELD = [1998, 1999]
 ahead AS (SELECT p.*, CAST(last + s AS INT) AS year, 1.645 * spread * sqrt(1 + 1.0 / n + pow(last + s - middle, 2) / sxx) AS width FROM past p, (SELECT unnest([1, 2]) AS s)),
 met AS (SELECT h.district_id, CAST(active AS DOUBLE) AS actual, exp(a + b * h.year) AS yhat, exp(a + b * h.year - width) AS low, exp(a + b * h.year + width) AS high
   FROM ahead h JOIN panel p ON p.district_id = h.district_id AND p.year = h.year WHERE p.year IN ({HELD[0]}, {HELD[1]}))
-SELECT district_id, count(*) AS n, round(avg(abs(actual - yhat)), 6) AS mae, round(avg(abs(actual - yhat) / actual) * 100, 6) AS mape, CAST(count(*) FILTER (WHERE actual BETWEEN low AND high) AS DOUBLE) / count(*) AS coverage FROM met GROUP BY 1""")
+SELECT district_id, count(*) AS n, round(avg(abs(actual - yhat)), 6) AS mae, round(avg(abs(actual - yhat) / actual) * 100, 6) AS mape, round(sqrt(avg((actual - yhat) * (actual - yhat))), 6) AS rmse FROM met GROUP BY 1""")
 def holdout_measures(spark, sf_dir):
     rows = tables.panel(spark, sf_dir).where(F.col("year") <= HELD[-1])
     found = reports.holdout(rows, "district_id", "active", HELD)
-    return found.select("district_id", "n", F.round("mae", 6).alias("mae"), F.round("mape", 6).alias("mape"), "coverage")
+    return found.select("district_id", "n", F.round("mae", 6).alias("mae"), F.round("mape", 6).alias("mape"), F.round("rmse", 6).alias("rmse"))
 
 
 #: The sides of a right triangle by nation, and the grid point inside that is farthest from the sides.
