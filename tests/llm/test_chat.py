@@ -91,6 +91,14 @@ def test_texts_come_back_as_they_were(spark):
     assert rows_of(names, [[r[n] for n in names] for r in found.collect()]) == rows_of(names, [[r[n] for n in names] for r in plain(rows + trap)])
 
 
+def test_every_row_of_the_query_finds_its_layout(spark):
+    records = cf.records_of(spark.createDataFrame(said(), ROWS))
+    assert cf.unmapped(records).count() == 0
+    found = {(r["layout"], r["role"]) for r in cf.canonical_turns(records).select("layout", "role").distinct().collect()}
+    assert {("messages", "system"), ("dialogue", "assistant"), ("turn", "user"), ("turn", ""), ("messages", "user")} <= found
+    assert {layout for layout, role in found if role == "assistant"} == {"dialogue", "messages"}  # the latter is the trap
+
+
 def test_marks_occur_only_at_the_ends_of_turns(spark):
     formatted = cf.formatted_turns(cf.canonical_turns(spark.createDataFrame(said(), ROWS))).collect()
     for r in formatted:
