@@ -33,7 +33,7 @@ from ._shared import BROADCAST_ROWS, SPACE, WORD_CHAR, let, stage, whole_text, w
 RISK = 0.01
 LEVEL = 0.05
 LEAST_WORDS = 20
-WINDOW = 8
+WINDOW = 8  # a power of two
 MOST_REPEATED = 30  # percent of the words
 #: Ids of labelled documents that are broadcast at most.
 LABEL_ROWS = 1 << 20
@@ -74,8 +74,17 @@ def cheap_counts(text: Column) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words in windows of ``WINDOW`` words that the text has twice or more."""
-    hashes = F.transform(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    """Words in windows of ``WINDOW`` words that the text has twice or more.
+
+    A window's hash is made of those of its halves: words, then pairs, then runs of four, of eight.
+    """
+
+    def window_hashes(parts: Column, width: int, body) -> Column:
+        if width == WINDOW:
+            return body(parts)
+        n = F.size(parts) - width
+        both = F.zip_with(F.slice(parts, F.lit(1), n), F.slice(parts, F.lit(1 + width), n), lambda a, b: F.xxhash64(a, b))
+        return let(both, lambda x: window_hashes(x, 2 * width, body))
 
     def spread(sorted_pairs: Column) -> Column:
         same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
@@ -90,7 +99,8 @@ def repeated_words(words: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, spread))
 
-    return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(hashes, count))
+    of_words = lambda h: window_hashes(h, 1, count)
+    return F.when(F.size(words) < WINDOW + 1, F.lit(0).cast("long")).otherwise(let(F.transform(words, lambda w: F.xxhash64(w)), of_words))
 
 
 def all_counts(text: Column) -> Column:
