@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -241,6 +244,66 @@ def test_shapes(spark):
     assert (at["x"], at["y"]) == (pytest.approx(5.0), pytest.approx(5.0))
 
 
+def _grid_walk(ring, box, steps=49):
+    """The deepest point of the whole grid, edge by edge."""
+    x0, y0, x1, y1 = box
+    i = np.arange(steps * steps)
+    x, y = x0 + (x1 - x0) * (i % steps + 0.5) / steps, y0 + (y1 - y0) * (i // steps + 0.5) / steps
+    inside, least = np.zeros(len(i), bool), np.full(len(i), np.inf)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1], strict=True):
+        dx, dy = bx - ax, by - ay
+        if dy:
+            inside ^= ((ay > y) != (by > y)) & (x - ax < dx * (y - ay) / dy)
+        t = np.clip(((x - ax) * dx + (y - ay) * dy) / (dx * dx + dy * dy), 0, 1) if dx or dy else np.zeros(len(i))
+        least = np.fmin(least, np.hypot(x - ax - t * dx, y - ay - t * dy))
+    return np.where(inside, least, -1).max()
+
+
+def test_label_points_are_those_of_the_whole_grid(spark):
+    rng = np.random.default_rng(3)
+    rings = {
+        "corner": [(0, 0), (9, 0), (9, 1), (1, 1), (1, 9), (0, 9)], "sliver": [(0, 0), (100, 100), (100, 100.5)], "line": [(0, 0), (5, 0)],
+        "far": [(1e6 + x, 1e6 + y) for x, y in ((0, 0), (1, 0), (1, 3), (0.2, 3))], "twice": [(0, 0), (4, 0), (4, 0), (4, 4), (0, 4), (0, 0)],
+    }
+    for n in (3, 5, 7, 11, 30, 700, 6000):
+        for k in range(6):
+            angle, far = np.sort(rng.uniform(0, 2 * np.pi, n)), rng.uniform(0.2, 1, n) * (3, 50)[k % 2]
+            rings[f"{n}.{k}"] = list(zip((far * np.cos(angle)).tolist(), (far * np.sin(angle)).tolist(), strict=True))
+    data = [(name, [(float(x), float(y)) for x, y in ring]) for name, ring in rings.items()]
+    kind = "id string, ring array<struct<x:double,y:double>>"
+    found = {r["id"]: r for r in shapes.label_points(spark.createDataFrame([*data, ("none", None), ("empty", []), ("corner", None), ("corner", [])], kind), "id").collect()}
+    for name, ring in data:
+        xs, ys = zip(*ring, strict=True)
+        best = _grid_walk(ring, (min(xs), min(ys), max(xs), max(ys)))
+        assert (name in found) == (best >= 0), name
+        if best >= 0:
+            r = found[name]
+            assert r["away"] == pytest.approx(best, rel=1e-12, abs=1e-12), name
+            assert _edge_distance(ring, r["x"], r["y"]) == pytest.approx(best, rel=1e-9, abs=1e-9), name
+    assert set(found) <= set(rings) and "line" not in found
+    gap = spark.createDataFrame([("gap", [(0.0, 0.0), (4.0, 0.0), (4.0, None), (4.0, 4.0), (0.0, 4.0)])], kind)
+    assert shapes.label_points(gap, "id").count() <= 1
+
+
+def _edge_distance(ring, x, y):
+    def one(a, b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = min(max(((x - a[0]) * dx + (y - a[1]) * dy) / (dx * dx + dy * dy), 0), 1) if dx or dy else 0
+        return np.hypot(x - a[0] - t * dx, y - a[1] - t * dy)
+
+    return min(one(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True))
+
+
+def test_label_points_of_many_rings_take_seconds(spark):
+    angle = lambda i: i * 2 * np.pi / 40
+    ring = F.array(*[F.struct((F.col("id") + float(np.cos(angle(i)))).alias("x"), F.lit(float(np.sin(angle(i)))).alias("y")) for i in range(40)])
+    rows = spark.range(1500).select("id", ring.alias("ring"))
+    began = time.monotonic()
+    worst = shapes.label_points(rows, "id").agg(F.max(F.abs(F.col("x") - F.col("id"))), F.max(F.abs("y")), F.count("*")).first()
+    assert time.monotonic() - began < 30  # the whole grid walked in expressions took minutes
+    assert worst[0] < 1e-9 and worst[1] < 1e-9 and worst[2] == 1500
+
+
 def test_period_order(spark):
     keys = [("year", None), ("ytd", 9), ("ytd", 3), ("quarter", 4), ("month", 12)]
     rows = spark.createDataFrame(keys, "p string, n int").orderBy(F.desc(period.period_key(F.col("p"), F.col("n")))).collect()
