@@ -165,19 +165,38 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(key_of().alias("key"), whole_text().alias("text"))
 
 
+def in_order(h: np.ndarray, check: np.ndarray, key: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows by (h, key, start). Neighbours mostly share h, so that runs of them are sorted, not each."""
+    first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1]) | (start[1:] != start[:-1] + 1)])
+    lengths = np.diff(np.r_[first, len(h)])
+    by = np.lexsort((start[first], key[first], h[first]))
+    first, lengths = first[by], lengths[by]
+    order = np.repeat(first - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(len(h))
+    sorted_ = h[order], check[order], key[order], start[order]
+    h_, _, key_, start_ = sorted_
+    if ((h_[1:] == h_[:-1]) & (key_[1:] == key_[:-1]) & (start_[1:] <= start_[:-1])).any():  # rows of equal key, whose runs overlap
+        order = np.lexsort((start, key, h))
+        sorted_ = h[order], check[order], key[order], start[order]
+    return sorted_
+
+
 def window_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     """Index rows (route, kind, key, start, checks) of the windows of rows (key, text as bytes)."""
 
     def told(parts: list) -> pa.RecordBatch:
-        h, check, key, start = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((start, key, check, h))
-        h, check, key, start = h[order], check[order], key[order], start[order]
-        new = np.r_[True, (h[1:] != h[:-1]) | (check[1:] != check[:-1])]
-        head = np.flatnonzero(new)[np.cumsum(new) - 1]
-        known = np.flatnonzero((key != key[head]) | (start != start[head]))  # equal rows count once
+        h, check, key, start = in_order(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        # Windows of an anchor and check, in no order; the first of them is the one of the least position.
+        whole = (np.cumsum(np.r_[False, h[1:] != h[:-1]]) << 32) | check.view(np.uint32).astype(np.int64)
+        order = np.argsort(whole)
+        same = np.flatnonzero(np.r_[True, np.diff(whole[order]) != 0])
+        head = np.empty(len(h), np.int64)
+        head[order] = np.repeat(np.minimum.reduceat(order, same), np.diff(np.r_[same, len(h)]))
+        new = head == np.arange(len(h))
+        known = np.flatnonzero(~new)
+        known = known[(key[known] != key[head[known]]) | (start[known] != start[head[known]])]  # equal rows count once
+        whose, where = key[head[known]], start[head[known]].astype(np.int32)
+        key_known, start_known = key[known], start[known]
         h, check, key_, start_ = h[new], check[new], key[new], start[new]
-        order = np.lexsort((start_, key_, h))
-        h, check, key_, start_ = h[order], check[order], key_[order], start_[order]
         other = np.r_[True, h[1:] != h[:-1]]
         run = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (key_[1:] != key_[:-1]) | (start_[1:] != start_[:-1] + 1)])
         of = np.cumsum(other) - 1  # which anchor
@@ -189,13 +208,13 @@ def window_rows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         columns = [
             np.r_[h[folded], h[single], h[marker], np.zeros(len(known), np.int64)],
             np.r_[np.full(len(folded), FOLDED), np.full(len(single), SINGLE), np.full(len(marker), FOLDED), np.full(len(known), KNOWN)].astype(np.int32),
-            np.r_[key_[folded], key_[single], key_[marker], key[known]],
-            np.r_[start_[folded], start_[single], start_[marker], start[known]].astype(np.int32),
+            np.r_[key_[folded], key_[single], key_[marker], key_known],
+            np.r_[start_[folded], start_[single], start_[marker], start_known].astype(np.int32),
         ]
         checks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths)].astype(np.int32)), pa.array(np.r_[check[~busy], check[single]]))
         # Where a known repeat is first met in the task.
-        whose = np.r_[np.zeros(len(lengths) - len(known), np.int64), key[head[known]]]
-        where = np.r_[np.zeros(len(lengths) - len(known), np.int32), start[head[known]].astype(np.int32)]
+        whose = np.r_[np.zeros(len(lengths) - len(known), np.int64), whose]
+        where = np.r_[np.zeros(len(lengths) - len(known), np.int32), where]
         return pa.record_batch([*map(pa.array, columns), checks, pa.array(whose), pa.array(where)], names=["anchor", "kind", "key", "start", "checks", "old_key", "old_start"])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,9 +371,8 @@ class FingerprintIndex:
 
     # Digests of whole texts, for exact copies.
 
-    def copies_of(self, rows: DataFrame) -> DataFrame:
-        """(key, copies) of the digests of texts of this key that the history or a smaller key has too, as a staged table."""
-        digests = rows.select("key", F.md5("text").alias("digest"))
+    def copies_of(self, digests: DataFrame) -> DataFrame:
+        """(key, copies) of the digests of this key (key, digest) that the history or a smaller key has too, as a staged table."""
         first = digests.groupBy("digest").agg(F.min("key").alias("first"), F.max("key").alias("last"))
         try:
             seen = self.spark.read.schema("digest string").parquet(f"{self.path}/digests").distinct().withColumn("seen", F.lit(True))
@@ -368,16 +386,17 @@ class FingerprintIndex:
         later = digests.join(stage(first, "first"), "digest").where("key > first")  # a plain table, so that a hot digest can be split
         return stage(later.groupBy("key").agg(F.collect_set("digest").alias("copies")), "copies")
 
-    def keep_digests(self, rows: DataFrame) -> None:
-        rows.select(F.md5("text").alias("digest")).distinct().write.mode("append").parquet(f"{self.path}/digests")
+    def keep_digests(self, digests: DataFrame) -> None:
+        digests.select("digest").distinct().write.mode("append").parquet(f"{self.path}/digests")
 
 
 def repeats(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> tuple[DataFrame, DataFrame]:
     """Adds the documents to the index; gives (key, found: start, old_key, old_start) of their repeats, and (key, copies)."""
     spark, rows = docs.sparkSession, keyed(docs)
-    copies = index.copies_of(rows)
+    digests = stage(rows.select("key", F.md5("text").alias("digest")), "digests")
+    copies = index.copies_of(digests)
     shares = [i / batches for i in range(1, batches)]
-    cuts = rows.agg(F.percentile_approx("key", shares)).first()[0] or [] if shares else []
+    cuts = digests.agg(F.percentile_approx("key", shares)).first()[0] or [] if shares else []
     edges = [None, *sorted(set(cuts)), None]
     out = f"{shared_dir(spark)}/repeats-{uuid.uuid4().hex}"
     try:
@@ -390,7 +409,7 @@ def repeats(docs: DataFrame, index: FingerprintIndex, window: int = WINDOW, anch
             with shuffles_freed(spark):
                 found.groupBy("key").agg(F.collect_list(F.struct("start", "old_key", "old_start")).alias("found")).write.mode("append").parquet(out)
             index.keep()
-        index.keep_digests(rows)
+        index.keep_digests(digests)
     finally:
         index.forget()
     return spark.read.schema("key long, found array<struct<start:int,old_key:long,old_start:int>>").parquet(out), copies
@@ -407,9 +426,55 @@ def spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return edges[0::2], edges[1::2]
 
 
-def said(text: bytes, starts: np.ndarray, ends: np.ndarray, first: int, words: int) -> bytes | None:
-    """So many words from one on, joined by one space; null beyond the text."""
-    return b" ".join(text[starts[first] : ends[first + words - 1]].split()) if first + words <= len(starts) else None
+class Spaced:
+    """A text's words, joined by one space."""
+
+    def __init__(self, text: bytes):
+        pieces = (b" ".join(p.split()) for p in pieces_of(text, GROUP))
+        self.text = b" ".join(p for p in pieces if p)
+        self.n = self.text.count(b" ") + 1 if self.text else 0
+        self._gaps = None
+
+    def said(self, first: int, upto: int) -> bytes:
+        """The words of these numbers."""
+        if self._gaps is None:
+            self._gaps = np.r_[-1, np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32), len(self.text)]
+        return self.text[self._gaps[first] + 1 : self._gaps[upto]]
+
+    def gone(self, checks: list | None, whole: bool, window: int) -> np.ndarray:
+        """Which words go: all of an exact copy, else those of stretches whose digest is theirs."""
+        from xxhash import xxh3_128_digest
+
+        if whole:
+            return np.full(self.n, self.n >= window)
+        gone = np.zeros(self.n, bool)
+        for x in checks or []:
+            start, upto = x["start"], x["start"] + x["words"]
+            if upto <= self.n and xxh3_128_digest(self.said(start, upto)) == x["digest"]:
+                gone[start:upto] = True
+        return gone
+
+    def kept(self, gone: np.ndarray) -> Iterator[bytes]:
+        """The stretches of words that stay."""
+        if not gone.any():
+            yield from [self.text] if self.n else []
+        elif not gone.all():
+            for a, b in zip(*staying(gone), strict=True):
+                yield self.said(a, b)
+
+
+def staying(gone: np.ndarray) -> tuple[list[int], list[int]]:
+    """Where stretches of words that stay begin and end."""
+    edge = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
+    return edge[0::2].tolist(), edge[1::2].tolist()
+
+
+def checks_of(column: pa.Array) -> Iterator[list[dict]]:
+    """The checks of every row, none where the list is null; many at once, which is quicker than row by row."""
+    inner = column.flatten()
+    every = [{"start": a, "words": n, "digest": d} for a, n, d in zip(*(inner.field(i).to_pylist() for i in range(3)), strict=True)]
+    ends = np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)).tolist()
+    yield from (every[a:b] for a, b in zip([0, *ends], ends, strict=False))
 
 
 def stretches_of(found: DataFrame, window: int) -> DataFrame:
@@ -449,12 +514,11 @@ def verified(stretches: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for key, text, asked in zip(*[batch.column(i) for i in range(3)], strict=True):
-                text = text.as_py()
-                starts, ends = spans(text)
+                text = Spaced(text.as_py())
                 for x in asked.as_py():
-                    words = said(text, starts, ends, x["old_start"], x["words"])
-                    if words is not None:
-                        out.append((key.as_py(), x["old_start"], x["words"], xxh3_128_digest(words)))
+                    start, upto = x["old_start"], x["old_start"] + x["words"]
+                    if upto <= text.n:
+                        out.append((key.as_py(), start, x["words"], xxh3_128_digest(text.said(start, upto))))
             key, start, words, digest = zip(*out, strict=True) if out else ((),) * 4
             yield pa.record_batch([pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(words, pa.int32()), pa.array(digest, pa.binary())], names=["old_key", "old_start", "words", "digest"])
 
@@ -464,25 +528,13 @@ def verified(stretches: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def removed_words(text: bytes, checks: list | None, whole: bool, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where words begin and end, and which go: all of an exact copy, else those of stretches whose digest is theirs."""
-    from xxhash import xxh3_128_digest
-
-    starts, ends = spans(text)
-    n = len(starts)
-    if whole:
-        return starts, ends, np.full(n, n >= window)
-    gone = np.zeros(n, bool)
-    for x in checks or []:
-        words = said(text, starts, ends, x["start"], x["words"])
-        if words is not None and xxh3_128_digest(words) == x["digest"]:
-            gone[x["start"] : x["start"] + x["words"]] = True
-    return starts, ends, gone
+    """Where words begin and end, and which go."""
+    return *spans(text), Spaced(text).gone(checks, whole, window)
 
 
 def kept_stretches(text: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> list[bytes]:
     """The stretches of the text that stay, as they were."""
-    edge = np.flatnonzero(np.diff(np.r_[True, gone, True].astype(np.int8)))
-    return [text[starts[a] : ends[b - 1]] for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True)]
+    return [text[starts[a] : ends[b - 1]] for a, b in zip(*staying(gone), strict=True)]
 
 
 def _with_repeats(docs: DataFrame, window: int, anchor: int, batches: int, index: str | None, history: DataFrame | None) -> DataFrame:
@@ -510,16 +562,15 @@ def removal_digest(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, checks, whole in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True):
-                text = text.as_py()
-                starts, ends, gone = removed_words(text, checks.as_py(), whole.as_py(), window)
+            for text, checks, whole in zip(batch.column(1), checks_of(batch.column(2)), batch.column(3), strict=True):
+                text = Spaced(text.as_py())
+                gone = text.gone(checks, whole.as_py(), window)
                 sha, between = hashlib.sha256(), b""
-                for kept in kept_stretches(text, starts, ends, gone):
-                    for piece in pieces_of(kept):
-                        if words := piece.split():
-                            sha.update(between + b" ".join(words))
-                            between = b" "
-                out.append((len(starts), int(gone.sum()), sha.hexdigest()))
+                for kept in text.kept(gone):
+                    sha.update(between)
+                    sha.update(kept)
+                    between = b" "
+                out.append((text.n, int(gone.sum()), sha.hexdigest()))
             n, removed, sha = zip(*out, strict=True) if out else ((), (), ())
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())]
             yield pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
@@ -540,9 +591,9 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, ba
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for text, checks, whole in zip(*[batch.column(i) for i in (1, 2, 3)], strict=True):
+            for text, checks, whole in zip(batch.column(1), checks_of(batch.column(2)), batch.column(3), strict=True):
                 text = text.as_py()
-                starts, ends, gone = removed_words(text, checks.as_py(), whole.as_py(), window)
+                starts, ends, gone = removed_words(text, checks, whole.as_py(), window)
                 texts.append(b" ".join(kept_stretches(text, starts, ends, gone)) if gone.any() else text)
             yield pa.record_batch([batch.column(0), pa.array(texts, pa.binary())], names=["row", "text"])
 

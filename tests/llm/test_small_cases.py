@@ -362,6 +362,51 @@ def test_a_long_history_is_not_written_again_for_small_batches(spark, tmp_path):
     index.drop()
 
 
+def test_documents_are_read_once_for_digests_and_once_a_batch(spark):
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{rng.integers(10**6)}" for _ in range(30)) + (f" {passage}" if i % 3 == 0 else "")) for i in range(60)]
+    docs, read = spark.createDataFrame(rows, "doc_id long, text string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    found = substring_dedup.removal_digest(docs.mapInArrow(counted, docs.schema), batches=3).collect()
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept_sha256"]) for r in found) == plain_removals(rows)
+    assert read.value <= 6 * len(rows)  # digests, three batches, the check of repeats and the words that stay
+
+
+def test_windows_are_ordered_by_runs():
+    rng = np.random.default_rng(8)
+    for keys, n in ((1000, 40), (3, 40), (2, 7)):  # few keys: rows of equal key, whose runs overlap
+        key = np.repeat(rng.integers(-keys, keys, 50), n)
+        start = np.tile(np.arange(n), 50) + np.repeat(rng.integers(0, 9, 50), n)
+        h = np.repeat(rng.integers(-20, 20, 50 * n), rng.integers(1, 9, 50 * n))[: 50 * n]
+        check = rng.integers(-(1 << 31), 1 << 31, 50 * n).astype(np.int32)
+        found = substring_dedup.in_order(h, check, key, start)
+        order = np.lexsort((start, key, h))
+        assert all((a == b[order]).all() for a, b in zip((found[0], *found[2:]), (h, key, start), strict=True))
+        assert sorted(zip(*(x.tolist() for x in found), strict=True)) == sorted(zip(h.tolist(), check.tolist(), key.tolist(), start.tolist(), strict=True))
+
+
+def test_words_of_a_text_joined(monkeypatch):
+    monkeypatch.setattr(substring_dedup, "GROUP", 16)  # read in pieces
+    text = b" \x0b a bb\t\nccc " + b" " * 40 + "d\u00e9 e\u00a0f".encode() + b" gg" * 9 + b"\r"
+    found, ws = substring_dedup.Spaced(text), text.split()
+    assert (found.text, found.n) == (b" ".join(ws), len(ws)) and found.said(2, 5) == b" ".join(ws[2:5]) and found.said(0, found.n) == found.text
+    check = lambda a, n, d=None: {"start": a, "words": n, "digest": xxhash.xxh3_128_digest(d or b" ".join(ws[a : a + n]))}
+    gone = found.gone([check(1, 2), check(2, 3), check(6, 2, b"other"), check(len(ws) - 1, 2)], False, 20)
+    assert gone.nonzero()[0].tolist() == [1, 2, 3, 4]
+    assert list(found.kept(gone)) == [ws[0], b" ".join(ws[5:])] and list(found.kept(gone | True)) == [] and list(found.kept(gone & False)) == [found.text]
+    empty = substring_dedup.Spaced(b" \n ")
+    assert (empty.text, empty.n) == (b"", 0) and list(empty.kept(empty.gone(None, False, 20))) == [] and not empty.gone(None, True, 20).any()
+    lists = pa.array([None, [], [check(1, 2)], None, [check(0, 1), check(3, 1)]], pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32()), ("digest", pa.binary())])))
+    assert list(substring_dedup.checks_of(lists)) == [[], [], [check(1, 2)], [], [check(0, 1), check(3, 1)]]
+    assert list(substring_dedup.checks_of(lists[2:])) == [[check(1, 2)], [], [check(0, 1), check(3, 1)]]
+
+
 def test_repeats_are_verified_by_their_words(spark):
     same = " ".join(f"w{i}" for i in range(30))
     docs = spark.createDataFrame([(1, same), (2, "x " + same), (3, "y " + same.replace("w7", "v7"))], "doc_id long, text string")
